@@ -13,6 +13,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_embeddings(spark, sf_dir):
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -37,5 +49,5 @@ def op7_secrets(spark, sf_dir):
     return scan(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets}
+QUERIES = {"op1_simhash": op1_simhash, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets}
 ORACLES: dict[str, str] = {}
