@@ -49,5 +49,14 @@ def op7_secrets(spark, sf_dir):
     return scan(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets}
+def op8_language(spark, sf_dir):
+    from .language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = is_held("doc_id", 3, 1)
+    model = train(docs.where(~held))
+    return predict(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets, "op8_language": op8_language}
 ORACLES: dict[str, str] = {}
