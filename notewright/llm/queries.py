@@ -58,5 +58,13 @@ def op8_language(spark, sf_dir):
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets, "op8_language": op8_language}
+def op3_brown(spark, sf_dir):
+    from .brown import score
+
+    docs = table(spark, sf_dir, "documents")
+    held = is_held("doc_id", 10, 0)
+    return score(docs, docs.where(~held)).withColumn("held_out", held)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets, "op8_language": op8_language}
 ORACLES: dict[str, str] = {}
