@@ -9,19 +9,24 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 #: White space that only some regular expression engines know as such.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Lower-cased word pieces: white space only separates.
-BY_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Byte-level pieces: a word has the space before it, other white space stands alone.
-BY_SPACE = re.compile(r"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+#: Texts with none of these can be lower-cased before the tokenizer's normalizer does it.
+NOT_PLAIN = re.compile("[\u0130\u0300-\U0010ffff]")
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++"
+_SPACE = "[\x20\x09-\x0d]"
+#: A word of letters without a single mark at its end; that mark; anything else up to white space.
+BY_WORD = re.compile(rf"{_LETTERS}(?=[.,]?(?:{_SPACE}|\Z))|[^\x20\x09-\x0d]+")
+#: The same where a word has the space before it and other white space stands alone.
+BY_SPACE = re.compile(rf"\x20?{_LETTERS}(?=[.,]?(?:{_SPACE}|\Z))|\x20?[^\x20\x09-\x0d]+|{_SPACE}+(?![^\x20\x09-\x0d])|{_SPACE}+")
 #: For a known file: its chunks, and whether it lower-cases.
 CHUNKS = {"word_bpe_49k.json": (BY_WORD, True), "byte_bpe_50k.json": (BY_SPACE, False)}
-#: A run of letters with one mark after it is always cut before the mark.
-SIMPLE = re.compile("(\\x20?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,]?)")
+#: Chunks that are encoded many at a time.
+SIMPLE = re.compile(rf"\x20?{_LETTERS}")
 
 
 class _Memo(dict):
@@ -41,53 +46,77 @@ class Encoder:
     keep bounds the number of remembered chunks, and so the memory. tokenizer: the path of the file.
     """
 
-    def __init__(self, tokenizer: str, chunks: re.Pattern | None, end_id: int, lower: bool = False, keep: int = 500_000):
+    def __init__(self, tokenizer: str, chunks: re.Pattern | None, end_id: int, lower: bool = False, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.chunks, self.end_id, self.lower, self.keep = chunks, end_id, lower, keep
+        #: Ids at the bounds of texts joined by `between`: the last one of each word, or the line feed itself.
+        self.between = " " if lower else "\n"
+        self.bound = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        if chunks:
+            self.bound[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if (t.endswith("</w>") if lower else t == "\u010a")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.memo, self.stems = _Memo(), {}
+        self.memo = _Memo()
         self.flat, self.at, self.n = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.memo[None] = 0
 
+    def _shrink(self, n: int) -> None:
+        """Forgets all but the first n chunks; most frequent ones come early."""
+        old = self.memo
+        self.memo = _Memo()
+        self.memo.update(islice(old.items(), n))
+        at, self.n = self.at[:n], self.n[:n]
+        self.flat = self.flat[np.repeat(at - (np.cumsum(self.n) - self.n), self.n) + np.arange(int(self.n.sum()))]
+        self.at = np.cumsum(self.n) - self.n
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has. Letters only: many are encoded at once, and told apart by the ids at their bounds."""
+        encode = lambda x: self.tok.encode_batch_fast(x, add_special_tokens=False)
+        groups = [texts[a : a + 512] for a in range(0, len(texts), 512)]
+        ids_of, n_of = [], []
+        for group, e in zip(groups, encode([self.between.join(g) for g in groups])):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.bound[ids])
+            if self.lower:
+                n = np.diff(at, prepend=-1)
+            else:
+                ids, n = np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            if len(n) != len(group):
+                one_by_one = [x.ids for x in encode(group)]
+                ids, n = np.array([i for x in one_by_one for i in x], np.uint32), np.array(list(map(len, one_by_one)))
+            ids_of.append(ids)
+            n_of.append(n)
+        return np.concatenate([np.empty(0, np.uint32), *ids_of]), np.concatenate([np.empty(0, np.int64), *n_of])
+
     def _learn(self) -> None:
-        """Ids of the new chunks. A simple chunk's are those of its letters and of its mark."""
-        if not self.memo.new:
+        """Ids of the new chunks."""
+        new, self.memo.new = self.memo.new, []
+        if not new:
             return
-        split = [(m[1].lower() if self.lower else m[1], m[2]) if self.chunks and (m := SIMPLE.fullmatch(c)) else (c, "") for c in self.memo.new]
-        stems, flat = self.stems, self.flat.tolist() if len(self.flat) < 2 else []
-        base = len(self.flat) - len(flat)
-        new = [k for k in dict.fromkeys([*(k for k, _ in split), *(t for _, t in split if t)]) if k not in stems]
-        for k, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            stems[k] = (base + len(flat), len(ids))
-            flat.extend(ids)
-        flat = np.concatenate([self.flat[:base], np.array(flat, np.uint32)])
-        at, n, more, end = np.empty(len(split), np.int64), np.empty(len(split), np.int64), [], len(flat)
-        for i, (k, tail) in enumerate(split):
-            a, m = stems[k]
-            if tail:
-                b, t = stems[tail]
-                more += [flat[a : a + m], flat[b : b + t]]
-                a, m, end = end, m + t, end + m + t
-            at[i], n[i] = a, m
-        self.flat, self.at, self.n, self.memo.new = np.concatenate([flat, *more]), np.concatenate([self.at, at]), np.concatenate([self.n, n]), []
+        simple = np.array([SIMPLE.fullmatch(c) is not None for c in new]) if self.chunks else np.zeros(len(new), bool)
+        ids, n_simple = self._ids([c for c, s in zip(new, simple.tolist()) if s])
+        rest = [e.ids for e in self.tok.encode_batch_fast([c for c, s in zip(new, simple.tolist()) if not s], add_special_tokens=False)]
+        n_rest = np.fromiter(map(len, rest), np.int64, len(rest))
+        n, at = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        n[simple], n[~simple] = n_simple, n_rest
+        at[simple], at[~simple] = len(self.flat) + np.cumsum(n_simple) - n_simple, len(self.flat) + len(ids) + np.cumsum(n_rest) - n_rest
+        self.at, self.n, self.flat = np.concatenate([self.at, at]), np.concatenate([self.n, n]), np.concatenate([self.flat, ids, np.array([i for x in rest for i in x], np.uint32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.keep:
-            self._reset()
+            self._shrink(self.keep // 5)
         get, find, index, ends = self.memo.__getitem__, self.chunks.findall if self.chunks else None, [], []
         for t in texts:
             if t:
                 if find is None or ODD.search(t):
                     index.append(get(t))
                 else:
-                    index.extend(map(get, find(t)))
+                    index.extend(map(get, find(t.lower() if self.lower and not NOT_PLAIN.search(t) else t)))
             index.append(0)
             ends.append(len(index))
         self._learn()
