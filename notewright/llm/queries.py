@@ -66,5 +66,11 @@ def op3_brown(spark, sf_dir):
     return score(docs, docs.where(~held)).withColumn("held_out", held)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets, "op8_language": op8_language}
+def op10_decontaminate(spark, sf_dir):
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op7_secrets": op7_secrets, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
