@@ -80,14 +80,19 @@ class Bytes:
         return units[a:b]
 
 
-def runs(unit, h: np.ndarray, bounds: np.ndarray):
-    """For units with these bounds of documents: (document, anchor's hash, first and last window start, anchor's place), by document."""
+def runs(unit, h: np.ndarray, bounds: np.ndarray, most: int = 1 << 21):
+    """For units with these bounds of documents: (document, anchor's hash, first and last window start, anchor's place), by document.
+
+    `most` windows are looked at together; a run of windows across two such parts is told as two."""
+    parts = [_runs(unit, h[a : a + most + unit.window - 1], bounds, a) for a in range(0, max(1, len(h) - unit.window + 1), most)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _runs(unit, h: np.ndarray, bounds: np.ndarray, shift: int):
     w = unit.window - unit.k + 1
     none = (np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
     if len(h) < unit.window:
         return none
-    if len(h) > _PLACE:
-        raise ValueError("more units at once than a place can tell")
     g = unit.grams(h)
     low = (g & ~np.uint64(_PLACE)) | np.arange(len(g), dtype=np.uint64)
     n = 1
@@ -97,25 +102,15 @@ def runs(unit, h: np.ndarray, bounds: np.ndarray):
     if n < w:
         low = np.minimum(low[: len(low) - (w - n)], low[w - n :])
     place = (low & np.uint64(_PLACE)).astype(np.int64)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(place)]
-    start = np.flatnonzero(np.arange(len(place)) + unit.window <= bounds[doc + 1])
-    if not len(start):
+    at = np.arange(shift, shift + len(place))
+    doc = np.searchsorted(bounds, at, "right") - 1
+    ok = at + unit.window <= bounds[doc + 1]
+    p, d, at = place[ok], doc[ok], at[ok]
+    if not len(at):
         return none
-    p, d = place[start], doc[start]
     new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]))
-    last = np.concatenate([new[1:], [len(start)]]) - 1
-    return d[new], g[p[new]], start[new], start[last], p[new]
-
-
-def _slices(unit, texts: list):
-    for a, b in text_slices(texts, 4_000_000):
-        if sum(len(t or b"") for t in texts[a:b]) > _PLACE and unit is Bytes:  # one very long text: in overlapping parts
-            t = texts[a]
-            step = (1 << 23) - unit.window
-            for x in range(0, max(1, len(t) - unit.window + 1), step):
-                yield a, [t[x : x + step + unit.window - 1]], x
-        else:
-            yield a, texts[a:b], 0
+    last = np.concatenate([new[1:], [len(at)]]) - 1
+    return d[new], g[p[new]], at[new], at[last], p[new] + shift
 
 
 ANCHORS = "hash long, doc long, key long, kind int"
@@ -129,8 +124,8 @@ def _found(unit):
             doc, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             texts = as_bytes(batch.column(2))
             hs, rs = [], []
-            for a, some, _ in _slices(unit, texts):
-                h, bounds, _ = unit.units(some)
+            for a, b in text_slices(texts, 2_000_000):
+                h, bounds, _ = unit.units(texts[a:b])
                 d, g, *_ = runs(unit, h, bounds)
                 hs.append(g)
                 rs.append(d + a)
@@ -184,17 +179,17 @@ def _contexts(unit, keep_first: bool):
             texts = as_bytes(batch.column(2))
             rows: dict = {}
             done = []
-            for a, some, shift in _slices(unit, texts):
-                h, bounds, units = unit.units(some)
+            for a, b in text_slices(texts, 2_000_000):
+                h, bounds, units = unit.units(texts[a:b])
                 d, g, s1, s2, p = runs(unit, h, bounds)
                 g = g.view(np.int64)
-                for i in range(len(some)):
+                for i in range(b - a):
                     lo, hi = np.searchsorted(d, [i, i + 1])
                     mine = lo + np.flatnonzero(np.isin(g[lo:hi], np.array(shared[a + i], np.int64)))
                     for j in mine.tolist():
                         x, y = int(s1[j] - bounds[i]), int(s2[j] - bounds[i])
                         ctx = unit.context(units[i], x, y + unit.window)
-                        row = (int(g[j]), doc[a + i], key[a + i], x + shift, y - x + 1, int(p[j] - s1[j]), ctx)
+                        row = (int(g[j]), doc[a + i], key[a + i], x, y - x + 1, int(p[j] - s1[j]), ctx)
                         at = (row[0], ctx)
                         was = rows.get(at)
                         if was is None:

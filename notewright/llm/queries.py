@@ -79,5 +79,12 @@ def op6_automata(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
+def op9_suffixes(spark, sf_dir):
+    from .suffixes import deduplicate
+
+    out = deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
