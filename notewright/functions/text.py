@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .lexicon import ALIGNMENT_STOP_WORDS, EVENT_STOP_WORDS
 
@@ -117,7 +118,7 @@ def rouge_l(a: Column, b: Column) -> Column:
     return f1_of(lcs_length(a, b).cast("double"), F.size(a), F.size(b))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_length_long(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same for long lists, with one bit of an integer for each token of a."""
 
