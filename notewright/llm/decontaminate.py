@@ -23,12 +23,13 @@ def shingles(words: str, k: int, step: int = 1) -> Column:
 
 
 def _fingerprint(df: DataFrame, hashes: str, out: str) -> DataFrame:
-    """64 bits, each set if it is set in over half the hashes. Two counters of 32 bits are added at a time."""
+    """64 bits, each set if it is set in over half the hashes. Two counters of 32 bits are added at a time.
+
+    The counters are a lambda's variable, so they are worked out once and not for every bit."""
     low = (1 << 32) + 1
     sums = ", ".join(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {b}) & {low}L))" for b in range(32))
-    df = df.withColumn("sums__", F.expr(f"array({sums})"))
-    bits = f"aggregate(sequence(0, 31), 0L, (a, b) -> a | case when 2 * (sums__[b] & 4294967295L) > size({hashes}) then shiftleft(1L, b) else 0L end | case when 2 * shiftrightunsigned(sums__[b], 32) > size({hashes}) then shiftleft(1L, b + 32) else 0L end)"
-    return df.withColumn(out, F.expr(bits)).drop("sums__")
+    bits = f"aggregate(sequence(0, 31), 0L, (a, b) -> a | case when 2 * (s[b] & 4294967295L) > size({hashes}) then shiftleft(1L, b) else 0L end | case when 2 * shiftrightunsigned(s[b], 32) > size({hashes}) then shiftleft(1L, b + 32) else 0L end)"
+    return df.withColumn(out, F.expr(f"transform(array(array({sums})), s -> {bits})[0]"))
 
 
 def _blocks(df: DataFrame, fp: str, radius: int) -> DataFrame:
