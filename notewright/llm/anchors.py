@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,6 +213,18 @@ def _contexts(unit, keep_first: bool):
     return run
 
 
+def _marked(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column of lists of (start, marks): the row and the start of each window that is marked."""
+    per_row = np.nan_to_num(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = spans.flatten()
+    start, marks = flat.field(0).to_numpy(), flat.field(1)
+    size = pa.compute.binary_length(marks).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(marks.to_pylist()), np.uint8)
+    within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    hit = data == 49
+    return np.repeat(np.repeat(np.arange(len(per_row)), per_row), size)[hit], (np.repeat(start, size) + within)[hit]
+
+
 SPANS = "doc long, key long, start long, marks binary"
 
 
@@ -219,7 +232,7 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
     """Rows of `schema` for all rows of docs (doc_id, text): what is left of each text.
 
     judge: over contexts sorted by (hash, context, doc), gives rows of SPANS (a byte for each window: it repeats).
-    remove: (text, list of (start, marks), whole) to a row of the schema; whole: the class has an earlier copy, or
+    remove: (text, starts of the windows that go, whole) to a row of the schema; whole: the class has an earlier copy, or
     a copy at all unless keep_first.
     """
     spark = docs.sparkSession
@@ -253,7 +266,9 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
         for batch in batches:
             texts = as_bytes(batch.column(1))
             spans, whole = batch.column(2), batch.column(3).to_pylist()
-            got = [remove(t or b"", [(s["start"], s["marks"]) for s in x.as_py()] if x.is_valid else [], bool(w)) for t, x, w in zip(texts, spans, whole)]
+            docs, at = _marked(spans)
+            edges = np.searchsorted(docs, np.arange(len(texts) + 1))
+            got = [remove(t or b"", at[edges[i] : edges[i + 1]], bool(whole[i])) for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), empty))] if got else [batch.column(0), *(pa.array([], t) for t in empty)], names=["doc_id", *(f.split()[0] for f in schema.split(", "))])
 
     return joined.mapInArrow(last, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")

@@ -152,15 +152,13 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def _without(window: int):
-    def remove(text: bytes, spans: list, whole: bool) -> tuple:
+    def remove(text: bytes, at: np.ndarray, whole: bool) -> tuple:
         words = WORDS.findall(text)
         cover = np.zeros(len(words) + 1, np.int64)
         if whole and len(words) >= window:
             cover[0], cover[-1] = 1, -1
-        for start, marks in spans:
-            at = start + np.flatnonzero(np.frombuffer(marks, np.uint8) == 49)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + window, -1)
+        cover += np.bincount(at, minlength=len(cover))
+        cover -= np.bincount(at + window, minlength=len(cover))
         gone = np.cumsum(cover)[:-1] > 0
         kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if len(words) else b""
         return len(words), int(gone.sum()), kept

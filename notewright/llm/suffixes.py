@@ -199,16 +199,12 @@ def _judge(window: int, k: int, block: int = 6_000_000):
 
 
 def _without(window: int):
-    def remove(text: bytes, spans: list, whole: bool) -> tuple:
+    def remove(text: bytes, at: np.ndarray, whole: bool) -> tuple:
         if whole and len(text) >= window:
             return len(text), len(text), 1, b""
-        if not spans:
+        if not len(at):
             return len(text), 0, 0, text
-        cover = np.zeros(len(text) + 1, np.int64)
-        for start, marks in spans:
-            at = start + np.flatnonzero(np.frombuffer(marks, np.uint8) == 49)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + window, -1)
+        cover = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + window, minlength=len(text) + 1)
         gone = np.cumsum(cover)[:-1] > 0
         n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         return len(text), int(gone.sum()), n_spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
