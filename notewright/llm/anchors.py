@@ -57,6 +57,11 @@ class Words:
     def context(units: list, a: int, b: int) -> bytes:
         return b" ".join(units[a:b])
 
+    @classmethod
+    def windows(cls, context: bytes, n: int):
+        w = context.split(b" ")
+        return (b" ".join(w[j : j + cls.window]) for j in range(n))
+
 
 class Bytes:
     """Units are the bytes of a text."""
@@ -80,6 +85,11 @@ class Bytes:
     def context(units: bytes, a: int, b: int) -> bytes:
         return units[a:b]
 
+    @classmethod
+    def windows(cls, context: bytes, n: int):
+        """128-bit hashes of the windows stand for them."""
+        return (xxhash.xxh3_128_digest(context[j : j + cls.window]) for j in range(n))
+
 
 def runs(unit, h: np.ndarray, bounds: np.ndarray, most: int = 1 << 21):
     """For units with these bounds of documents: (document, anchor's hash, first and last window start, anchor's place), by document.
@@ -170,16 +180,42 @@ def _shared(batches):
 CONTEXT = "hash long, doc long, key long, start long, windows int, at int, context binary, n int"
 
 
+class _Combined:
+    """Rows of CONTEXT of one batch. Of equal contexts one stays (n: how many); the others are settled: hash null, all windows
+    repeat. keep_first: a row is settled only by one with a smaller id; else any equal one settles it."""
+
+    def __init__(self, keep_first: bool):
+        self.keep_first, self.rows, self.done = keep_first, {}, []
+
+    def add(self, row: tuple, n: int = 1) -> None:
+        at = (row[0], row[6])
+        was = self.rows.get(at)
+        if was is None:
+            self.rows[at] = [row, n]
+            return
+        was[1] += n
+        if row[1] < was[0][1]:
+            row, was[0] = was[0], row
+        if not self.keep_first or row[1] > was[0][1]:
+            self.done.append(row)
+        else:
+            self.rows[(at, len(self.rows))] = [row, n]
+
+    def batches(self, most: int = 50_000):
+        out = [(*r, n) for r, n in self.rows.values()] + [(None, *r[1:6], None, 1) for r in self.done]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        for b in range(0, len(out), most):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[b : b + most]), kinds)], names=["hash", "doc", "key", "start", "windows", "at", "context", "n"])
+
+
 def _contexts(unit, keep_first: bool):
-    """Rows of CONTEXT for a class's text and the hashes of its shared anchors. Of equal contexts in a batch one stays (n: how many);
-    the others are settled: hash null, all windows repeat. keep_first: the one with the smallest id is not settled by them."""
+    """Rows of CONTEXT for a class's text and the hashes of its shared anchors."""
 
     def run(batches):
         for batch in batches:
             doc, key, shared = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             texts = as_bytes(batch.column(2))
-            rows: dict = {}
-            done = []
+            found = _Combined(keep_first)
             for a, b in text_slices(texts, 2_000_000):
                 h, bounds, units = unit.units(texts[a:b])
                 d, g, s1, s2, p = runs(unit, h, bounds)
@@ -189,26 +225,27 @@ def _contexts(unit, keep_first: bool):
                     mine = lo + np.flatnonzero(np.isin(g[lo:hi], np.array(shared[a + i], np.int64)))
                     for j in mine.tolist():
                         x, y = int(s1[j] - bounds[i]), int(s2[j] - bounds[i])
-                        ctx = unit.context(units[i], x, y + unit.window)
-                        row = (int(g[j]), doc[a + i], key[a + i], x, y - x + 1, int(p[j] - s1[j]), ctx)
-                        at = (row[0], ctx)
-                        was = rows.get(at)
-                        if was is None:
-                            rows[at] = [row, 1]
-                        else:
-                            was[1] += 1
-                            if row[1] < was[0][1]:
-                                row, was[0] = was[0], row
-                            # the same document twice: settled only where repeats within a document count
-                            if not keep_first or row[1] > was[0][1]:
-                                done.append(row)
-                            else:
-                                rows[(at, len(rows))] = [row, 1]
-            out = [(*r, n) for r, n in rows.values()] + [(None, *r[1:6], None, 1) for r in done]
-            for b in range(0, len(out), 50_000):
-                cols = list(zip(*out[b : b + 50_000]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["hash", "doc", "key", "start", "windows", "at", "context", "n"])
+                        found.add((int(g[j]), doc[a + i], key[a + i], x, y - x + 1, int(p[j] - s1[j]), unit.context(units[i], x, y + unit.window)))
+            yield from found.batches()
+
+    return run
+
+
+#: An anchor of more contexts than this is dealt out anew, by its windows.
+HOT = 2_000
+
+
+def _refined(unit, keep_first: bool):
+    """Contexts of hot anchors as one row for each window, keyed by the whole window: equal windows alone still meet."""
+
+    def run(batches):
+        for batch in batches:
+            found = _Combined(keep_first)
+            cols = [c.to_pylist() for c in batch.columns]
+            for _, doc, key, start, windows, _, context, n in zip(*cols):
+                for j, w in enumerate(unit.windows(context, windows)):
+                    found.add((xxhash.xxh64_intdigest(w, 3) - (1 << 63), doc, key, start + j, 1, 0, w), n)
+            yield from found.batches()
 
     return run
 
@@ -249,9 +286,12 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
     contexts = cut(with_text.select("doc", "key", "text", "hashes").mapInArrow(_contexts(unit, keep_first), CONTEXT), "contexts")
     del here, with_text
     free_shuffles(spark)
-    open_ = contexts.where("hash is not null").repartition(n, "hash").sortWithinPartitions("hash", "context", "doc")
-    spans = open_.mapInArrow(judge, SPANS)
-    settled = contexts.where("hash is null").select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
+    open_ = contexts.where("hash is not null")
+    hot = open_.groupBy("hash").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("hash").alias("hot"))
+    refined = cut(open_.join(hot, F.col("hash") == F.col("hot"), "left_semi").mapInArrow(_refined(unit, keep_first), CONTEXT), "refined")
+    open_ = open_.join(hot, F.col("hash") == F.col("hot"), "left_anti").union(refined.where("hash is not null"))
+    spans = open_.repartition(n, "hash").sortWithinPartitions("hash", "context", "doc").mapInArrow(judge, SPANS)
+    settled = contexts.union(refined).where("hash is null").select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
     spans = cut(spans.union(settled).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "marks")).alias("spans")).select(F.col("doc").alias("sd"), F.col("key").alias("sk"), "spans"), "spans")
     free_shuffles(spark)
 
