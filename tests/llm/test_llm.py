@@ -213,7 +213,9 @@ def test_embeddings_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {x["n_links"] for x in got} == {49} and {x["component_id"] for x in got} == {0}
 
 
-def test_automata_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_automata_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
     texts = odd_texts()
     words = [WORDS.findall(t or "") for t in texts]
     first = {}
@@ -243,7 +245,9 @@ def test_automaton_shards_agree(monkeypatch):
         assert best == want
 
 
-def test_suffixes_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_suffixes_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
     texts = odd_texts()
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[s : s + 400] for b in data for s in range(len(b) - 399))
