@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import align, events, evidence, metrics, propositions, states, stress, turns
+from ..operators import align, bundles, events, evidence, metrics, propositions, states, stress, turns
 from . import fixtures as V
 from . import sql as S
 
@@ -388,6 +388,18 @@ def latest_status(spark, d):
     return states.latest_status(V.STATUSES.df(spark))
 
 
+@query()
+def bundle_pairs(spark, d):
+    return bundles.pairs(bundles.features(states.clusters(V.props(spark, d))))
+
+
+@query()
+def bundle_assignment(spark, d):
+    feats = bundles.features(states.clusters(V.props(spark, d)))
+    scored = bundles.pairs(feats)
+    return bundles.assignments(feats, scored, bundles.anchors(bundles.decisions(feats, scored), scored))
+
+
 # events
 
 
