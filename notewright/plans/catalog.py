@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import align, bundles, events, evidence, metrics, propositions, states, stress, turns
+from ..operators import align, bundles, events, evidence, metrics, notes, propositions, states, stress, turns
 from . import fixtures as V
 from . import sql as S
 
@@ -511,3 +511,35 @@ def id_semi_filter(spark, d):
 def method_grid(spark, d):
     t = spark.createDataFrame([("soap",), ("sectioned",)], "template string")
     return table(spark, d, "region").select("r_name").crossJoin(t).crossJoin(spark.createDataFrame([("direct",), ("event",)], "method string"))
+
+
+# notes and reports
+
+
+@query()
+def state_reports(spark, d):
+    return notes.state_report(states.clusters(V.props(spark, d)))
+
+
+@query("select conv_id, norm_dups > 0 as repeats from (select conv_id, count(*) filter (times >= 2) as norm_dups from (select conv_id, norm, count(*) as times from (select conv_id, " + S.norm("s") + " as norm from (select conv_id, unnest(string_split(regexp_replace(" + S.txt("text") + ", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from conversations)) where norm <> '' group by 1, 2) group by 1) where norm_dups > 0")
+def repeated_sentences(spark, d):
+    return notes.repeats(table(spark, d, "conversations"), ["conv_id"], "text", 2).withColumn("repeats", F.lit(True))
+
+
+@query()
+def template_notes(spark, d):
+    s = table(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "S").when(F.col("role") == "assistant", "P").otherwise("O").alias("section"), F.col("turn").alias("ord"), F.substring("text", 1, 60).alias("text"))
+    n = notes.template_note(s, ["conv_id"])
+    return n.select("conv_id", notes.clean_lines("note").alias("note"), notes.matches_template("note", "soap").alias("matches"))
+
+
+@query()
+def marked_turns(spark, d):
+    return notes.marked_turns(V.TURNS.df(spark), ["case_id"], "transcript")
+
+
+@query("""select user_id, cast(g as bigint) as "group", min(ts_s) as first_line, count(*) as n from (select *, sum(n) over (partition by user_id order by ts_s, event_id rows unbounded preceding) as g from (select *, case when ts_s - lag(ts_s) over w > 1800 or event_type <> lag(event_type) over w then 1 else 0 end as n from (select *, cast(floor(epoch_us(ts) / 1000000) as bigint) as ts_s from events) window w as (partition by user_id order by ts_s, event_id))) group by 1, 2""")
+def entity_groups(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("section"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("line"), F.format_string("%012d", "event_id").alias("entity"))
+    g = notes.line_groups(e, ["user_id"], 1800)
+    return g.select("user_id", "group", "first_line", F.size(F.split("entities", "; ")).cast("long").alias("n"))
