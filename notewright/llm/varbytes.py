@@ -64,7 +64,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, *, id_co
                 n = np.diff(ends)
                 # the high and the low bytes apart: both compress better
                 planes = [(ids >> s).astype(np.uint8).tobytes() for s in ((0, 8) if small else (0, 8, 16, 24))]
-                seen, times = np.unique(ids, return_counts=True)
+                times = np.bincount(ids)
+                seen = np.flatnonzero(times)
+                times = times[seen]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([[-(1 << 63) if x is None else x for x in doc_ids[a:b]]], pa.list_(pa.int64())), pa.array([n.astype(wide).tobytes()], pa.binary()),
                     pa.array([b"".join(planes)], pa.binary()), pa.array([len(planes)], pa.int32()), pa.array([seen.astype(wide).tobytes()], pa.binary()), pa.array([times.astype(wide).tobytes()], pa.binary()),
