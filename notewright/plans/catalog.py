@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import align, bundles, events, evidence, metrics, notes, propositions, states, stress, turns
+from ..operators import align, bundles, events, evidence, extraction, metrics, notes, propositions, states, stress, turns
 from . import fixtures as V
 from . import sql as S
 
@@ -543,3 +543,36 @@ def entity_groups(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("section"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("line"), F.format_string("%012d", "event_id").alias("entity"))
     g = notes.line_groups(e, ["user_id"], 1800)
     return g.select("user_id", "group", "first_line", F.size(F.split("entities", "; ")).cast("long").alias("n"))
+
+
+# extraction
+
+
+@query(f"select id, case {S.norm('kind')} " + " ".join(f"when {S.q(k)} then {S.q(v)}" for k, v in ({n.lower(): n for n in L.SEED_CATEGORIES} | L.SEED_ALIASES).items()) + f" else 'Finding' end as category, case when {S.norm('speaker')} in ('patient', 'pt') then 'patient' when {S.norm('speaker')} in ('clinician', 'doctor', 'provider', 'physician') then 'clinician' else 'unknown' end as speaker, coalesce({S.pick(S.norm('time'), L.SEED_TIMES)}, 'unknown') as temporality, case when {S.norm('raw')} in ('high', 'medium', 'low') then {S.norm('raw')} else 'medium' end as certainty from {V.LABELS.sql}")
+def seed_labels(spark, d):
+    return V.LABELS.df(spark).select("id", extraction.seed_category("kind").alias("category"), extraction.seed_speaker("speaker").alias("speaker"), extraction.seed_temporality("time").alias("temporality"), extraction.seed_certainty("raw").alias("certainty"))
+
+
+@query(f"select id, substr(regexp_replace(replace(replace(replace(replace({S.txt('raw')}, '–', '-'), '—', '-'), '~', '-'), ' to ', '-'), '[^0-9,\\-]', '', 'g'), 1, 64) as provenance from {V.SPANS.sql}")
+def seed_provenance(spark, d):
+    return V.SPANS.df(spark).select("id", extraction.provenance("raw").alias("provenance"))
+
+
+@query()
+def fact_lines(spark, d):
+    rows = [(1, "[Chief Complaint] [present] knee pain"), (2, "- [x] no fever"), (3, "Patient denies cough"), (4, "[pmh][unknown] asthma"), (5, "history of gout"), (6, "not sure about dose"), (7, None)]
+    return spark.createDataFrame(rows, "id long, raw string").select("id", extraction.fact_line("raw").alias("f")).select("id", "f.*")
+
+
+@query("select p.case_id, p.turns, coalesce(q.props, 0) as props, coalesce(q.high, 0) as high from (select conv_id as case_id, count(*) as turns from conversations group by 1) p left join (select o_custkey as case_id, count(*) as props, count(*) filter (o_orderkey % 2 = 0) as high from orders group by 1) q using (case_id) where coalesce(props, 0) = 0 or (turns > 20 and props < 8) or (turns > 12 and coalesce(high, 0) = 0)")
+def rescue_cases(spark, d):
+    t = table(spark, d, "conversations").withColumnRenamed("conv_id", "case_id")
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "Problem").otherwise("Other").alias("prop_type"))
+    return extraction.rescue(p, t)
+
+
+@query()
+def doubtful_output(spark, d):
+    t = turns.turns(V.TURNS.df(spark), ["case_id"], "transcript")
+    p = V.FLAT.df(spark)
+    return extraction.doubtful(p, extraction.turn_signal(t, ["case_id"]), ["case_id"])
