@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, as_bytes, cut, partitions
+from .common import LOWER, WORDS, as_bytes, cut, free_shuffles, partitions
 from .graph import components
 
 #: Buckets of more fingerprints are linked through balls() instead of pair by pair.
@@ -194,7 +194,7 @@ def _wide(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(some)).view(">i8").astype(np.int64)
 
 
-def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, row_col: str | None = None) -> DataFrame:
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
     """(row, doc_id, md5, fps, shingles): the sorted 32-bit hashes of the different shingles as bytes."""
     import hashlib
 
@@ -207,7 +207,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, row_c
                 sh.append(np.unique(shingle_hashes(t, words) >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(md5, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sh, pa.binary())], names=["row", "doc_id", "md5", "fps", "shingles"])
 
-    keyed = docs.select((docs[row_col] if row_col else F.monotonically_increasing_id()).alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return keyed.mapInArrow(run, "row long, doc_id long, md5 binary, fps array<long>, shingles binary")
 
 
@@ -281,8 +281,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(a, pairs["u"] == a["an"]).join(b, F.col("v") == b["bn"]).select("u", "v", "as", "bs").mapInArrow(run, "u long, v long")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, group, kept): near-duplicate groups by verified links; kept marks the smallest id of each.
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, doc_id, md5, group, kept): near-duplicate groups by verified links; kept marks the smallest id of each.
 
     Candidates share a one-wildcard variant of one of eight 32-bit segments of a SimHash fingerprint of the
     document's different longer words (a replaced word changes one such feature and five shingles of five
@@ -292,7 +292,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     text; texts without words form one group; the smallest id is kept, null ids last, and of repeated rows the first.
     """
     spark = docs.sparkSession
-    sig = cut(signatures(docs, id_col=id_col, text_col=text_col, words=words, row_col=row_col), "signatures")
+    sig = cut(signatures(docs, id_col=id_col, text_col=text_col, words=words), "signatures")
     nodes = cut(sig.groupBy("md5").agg(F.min("row").alias("node"), F.min_by("fps", "row").alias("fps")), "nodes")
     of_row = sig.select("row", "shingles")
     texts = nodes.select("node").join(of_row, F.col("node") == F.col("row")).select("node", "shingles")
@@ -301,6 +301,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     part = "shiftrightunsigned(fps[cast(b div 64 as int)], cast(b div 32 as int) % 2 * 32) & 4294967295L"
     rows = bits.select(F.expr(f"({part} & ~shiftleft(1L, b % 32)) * {64 * WIDE} + b").alias("key"), F.expr(f"node * 2 + (shiftrightunsigned({part}, b % 32) & 1L)").alias("nb"))
     met = cut(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "nb").mapInArrow(_met(BUCKET), "u long, v long"), "met")
+    del bits, rows
+    free_shuffles(spark)
     fps = nodes.select("node", "fps")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -330,14 +332,18 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     links = cut(links.union(_verified(near(cross), texts, similarity)), "links")
     roots = components(links)
     named = nodes.select("md5", "node").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(F.col("md5").alias("m"), F.coalesce("root", "node").alias("group"))
-    every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "group")
+    every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "md5", "group")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = every.groupBy(F.col("group").alias("g")).agg(F.min_by("row", order).alias("first"))
-    return every.join(first, every["group"] == first["g"]).select("row", "doc_id", "group", (F.col("row") == F.col("first")).alias("kept"))
+    return every.join(first, every["group"] == first["g"]).select("row", "doc_id", "md5", "group", (F.col("row") == F.col("first")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that groups() keeps, with the columns of docs alone."""
-    numbered = cut(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered")
-    found = groups(numbered, id_col=id_col, text_col=text_col, words=words, similarity=similarity, row_col="row__").where("kept").select(F.col("row").alias("kept_row__"))
-    return numbered.join(found, numbered["row__"] == found["kept_row__"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that groups() keeps, with the columns of docs alone; of equal rows one."""
+    found = cut(groups(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).select("doc_id", "md5", "kept"), "groups")
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id__"), F.col("md5").alias("kept_md5__"))
+    named = docs.withColumns({"id__": docs[id_col].cast("long"), "md5__": F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))})
+    out = named.join(kept, named["md5__"].eqNullSafe(kept["kept_md5__"]) & named["id__"].eqNullSafe(kept["kept_id__"]), "left_semi")
+    if not found.groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
+        out = out.dropDuplicates(["id__", "md5__"])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
