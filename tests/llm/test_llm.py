@@ -89,7 +89,7 @@ def test_near_duplicate_groups(spark):
     kept = {r["doc_id"] for r in found if r["kept"]}
     same = lambda i, j: (texts[i] or "") == (texts[j] or "") or jaccard5(texts[i], texts[j]) >= 0.8
     assert kept == set(roots(len(texts), same))
-    out = simhash.deduplicate(frame(spark, texts, more=True))
+    out = simhash.deduplicate(frame(spark, texts, more=True).union(frame(spark, texts, more=True)))
     assert out.columns == frame(spark, texts, more=True).columns and out.count() == len(kept)
 
 
