@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_bytes, cut, free_shuffles, partitions, text_slices
+from .common import WORDS, as_bytes, cut, drop_table, free_shuffles, partitions, text_slices, write_table
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -277,22 +277,31 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     classes = cut(rows.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "classes")
 
-    anchors = cut(rows.select("doc", "key", "text").mapInArrow(_found(unit), ANCHORS), "anchors")
+    held = [write_table(rows.select("doc", "key", "text").mapInArrow(_found(unit), ANCHORS), "anchors")]
+    anchors = spark.read.schema(ANCHORS).parquet(held[0])
     here = anchors.where("kind <> 1").repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(_shared, "doc long, key long, hash long")
     lists = here.union(anchors.where("kind = 1").select("doc", "key", "hash")).groupBy("doc", "key").agg(F.collect_set("hash").alias("hashes"))
     lists = lists.join(classes.select(F.col("key").alias("ck"), "first"), (F.col("key") == F.col("ck")) & (F.col("doc") == F.col("first")), "left_semi")
     lists = cut(lists.select(F.col("doc").alias("ld"), F.col("key").alias("lk"), "hashes"), "lists")
+    del here
+    drop_table(spark, held.pop())  # the lists are written: nothing reads it again
+    free_shuffles(spark)
     with_text = rows.join(lists, (rows["doc"] == lists["ld"]) & (rows["key"] == lists["lk"]))
-    contexts = cut(with_text.select("doc", "key", "text", "hashes").mapInArrow(_contexts(unit, keep_first), CONTEXT), "contexts")
-    del here, with_text
+    held.append(write_table(with_text.select("doc", "key", "text", "hashes").mapInArrow(_contexts(unit, keep_first), CONTEXT), "contexts"))
+    contexts = spark.read.schema(CONTEXT).parquet(held[-1])
+    del with_text
     free_shuffles(spark)
     open_ = contexts.where("hash is not null")
     hot = open_.groupBy("hash").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("hash").alias("hot"))
-    refined = cut(open_.join(hot, F.col("hash") == F.col("hot"), "left_semi").mapInArrow(_refined(unit, keep_first), CONTEXT), "refined")
+    held.append(write_table(open_.join(hot, F.col("hash") == F.col("hot"), "left_semi").mapInArrow(_refined(unit, keep_first), CONTEXT), "refined"))
+    refined = spark.read.schema(CONTEXT).parquet(held[-1])
     open_ = open_.join(hot, F.col("hash") == F.col("hot"), "left_anti").union(refined.where("hash is not null"))
     spans = open_.repartition(n, "hash").sortWithinPartitions("hash", "context", "doc").mapInArrow(judge, SPANS)
     settled = contexts.union(refined).where("hash is null").select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
     spans = cut(spans.union(settled).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "marks")).alias("spans")).select(F.col("doc").alias("sd"), F.col("key").alias("sk"), "spans"), "spans")
+    del open_, settled
+    for path in held:
+        drop_table(spark, path)
     free_shuffles(spark)
 
     few = classes.where("copies > 1").select(F.col("key").alias("ck"), "first")
