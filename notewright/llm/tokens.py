@@ -127,7 +127,13 @@ class Encoder:
         return ids, np.concatenate([[0], after[np.array(ends, np.int64) - 1]]) if ends else np.zeros(1, np.int64)
 
 
+#: Encoders of this process: the next task of a worker goes on with what the last one learned.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
 def encoder(tokenizer: str, end_id: int) -> Encoder:
-    """For a known file its chunks; any other file encodes each text whole."""
-    chunks, lower = CHUNKS.get(os.path.basename(tokenizer), (None, False))
-    return Encoder(tokenizer, chunks, end_id, lower)
+    """For a known file its chunks; any other file encodes each text whole. One for each process."""
+    if (tokenizer, end_id) not in _ENCODERS:
+        chunks, lower = CHUNKS.get(os.path.basename(tokenizer), (None, False))
+        _ENCODERS[tokenizer, end_id] = Encoder(tokenizer, chunks, end_id, lower)
+    return _ENCODERS[tokenizer, end_id]
