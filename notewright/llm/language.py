@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import free_memory, text_slices
 
 #: What the network reads at a time: a word with the byte after it; longer ones in parts of so many bytes.
 WIDTH = 24
@@ -192,6 +192,8 @@ def predict(docs: DataFrame, model: ByteGRU | None, *, text_col: str = "text", l
                             best = int(total[:L].argmax())
                             label[a + i], score[a + i] = model.languages[best], float(min(1, total[L + best] / total[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, label_out, score_out])
+        memo, known = {}, known[:0]
+        free_memory()
 
     return base.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, as_bytes, cut, free_shuffles, partitions
+from .common import LOWER, WORDS, as_bytes, batches_of, cut, free_memory, free_shuffles, partitions
 from .graph import components
 
 #: Buckets of more fingerprints are linked through balls() instead of pair by pair.
@@ -177,87 +177,169 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(of, found["fp"] == of["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: deduplicate(): so many 64-bit words in a fingerprint; each has two segments of 32 bits.
-WIDE = 4
-#: Pairs that differ in more of the 256 bits are not read again: 0.1875 of the bits, twice what similarity 0.8 of five-word shingles makes on average.
-WIDE_RADIUS = 48
+#: groups(): shingles of about so many documents are counted to tell the frequent ones ...
+SAMPLE = 20_000
+#: ... of which at most so many are known by name; a choice of order alone, which changes no result.
+FREQUENT = 200_000
+#: Buckets of more texts are dealt to pairs of blocks of about so many.
+BLOCK = 4096
+#: Rows with texts or whole sets of shingles that a worker gets at once.
+WIDE_ROWS = 1000
 
 
-def _wide(words: list[bytes]) -> np.ndarray:
-    """WIDE words of fingerprint over the different words of five bytes or more (all words if there are few)."""
-    some = {w for w in words if len(w) > 4}
-    some = some if len(some) > 7 else set(words)
-    if not some:
-        return np.zeros(WIDE, np.int64)
-    h = xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join(h(w, k) for w in some for k in range(WIDE)), np.uint8).reshape(len(some), -1), axis=1)
-    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(some)).view(">i8").astype(np.int64)
+def frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, sorted, and the rank of each by frequency, out of a sample of the different texts."""
 
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["h"])
+        free_memory()
+
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.select(docs[text_col].alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        top = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h = top.column("h").to_numpy().view(np.uint64)[::-1]
+    order = np.argsort(h)
+    return h[order], order
+
+
+def prefix(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the different sorted hashes h, frequent ones last: sets of this Jaccard similarity share one of them."""
+    least = int(np.ceil(similarity * len(h) - 1e-9))  # so many of h the other set has too
+    names, ranks = known
+    if len(names):
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        hot = names[at] == h
+        h = np.concatenate([h[~hot], h[hot][np.argsort(ranks[at[hot]])]])
+    return h[: len(h) - least + 1] if len(h) else h
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of the hashes falls on each. Sets differ in as many elements at least as these in bits."""
+    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).view("<i8")
 
-def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(row, doc_id, md5, fps, shingles): the sorted 32-bit hashes of the different shingles as bytes."""
+
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(row, doc_id, md5, size, shingles, prefix, odd): number and sorted 32-bit hashes of the different shingles, prefix() in full, parities()."""
     import hashlib
 
+    known = frequent(docs, text_col, words)
+
     def run(batches):
         for batch in batches:
-            md5, fps, sh = [], [], []
+            md5, size, sh, pre, odd = [], [], [], [], []
             for t in as_bytes(batch.column(2)):
                 md5.append(hashlib.md5(t or b"").digest())
-                fps.append(_wide(WORDS.findall((t or b"").translate(LOWER))).tolist())
-                sh.append(np.unique(shingle_hashes(t, words) >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(md5, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sh, pa.binary())], names=["row", "doc_id", "md5", "fps", "shingles"])
+                h = np.unique(shingle_hashes(t, words))
+                size.append(len(h))
+                sh.append(np.unique(h >> np.uint64(32)).astype("<u4").tobytes())
+                pre.append(prefix(h, known, similarity).tobytes())
+                odd.append(parities(h).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(md5, pa.binary()), pa.array(size, pa.int32()), pa.array(sh, pa.binary()), pa.array(pre, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["row", "doc_id", "md5", "size", "shingles", "prefix", "odd"])
+        free_memory()
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return keyed.mapInArrow(run, "row long, doc_id long, md5 binary, fps array<long>, shingles binary")
+    return keyed.mapInArrow(run, "row long, doc_id long, md5 binary, size int, shingles binary, prefix binary, odd array<long>")
+
+
+def _keys(batches):
+    """A row (key, node, size, place) for each hash of a node's prefix."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, WIDE_ROWS):
+            batch = whole.slice(at, WIDE_ROWS)
+            node, size, pre = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            n = np.array([len(p) // 8 for p in pre], np.int64)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(pre), np.int64), np.repeat(node, n), np.repeat(size, n).astype(np.int32), place.astype(np.int32))], names=["key", "node", "size", "place"])
+    free_memory()
+
+
+def _reach(similarity: float, na, ia, nb, ib) -> np.ndarray:
+    """Whether sets of na and nb elements whose first common one has the places ia and ib can be so similar."""
+    return np.minimum(na - ia, nb - ib) >= similarity / (1 + similarity) * (na + nb) - 1e-9
 
 
-def _met(bucket: int):
-    """Over rows sorted by (key, node and bit): pairs that meet, and (key, -1 - node) for the rows of large buckets.
+def _shared(similarity: float):
+    """Over rows sorted by (key, node): those whose key has several, and lead, the key's first node, or -1 if the two can't be similar here."""
 
-    Two nodes of a bucket agree on the segment but for the wildcard; those that agree on all of it are told at
-    its first position alone.
+    def run(batches):
+        held, first = np.empty((4, 0), np.int64), None  # the last row, and the first of its key if that is out already
+
+        def out(rows, lead):
+            a = (similarity, rows[2], rows[3], lead[2], lead[3])
+            ok = (rows[1] != lead[1]) & _reach(*a)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32)), pa.array(np.where(ok, lead[1], -1))], names=["key", "node", "size", "place", "lead"])
+
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            n = rows.shape[1]
+            if not n:
+                continue
+            again = np.concatenate([[False], rows[0, 1:] == rows[0, :-1]])
+            start = np.maximum.accumulate(np.where(again, 0, np.arange(n)))
+            lead = rows[:, start]
+            if first is not None:
+                lead[:, start == 0] = first[:, None]
+                again[0] = True
+            keep = np.flatnonzero((again | np.concatenate([again[1:], [False]]))[:-1])
+            yield out(rows[:, keep], lead[:, keep])
+            held, first = rows[:, -1:], lead[:, -1] if again[-1] else None
+        if first is not None:
+            yield out(held, first[:, None])
+
+    return run
+
+
+def _across(similarity: float, most: int = 500_000):
+    """Over rows sorted by (key, lo, hi, size): pairs of different groups that can reach the similarity.
+
+    Lossless: similar sets pass by size, by the places of their first common shingle, and by parities.
     """
 
     def run(batches):
-        left = np.empty((2, 0), np.int64)
-        big = None  # the key of a large bucket whose first rows are out
+        held = None
 
         def out(us, vs):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (us, vs)], names=["u", "v"])
-
-        def judge(k, nb):
-            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-            sizes = np.diff(np.concatenate([starts, [len(k)]]))
-            hot = np.repeat(sizes > bucket, sizes)
-            us, vs = [k[hot]], [-1 - (nb[hot] >> 1)]
-            k, nb = k[~hot], nb[~hot]
-            for d in range(1, bucket):
-                i = np.flatnonzero(k[d:] == k[:-d])
-                if not len(i):
-                    break
-                a, b = nb[i], nb[i + d]
-                ok = ((a ^ b) & 1 == 1) | (k[i] & 31 == 0)
-                us.append(np.minimum(a, b)[ok] >> 1)
-                vs.append(np.maximum(a, b)[ok] >> 1)
-            return out(us, vs)
+            pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
+
+        def judge(r):
+            key, lo, hi, block, node, root, size, place = r[:8]
+            odd = r[8:].view(np.uint64)
+            us, vs, n, live, d = [], [], 0, np.arange(len(key)), 0
+            while len(live):
+                d += 1
+                live = live[live + d < len(key)]
+                a, b = live, live + d
+                same = (key[a] == key[b]) & (lo[a] == lo[b]) & (hi[a] == hi[b]) & (size[a] >= similarity * size[b] - 1e-9)
+                live = live[same]
+                a, b = live, live + d
+                ok = (root[a] != root[b]) & ((lo[a] == hi[a]) | (block[a] != block[b])) & _reach(similarity, size[a], place[a], size[b], place[b])
+                a, b = a[ok], b[ok]
+                ok = np.bitwise_count(odd[:, a] ^ odd[:, b]).sum(0, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-9
+                a, b = node[a[ok]], node[b[ok]]
+                us.append(np.minimum(a, b))
+                vs.append(np.maximum(a, b))
+                n += len(a)
+                if n > most:
+                    yield out(us, vs)
+                    us, vs, n = [], [], 0
+            yield out(us, vs)
 
         for batch in batches:
-            if not batch.num_rows:
+            r = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            r = r if held is None else np.concatenate([held, r], axis=1)
+            if not r.shape[1]:
                 continue
-            k, nb = (np.concatenate([x, c.to_numpy()]) for x, c in zip(left, batch.columns))
-            if big is not None:
-                end = int(np.searchsorted(k, big, "right"))
-                yield out([k[:end]], [-1 - (nb[:end] >> 1)])
-                k, nb, big = k[end:], nb[end:], big if end == len(k) else None
-            cut_at = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            yield judge(k[:cut_at], nb[:cut_at])
-            k, nb = k[cut_at:], nb[cut_at:]
-            if len(k) > bucket:
-                yield out([k], [-1 - (nb >> 1)])
-                big, k, nb = int(k[0]), k[:0], nb[:0]
-            left = np.stack([k, nb])
-        if left.shape[1]:
-            yield judge(*left)
+            new = np.flatnonzero((r[:3, 1:] != r[:3, :-1]).any(0))
+            end = int(new[-1]) + 1 if len(new) else 0
+            if end:
+                yield from judge(r[:, :end])
+            held = r[:, end:]
+        if held is not None and held.shape[1]:
+            yield from judge(held)
 
     return run
 
@@ -276,6 +358,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) and bool(both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+        free_memory()
 
     a, b = (texts.select(F.col("node").alias(f"{x}n"), F.col("shingles").alias(f"{x}s")) for x in "ab")
     return pairs.join(a, pairs["u"] == a["an"]).join(b, F.col("v") == b["bn"]).select("u", "v", "as", "bs").mapInArrow(run, "u long, v long")
@@ -284,52 +367,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, doc_id, md5, group, kept): near-duplicate groups by verified links; kept marks the smallest id of each.
 
-    Candidates share a one-wildcard variant of one of eight 32-bit segments of a SimHash fingerprint of the
-    document's different longer words (a replaced word changes one such feature and five shingles of five
-    words, so near copies lie closer there), and are verified by the Jaccard similarity of their shingle sets.
-    Only links between different groups are looked at again: first each text with the smallest it met, then
-    the pairs whose groups still differ, then those of large buckets. Copies are one node. Null is the empty
-    text; texts without words form one group; the smallest id is kept, null ids last, and of repeated rows the first.
+    The groups are those of all pairs whose sets of shingles have the Jaccard similarity. Candidates share a
+    shingle of their prefixes (the first fifth of a set at similarity 0.8, in one order for all texts), which every
+    such pair does, and are verified. Each text is looked at first with the first ones of its buckets; then all
+    pairs of each bucket whose groups still differ. Copies are one node. Null is the empty text; texts without
+    words are grouped as copies alone; the smallest id is kept, null ids last, and of repeated rows the first.
     """
     spark = docs.sparkSession
-    sig = cut(signatures(docs, id_col=id_col, text_col=text_col, words=words), "signatures")
-    nodes = cut(sig.groupBy("md5").agg(F.min("row").alias("node"), F.min_by("fps", "row").alias("fps")), "nodes")
-    of_row = sig.select("row", "shingles")
-    texts = nodes.select("node").join(of_row, F.col("node") == F.col("row")).select("node", "shingles")
-
-    bits = nodes.select("node", "fps", F.explode(F.sequence(F.lit(0), F.lit(64 * WIDE - 1))).alias("b"))
-    part = "shiftrightunsigned(fps[cast(b div 64 as int)], cast(b div 32 as int) % 2 * 32) & 4294967295L"
-    rows = bits.select(F.expr(f"({part} & ~shiftleft(1L, b % 32)) * {64 * WIDE} + b").alias("key"), F.expr(f"node * 2 + (shiftrightunsigned({part}, b % 32) & 1L)").alias("nb"))
-    met = cut(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "nb").mapInArrow(_met(BUCKET), "u long, v long"), "met")
-    del bits, rows
+    found = signatures(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    with batches_of(spark, WIDE_ROWS):
+        sig = cut(found, "signatures")
+    nodes = cut(sig.groupBy("md5").agg(F.min("row").alias("node")), "nodes")
+    of_node = nodes.select("node").join(sig.drop("md5", "doc_id"), F.col("node") == F.col("row"))
+    texts = of_node.select("node", "shingles")
+
+    rows = of_node.select("node", "size", "prefix").mapInArrow(_keys, "key long, node long, size int, place int")
+    met = cut(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared(similarity), "key long, node long, size int, place int, lead long"), "met")
+    del rows
     free_shuffles(spark)
-    fps = nodes.select("node", "fps")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        a, b = (fps.select(F.col("node").alias(f"{x}n"), F.col("fps").alias(f"{x}f")) for x in "ab")
-        both = pairs.join(a, pairs["u"] == a["an"]).join(b, F.col("v") == b["bn"])
-        apart = F.expr("aggregate(zip_with(af, bf, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
-        return both.where(apart <= WIDE_RADIUS).select("u", "v")
-
-    hot = met.where("v < 0").select(F.col("u").alias("key"), (-1 - F.col("v")).alias("node"))
-    leaders = hot.groupBy("key").agg(F.min("node").alias("lead"))
-    led = hot.join(leaders, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
-    candidates = cut(near(met.where("v >= 0 and u <> v").select("u", "v").union(led).distinct()), "candidates")
-    links = cut(_verified(candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, similarity), "links")
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         a, b = (roots.select(F.col("node").alias(f"{x}n"), F.col("root").alias(f"{x}r")) for x in "ab")
         named = pairs.join(a, pairs["u"] == a["an"], "left").join(b, F.col("v") == b["bn"], "left")
         return named.where(F.coalesce("ar", "u") != F.coalesce("br", "v")).select("u", "v")
 
-    links = cut(links.union(_verified(apart(candidates, components(links)), texts, similarity)), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        with batches_of(spark, WIDE_ROWS):
+            out = cut(_verified(pairs, texts, similarity), "verified")
+        free_shuffles(spark)
+        return out
+
+    led = cut(met.where("lead >= 0").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "led")
+    links = verified(led.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    links = links.union(verified(apart(led, components(links))))
     roots = cut(components(links), "roots")
-    # large buckets: only members outside the bucket's main group can bring a new link
-    named = hot.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("mk")).agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    outside = named.join(main, named["key"] == main["mk"]).where("root <> main").select(F.col("key").alias("ok"), F.col("node").alias("on"), F.col("root").alias("orr"))
-    cross = outside.join(named, outside["ok"] == named["key"]).where("orr <> root").select(F.least("on", "node").alias("u"), F.greatest("on", "node").alias("v")).distinct()
-    links = cut(links.union(_verified(near(cross), texts, similarity)), "links")
+    # every bucket that still holds several groups, a large one in pairs of blocks
+    named = cut(met.drop("lead").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")), "named")
+    mixed = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("mk", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    dealt = named.join(mixed, named["key"] == mixed["mk"]).withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    odd = of_node.select(F.col("node").alias("o"), "odd")
+    ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", *(F.col("odd")[k].alias(f"odd{k}") for k in range(4)))
+    across = cut(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
+    links = links.union(verified(across))
     roots = components(links)
     named = nodes.select("md5", "node").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(F.col("md5").alias("m"), F.coalesce("root", "node").alias("group"))
     every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "md5", "group")

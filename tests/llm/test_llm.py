@@ -93,6 +93,34 @@ def test_near_duplicate_groups(spark):
     assert out.columns == frame(spark, texts, more=True).columns and out.count() == len(kept)
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_duplicates_cut_and_extended(spark, monkeypatch, block):
+    """Copies with words cut or appended, and many texts on one template, some below the similarity."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts, template = [], prose(900, 120).split()
+    for k in range(40):
+        w = prose(300 + k, (20, 60, 200, 600)[k % 4]).split()
+        far = (10, 18, 22, 30)[k // 4 % 4] * len(w) // 100
+        texts += [" ".join(w), " ".join(w[: len(w) - far]), " ".join(w + prose(400 + k, far).split())]
+    texts += [" ".join(template + prose(500 + k, 5 + k).split()) for k in range(40)]
+    random.Random(7).shuffle(texts)
+    s, want = [jaccard_set(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for i, j in itertools.combinations(want, 2) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    for i, j in pairs * 20:
+        want[i] = want[j] = min(want[i], want[j])
+    found = simhash.groups(frame(spark, texts)).collect()
+    assert len(set(want)) < 110 and {r["doc_id"] for r in found if r["kept"]} == set(want)
+    by = collections.defaultdict(set)
+    for r in found:
+        by[r["group"]].add(r["doc_id"])
+    assert sorted(map(min, by.values())) == sorted(set(want)) and all(len({want[i] for i in g}) == 1 for g in by.values())
+
+
+def jaccard_set(t):
+    w = WORDS.findall(t.lower())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
