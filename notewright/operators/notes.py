@@ -27,8 +27,9 @@ def line_style(c: Column) -> Column:
 def clean_lines(c) -> Column:
     """Lines of a note in style, blank ones and repeats (by normalised text) left out."""
     lines = F.filter(F.transform(F.split(without_fence(c), "\n"), line_style), lambda x: x != "")
-    first = F.aggregate(lines, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: normalize(y) == normalize(x)), acc).otherwise(F.array_append(acc, x)))
-    return F.array_join(first, "\n")
+    both = F.array(F.struct(lines.alias("lines"), F.transform(lines, normalize).alias("norms")))  # each worked out once
+    first = F.transform(both, lambda z: F.filter(z["lines"], lambda x, i: F.array_position(z["norms"], F.get(z["norms"], i)) == i + 1))
+    return F.array_join(F.flatten(first), "\n")
 
 
 def matches_template(c, template: str) -> Column:

@@ -528,7 +528,7 @@ def repeated_sentences(spark, d):
 
 @query()
 def template_notes(spark, d):
-    s = table(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "S").when(F.col("role") == "assistant", "P").otherwise("O").alias("section"), F.col("turn").alias("ord"), F.substring("text", 1, 60).alias("text"))
+    s = table(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "S").when(F.col("role") == "assistant", "P").otherwise("O").alias("section"), F.col("turn").alias("ord"), "text")
     n = notes.template_note(s, ["conv_id"])
     return n.select("conv_id", notes.clean_lines("note").alias("note"), notes.matches_template("note", "soap").alias("matches"))
 

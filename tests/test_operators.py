@@ -3,12 +3,14 @@
 import itertools
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from notewright.functions import text as T
 from notewright.operators import align, backend, propositions, states, turns
 from notewright.plans import fixtures as V
+from notewright.plans.catalog import QUERIES
 from notewright.sources import readers, writers
 
 
@@ -127,3 +129,27 @@ def test_state_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select final_verification, final_status from states").collect()] == [("confirmed", "worsening")]
+
+
+def _clean(note):
+    out, seen = [], set()
+    for line in re.sub(r"^```[A-Za-z]*\s*\n?|\n?\s*```$", "", note.strip()).split("\n"):
+        t = re.sub(r"(?i)^(and|but|so|then)\s+", "", re.sub(r"^[\s,;:.\-]+", "", line.strip(" ")))
+        key = " ".join(re.findall("[a-z0-9]+", t.lower()))
+        if t and key not in seen:
+            seen.add(key)
+            out.append(t[0].upper() + t[1:])
+    return "\n".join(out)
+
+
+def test_template_notes_hold_whole_turns(spark, tmp_path):
+    long = "word " * 30
+    rows = [(1, 0, "user", long + "ends\nand then a second line\nS:\nsecond line"), (1, 1, "assistant", "short"), (1, 2, "user", long + "ends"), (2, 0, "system", long + "\nP:\n- " + long + "last"), (2, 1, "assistant", "x" * 61 + "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for conv in (1, 2):
+        lines = {h: [f"- {t}" for c, _, r, t in rows if c == conv and {"user": "S", "assistant": "P"}.get(r, "O") == h] or ["- None"] for h in "SOAP"}
+        note = "\n".join(h + ":\n" + "\n".join(lines[h]) for h in "SOAP")
+        want[conv] = (_clean(note), all(re.search(rf"(?m)^\s*{h}:\s*$", note) is not None for h in "SOAP"))
+    got = {r["conv_id"]: (r["note"], r["matches"]) for r in QUERIES["template_notes"](spark, str(tmp_path)).collect()}
+    assert got == want
