@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from notewright.functions import text as T
-from notewright.operators import align, backend, propositions, states, turns
+from notewright.operators import align, backend, bundles, propositions, states, turns
 from notewright.plans import fixtures as V
 from notewright.plans.catalog import QUERIES
 from notewright.sources import readers, writers
@@ -153,3 +153,22 @@ def test_template_notes_hold_whole_turns(spark, tmp_path):
         want[conv] = (_clean(note), all(re.search(rf"(?m)^\s*{h}:\s*$", note) is not None for h in "SOAP"))
     got = {r["conv_id"]: (r["note"], r["matches"]) for r in QUERIES["template_notes"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_cases_without_an_anchor_have_their_first_clusters(spark):
+    cols = "case_id long, cluster_id string, cluster_type string, cluster_concept string, summary string, primary_type string, final_verification string, final_status string, sources string, salience int, members long, first_turn int, last_turn int"
+    row = lambda case, k, kind, concept, primary, salience, members, turn=1, summary=None: (case, f"CL{k}", kind, concept, summary or concept, primary, "confirmed", "active", "patient", salience, members, turn, turn)
+    rows = [
+        row(1, 1, "MedicationState", "lisinopril", "MedicationStatement", 3, 9, 50), row(1, 2, "TestResult", "potassium level", "TestResult", 5, 1, 20), row(1, 10, "Plan", "walking program", "Order", 7, 1, 90),
+        row(1, 3, "MedicationState", "metformin", "MedicationStatement", 7, 1), row(1, 9, "MedicationState", "metformin", "MedicationStatement", 3, 1, 1, "metformin daily"),
+        row(2, 2, "Plan", "beta", "Order", 7, 1), row(2, 10, "Plan", "gamma", "Order", 7, 1), row(2, 1, "Plan", " ", "Order", 7, 2),  # a blank concept takes a place
+        row(2, 11, "Plan", "delta", "Order", 7, 1), row(3, 1, "ProblemState", "asthma", "Diagnosis", 9, 1),
+    ]
+    feats = bundles.features(spark.createDataFrame(rows, cols))
+    scored = bundles.pairs(feats)
+    chosen = bundles.anchors(bundles.decisions(feats, scored), scored)
+    assert [tuple(r) for r in chosen.collect()] == [(3, "CL1")]
+    got = bundles.assignments(feats, scored, chosen).collect()
+    assert {(r["case_id"], r["cluster_id"]) for r in got if r["relation"] == "anchor"} == {(1, "CL10"), (1, "CL2"), (1, "CL3"), (2, "CL2"), (2, "CL10"), (3, "CL1")}
+    assert [(r["bundle"], r["relation"]) for r in got if (r["case_id"], r["cluster_id"]) == (1, "CL9")] == [("CL3", "direct")]
+    assert len({(r["case_id"], r["cluster_id"]) for r in got}) == len(got)
