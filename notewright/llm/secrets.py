@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: In the order in which equal starts are listed; "literal" is what the lexer adds.
 KINDS = ("assign", "access", "hex", "literal")
@@ -19,21 +21,53 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 #: Parts of names that call for a secret, with the score of a literal given to such a name.
 SENSITIVE = {"password": 4, "passwd": 4, "pwd": 3, "passphrase": 4, "secret": 4, "token": 3, "apikey": 4, "api_key": 4, "access_key": 4, "private_key": 4, "credential": 3, "credentials": 3, "auth": 2, "bearer": 3, "signature": 2, "salt": 2, "cert": 1, "key": 2}
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-#: One target and its sign: x = , "x": , x := , x => , export X= ; a typed target may stand between.
-TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z0-9_\[\]]*)?[ \t]*(?P<sign>:=|=>|(?<![=!<>])=(?!=)|:)[ \t]*""")
-#: What may stand on the right: quoted, a name, or a bare word of configuration files; parts may be added up with +.
-VALUE = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<bare>[A-Za-z0-9+/_.=-]+)""")
-PLUS = re.compile(r"[ \t]*\+[ \t]*")
+#: A value of so many literals at most is judged joined, too.
+JOINED = 16
+#: Calls that give a name its value: setPassword("..."), define("DB_PASSWORD", "...").
+SETTERS = {"set", "with", "put", "add", "define", "store", "setdefault", "setenv", "putenv"}
+#: XML attributes that name an element's value, and those that hold it.
+KEY_ATTRIBUTES, VALUE_ATTRIBUTES = {"key", "name", "id", "property", "param"}, {"value", "content", "default"}
+
+_IDENTIFIER = re.compile(r"[A-Za-z_$@][\w$@.-]*+")
+#: No alternative is tried again over the same characters, so a text takes time in proportion to its length: quoted
+#: literals go to the end of their line if they aren't closed, and comments' marks are tokens of their own.
+_QUOTED = r"""
+  (?P<prose>(?:[^\W\d_]++[.,]?+\x20++(?=[^\W\d_]))++)
+| (?P<long>(?<!\w)[A-Za-z]{0,2}(?:\"\"\"(?:[^"]|"(?!""))*+\"\"\"|\'\'\'(?:[^']|'(?!\'\'))*+\'\'\'))
+| (?P<quoted>(?<!\w)[rRbBuUfF]{0,2}(?:"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?))
+|"""
+_REST = r"""
+  (?P<line>\n)
+| (?P<open>/\*|<!--)
+| (?P<shut>\*/|-->)
+| (?P<note>(?<!\S)\#|(?<![:\w])//)
+| (?P<tag></?[A-Za-z][\w:.-]*+)
+| (?P<sign>:=|=>|(?<![=!<>])=(?![=>])|:)
+| (?P<enter>[(\[{])
+| (?P<leave>[)\]}])
+| (?P<end>[,;]|/?>)
+| (?P<plus>\+(?=[\s"'A-Za-z_$(])|\|\||\?\?|\\(?=\n))
+| (?P<bare>[^\s"'`=:,;(){}\[\]<>/\\+|?]++(?:[/+](?=[^\s"'`=:,;(){}\[\]<>])[^\s"'`=:,;(){}\[\]<>/\\+|?]*+)*+)
+| (?P<other>\S)
+"""
+TOKEN = re.compile(_QUOTED + _REST, re.VERBOSE)
+UNQUOTED = re.compile(_REST, re.VERBOSE)
+#: Names whose values a literal takes in.
+_INSIDE = re.compile(r"\$?\{([A-Za-z_]\w*+)\}|\$([A-Za-z_]\w*+)|%\(([A-Za-z_]\w*+)\)s")
+_SECTION = re.compile(r"\[+([^\[\]\"'=,\n]++)\]+\s*+")
+_LETTERS = re.compile(r"[^\W\d_]++")
+_ELEMENT = re.compile(r"[^<>\s]++(?=</)")
 
 
 def _parts(name: str) -> list[str]:
     return [p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()) if p]
 
 
+@lru_cache(100_000)
 def name_score(name: str) -> int:
     """The highest score of one part of the name, or of two neighbouring ones."""
     p = _parts(name)
+    p = [x if x in SENSITIVE or not x.endswith("s") else x[:-1] for x in p]
     return max((SENSITIVE.get(x, 0) for x in [*p, *(f"{a}_{b}" for a, b in zip(p, p[1:])), *(a + b for a, b in zip(p, p[1:]))]), default=0)
 
 
@@ -46,45 +80,277 @@ def literal_score(s: str) -> float:
     return entropy * (0.0 if kinds < 2 or s.isalpha() else 1.0) + kinds - 1
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
-    """Name-literal pairs in the order of the text: the name, the spans of its literals, and names on the right that stand for others."""
-    found, at = [], 0
-    while m := TARGET.search(text, at):
-        spans, names, at, here = [], [], m.end(), m.end()
-        while v := VALUE.match(text, here):
-            if v["quoted"]:
-                spans.append((v.start() + 1, v.end() - 1))
-            elif re.fullmatch(_NAME, v["bare"]) and not re.search(r"[0-9].*[0-9]", v["bare"]):
-                names.append(v["bare"])
+class _Target:
+    """An assignment being read: its names, the names around it, the spans of its literals and the names on its right."""
+
+    __slots__ = ("around", "names", "refs", "sign", "spans", "wants")
+
+    def __init__(self, names: list[str], around: list[str], sign: str):
+        self.names, self.around, self.sign, self.spans, self.refs, self.wants = names, around, sign, [], [], True
+
+
+class Lexer:
+    """Name-literal pairs of one text: assignments, mappings, keyword arguments, sections, attributes and elements.
+
+    found: (names, names around them, spans, names on the right, whether it stands in a comment), by the end of each.
+    A bracket's literals belong to the assignment it stands in, but for those with names of their own.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.found = text, []
+        self.now: _Target | None = None  # the assignment being read, inside the innermost bracket
+        self.frames: list = []  # (the assignment around, what stands before the bracket, quoted literals in it)
+        self.back: list = []  # the last two operands before a sign, on this line
+        self.section: str | None = None
+        self.parents: list[tuple[int, str]] = []  # (indent, name) of lines that end with their name and a colon
+        self.indent, self.first, self.margin = 0, True, 0
+        self.block = self.note = False
+        self.skip = 0  # what is read already
+        self.attributes: dict | None = None
+        self.args: list = []
+        self._read(TOKEN, 0, len(text))
+        self._reset()
+
+    def _read(self, pattern: re.Pattern, a: int, b: int) -> None:
+        text = self.text
+        for m in pattern.finditer(text, a, b):
+            kind, (x, y) = m.lastgroup, m.span()
+            if x < self.skip:
+                continue
+            if kind == "quoted":
+                q = x
+                while text[q] not in "\"'":
+                    q += 1
+                if y - q < 2 or text[y - 1] != text[q] or self._escaped(q, y - 1):
+                    self._read(UNQUOTED, q + 1, y)  # not closed: no quote
+                else:
+                    self._literal(q + 1, y - 1)
+            elif kind == "long":
+                q = text.index(text[y - 1], x)
+                self._literal(q + 3, y - 3)
+            else:
+                getattr(self, "_" + kind)(x, y)
+
+    def _escaped(self, q: int, at: int) -> bool:
+        n = 0
+        while at - n - 1 > q and self.text[at - n - 1] == "\\":
+            n += 1
+        return n % 2 == 1
+
+    # -- operands
+
+    def _start(self, x: int) -> None:
+        if self.first:
+            self.first = False
+            self.indent = x - self.margin
+            if not self.frames:
+                while self.parents and self.parents[-1][0] >= self.indent:
+                    self.parents.pop()
+
+    def _prose(self, x: int, y: int) -> None:
+        """Words one after the other: the first may be what an assignment wants, and ends it."""
+        self._start(x)
+        t = self.now or (self.frames[-1][0] if self.frames else None)
+        if t:
+            first = _LETTERS.match(self.text, x).end()
+            if t is not self.now or t.wants:
+                self._bare(x, first)
+            self._close()
+        self.back = []
+
+    def _literal(self, a: int, b: int) -> None:
+        self._start(a)
+        owner = self.now if self.now else self.frames[-1][0] if self.frames else None
+        if self.frames:
+            self.frames[-1][2].append((a, b))
+        if owner and (owner.wants or owner is not self.now or self.back and self.back[-1][0] == "quoted"):
+            owner.spans.append((a, b))
+            owner.refs += [x or y or z for x, y, z in _INSIDE.findall(self.text, a, b)]
+            owner.wants = False
+        self._remember("quoted", a, b)
+
+    def _bare(self, x: int, y: int) -> None:
+        self._start(x)
+        word, t = self.text[x:y] if y - x < 200 else None, self.now
+        name = word is not None and _IDENTIFIER.fullmatch(word) is not None
+        if t is None and self.frames and not (name and self.text[y : y + 2].lstrip()[:1] in (":", "=")):
+            t = self.frames[-1][0]
+            if t and name and sum(c.isdigit() for c in word) < 2:
+                t.refs.append(word)
+        elif t and t.wants:
+            t.wants = False
+            if name and sum(c.isdigit() for c in word) < 2:
+                t.refs.append(word)
+            else:
+                pad = y + 1 if self.text[y : y + 1] == "=" else y
+                pad += self.text[pad : pad + 1] == "=" and pad > y
+                if pad > y and not self.text[pad : pad + 1].strip(" \t\r\n,;)]}\"'<"):
+                    y = self.skip = pad
+                t.spans.append((x, y))
+        elif t and not (self.back and self.text[self.back[-1][2] : x].strip(" \t") in ("or", "??", "||")):
+            if word == "or":
+                t.wants = True
             else:
-                spans.append(v.span())
-            at = here = v.end()
-            if not (p := PLUS.match(text, here)):
-                break
-            here = p.end()
-        if spans or names:
-            found.append((m["name"], spans, names))
-    return found
+                self._close()
+        self._remember("bare", x, y)
+
+    def _other(self, x: int, y: int) -> None:
+        self._start(x)
+
+    def _plus(self, x: int, y: int) -> None:
+        if self.now:
+            self.now.wants = True
+
+    def _remember(self, kind: str, a: int, b: int) -> None:
+        self.back = [*self.back[-1:], (kind, a, b)]
+
+    # -- structure
+
+    def _sign(self, x: int, y: int) -> None:
+        sign, t = self.text[x:y], self.now
+        if t and t.sign == ":" and sign != ":" and len(t.refs) + len(t.spans) <= 1:  # name: type = value
+            t.sign, t.spans, t.refs, t.wants = sign, [], [], True
+            return
+        if t and sign == "=" and t.refs and not t.spans and self.back and self.text[self.back[-1][1] : self.back[-1][2]] == t.refs[-1]:  # a = b = value
+            t.names.append(t.refs.pop())
+            t.wants = True
+            return
+        if not self.back:
+            return
+        kind, a, b = self.back[-1]
+        name = self.text[a:b] if b - a < 200 else ""
+        self._close()
+        if name:
+            around = [n for f in self.frames[-4:] if f[0] for n in f[0].names]
+            around += [n for _, n in self.parents[-4:]] if not self.frames else []
+            self.now = _Target([name], around + [self.section] * (self.section is not None), sign)
+
+    def _close(self, x: int | None = None) -> None:
+        """Ends the assignment being read."""
+        t, self.now = self.now, None
+        if t and (t.spans or t.refs):
+            self.found.append((t.names, t.around, t.spans, t.refs, self.block or self.note))
+            if self.attributes is not None and t.spans:
+                self.attributes[t.names[0].lower()] = t.spans[0]
+
+    def _end(self, x: int, y: int) -> None:
+        self._close()
+        if self.text[y - 1] == ">" and self.attributes is not None:
+            tag, seen, self.attributes = self.attributes.pop(None), self.attributes, None
+            key = next((seen[k] for k in KEY_ATTRIBUTES if k in seen), None)
+            for k in VALUE_ATTRIBUTES if key else ():
+                if k in seen:
+                    self._pair(self.text[key[0] : key[1]][:200], seen[k])
+            if y - x == 1 and (m := _ELEMENT.match(self.text, y)):
+                self._pair(tag, m.span())
+
+    def _pair(self, name: str, span: tuple[int, int]) -> None:
+        self.found.append(([name], [], [span], [], self.block or self.note))
+
+    def _tag(self, x: int, y: int) -> None:
+        self._close()
+        self.attributes = {None: self.text[x:y].strip("</")[:200]}
+
+    def _enter(self, x: int, y: int) -> None:
+        self._start(x)
+        before = self.back[-1] if self.back and not self.text[self.back[-1][2] : x].strip(" \t") else None
+        inside = self.now is not None and (self.now.wants or before is not None)
+        if not inside:
+            self._close()
+        owner = self.now if inside else self.frames[-1][0] if self.frames else None
+        if self.text[x] == "{":
+            self.attributes = None
+        self.frames.append((owner, before, [], self.text[x], self.now if inside else None))
+        self.now, self.back = None, []
+
+    def _leave(self, x: int, y: int | None = None) -> None:
+        self._close()
+        if not self.frames:
+            return
+        _, before, literals, sign, now = self.frames.pop()
+        self.now = now
+        if now:
+            now.wants = False
+        self.back = []
+        if sign == "[" and len(literals) == 1:  # names["key"] = value
+            self.back = [("quoted", *literals[0])]
+        if sign == "(" and before and before[0] == "bare" and literals:
+            callee = _parts(self.text[before[1] : before[2]][-100:])
+            if callee and (SETTERS & set(callee)):
+                if len(literals) > 1 and _IDENTIFIER.fullmatch(self.text, *literals[0]):
+                    self._pair(self.text[literals[0][0] : literals[0][1]][:200], literals[1])
+                elif len(literals) == 1:
+                    self._pair(self.text[before[1] : before[2]][-100:], literals[0])
+
+    def _line(self, x: int, y: int) -> None:
+        t, blank = self.now, not self.text[self.margin : min(x, self.margin + 200)].strip()
+        if blank and x - self.margin < 200:
+            self._reset()
+        elif t and t.wants and (self.frames or t.spans or t.refs or self.text[x - 1] == "\\"):
+            pass  # goes on in the next line
+        else:
+            if t and t.wants and t.sign == ":":  # a section: its lines stand further in
+                self.parents.append((self.indent, t.names[0]))
+            self._close()
+            if not self.frames and x - self.margin < 200 and (m := _SECTION.fullmatch(self.text, self.margin, x)):
+                self.section = m[1]
+        self.back, self.first, self.margin, self.note = [], True, y, False
+
+    def _reset(self) -> None:
+        """At a blank line and the end: nothing is open any more."""
+        self._close()
+        while self.frames:
+            self._leave(0)
+            self._close()
+
+    def _open(self, x: int, y: int) -> None:
+        self._close()
+        self.block = True
+
+    def _shut(self, x: int, y: int) -> None:
+        self._close()
+        self.block = False
+
+    def _note(self, x: int, y: int) -> None:
+        self._close()
+        self.note = True
 
 
 def lexed(text: str, least: float = 6.0) -> list[tuple[int, int]]:
     """Spans of literals whose target name, or a name that later takes their value, is sensitive.
 
-    Constants are propagated in the order of the text: the value of a name is the literals of its last
-    assignment, those of names on the right included. A literal's score is that of the name plus that of its
-    own characters; from `least` on it counts, if the name scores at all.
+    Constants are propagated in the order of the text: the value of a name is its last assignment, with the values
+    that the names on its right have then; a comment's assignments are judged but change no value. A literal's score
+    is that of the name (names around it count one less) plus that of its own characters, or those of an
+    assignment's literals joined; from `least` on it counts, if the name scores at all.
     """
-    if "=" not in text and ":" not in text:
+    if not ("=" in text or ":" in text or "(" in text or "<" in text):
         return []
-    values: dict[str, list[tuple[int, int]]] = {}
+    values: dict[str, tuple] = {}  # a name's value: (number, spans, the values it takes in)
+    judged: dict[int, int] = {}  # the highest score a value was judged with
+    own: dict[tuple[int, int], float] = {}
     out = set()
-    for name, spans, names in pairs(text):
-        held = list(dict.fromkeys([*spans, *(s for n in names for s in values.get(n, []))]))
-        values[name] = held
-        if score := name_score(name):
-            joined = "".join(text[a:b] for a, b in held)
-            if held and score + literal_score(joined) >= least:
-                out.update(s for s in held if s[1] > s[0])
+    for number, (names, around, spans, refs, comment) in enumerate(Lexer(text).found):
+        value = (number, spans, [values[r] for r in dict.fromkeys(refs) if r in values])
+        score = max([name_score(n) for n in names] + [name_score(n) - 1 for n in around])
+        todo = [value] if score > 0 else []
+        while todo:
+            k, held, inner = todo.pop()
+            if judged.get(k, 0) >= score:
+                continue
+            judged[k] = score
+            for s in held:
+                if s not in own:
+                    own[s] = literal_score(text[s[0] : s[1]])
+                if s[1] > s[0] and score + own[s] >= least:
+                    out.add(s)
+            parts = held + [s for v in inner for s in v[1]]
+            if 1 < len(parts) <= JOINED and score + literal_score("".join(text[a:b] for a, b in parts)) >= least:
+                out.update(s for s in parts if s[1] > s[0])
+            todo += inner
+        if not comment:
+            for n in names:
+                values[n] = value
     return sorted(out)
 
 
@@ -119,11 +385,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", spans_col: str = "spans", r
     """
     base = docs.drop(*(c for c in (spans_col, redacted_col) if c in docs.columns))
     k = base.columns.index(text_col)
-    schema = base.schema
-    from pyspark.sql import types as T
-
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*schema.fields, T.StructField(spans_col, span), T.StructField(redacted_col, T.StringType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(spans_col, span), T.StructField(redacted_col, T.StringType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
