@@ -330,7 +330,7 @@ def test_language_learns_and_rejects(spark):
     en = [prose(k, 60, 40) for k in range(30)]
     de = [prose(k, 60, 40).replace("e", "ü").replace("a", "ß") for k in range(30, 60)]
     docs = frame(spark, en).union(frame(spark, de, "de"))
-    model = language.train(docs, words=40)
+    model = language.train(docs)
     got = language.predict(docs, model)
     assert got.where("lang_pred = lang").count() >= 58
     odd = language.predict(frame(spark, odd_texts(), more=True), model).orderBy("doc_id").collect()
