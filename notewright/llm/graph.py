@@ -57,7 +57,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def write(df):
         out = cut(df, "edges")
-        return out, out.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        return out, out.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "u", "v") % 1_000_000_007) for k in range(2))).first()
 
     now, was = write(edges.where("u <> v").mapInArrow(_local, "u long, v long").distinct())
     for _ in range(rounds):
@@ -75,5 +75,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if got == was:
             break
         was = got
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.union(pairs.select(F.col("root").alias("node"), "root").distinct())
