@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .lexicon import ALIGNMENT_STOP_WORDS, EVENT_STOP_WORDS
+from .terms import AUDIT_STOP_WORDS
 
 _EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -58,17 +59,17 @@ def alignment_text(c) -> Column:
     return F.array_join(alignment_tokens(c), " ")
 
 
-def event_tokens(c) -> Column:
+def event_tokens(c, stop_words=EVENT_STOP_WORDS) -> Column:
     """Words of an event's concept: numbers go, marks of doses stay, short and stop words go."""
     low = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"\b\d+(?:\.\d+)?\b", " ")
     low = F.regexp_replace(low, r"[^a-z0-9%/+\-]+", " ")
-    stop = F.array(*(F.lit(w) for w in EVENT_STOP_WORDS))
+    stop = F.array(*(F.lit(w) for w in stop_words))
     return F.filter(F.split(low, " "), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
-def concept_key(c) -> Column:
-    """The first five event tokens, or the first 80 characters where there are none."""
-    toks = event_tokens(c)
+def audit_key(c) -> Column:
+    """The first five event tokens of an audit, or the first 80 characters where there are none."""
+    toks = event_tokens(c, AUDIT_STOP_WORDS)
     plain = F.substring(F.trim(F.regexp_replace(F.lower(safe_text(c)), r"\s+", " ")), 1, 80)
     return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 5), " ")).otherwise(plain)
 
@@ -76,6 +77,7 @@ def concept_key(c) -> Column:
 def concept_from_text(c) -> Column:
     """A concept out of a sentence: who says it and auxiliaries go, eight words stay."""
     t = F.lower(safe_text(c))
+    # The words of these patterns are fixed values.
     t = F.regexp_replace(t, r"^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+", "")
     t = F.regexp_replace(t, r"^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+", "")
     t = F.regexp_replace(t, r"\b(will|is|are|was|were|be|being|been)\b", " ")

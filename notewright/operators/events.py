@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import any_of, lookup
 from ..functions.rules import lower
-from ..functions.text import concept_key, event_tokens, safe_text
+from ..functions.text import event_tokens, safe_text
 
 # Fixed values.
 LAB_WORDS = ("a1c", "hemoglobin", "creatinine", "lab", "blood pressure", "result")
@@ -19,6 +19,12 @@ ADVICE_WORDS = ("call the office", "watch for", "monitor", "counsel", "avoid", "
 PRIORITY = {"MedicationChange": "high", "PlanOrder": "high", "FollowUp": "high", "PatientInstruction": "high", "DiagnosisImpression": "high", "TestResult": "high", "ExamFinding": "medium", "SymptomCourse": "medium", "MedicationState": "medium"}
 SECTIONS = {"ChiefComplaint": "S,Chief Complaint", "SymptomCourse": "S,History of Present Illness", "PMH": "S,History of Present Illness", "MedicationState": "S,Plan", "MedicationChange": "P,Plan", "ExamFinding": "O,Findings", "TestResult": "O,Findings", "DiagnosisImpression": "A,Assessment", "PlanOrder": "P,Plan", "FollowUp": "P,Plan", "PatientInstruction": "P,Plan"}
 
+DOSE = r"\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|units|ml))\b"
+FREQUENCY = r"\b(once daily|twice daily|twice a day|once a day|daily|nightly|weekly|as needed|every \d+ hours)\b"
+SIDE = r"\b(left|right|bilateral)\b"
+NUMBER = r"(\d+(?:\.\d+)?%?)"
+ACTION = r"\b(increase|decrease|start|stop|continue|refill|order|refer|monitor|return)\b"
+
 
 def event_type(category: Column, predicate: Column, text: Column) -> Column:
     c, p, t = lower(category), lower(predicate), lower(text)
@@ -47,9 +53,9 @@ def slots(text: Column) -> Column:
     t = lower(text)
     first = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
     return F.struct(
-        first(r"\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|units|ml))\b").alias("dose"), first(r"\b(once daily|twice daily|twice a day|once a day|daily|nightly|weekly|as needed|every \d+ hours)\b").alias("frequency"),
-        first(r"\b(left|right|bilateral)\b").alias("laterality"), F.array_join(F.slice(F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?%?)")), 1, 3), ",").alias("values"),
-        first(r"\b(increase|decrease|start|stop|continue|refill|order|refer|monitor|return)\b").alias("action"),
+        first(DOSE).alias("dose"), first(FREQUENCY).alias("frequency"),
+        first(SIDE).alias("laterality"), F.array_join(F.slice(F.regexp_extract_all(t, F.lit(NUMBER)), 1, 3), ",").alias("values"),
+        first(ACTION).alias("action"),
     )
 
 
@@ -71,16 +77,6 @@ def event_plan(props: DataFrame, k: int = 14) -> DataFrame:
     return out.select("case_id", F.concat(F.lit("E"), "n").alias("event_id"), "event_type", "concept", "title", "members", "supporting", event_priority(F.col("event_type")).alias("priority"), event_sections(F.col("event_type")).alias("sections"))
 
 
-def audit_events(facts: DataFrame, k: int = 3) -> DataFrame:
-    """Audit events of facts (case_id, ord, kind, text, priority): grouped by kind and concept key, the best fact of each, k of a case by rank."""
-    keyed = facts.withColumn("anchor", concept_key("text"))
-    best = F.struct("priority", (-F.col("ord")).alias("o"))
-    out = keyed.groupBy("case_id", "kind", "anchor").agg(F.max("priority").alias("score"), F.count("*").alias("facts"), F.max_by("text", best).alias("text"), F.max_by("ord", best).alias("ord"))
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("score").desc(), F.col("kind").desc(), "ord"))
-    label = F.when(F.col("score") >= 75, "high").when(F.col("score") >= 40, "medium").otherwise("low")
-    return out.withColumns({"rank": rank, "label": label, "severity": F.when(F.col("score") >= 60, "major").otherwise("minor")}).where(F.col("rank") <= k)
-
-
 def gap_groups(rows: DataFrame, keys: list[str], at: str, gap: float, order: list[str] | None = None) -> DataFrame:
     """Adds group: rows of one key follow each other with at most `gap` between them."""
     w = Window.partitionBy(*keys).orderBy(at, *(order or []))

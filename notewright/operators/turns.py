@@ -132,3 +132,11 @@ def action_clauses(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = df.select(*keys, F.posexplode(F.filter(parts, lambda p: n_words(p) >= 5)).alias("pos", "clause"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys, normalize("clause")).orderBy("pos"))).where("r = 1")
     return first.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).where("r <= 4").drop("r")
+
+
+def new_negations(df: DataFrame, props: DataFrame, case: str = "case_id", turn: str = "turn_idx", k: int = 8) -> DataFrame:
+    """negations() of a case that no proposition (case, concept, verification) holds as refuted: the first of equal ones, k of a case."""
+    held = props.where(F.lower(safe_text("verification")) == "refuted").select(case, normalize("concept").alias("norm__")).distinct()
+    new = negations(df, [case, turn]).withColumn("norm__", normalize("concept")).join(held, [case, "norm__"], "left_anti")
+    first = new.withColumn("r", F.row_number().over(Window.partitionBy(case, "norm__").orderBy(turn, "pos"))).where("r = 1")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(case).orderBy(turn, "pos"))).where(F.col("place") <= k).drop("r", "norm__")

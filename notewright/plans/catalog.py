@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import rules as R
+from ..functions import terms as W
 from ..functions import text as T
 from ..operators import align, bundles, events, evidence, extraction, metrics, notes, propositions, states, stress, turns
 from . import fixtures as V
@@ -47,9 +48,9 @@ def align_normalize(spark, d):
 _EVENT = "list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce(body, '')), '\\b\\d+(?:\\.\\d+)?\\b', ' ', 'g'), '[^a-z0-9%/+\\-]+', ' ', 'g'), ' '), lambda t: length(t) > 2 and t not in (" + ", ".join(map(S.q, L.EVENT_STOP_WORDS)) + "))"
 
 
-@query(f"select id, array_to_string({_EVENT}, ' ') as event_tokens, case when len({_EVENT}) > 0 then array_to_string(list_slice({_EVENT}, 1, 5), ' ') else substr(trim(regexp_replace(lower({S.txt('body')}), '\\s+', ' ', 'g')), 1, 80) end as concept_key from {V.TEXTS.sql}")
+@query(f"select id, array_to_string({_EVENT}, ' ') as event_tokens, {S.audit_key('body', W.AUDIT_STOP_WORDS)} as concept_key from {V.TEXTS.sql}")
 def event_concepts(spark, d):
-    return V.TEXTS.df(spark).select("id", F.array_join(T.event_tokens("body"), " ").alias("event_tokens"), T.concept_key("body").alias("concept_key"))
+    return V.TEXTS.df(spark).select("id", F.array_join(T.event_tokens("body"), " ").alias("event_tokens"), T.audit_key("body").alias("concept_key"))
 
 
 _LEAD = r"regexp_replace(regexp_replace(lower(%s), '^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+', ''), '^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+', '')" % S.txt("body")
@@ -429,12 +430,6 @@ def event_plan(spark, d):
     return events.event_plan(V.FLAT.df(spark))
 
 
-@query()
-def audit_events(spark, d):
-    p = V.props(spark, d).select("case_id", F.col("ord").cast("int").alias("ord"), F.col("prop_type").alias("kind"), F.col("prop_text").alias("text"), (R.type_priority(F.col("prop_type")) * 7).alias("priority"))
-    return events.audit_events(p)
-
-
 @query("select user_id, \"group\", count(*) as events, sum(value) as total from (select *, cast(sum(n) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as \"group\" from (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 3600000000 then 1 else 0 end as n from events)) group by 1, 2")
 def gap_sessions(spark, d):
     e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))

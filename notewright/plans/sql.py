@@ -106,3 +106,25 @@ walk as (select case_id, cast(0 as bigint) as k, cast([] as bigint[]) as ui, cas
  union all
  select w.case_id, r.k, case when not list_contains(w.ui, r.i) and not list_contains(w.uj, r.j) then list_append(w.ui, r.i) else w.ui end, case when not list_contains(w.ui, r.i) and not list_contains(w.uj, r.j) then list_append(w.uj, r.j) else w.uj end,
         not list_contains(w.ui, r.i) and not list_contains(w.uj, r.j), r.i, r.j, r.score from walk w join ranked r on r.case_id = w.case_id and r.k = w.k + 1)"""
+
+
+def first_hit(c: str, words) -> str:
+    return "case " + " ".join(f"when contains({c}, {q(w)}) then {q(w)}" for w in words) + " end"
+
+
+def hits(c: str, words, n: int) -> str:
+    return "list_slice(list_filter([" + ", ".join(f"case when contains({c}, {q(w)}) then {q(w)} end" for w in words) + f"], lambda x: x is not null), 1, {n})"
+
+
+def nth(values, n: str) -> str:
+    """The value at place n (from 0) of a list of fixed ones."""
+    return "[" + ", ".join(map(q, values)) + f"][cast({n} as bigint) + 1]"
+
+
+def event_tokens(c: str, stop) -> str:
+    return f"list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '\\b\\d+(?:\\.\\d+)?\\b', ' ', 'g'), '[^a-z0-9%/+\\-]+', ' ', 'g'), ' '), lambda t: length(t) > 2 and t not in ({', '.join(map(q, stop))}))"
+
+
+def audit_key(c: str, stop) -> str:
+    toks = event_tokens(c, stop)
+    return f"case when len({toks}) > 0 then array_to_string(list_slice({toks}, 1, 5), ' ') else substr(trim(regexp_replace(lower({txt(c)}), '\\s+', ' ', 'g')), 1, 80) end"
