@@ -32,6 +32,11 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def of(inline, spark, rows):
+    """The rows given, or else the inline ones."""
+    return inline.df(spark) if rows is None else rows
+
+
 # text
 
 
@@ -49,16 +54,16 @@ _EVENT = "list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce(
 
 
 @query(f"select id, array_to_string({_EVENT}, ' ') as event_tokens, {S.audit_key('body', W.AUDIT_STOP_WORDS)} as concept_key from {V.TEXTS.sql}")
-def event_concepts(spark, d):
-    return V.TEXTS.df(spark).select("id", F.array_join(T.event_tokens("body"), " ").alias("event_tokens"), T.audit_key("body").alias("concept_key"))
+def event_concepts(spark, d, rows=None):
+    return of(V.TEXTS, spark, rows).select("id", F.array_join(T.event_tokens("body"), " ").alias("event_tokens"), T.audit_key("body").alias("concept_key"))
 
 
 _LEAD = r"regexp_replace(regexp_replace(lower(%s), '^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+', ''), '^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+', '')" % S.txt("body")
 
 
 @query(rf"select id, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(regexp_replace({_LEAD}, '\b(will|is|are|was|were|be|being|been)\b', ' ', 'g'), '[^a-z0-9%/+\- ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), 1, 8), ' ') as concept from {V.TEXTS.sql}")
-def concept_from_text(spark, d):
-    return V.TEXTS.df(spark).select("id", T.concept_from_text("body").alias("concept"))
+def concept_from_text(spark, d, rows=None):
+    return of(V.TEXTS, spark, rows).select("id", T.concept_from_text("body").alias("concept"))
 
 
 _ADJ = "(select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn) as b from conversations)"
@@ -94,8 +99,8 @@ def rouge_l_adjacent(spark, d):
 c as (select *, coalesce(sum(length(line) + 1) over (partition by case_id order by n rows between unbounded preceding and 1 preceding), 0) as cur, lower(regexp_extract(trim(line), '(?i)^\[(doctor|patient|clinician)\]\s*(.*)$', 1)) as who from l),
 t as (select case_id, n, line, cur, case when who <> '' then who else 'unknown' end as speaker, case when who <> '' then trim(regexp_extract(trim(line), '(?i)^\[(doctor|patient|clinician)\]\s*(.*)$', 2)) else trim(line) end as said from c where trim(line) <> '')
 select case_id, 'T' || n as turn_id, cast(n as int) as turn_idx, speaker, said, cast(cur + greatest(instr(line, said) - 1, 0) as bigint) as start_char, cast(cur + greatest(instr(line, said) - 1, 0) + length(said) as bigint) as end_char from t""")
-def turns_parse(spark, d):
-    return turns.turns(V.TURNS.df(spark), ["case_id"], "transcript")
+def turns_parse(spark, d, rows=None):
+    return turns.turns(of(V.TURNS, spark, rows), ["case_id"], "transcript")
 
 
 @query(f"select conv_id, turn, 'S' || (generate_subscripts(u, 1) - 1) as turn_id, unnest(u) as unit from (select conv_id, turn, list_filter(list_transform(string_split({S.txt('text')}, chr(10)), lambda x: trim(x)), lambda x: x <> '') as u from conversations)")
@@ -131,24 +136,35 @@ _NOTE_LINES = f"(select case_id, unnest(string_split(note, chr(10))) as line, ge
 
 
 @query(f"select case_id, cast(line_no as int) as line_no, line, cast(sum(case when trim(line) like '%:' and length(trim(line)) <= 80 and length(regexp_replace(trim(line), '[^:]', '', 'g')) = 1 and not regexp_matches(trim(line), '^[-*•]') then 1 else 0 end) over (partition by case_id order by line_no) as bigint) as section from {_NOTE_LINES}")
-def header_sections(spark, d):
-    return turns.sections(turns.lines(V.NOTES.df(spark), "note"), ["case_id"]).select("case_id", "line_no", "line", "section")
+def header_sections(spark, d, rows=None):
+    return turns.sections(turns.lines(of(V.NOTES, spark, rows), "note"), ["case_id"]).select("case_id", "line_no", "line", "section")
 
 
 @query(f"""select case_id, cast(line_no as int) as line_no, line from (select *, last_value(m ignore nulls) over (partition by case_id order by line_no rows between unbounded preceding and current row) as v from
 (select *, case when regexp_matches(trim(line), {S.q(turns.SUBJECTIVE)}) then 1 when regexp_matches(trim(line), {S.q(turns.OTHER_SECTION)}) then 0 end as m from {_NOTE_LINES})) where v = 1""")
-def subjective_view(spark, d):
-    return turns.subjective(turns.lines(V.NOTES.df(spark), "note"), ["case_id"]).select("case_id", "line_no", "line")
+def subjective_view(spark, d, rows=None):
+    return turns.subjective(turns.lines(of(V.NOTES, spark, rows), "note"), ["case_id"]).select("case_id", "line_no", "line")
 
 
-@query()
-def negation_props(spark, d):
-    return turns.negations(turns.turns(V.TURNS.df(spark), ["case_id"], "transcript"), ["case_id", "turn_idx"])
+_PIECES = "list_transform(flatten(list_transform(list_transform(list_concat(regexp_extract_all(l, '\\b(?:deny|denies|denied)\\b\\s+([^.;]+)', 1), case when starts_with(l, 'no ') then [substr(l, 4)] else [] end), lambda p: regexp_split_to_array(p, '\\bbut\\b|\\bexcept\\b')[1]), lambda p: regexp_split_to_array(p, ',|/| and | or '))), lambda p: regexp_replace(p, '^[ .:;]+|[ .:;]+$', '', 'g'))"
+_DENIED = f"""select case_id, turn_idx, cast(pos as int) as pos, concept, 'The patient denies ' || concept || '.' as prop_text from (select *, row_number() over (partition by case_id, turn_idx order by pos) as r2 from (select *, row_number() over (partition by case_id, turn_idx, {S.norm('concept')} order by pos) as r from
+ (select case_id, turn_idx, generate_subscripts(ps, 1) - 1 as pos, unnest(ps) as concept from (select case_id, turn_idx, list_filter({_PIECES}, lambda p: {S.words('p')} >= 2 and not {S.inside('p', L.NEGATION_STOPS)} and {S.clinical('p')}) as ps from (select *, lower({S.txt('said')}) as l from ({ORACLES['turns_parse']}) where speaker in ('patient', 'unknown'))))) where r = 1) where r2 <= 4"""
 
 
-@query()
-def plan_clauses(spark, d):
-    return turns.action_clauses(turns.turns(V.TURNS.df(spark), ["case_id"], "transcript"), ["case_id", "turn_idx"], "said")
+@query(_DENIED)
+def negation_props(spark, d, rows=None):
+    return turns.negations(turns.turns(of(V.TURNS, spark, rows), ["case_id"], "transcript"), ["case_id", "turn_idx"])
+
+
+_VERB = "(?i)" + L.PLAN_VERBS
+_EDGES = "regexp_replace({}, '^[ ,;.]+|[ ,;.]+$', '', 'g')".format
+_CLAUSE = "'The clinician will ' || " + _EDGES("regexp_replace(" + _EDGES("p") + ", '(?i)\\b(and|then)\\s*$', '')") + " || '.'"
+
+
+@query(f"""select case_id, turn_idx, cast(pos as int) as pos, clause from (select *, row_number() over (partition by case_id, turn_idx order by pos) as r2 from (select *, row_number() over (partition by case_id, turn_idx, {S.norm('clause')} order by pos) as r from
+ (select case_id, turn_idx, generate_subscripts(cs, 1) - 1 as pos, unnest(cs) as clause from (select case_id, turn_idx, list_filter(list_transform(list_filter(string_split(regexp_replace(said, {S.q(_VERB)}, chr(1) || '\\1', 'g'), chr(1)), lambda p: regexp_matches(p, {S.q('(?i)^' + L.PLAN_VERBS)})), lambda p: {_CLAUSE}), lambda c: {S.words('c')} >= 5) as cs from ({ORACLES['turns_parse']})))) where r = 1) where r2 <= 4""")
+def plan_clauses(spark, d, rows=None):
+    return turns.action_clauses(turns.turns(of(V.TURNS, spark, rows), ["case_id"], "transcript"), ["case_id", "turn_idx"], "said")
 
 
 @query("select conv_id, turn, cast(floor((row_number() over (partition by conv_id order by turn) - 1) / 3) as int) as chunk from conversations")
@@ -160,9 +176,9 @@ def fixed_chunks(spark, d):
 
 
 @query(f"select id, {S.question('body')} as question, {S.clinical('body')} as clinical, {S.chatter('body')} as chatter, {S.plan_like('body')} as plan, {S.has(S.low('body'), L.RESULT_WORDS)} as result, {S.has(S.low('body'), L.EXAM_WORDS)} as exam, {S.has(S.low('body'), L.DIAGNOSIS_WORDS)} as diagnosis, {S.has(S.low('body'), L.SYMPTOM_WORDS)} as symptom, {S.plan_type('body')} as plan_type from {V.TEXTS.sql}")
-def text_rules(spark, d):
+def text_rules(spark, d, rows=None):
     b = F.col("body")
-    return V.TEXTS.df(spark).select("id", R.is_question(b).alias("question"), R.clinical(b).alias("clinical"), R.chatter(b).alias("chatter"), R.plan_like(b).alias("plan"), R.result_like(b).alias("result"), R.exam_like(b).alias("exam"), R.diagnosis_like(b).alias("diagnosis"), R.symptom_like(b).alias("symptom"), R.plan_type(b).alias("plan_type"))
+    return of(V.TEXTS, spark, rows).select("id", R.is_question(b).alias("question"), R.clinical(b).alias("clinical"), R.chatter(b).alias("chatter"), R.plan_like(b).alias("plan"), R.result_like(b).alias("result"), R.exam_like(b).alias("exam"), R.diagnosis_like(b).alias("diagnosis"), R.symptom_like(b).alias("symptom"), R.plan_type(b).alias("plan_type"))
 
 
 _SRC = S.low("source")
@@ -174,13 +190,13 @@ _RETYPED = (
 
 
 @query(f"select id, case when {S.low('modality')} = 'plan' and t in ('Problem', 'Symptom') then {S.plan_type('body')} else t end as retyped from (select *, {_RETYPED} as t from {V.TEXTS.sql})")
-def retype_cascade(spark, d):
-    return V.TEXTS.df(spark).select("id", R.retyped(F.col("kind"), F.col("modality"), F.col("source"), F.col("body"), F.col("verified")).alias("retyped"))
+def retype_cascade(spark, d, rows=None):
+    return of(V.TEXTS, spark, rows).select("id", R.retyped(F.col("kind"), F.col("modality"), F.col("source"), F.col("body"), F.col("verified")).alias("retyped"))
 
 
 @query(f"select id, {S.low_value('concept', 'body', 'kind')} as low, {S.protected('concept', 'kind')} as protected from {V.TEXTS.sql}")
-def low_value_filter(spark, d):
-    return V.TEXTS.df(spark).select("id", R.low_value(F.col("concept"), F.col("body"), F.col("kind")).alias("low"), R.protected(F.col("concept"), F.col("kind")).alias("protected"))
+def low_value_filter(spark, d, rows=None):
+    return of(V.TEXTS, spark, rows).select("id", R.low_value(F.col("concept"), F.col("body"), F.col("kind")).alias("low"), R.protected(F.col("concept"), F.col("kind")).alias("protected"))
 
 
 def _fold(c: str, keep: str = "[^a-z_]") -> str:
@@ -198,8 +214,8 @@ b as (select *, case when {S.inside(_STA, L.CLINICAL_STATUS)} then {_STA} when {
 select id, prop_type, verification, clinical_status, coalesce({S.pick(_fold('raw'), L.MODALITY_ALIASES)}, case when prop_type = 'ExamFinding' then 'exam' when prop_type = 'TestResult' then 'test_result' when {S.inside('prop_type', L.PLAN_TYPES)} then 'plan' when prop_type in ('Diagnosis', 'Impression') then 'assessment'
  when prop_type = 'Symptom' then case when speaker in ('patient', 'unknown') then 'interview' else 'exam' end when prop_type in ('ProblemHistory', 'Demographics', 'Allergy') then case when speaker in ('clinician', 'test_result') then 'historical_record' else 'interview' end when speaker = 'patient' then 'interview' else 'unknown' end) as modality,
  case when clinical_status = 'historical' then 'historical' when clinical_status = 'planned' then 'hypothetical' when verification = 'confirmed' then 'present' when verification = 'refuted' then 'absent' else 'uncertain' end as assertion from b""")
-def norm_labels(spark, d):
-    v = V.LABELS.df(spark).withColumns({"prop_type": N.proposition_type("kind"), "verification": N.verification("raw")})
+def norm_labels(spark, d, rows=None):
+    v = of(V.LABELS, spark, rows).withColumns({"prop_type": N.proposition_type("kind"), "verification": N.verification("raw")})
     v = v.withColumn("clinical_status", N.clinical_status("raw", F.col("verification"), "time"))
     return v.select("id", "prop_type", "verification", "clinical_status", N.modality("raw", F.col("prop_type"), F.col("speaker")).alias("modality"), N.assertion(F.col("verification"), F.col("clinical_status")).alias("assertion"))
 
@@ -212,8 +228,8 @@ _BTY = f"coalesce({S.pick(S.norm('kind'), L.BENCHMARK_TYPES)}, nullif({S.txt('ki
 @query(f"""select *, case when c_type_n = 'medicationstatement' then 'state' when c_type_n in ('medicationrequest', 'order', 'followup', 'counseling') or c_state = 'planned' then 'plan' else 'none' end as c_role from (
 select id, {_BTY} as c_type, case when {S.inside(_LBL, L.BENCHMARK_CONFIRMED[:5])} then 'confirmed' when {S.inside(_LBL, L.BENCHMARK_REFUTED)} then 'refuted' when {S.inside(_LBL, L.BENCHMARK_CONFIRMED[5:])} then 'confirmed' when {S.has(S.norm('time'), L.NEGATION_WORDS)} then 'refuted' when {S.norm('speaker')} in ('high', 'medium', 'low') then 'confirmed' else 'unconfirmed' end as c_verification,
  {_BST} as c_state, {S.bucket('time')} as c_time, {S.norm(_BTY)} as c_type_n from {V.LABELS.sql})""")
-def benchmark_labels(spark, d):
-    v = V.LABELS.df(spark).select("id", N.benchmark_type("kind").alias("c_type"), N.benchmark_verification("raw", F.lit(""), F.lit(""), "speaker", "time").alias("c_verification"), N.benchmark_state("raw", "time").alias("c_state"), N.temporality_bucket("time").alias("c_time"))
+def benchmark_labels(spark, d, rows=None):
+    v = of(V.LABELS, spark, rows).select("id", N.benchmark_type("kind").alias("c_type"), N.benchmark_verification("raw", F.lit(""), F.lit(""), "speaker", "time").alias("c_verification"), N.benchmark_state("raw", "time").alias("c_state"), N.temporality_bucket("time").alias("c_time"))
     return v.withColumns({"c_type_n": T.normalize("c_type"), "c_role": N.medication_role(F.col("c_type"), F.col("c_state"))})
 
 
@@ -414,20 +430,27 @@ _ETYPE = (
 
 
 @query(f"select case_id, ord, e as event_type, coalesce({S.pick('e', events.PRIORITY)}, 'low') as priority, coalesce({S.pick('e', events.SECTIONS)}, 'S,Plan') as sections from (select *, {_ETYPE} as e from {V.FLAT.sql})")
-def event_types(spark, d):
-    e = V.FLAT.df(spark).withColumn("event_type", events.event_type(F.col("category"), F.col("predicate"), F.col("prop_text")))
+def event_types(spark, d, rows=None):
+    e = of(V.FLAT, spark, rows).withColumn("event_type", events.event_type(F.col("category"), F.col("predicate"), F.col("prop_text")))
     return e.select("case_id", "ord", "event_type", events.event_priority(F.col("event_type")).alias("priority"), events.event_sections(F.col("event_type")).alias("sections"))
 
 
 @query(rf"""select case_id, ord, nullif(regexp_extract(t, '\b(\d+(?:\.\d+)?\s*(?:mg|mcg|g|units|ml))\b', 1), '') as dose, nullif(regexp_extract(t, '\b(once daily|twice daily|twice a day|once a day|daily|nightly|weekly|as needed|every \d+ hours)\b', 1), '') as frequency, nullif(regexp_extract(t, '\b(left|right|bilateral)\b', 1), '') as laterality,
  array_to_string(list_slice(regexp_extract_all(t, '(\d+(?:\.\d+)?%?)', 1), 1, 3), ',') as "values", nullif(regexp_extract(t, '\b(increase|decrease|start|stop|continue|refill|order|refer|monitor|return)\b', 1), '') as action from (select *, {_ELOW} as t from {V.FLAT.sql})""")
-def event_slots(spark, d):
-    return V.FLAT.df(spark).select("case_id", "ord", events.slots(F.col("prop_text")).alias("s")).select("case_id", "ord", "s.*")
+def event_slots(spark, d, rows=None):
+    return of(V.FLAT, spark, rows).select("case_id", "ord", events.slots(F.col("prop_text")).alias("s")).select("case_id", "ord", "s.*")
 
 
-@query()
-def event_plan(spark, d):
-    return events.event_plan(V.FLAT.df(spark))
+_SIDE = f"nullif(regexp_extract({_ELOW}, {S.q(events.SIDE)}, 1), '')"
+_EVENT_PLAN = f"""with r as (select case_id, ord, concept, prop_text, e as event_type, concat_ws(' ', coalesce(nullif({S.txt('concept')}, ''), array_to_string(list_slice({S.event_tokens('prop_text', L.EVENT_STOP_WORDS)}, 1, 4), ' ')), {_SIDE}) as signature, nullif(regexp_extract({_ELOW}, {S.q(events.DOSE)}, 1), '') as dose from (select *, {_ETYPE} as e from {V.FLAT.sql})),
+g as (select case_id, event_type, signature, min(ord) as first_ord, count(*) as members, count(distinct dose) as doses, arg_min_null(concept, ord) as concept, arg_min_null(prop_text, ord) as title, string_agg('P' || ord, ',' order by ord) as supporting from r group by 1, 2, 3),
+n as (select *, row_number() over (partition by case_id order by first_ord, event_type, signature) as n from g), t as (select * replace (case when event_type = 'MedicationState' and doses >= 2 then 'MedicationChange' else event_type end as event_type) from n where n <= 14)
+select case_id, 'E' || n as event_id, event_type, concept, title, members, supporting, coalesce({S.pick('event_type', events.PRIORITY)}, 'low') as priority, coalesce({S.pick('event_type', events.SECTIONS)}, 'S,Plan') as sections from t"""
+
+
+@query(_EVENT_PLAN)
+def event_plan(spark, d, rows=None):
+    return events.event_plan(of(V.FLAT, spark, rows))
 
 
 @query("select user_id, \"group\", count(*) as events, sum(value) as total from (select *, cast(sum(n) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as \"group\" from (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 3600000000 then 1 else 0 end as n from events)) group by 1, 2")
@@ -511,7 +534,10 @@ def method_grid(spark, d):
 # notes and reports
 
 
-@query()
+_REPORT = "coalesce(string_agg('- ' || cluster_id || ' ' || cluster_concept || ' [' || final_verification || ', ' || final_status || '] ' || summary, chr(10) order by first_turn, cluster_id) filter (kind = '{}'), '- None')".format
+
+
+@query(f"select case_id, 'Active:' || chr(10) || {_REPORT('active')} || chr(10) || 'Planned:' || chr(10) || {_REPORT('planned')} || chr(10) || 'Past:' || chr(10) || {_REPORT('past')} as report from (select *, case when final_status = 'planned' then 'planned' when final_status in ('historical', 'resolved') then 'past' else 'active' end as kind from ({ORACLES['cluster_states']})) group by 1")
 def state_reports(spark, d):
     return notes.state_report(states.clusters(V.props(spark, d)))
 
@@ -521,16 +547,27 @@ def repeated_sentences(spark, d):
     return notes.repeats(table(spark, d, "conversations"), ["conv_id"], "text", 2).withColumn("repeats", F.lit(True))
 
 
-@query()
+_STYLE = r"regexp_replace(regexp_replace(trim(x), '^[\s,;:.\-]+', ''), '(?i)^(and|but|so|then)\s+', '')"
+
+
+@query(rf"""with s as (select conv_id, case role when 'user' then 'S' when 'assistant' then 'P' else 'O' end as section, string_agg('- ' || text, chr(10) order by turn) as lines from conversations group by 1, 2),
+n as (select c.conv_id, string_agg(h.section || ':' || chr(10) || coalesce(s.lines, '- None'), chr(10) order by h.place) as note from (select distinct conv_id from conversations) c, (values (0, 'S'), (1, 'O'), (2, 'A'), (3, 'P')) h(place, section) left join s on s.conv_id = c.conv_id and s.section = h.section group by 1),
+l as (select conv_id, generate_subscripts(ls, 1) as k, unnest(ls) as line from (select conv_id, list_filter(list_transform(list_transform(string_split(regexp_replace({S.txt('note')}, '^```[A-Za-z]*\s*\n?|\n?\s*```$', '', 'g'), chr(10)), lambda x: {_STYLE}), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), lambda x: x <> '') as ls from n)),
+f as (select *, row_number() over (partition by conv_id, {S.norm('line')} order by k) as r from l)
+select n.conv_id, coalesce((select string_agg(line, chr(10) order by k) from f where f.conv_id = n.conv_id and r = 1), '') as note, """ + " and ".join(rf"regexp_matches(n.note, '(?m)^\s*{h}:\s*$')" for h in notes.SOAP_HEADINGS) + " as matches from n")
 def template_notes(spark, d):
     s = table(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "S").when(F.col("role") == "assistant", "P").otherwise("O").alias("section"), F.col("turn").alias("ord"), "text")
     n = notes.template_note(s, ["conv_id"])
     return n.select("conv_id", notes.clean_lines("note").alias("note"), notes.matches_template("note", "soap").alias("matches"))
 
 
-@query()
-def marked_turns(spark, d):
-    return notes.marked_turns(V.TURNS.df(spark), ["case_id"], "transcript")
+_MARK = "(?i)\\[(doctor|patient)\\]"
+
+
+@query(f"""with x as (select case_id, {S.txt('transcript')} as t from {V.TURNS.sql}), p as (select case_id, list_filter(list_filter(list_transform(string_split(case when regexp_matches(t, {S.q(_MARK)}) then regexp_replace(t, {S.q(_MARK)}, chr(1) || '[\\1]', 'g') else replace(t, chr(10), chr(1)) end, chr(1)), lambda z: trim(z)), lambda z: z <> ''), lambda z: trim(regexp_replace(z, {S.q('(?i)^' + _MARK[4:])}, '')) <> '') as ps from x),
+r as (select case_id, generate_subscripts(ps, 1) - 1 as turn, unnest(ps) as part from p) select case_id, cast(turn as int) as turn, coalesce(nullif(lower(regexp_extract(part, {S.q('(?i)^' + _MARK[4:])}, 1)), ''), 'unknown') as speaker, trim(regexp_replace(part, {S.q('(?i)^' + _MARK[4:])}, '')) as said from r""")
+def marked_turns(spark, d, rows=None):
+    return notes.marked_turns(of(V.TURNS, spark, rows), ["case_id"], "transcript")
 
 
 @query("""select user_id, cast(g as bigint) as "group", min(ts_s) as first_line, count(*) as n from (select *, sum(n) over (partition by user_id order by ts_s, event_id rows unbounded preceding) as g from (select *, case when ts_s - lag(ts_s) over w > 1800 or event_type <> lag(event_type) over w then 1 else 0 end as n from (select *, cast(floor(epoch_us(ts) / 1000000) as bigint) as ts_s from events) window w as (partition by user_id order by ts_s, event_id))) group by 1, 2""")
@@ -544,8 +581,8 @@ def entity_groups(spark, d):
 
 
 @query(f"select id, case {S.norm('kind')} " + " ".join(f"when {S.q(k)} then {S.q(v)}" for k, v in ({n.lower(): n for n in L.SEED_CATEGORIES} | L.SEED_ALIASES).items()) + f" else 'Finding' end as category, case when {S.norm('speaker')} in ('patient', 'pt') then 'patient' when {S.norm('speaker')} in ('clinician', 'doctor', 'provider', 'physician') then 'clinician' else 'unknown' end as speaker, coalesce({S.pick(S.norm('time'), L.SEED_TIMES)}, 'unknown') as temporality, case when {S.norm('raw')} in ('high', 'medium', 'low') then {S.norm('raw')} else 'medium' end as certainty from {V.LABELS.sql}")
-def seed_labels(spark, d):
-    return V.LABELS.df(spark).select("id", extraction.seed_category("kind").alias("category"), extraction.seed_speaker("speaker").alias("speaker"), extraction.seed_temporality("time").alias("temporality"), extraction.seed_certainty("raw").alias("certainty"))
+def seed_labels(spark, d, rows=None):
+    return of(V.LABELS, spark, rows).select("id", extraction.seed_category("kind").alias("category"), extraction.seed_speaker("speaker").alias("speaker"), extraction.seed_temporality("time").alias("temporality"), extraction.seed_certainty("raw").alias("certainty"))
 
 
 @query(f"select id, substr(regexp_replace(replace(replace(replace(replace({S.txt('raw')}, '–', '-'), '—', '-'), '~', '-'), ' to ', '-'), '[^0-9,\\-]', '', 'g'), 1, 64) as provenance from {V.SPANS.sql}")
@@ -553,10 +590,18 @@ def seed_provenance(spark, d):
     return V.SPANS.df(spark).select("id", extraction.provenance("raw").alias("provenance"))
 
 
-@query()
+_FACT_PREFIXES = ("", "[Chief Complaint] [present] ", "- [x] no ", "[pmh][unknown] ", "* [allergy] ", "[odd] [negated] ", "Patient denies ")
+_FACT = rf"""with r as (select conv_id, turn, {S.txt(S.nth(_FACT_PREFIXES, "turn % 7") + " || coalesce(text, '')")} as t from conversations),
+f as (select conv_id, turn, lower(trim(regexp_extract(t, '^\s*[-*]?\s*\[([^\]]*)\]', 1))) as c, lower(trim(regexp_extract(t, '^\s*[-*]?\s*\[[^\]]*\]\s*\[([^\]]*)\]', 1))) as hint, trim(regexp_replace(t, '^\s*[-*]?\s*(\[[^\]]*\]\s*){{0,2}}', '')) as fact from r),
+s as (select *, lower(fact) as low, case when hint in ('present', 'positive', 'affirmed') then 'Present' when hint in ('absent', 'negative', 'negated') then 'Absent' when hint in ('unknown', 'uncertain', 'unsure') then 'Unknown' when {S.has('lower(fact)', L.UNSURE_WORDS)} then 'Unknown' when starts_with(lower(fact), 'no ') or {S.has("' ' || lower(fact) || ' '", (' denies ', ' denied '))} then 'Absent' else 'Present' end as status from f)
+select conv_id, turn, status, coalesce({S.pick('c', L.FACT_CATEGORIES)}, case when {S.has('low', L.SOCIAL_WORDS)} then 'Demographics and Social Determinants of Health' when {S.has('low', L.INTENT_WORDS)} then 'Patient Intent' when {S.has('low', L.PAST_FACT_WORDS)} then 'Medical History' when status = 'Absent' then 'Pertinent Negatives' when status = 'Unknown' then 'Pertinent Unknowns' else 'Pertinent Positives' end) as category, fact from s"""
+
+
+@query(_FACT)
 def fact_lines(spark, d):
-    rows = [(1, "[Chief Complaint] [present] knee pain"), (2, "- [x] no fever"), (3, "Patient denies cough"), (4, "[pmh][unknown] asthma"), (5, "history of gout"), (6, "not sure about dose"), (7, None)]
-    return spark.createDataFrame(rows, "id long, raw string").select("id", extraction.fact_line("raw").alias("f")).select("id", "f.*")
+    c = table(spark, d, "conversations")
+    raw = F.concat(F.element_at(F.array(*map(F.lit, _FACT_PREFIXES)), (F.col("turn") % 7 + 1).cast("int")), F.coalesce("text", F.lit("")))
+    return c.withColumn("raw", raw).select("conv_id", "turn", extraction.fact_line("raw").alias("f")).select("conv_id", "turn", "f.*")
 
 
 @query("select p.case_id, p.turns, coalesce(q.props, 0) as props, coalesce(q.high, 0) as high from (select conv_id as case_id, count(*) as turns from conversations group by 1) p left join (select o_custkey as case_id, count(*) as props, count(*) filter (o_orderkey % 2 = 0) as high from orders group by 1) q using (case_id) where coalesce(props, 0) = 0 or (turns > 20 and props < 8) or (turns > 12 and coalesce(high, 0) = 0)")
@@ -566,7 +611,8 @@ def rescue_cases(spark, d):
     return extraction.rescue(p, t)
 
 
-@query()
+@query(f"""with t as ({ORACLES['turns_parse']}), s as (select case_id, count(*) as turns, bool_or({S.clinical('said')}) or count(*) filter ({S.words('said')} >= 5) >= 3 as signal from t group by 1),
+p as (select case_id, bool_or({S.txt('prop_text')} = '' or {S.txt('concept')} = '' or length({S.txt('prop_text')}) > 500) as bad from {V.FLAT.sql} group by 1) select s.case_id, turns, signal, coalesce(bad, signal) as doubtful from s left join p using (case_id)""")
 def doubtful_output(spark, d):
     t = turns.turns(V.TURNS.df(spark), ["case_id"], "transcript")
     p = V.FLAT.df(spark)

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import audit, bundle_events, bundles, scaffolds, states, turns, units
 from . import fixtures as V
 from . import sql as S
-from .catalog import _P, query, table
+from .catalog import _P, ORACLES, QUERIES, query, table
 
 # Values that stand for what a model's labels would be: a row takes one by its number.
 CATEGORIES = ("Diagnosis", "MedicationPlan", "TestPlan", "FollowUpPlan", "Finding", "Allergy", "ChiefComplaint", "Symptom", "Demographic", "History", "Procedure", "Uncertain or noise", "")
@@ -422,3 +422,61 @@ BROKEN = V.Inline("id long, raw string", [(1, '{"S": "pain", "O": ["swollen", "r
 def section_salvage(spark, d):
     m = salvage.sections(F.col("raw"), "soap")
     return BROKEN.df(spark).withColumn("m", m).select("id", *(F.col("m")[k].alias(k) for k in W.NOTE_KEYS["soap"]))
+
+
+# the rules of inline rows over whole tables
+
+_N = "(conv_id * 31 + turn)"
+_KINDS, _RAWS = tuple(r[1] for r in V.TEXTS.rows), tuple(r[1] or "" for r in V.LABELS.rows)
+_SPEAKERS, _WHENS, _LKINDS = tuple(r[3] or "" for r in V.LABELS.rows), tuple(r[4] or "" for r in V.LABELS.rows), tuple(r[2] or "" for r in V.LABELS.rows)
+_SOURCES, _VERIFIED = ("patient", "clinician", "doctor", "", "unknown"), ("confirmed", "refuted", "unconfirmed")
+_FCATS, _FPREDS = tuple(dict.fromkeys(r[2] or "" for r in V.FLAT.rows)), tuple(dict.fromkeys(r[3] or "" for r in V.FLAT.rows))
+
+
+def _texts(spark, d) -> DataFrame:
+    n = F.col("conv_id") * 31 + F.col("turn")
+    return table(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), nth(_KINDS, n % len(_KINDS)).alias("kind"), nth(("", "plan"), n % 2).alias("modality"), nth(_SOURCES, n % 5).alias("source"), nth(_VERIFIED, n % 3).alias("verified"), F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("concept"), F.col("text").alias("body"))
+
+
+def _labels(spark, d) -> DataFrame:
+    a, b = F.col("conv_id"), F.col("turn")
+    return table(spark, d, "conversations").select((a * 100_000 + b).alias("id"), nth(_RAWS, (a * 7 + b) % 15).alias("raw"), nth(_LKINDS, (a * 3 + b) % 15).alias("kind"), nth(_SPEAKERS, (a + b) % 15).alias("speaker"), nth(_WHENS, (a * 11 + b) % 15).alias("time"))
+
+
+def _flat(spark, d) -> DataFrame:
+    n = F.col("ord")
+    return V.props(spark, d).select("case_id", n, nth(_FCATS, n % len(_FCATS)).alias("category"), nth(_FPREDS, n % len(_FPREDS)).alias("predicate"), "concept", "prop_text")
+
+
+def _transcripts(spark, d) -> DataFrame:
+    said = F.concat(nth(("[doctor] ", "[patient] He denies chest pain, ", "", "[Clinician] We will start it and check "), F.col("turn") % 4), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "))
+    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "\n").alias("transcript"))
+
+
+def _notes(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.concat(F.lit("HPI:\n"), F.coalesce("text", F.lit("")), F.lit("\nPlan: rest\nlast")).alias("note"))
+
+
+_OF = {
+    V.TEXTS: (_texts, f"(select conv_id * 100000 + turn as id, {S.nth(_KINDS, f'{_N} % {len(_KINDS)}')} as kind, {S.nth(('', 'plan'), f'{_N} % 2')} as modality, {S.nth(_SOURCES, f'{_N} % 5')} as source, {S.nth(_VERIFIED, f'{_N} % 3')} as verified, array_to_string(list_slice({S.toks('text')}, 1, 3), ' ') as concept, text as body from conversations)", "event_concepts concept_from_text text_rules retype_cascade low_value_filter"),
+    V.LABELS: (_labels, f"(select conv_id * 100000 + turn as id, {S.nth(_RAWS, '(conv_id * 7 + turn) % 15')} as raw, {S.nth(_LKINDS, '(conv_id * 3 + turn) % 15')} as kind, {S.nth(_SPEAKERS, '(conv_id + turn) % 15')} as speaker, {S.nth(_WHENS, '(conv_id * 11 + turn) % 15')} as time from conversations)", "norm_labels benchmark_labels seed_labels"),
+    V.FLAT: (_flat, f"(select case_id, ord, {S.nth(_FCATS, f'ord % {len(_FCATS)}')} as category, {S.nth(_FPREDS, f'ord % {len(_FPREDS)}')} as predicate, concept, prop_text from {_P})", "event_types event_slots event_plan"),
+    V.TURNS: (_transcripts, f"(select conv_id as case_id, string_agg({S.nth(('[doctor] ', '[patient] He denies chest pain, ', '', '[Clinician] We will start it and check '), 'turn % 4')} || replace(coalesce(text, ''), chr(10), ' '), chr(10) order by turn) as transcript from conversations group by 1)", "turns_parse negation_props plan_clauses marked_turns"),
+    V.NOTES: (_notes, "(select doc_id as case_id, 'HPI:' || chr(10) || coalesce(text, '') || chr(10) || 'Plan: rest' || chr(10) || 'last' as note from documents)", "header_sections subjective_view"),
+}
+
+
+def _over_table(name: str, inline, rows, sql: str) -> None:
+    """Registers a query of inline rows again, over a whole table."""
+    inner = QUERIES[name]
+
+    def run(spark, d):
+        return inner(spark, d, rows(spark, d))
+
+    run.__name__, run.__doc__ = f"{name}_table", f"{name} over a whole table."
+    query(ORACLES[name].replace(inline.sql, sql))(run)
+
+
+for _inline, (_rows, _sql, _names) in _OF.items():
+    for _name in _names.split():
+        _over_table(_name, _inline, _rows, _sql)
