@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alignment_text, alignment_tokens, f1_of, first_text, safe_text, tokens
+from ..functions.text import alignment_text, alignment_tokens, f1_of, first_text, safe_text, token_f1, tokens
+from ..sources.stage import staged
 
 
 def shared_tokens(left: DataFrame, right: DataFrame, a: str, b: str, name: str, key: str = "case_id") -> DataFrame:
@@ -30,8 +31,20 @@ def scored_pairs(left: DataFrame, right: DataFrame, columns: dict[str, tuple[str
     return out.select(key, "i", "j", *(f1_of(F.coalesce(f"{n}__", F.lit(0.0)), F.col(f"{n}_i"), F.col(f"{n}_j")).alias(n) for n in columns))
 
 
+#: A case of more pairs is matched in rounds; the pairs of the others are folded in one array.
+FOLDED = 5_000
+
+
 def greedy(pairs: DataFrame, key: str = "case_id") -> DataFrame:
     """One-to-one matches of pairs (key, i, j, score): the highest score first, then the larger i, then the larger j."""
+    pairs = staged(pairs.select(key, "i", "j", "score"), "pairs")
+    large = staged(pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > FOLDED).select(key), "large")
+    if large.isEmpty():
+        return _folded(pairs, key)
+    return _folded(pairs.join(large, key, "left_anti"), key).union(_rounds(pairs.join(large, key, "left_semi"), key))
+
+
+def _folded(pairs: DataFrame, key: str) -> DataFrame:
     ranked = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("score", "i", "j")), asc=False).alias("ps"))
     start = F.expr("named_struct('i', cast(array() as array<int>), 'j', cast(array() as array<int>), 'm', cast(array() as array<struct<score:double,i:int,j:int>>))")
 
@@ -42,6 +55,21 @@ def greedy(pairs: DataFrame, key: str = "case_id") -> DataFrame:
     return ranked.select(key, F.explode(F.aggregate("ps", start, step, lambda a: a["m"])).alias("p")).select(key, "p.i", "p.j", "p.score")
 
 
+def _rounds(pairs: DataFrame, key: str) -> DataFrame:
+    """The same matches: whatever is the best pair of both its sides is taken, with all pairs of these sides; and so on with the rest.
+
+    The order of pairs is strict, so such a pair is one that the fold takes, and each round takes the best of all at least.
+    """
+    out, left = None, staged(pairs, "left")
+    while not left.isEmpty():
+        best = lambda x: left.groupBy(key, x).agg(F.max(F.struct("score", "i", "j")).alias(f"b{x}"))  # noqa: B023, E731
+        p = F.struct("score", "i", "j")
+        taken = staged(left.join(best("i"), [key, "i"]).join(best("j"), [key, "j"]).where((p == F.col("bi")) & (p == F.col("bj"))).select(key, "i", "j", "score"), "taken")
+        out = taken if out is None else out.union(taken)
+        left = staged(left.join(taken.select(key, "i"), [key, "i"], "left_anti").join(taken.select(key, "j"), [key, "j"], "left_anti"), "left")
+    return pairs.limit(0) if out is None else out
+
+
 def prf(df: DataFrame, matched: str, predicted: str, gold: str, prefix: str = "") -> DataFrame:
     p = F.when(F.col(predicted) > 0, F.col(matched) / F.col(predicted)).otherwise(0.0)
     r = F.when(F.col(gold) > 0, F.col(matched) / F.col(gold)).otherwise(0.0)
@@ -85,15 +113,29 @@ def proposition_alignment(left: DataFrame, right: DataFrame, threshold: float =
     return greedy(scored.select(key, "i", "j", F.greatest("full", "text", "relaxed").alias("score")), key)
 
 
+#: What concept, text and equal types add to the score of two canonical propositions. Fixed values.
+CONCEPT, TEXT, SAME = 0.55, 0.35, 0.10
+
+
 def benchmark_pairs(pred: DataFrame, gold: DataFrame, threshold: float = 0.45, key: str = "case_id") -> DataFrame:
-    """Scored pairs of canonical propositions (key, i or j, c_type, c_concept, prop_text). threshold is over 0.10, so a shared token is needed."""
-    if threshold <= 0.10:
-        raise ValueError("pairs without a shared token would count: threshold must be over 0.10")
-    a = pred.select(key, "i", F.col("c_type").alias("a_type"), tokens("c_concept").alias("ac"), tokens("prop_text").alias("at"))
-    b = gold.select(key, "j", F.col("c_type").alias("b_type"), tokens("c_concept").alias("bc"), tokens("prop_text").alias("bt"))
-    pairs = scored_pairs(a, b, {"concept": ("ac", "bc"), "text": ("at", "bt")}, key).join(a.select(key, "i", "a_type"), [key, "i"]).join(b.select(key, "j", "b_type"), [key, "j"])
+    """Scored pairs of canonical propositions (key, i or j, c_type, c_concept, prop_text).
+
+    From a threshold of 0.45 on a pair shares a word of its concepts, or it has equal texts: pairs meet by one of these
+    words (the least they share tells them) or by the words of the texts, and are scored once.
+    """
+    if threshold < TEXT + SAME - 1e-12:
+        raise ValueError("pairs without a shared word of their concepts would count: threshold must be 0.45 at least")
+
+    def side(df: DataFrame, n: str, x: str) -> DataFrame:
+        return df.select(key, n, F.col("c_type").alias(f"{x}_type"), tokens("c_concept").alias(f"{x}c"), tokens("prop_text").alias(f"{x}t"))
+
+    a, b = side(pred, "i", "a"), side(gold, "j", "b")
+    shared = a.withColumn("w", F.explode(F.array_distinct("ac"))).join(b.withColumn("w", F.explode(F.array_distinct("bc"))), [key, "w"]).where(F.col("w") == F.array_min(F.array_intersect("ac", "bc"))).drop("w")
+    words = lambda c: F.array_join(F.sort_array(c), " ")
+    equal = a.withColumn("w", words("at")).join(b.withColumn("w", words("bt")), [key, "w"]).where((F.col("w") != "") & ~F.arrays_overlap("ac", "bc")).drop("w")
     same = F.when(F.col("a_type") == F.col("b_type"), 1.0).otherwise(0.0)
-    return pairs.withColumn("score", 0.55 * F.col("concept") + 0.35 * F.col("text") + 0.10 * same).where(F.col("score") >= threshold).select(key, "i", "j", "score")
+    score = CONCEPT * token_f1(F.col("ac"), F.col("bc")) + TEXT * token_f1(F.col("at"), F.col("bt")) + SAME * same
+    return shared.unionByName(equal).select(key, "i", "j", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def evaluate(pred: DataFrame, gold: DataFrame, matches: DataFrame, key: str = "case_id") -> DataFrame:

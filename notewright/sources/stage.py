@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+#: Tables of this process in the shared folder, for clean().
+WRITTEN: list[str] = []
+
+
+def clean(spark) -> None:
+    """Removes them: once a query's result is written, nothing reads them again."""
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that driver and executors share and read again, so what stands on it is planned anew."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="notewright-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
