@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_bytes, cut, drop_table, free_shuffles, partitions, text_slices, write_table
+from .common import WORDS, as_bytes, cut, drop_table, free_shuffles, partitions, text_slices, unzipped, write_table, zipped
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,10 +57,16 @@ class Words:
     def context(units: list, a: int, b: int) -> bytes:
         return b" ".join(units[a:b])
 
+    #: How many neighbouring windows of a hot anchor stay together, round by round.
+    widths = (1,)
+
     @classmethod
-    def windows(cls, context: bytes, n: int):
+    def parts(cls, context: bytes, at: int, n: int, width: int):
+        """(key, first window, windows, text): each window by itself."""
         w = context.split(b" ")
-        return (b" ".join(w[j : j + cls.window]) for j in range(n))
+        for j in range(n):
+            text = b" ".join(w[j : j + cls.window])
+            yield text, j, 1, text
 
 
 class Bytes:
@@ -85,10 +91,18 @@ class Bytes:
     def context(units: bytes, a: int, b: int) -> bytes:
         return units[a:b]
 
+    widths = (48, 7, 1)
+
     @classmethod
-    def windows(cls, context: bytes, n: int):
-        """128-bit hashes of the windows stand for them."""
-        return (xxhash.xxh3_128_digest(context[j : j + cls.window]) for j in range(n))
+    def parts(cls, context: bytes, at: int, n: int, width: int):
+        """(key, first window, windows, text) for each run of windows whose anchor lies within `width` places.
+
+        key: the run of places and the bytes that every window of it holds. Equal windows have their anchor at one
+        place, so they fall to one key; windows that differ in those bytes don't."""
+        for run in range(max(0, at - n + 1) // width, at // width + 1):
+            a, b = max(0, at - (run + 1) * width + 1), min(n - 1, at - run * width)  # its windows here
+            first, last = at - run * width, at - (run + 1) * width + 1 + cls.window
+            yield b"%d:%d:" % (width, run) + context[max(0, first) : last], a, b - a + 1, context[a : b + cls.window]
 
 
 def runs(unit, h: np.ndarray, bounds: np.ndarray, most: int = 1 << 21):
@@ -214,7 +228,7 @@ def _contexts(unit, keep_first: bool):
     def run(batches):
         for batch in batches:
             doc, key, shared = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            texts = as_bytes(batch.column(2))
+            texts = unzipped(batch.column(2))
             found = _Combined(keep_first)
             for a, b in text_slices(texts, 2_000_000):
                 h, bounds, units = unit.units(texts[a:b])
@@ -231,20 +245,22 @@ def _contexts(unit, keep_first: bool):
     return run
 
 
-#: An anchor of more contexts than this is dealt out anew, by its windows.
+#: An anchor of more contexts than this is dealt out anew, by what its windows hold.
 HOT = 2_000
+#: So many hot anchors at most are broadcast; more are joined.
+BROADCAST_ROWS = 1_000_000
 
 
-def _refined(unit, keep_first: bool):
-    """Contexts of hot anchors as one row for each window, keyed by the whole window: equal windows alone still meet."""
+def _refined(unit, width: int, keep_first: bool):
+    """Contexts of hot anchors by unit.parts: a few rows each, of which equal ones are combined."""
 
     def run(batches):
         for batch in batches:
             found = _Combined(keep_first)
             cols = [c.to_pylist() for c in batch.columns]
-            for _, doc, key, start, windows, _, context, n in zip(*cols):
-                for j, w in enumerate(unit.windows(context, windows)):
-                    found.add((xxhash.xxh64_intdigest(w, 3) - (1 << 63), doc, key, start + j, 1, 0, w), n)
+            for _, doc, key, start, windows, at, context, n in zip(*cols):
+                for name, j, m, text in unit.parts(context, at, windows, width):
+                    found.add((xxhash.xxh64_intdigest(name, 3) - (1 << 63), doc, key, start + j, m, at - j, text), n)
             yield from found.batches()
 
     return run
@@ -274,50 +290,70 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    classes = cut(rows.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "classes")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("key"), "text")
+    copies = rows.select("doc", "key", F.unhex(F.md5(text.cast("binary"))).alias("md5"), F.octet_length(text).alias("size"))
+    classes = cut(copies.groupBy("md5", "size").agg(F.min(F.struct("doc", "key")).alias("first"), F.count("*").alias("copies")).select("md5", "size", F.col("first.doc").alias("first"), F.col("first.key").alias("ck"), "copies"), "classes")
+    packed = zipped(rows, "text")
 
     held = [write_table(rows.select("doc", "key", "text").mapInArrow(_found(unit), ANCHORS), "anchors")]
     anchors = spark.read.schema(ANCHORS).parquet(held[0])
     here = anchors.where("kind <> 1").repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(_shared, "doc long, key long, hash long")
     lists = here.union(anchors.where("kind = 1").select("doc", "key", "hash")).groupBy("doc", "key").agg(F.collect_set("hash").alias("hashes"))
-    lists = lists.join(classes.select(F.col("key").alias("ck"), "first"), (F.col("key") == F.col("ck")) & (F.col("doc") == F.col("first")), "left_semi")
+    lists = lists.join(classes.select("ck", "first"), (F.col("key") == F.col("ck")) & (F.col("doc") == F.col("first")), "left_semi")
     lists = cut(lists.select(F.col("doc").alias("ld"), F.col("key").alias("lk"), "hashes"), "lists")
     del here
     drop_table(spark, held.pop())  # the lists are written: nothing reads it again
     free_shuffles(spark)
-    with_text = rows.join(lists, (rows["doc"] == lists["ld"]) & (rows["key"] == lists["lk"]))
+    with_text = packed.join(lists, (packed["doc"] == lists["ld"]) & (packed["key"] == lists["lk"]))
     held.append(write_table(with_text.select("doc", "key", "text", "hashes").mapInArrow(_contexts(unit, keep_first), CONTEXT), "contexts"))
     contexts = spark.read.schema(CONTEXT).parquet(held[-1])
     del with_text
     free_shuffles(spark)
-    open_ = contexts.where("hash is not null")
-    hot = open_.groupBy("hash").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("hash").alias("hot"))
-    held.append(write_table(open_.join(hot, F.col("hash") == F.col("hot"), "left_semi").mapInArrow(_refined(unit, keep_first), CONTEXT), "refined"))
-    refined = spark.read.schema(CONTEXT).parquet(held[-1])
-    open_ = open_.join(hot, F.col("hash") == F.col("hot"), "left_anti").union(refined.where("hash is not null"))
+    open_, cold, told = contexts.where("hash is not null"), [], [contexts.where("hash is null")]
+    for width in unit.widths:
+        hot = cut(open_.groupBy("hash").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("hash").alias("hot")), "hot")
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        held.append(write_table(open_.join(hot, F.col("hash") == F.col("hot"), "left_semi").mapInArrow(_refined(unit, width, keep_first), CONTEXT), "refined"))
+        refined = spark.read.schema(CONTEXT).parquet(held[-1])
+        cold.append(open_.join(hot, F.col("hash") == F.col("hot"), "left_anti"))
+        told.append(refined.where("hash is null"))
+        open_ = refined.where("hash is not null")
+    for more in cold:
+        open_ = open_.union(more)
     spans = open_.repartition(n, "hash").sortWithinPartitions("hash", "context", "doc").mapInArrow(judge, SPANS)
-    settled = contexts.union(refined).where("hash is null").select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
+    settled = told[0]
+    for more in told[1:]:
+        settled = settled.union(more)
+    settled = settled.select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
     spans = cut(spans.union(settled).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "marks")).alias("spans")).select(F.col("doc").alias("sd"), F.col("key").alias("sk"), "spans"), "spans")
-    del open_, settled
+    del open_, settled, cold, told
     for path in held:
         drop_table(spark, path)
     free_shuffles(spark)
 
-    few = classes.where("copies > 1").select(F.col("key").alias("ck"), "first")
-    marked = rows.select("doc", "key").join(few, rows["key"] == few["ck"])  # copies: all but the first, or all
+    few = classes.where("copies > 1").select(F.col("md5").alias("cm"), F.col("size").alias("cs"), "first")
+    marked = copies.join(few, (copies["md5"] == few["cm"]) & (copies["size"] == few["cs"]))  # copies: all but the first, or all
     whole = (marked.where("doc <> first") if keep_first else marked).select(F.col("doc").alias("wd"), F.col("key").alias("wk"), F.lit(True).alias("whole")).distinct()
     info = spans.join(whole, (F.col("sd") == F.col("wd")) & (F.col("sk") == F.col("wk")), "full").select(F.coalesce("sd", "wd").alias("id"), F.coalesce("sk", "wk").alias("ik"), "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
     info = cut(info, "info")
-    joined = rows.join(info, (rows["doc"] == info["id"]) & (rows["key"] == info["ik"]), "left").select("doc_id", "text", "spans", "whole")
+    return cleaned(packed, info, remove, schema, empty)
+
+
+def cleaned(packed: DataFrame, info: DataFrame, remove, schema: str, empty) -> DataFrame:
+    """remove() over each text (doc_id, doc, key, zipped text) with its spans and whether all of it goes (id, ik, spans, whole)."""
+    joined = packed.join(info, (packed["doc"] == info["id"]) & (packed["key"] == info["ik"]), "left").select("doc_id", "text", "spans", "whole")
 
     def last(batches):
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = unzipped(batch.column(1))
             spans, whole = batch.column(2), batch.column(3).to_pylist()
             docs, at = _marked(spans)
             edges = np.searchsorted(docs, np.arange(len(texts) + 1))
             got = [remove(t or b"", at[edges[i] : edges[i + 1]], bool(whole[i])) for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), empty))] if got else [batch.column(0), *(pa.array([], t) for t in empty)], names=["doc_id", *(f.split()[0] for f in schema.split(", "))])
 
-    return joined.mapInArrow(last, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
+    return joined.mapInArrow(last, f"doc_id {dict(packed.dtypes)['doc_id']}, {schema}")

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Words, repeated
-from .common import WORDS
+from .anchors import SPANS, Words, cleaned, repeated
+from .common import WORDS, as_bytes, cut, zipped
 
 #: An automaton takes so many words of reference contexts; more make further shards, each of which all contexts pass.
 SHARD_WORDS = 100_000
@@ -178,3 +178,45 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     kinds = (pa.int64(), pa.int64(), pa.binary())
     return repeated(rows, Words, _judge(Words.window), _without(Words.window), "n_words long, n_removed long, kept binary", True, kinds).withColumn("kept", F.col("kept").cast("string"))
+
+
+def deduplicate_by_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 200_000) -> DataFrame:
+    """The same rows as deduplicate() by whole reference shards: each shard's automaton is broadcast, and every text with an id
+    not below the shard's is streamed through it.
+
+    Shards are ranges of ids of about shard_words words; one that holds more is cut into halves before it is collected, but
+    for rows of one id. Work grows with the square of the number of documents, so this is for small tables and tests.
+    """
+    spark, window = docs.sparkSession, Words.window
+    none = (1 << 63) - 1
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = cut(rows.select("doc_id", F.coalesce("doc_id", F.lit(none)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")), "rows")
+    size = F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+")))
+    todo = [rows.agg(F.min("doc"), F.max("doc")).first()]
+    found = spark.createDataFrame([], SPANS)
+    while todo:
+        low, high = todo.pop()
+        if low is None or low == none:  # a null id is no reference
+            continue
+        shard = rows.where((F.col("doc") >= low) & (F.col("doc") <= high) & (F.col("doc") < none))
+        if low < high and (shard.agg(size).first()[0] or 0) > shard_words:
+            todo += [(low, (low + high) // 2), ((low + high) // 2 + 1, high)]
+            continue
+        automaton = SuffixAutomaton()
+        for r in shard.select("doc", "text").toLocalIterator():
+            automaton.add(WORDS.findall(r["text"].encode()), r["doc"])
+        shared = spark.sparkContext.broadcast(automaton.finish())
+
+        def stream(batches, shared=shared):
+            for batch in batches:
+                out = []
+                for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                    marks = bytes(49 if d is not None and d < doc else 48 for d in shared.value.statistics(WORDS.findall(text), window))
+                    if b"1" in marks:
+                        out.append((doc, key, 0, marks))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc", "key", "start", "marks"])
+
+        found = found.union(cut(rows.where(F.col("doc") >= low).select("doc", "key", "text").mapInArrow(stream, SPANS), "streamed"))
+    info = found.distinct().groupBy(F.col("doc").alias("id"), F.col("key").alias("ik")).agg(F.collect_list(F.struct("start", "marks")).alias("spans")).withColumn("whole", F.lit(False))
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    return cleaned(zipped(rows, "text"), info, _without(window), "n_words long, n_removed long, kept binary", kinds).withColumn("kept", F.col("kept").cast("string"))

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="notewright-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -34,6 +36,7 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd") -> str:
     """Writes df as Parquet in the shared folder and returns the path; a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/notewright-{name}-{uuid.uuid4().hex[:12]}"
+    WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return path
 
@@ -43,6 +46,16 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, codec))
 
 
+#: Tables of this process that stand in the shared folder, for clean().
+WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this process: once its results are written, nothing reads them again."""
+    while WRITTEN:
+        drop_table(spark, WRITTEN.pop())
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -86,6 +99,33 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def zipped(df: DataFrame, column: str) -> DataFrame:
+    """df with a string column as compressed bytes, for shuffles; null stays null."""
+    from pyspark.sql import types as T
+
+    k = df.columns.index(column)
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in df.schema.fields]
+
+    def run(batches):
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[k] = pa.array([None if t is None else zip_(t) for t in as_bytes(cols[k])], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def unzipped(column: pa.Array) -> list:
+    """Bytes (or None) of a column of zipped()."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor().decompress
+    return [None if z is None else unzip(z) for z in column.to_pylist()]
+
+
 def text_slices(values: list, most: int = 4_000_000):
     """Ranges (a, b) of values that hold about `most` characters or bytes at a time; one long value stands alone."""
     a = size = 0

@@ -58,91 +58,77 @@ class CoverRanks:
         key = a.reshape(-1) if b is None else a.reshape(-1) * (int(b.max(initial=0)) + 1) + b.reshape(-1)
         return np.unique(key, return_inverse=True)[1].reshape(a.shape)
 
-    def of(self, positions: np.ndarray) -> np.ndarray:
-        """Ranks of sampled positions."""
-        return self.rank[np.array([self.row[r] for r in (positions % self.v).tolist()], np.int64) if len(self.residues) > 1 else np.zeros(len(positions), np.int64), positions // self.v]
-
-    @lru_cache
-    def shift(self, r: int, s: int) -> int:
-        """The least d for which r + d and s + d are both residues of the cover."""
+    @property
+    def by_position(self) -> np.ndarray:
+        """The rank of each position, -1 where it isn't sampled."""
+        out = np.full(self.rank.shape[1] * self.v, -1, np.int64)
+        for r, k in self.row.items():
+            out[r :: self.v] = self.rank[k]
+        return out
+
+    def shifts(self) -> list[list[int]]:
+        """For each two residues the least d by which positions of both are moved to sampled ones."""
         have = set(self.residues)
-        return next(d for d in range(self.v) if (r + d) % self.v in have and (s + d) % self.v in have)
+        return [[next(d for d in range(self.v) if (r + d) % self.v in have and (s + d) % self.v in have) for s in range(self.v)] for r in range(self.v)]
 
 
-def sort_bucket(text: np.ndarray, positions: np.ndarray, ranks: CoverRanks) -> np.ndarray:
-    """The positions of one bucket by suffix: by bytes as far as the next common sampled position, then by its rank."""
-    residues = np.unique(positions % ranks.v)
-    if len(residues) == 1:
-        d = ranks.shift(int(residues[0]), int(residues[0]))
-        keys = [ranks.of(positions + d)]
-        for k in reversed(range(d)):
-            at = positions + k
-            keys.append(np.where(at < len(text), text[np.minimum(at, len(text) - 1)], 0))
-        return positions[np.lexsort(keys)]
-    data = text.tobytes()
+def bucket_sorter(text: np.ndarray, ranks: CoverRanks):
+    """A function that sorts the positions of one bucket by suffix: by bytes as far as the next common sampled position, then by its rank."""
+    v, data, rank, shifts = ranks.v, text.tobytes() + bytes(2 * ranks.v), ranks.by_position, ranks.shifts()
 
     def compare(i: int, j: int) -> int:
-        d = ranks.shift(i % ranks.v, j % ranks.v)
-        a, b = data[i : i + d].ljust(d, b"\0"), data[j : j + d].ljust(d, b"\0")
+        d = shifts[i % v][j % v]
+        a, b = data[i : i + d], data[j : j + d]
         if a != b:
             return -1 if a < b else 1
-        x, y = ranks.of(np.array([i + d, j + d]))
-        return int(x > y) - int(x < y)
+        return int(rank[i + d] - rank[j + d])
 
-    return np.array(sorted(positions.tolist(), key=cmp_to_key(compare)), np.int64)
+    key = cmp_to_key(compare)
+    return lambda positions: sorted(positions, key=key)
 
 
 def suffix_array(text: bytes, v: int = 16, prefix: int = 2):
     """The suffixes of a block in order (zero bytes follow its end), yielded one bucket (of equal first `prefix` bytes) at a time."""
     t = np.frombuffer(text, np.uint8)
-    ranks = CoverRanks(t, v, len(t) + v)
+    sort = bucket_sorter(t, CoverRanks(t, v, len(t) + v))
     padded = np.concatenate([t, np.zeros(prefix, np.uint8)]).astype(np.int64)
     bucket = sum(padded[k : k + len(t)] << 8 * (prefix - 1 - k) for k in range(prefix))
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(t) else np.zeros(1, np.int64)
     for a, b in zip(edges, edges[1:]):
-        yield sort_bucket(t, order[a:b], ranks)
-
-
-def _ordered(parts: list[bytes], group: np.ndarray, depth: int, v: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the parts by (group, bytes), and what each has in common with the one before it (-1: another group).
-
-    The parts start at multiples of v in one block, so all of them are sampled positions of the same residue
-    and no comparison needs another one."""
-    size = np.array([-(-min(len(p), depth) // v) * v for p in parts], np.int64)
-    at = np.cumsum(size) - size
-    block = np.frombuffer(b"".join(p[:depth].ljust(int(s), b"\0") for p, s in zip(parts, size)) + bytes(v), np.uint8)
-    cells = np.zeros((len(parts), -(-depth // v)), np.int64)
-    ranks = CoverRanks(block, v, v, residues=(0,)).rank[0]
-    owner = np.repeat(np.arange(len(parts)), size // v)
-    cells[owner, np.arange(len(owner)) - (at // v)[owner]] = ranks[: len(owner)] + 1
-    step = 1
-    while step < cells.shape[1]:  # doubling, within each part
-        later = np.zeros_like(cells)
-        later[:, :-step] = cells[:, step:]
-        cells = CoverRanks._renamed(cells, later)
-        step *= 2
-    name = cells[:, 0]
-    order = np.lexsort((name, group))
-    wide = np.zeros((len(parts), depth), np.uint8)
-    for k, p in enumerate(parts):
-        wide[k, : min(len(p), depth)] = np.frombuffer(p[:depth], np.uint8)
-    wide = wide[order]
-    same = wide[1:] == wide[:-1]
-    common = np.where(same.all(1), depth, same.argmin(1))
-    common = np.concatenate([[-1], np.where(group[order][1:] != group[order][:-1], -1, common)])
+        yield sort(order[a:b].tolist())
+
+
+def _ordered(block: np.ndarray, positions: np.ndarray, group: np.ndarray, depth: int, v: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at these positions, one bucket (group, ascending) after the other, and what each has in common with
+    the one before it, to the depth (-1: another bucket)."""
+    sort = bucket_sorter(block, CoverRanks(block, v, depth + v))
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    index = {p: k for k, p in enumerate(positions.tolist())}
+    order = np.array([index[p] for a, b in zip(edges.tolist(), edges[1:].tolist()) for p in sort(positions[a:b].tolist())], np.int64)
+    padded = np.concatenate([block, np.zeros(depth, np.uint8)])
+    common = np.full(len(order), -1, np.int64)
+    for a in range(1, len(order), 4096):  # a bounded number at a time
+        at = positions[order[a - 1 : a + 4096]]
+        wide = np.lib.stride_tricks.sliding_window_view(padded, depth)[at]
+        same = wide[1:] == wide[:-1]
+        common[a : a + 4096] = np.where(same.all(1), depth, same.argmin(1))
+    common[edges[:-1]] = -1
     return order, common
 
 
 def mark(contexts: list[bytes], group: np.ndarray, at: np.ndarray, windows: np.ndarray, times: np.ndarray, window: int, k: int) -> np.ndarray:
-    """marks[i, j]: window j of context i occurs more than once among the contexts of its group.
+    """marks[i, j]: window j of context i occurs more than once among the contexts of its group (groups ascend).
 
     Equal windows have the anchor at the same place, x bytes after their start: they agree on x bytes before it
-    and window - x from it on. The suffixes from the anchor on, and those of the reversed bytes before it, are
-    sorted within the anchor's bucket; agreement to a depth is then a run of neighbours.
+    and window - x from it on. The contexts lie one after the other in a block; a bucket is the suffixes that begin
+    with one anchor, and those of the reversed block from it on backwards. Agreement to a depth is a run of neighbours in
+    their order.
     """
-    right, common_right = _ordered([c[a:] for c, a in zip(contexts, at.tolist())], group, window)
-    left, common_left = _ordered([c[:a][::-1] for c, a in zip(contexts, at.tolist())], group, window - k)
+    size = np.array([len(c) for c in contexts], np.int64)
+    block, place = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(size) - size + at
+    right, common_right = _ordered(block, place, group, window)
+    left, common_left = _ordered(block[::-1], len(block) - place, group, window - k)
     marks = np.zeros((len(contexts), window - k + 1), np.uint8)
     names = [np.empty(len(contexts), np.int64) for _ in range(2)]
     for x in range(window - k + 1):
@@ -157,43 +143,56 @@ def mark(contexts: list[bytes], group: np.ndarray, at: np.ndarray, windows: np.n
     return marks
 
 
-def _judge(window: int, k: int, block: int = 6_000_000):
-    """Whole groups, about `block` bytes of contexts at a time."""
+def _judge(window: int, k: int, block: int = 3_000_000):
+    """Buckets of anchors, in blocks of about `block` bytes of different contexts; a context that many rows share stands there once."""
 
     def run(batches):
-        held, group, size, name, number = [], [], 0, None, 0
+        held, rows, size, name, number = [], [], 0, None, 0  # held: (context, at, windows, times, bucket); rows: (doc, key, start, its place in held)
+        group: list = []  # of one anchor: [context, at, windows, times, rows]
 
         def out():
-            cols = list(zip(*held))
-            at, windows, times = (np.array(c, np.int64) for c in cols[3:6])
-            marks = mark(list(cols[6]), np.array(cols[7]), at, windows, times, window, k)
-            hit = np.flatnonzero(marks.any(1))
-            return pa.RecordBatch.from_arrays([
-                *(pa.array([cols[c][i] for i in hit], pa.int64()) for c in range(3)),
-                pa.array([(marks[i, : windows[i]] + 48).tobytes() for i in hit], pa.binary()),
-            ], names=["doc", "key", "start", "marks"])
+            if not held:
+                return None
+            contexts, at, windows, times, bucket = zip(*held)
+            marks = mark(list(contexts), *(np.array(c, np.int64) for c in (bucket, at, windows, times)), window, k)
+            hit = marks.any(1)
+            told = [(d, key, s, (marks[i, : windows[i]] + 48).tobytes()) for d, key, s, i in rows if hit[i]]
+            return told
 
         def close():
             nonlocal size, number
-            if len(group) > 1 or group and group[0][5] > 1:
-                held.extend((*g, number) for g in group)
-                size += sum(len(g[6]) for g in group)
+            if len(group) > 1:
+                for context, at, windows, times, members in group:
+                    rows.extend((*m, len(held)) for m in members)
+                    held.append((context, at, windows, times, number))
+                    size += len(context)
                 number += 1
+            elif group and group[0][3] > 1:  # one context, several times: all its windows
+                alone.extend((*m, b"1" * group[0][2]) for m in group[0][4])
             group.clear()
 
+        def batch_of(told):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc", "key", "start", "marks"])
+
+        alone: list = []
         for batch in batches:
             got = batch.to_pydict()
-            for h, *row in zip(*(got[x] for x in ("hash", "doc", "key", "start", "at", "windows", "n", "context"))):
+            for h, doc, key, start, at, windows, n, context in zip(*(got[x] for x in ("hash", "doc", "key", "start", "at", "windows", "n", "context"))):
                 if h != name:
                     close()
                     name = h
-                    if size > block:
-                        yield out()
-                        held, size, number = [], 0, 0
-                group.append(tuple(row))
+                    if size > block or len(alone) > 20_000:
+                        if told := [*(out() or []), *alone]:
+                            yield batch_of(told)
+                        held, rows, size, number, alone = [], [], 0, 0, []
+                if group and group[-1][0] == context:
+                    group[-1][3] += n
+                    group[-1][4].append((doc, key, start))
+                else:
+                    group.append([context, at, windows, n, [(doc, key, start)]])
         close()
-        if held:
-            yield out()
+        if told := [*(out() or []), *alone]:
+            yield batch_of(told)
 
     return run
 
@@ -216,7 +215,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept), a row for each row of docs; kept: the remaining bytes.
 
     A byte goes if a 400-byte string that covers it also starts anywhere else, in the same document or another.
-    Buckets of suffixes are those that begin with one anchor; only anchors that occur more than once have one.
+    Buckets of suffixes are those that begin with one anchor; only anchors that occur more than once have one. A bucket is
+    sorted by bytes as far as the next sampled position of a difference cover that two suffixes share, then by ranks of
+    the samples of its block, so a comparison looks at 32 bytes at most; a block's size bounds the memory.
     A null text is empty; null ids stay; repeated rows are copies of each other, so 400 bytes or more of them
     go altogether; an empty table gives no rows; other columns are not read.
     """
