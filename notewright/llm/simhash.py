@@ -420,9 +420,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that groups() keeps, with the columns of docs alone; of equal rows one."""
     found = cut(groups(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).select("doc_id", "md5", "kept"), "groups")
+    mine, hashed = (next(n + "_" * k for k in range(1, 99) if n + "_" * k not in docs.columns) for n in ("id", "md5"))
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id__"), F.col("md5").alias("kept_md5__"))
-    named = docs.withColumns({"id__": docs[id_col].cast("long"), "md5__": F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))})
-    out = named.join(kept, named["md5__"].eqNullSafe(kept["kept_md5__"]) & named["id__"].eqNullSafe(kept["kept_id__"]), "left_semi")
+    named = docs.withColumns({mine: docs[id_col].cast("long"), hashed: F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))})
+    out = named.join(kept, named[hashed].eqNullSafe(kept["kept_md5__"]) & named[mine].eqNullSafe(kept["kept_id__"]), "left_semi")
     if not found.groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
-        out = out.dropDuplicates(["id__", "md5__"])
+        out = out.dropDuplicates([mine, hashed])
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,6 +7,7 @@ go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import islice
@@ -25,8 +26,33 @@ BY_WORD = re.compile(rf"{_LETTERS}(?=[.,]?(?:{_SPACE}|\Z))|[^\x20\x09-\x0d]+")
 BY_SPACE = re.compile(rf"\x20?{_LETTERS}(?=[.,]?(?:{_SPACE}|\Z))|\x20?[^\x20\x09-\x0d]+|{_SPACE}+(?![^\x20\x09-\x0d])|{_SPACE}+")
 #: For a known file: its chunks, and whether it lower-cases.
 CHUNKS = {"word_bpe_49k.json": (BY_WORD, True), "byte_bpe_50k.json": (BY_SPACE, False)}
-#: Chunks that are encoded many at a time.
-SIMPLE = re.compile(rf"\x20?{_LETTERS}")
+#: Chunks that are encoded many at a time: in files that mark a word's end, or the space before it.
+SIMPLE, SPACED = re.compile("[a-z\xdf-\xf6\xf8-\xff]++"), re.compile(rf"\x20{_LETTERS}")
+
+
+def byte_letters() -> dict[int, str]:
+    """What byte-level files write for each byte: itself if it can be seen, else the next letter from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_LETTER_OF = byte_letters()
+#: The same for characters of two bytes at most (Latin-1), as str.translate takes it.
+_WORD_BYTES = {c: "".join(_LETTER_OF[b] for b in chr(c).encode()) for c in range(256) if c != 10}
+
+
+def plain_tokenizer(path: str):
+    """The file's own merges without what finds words, for words that are told apart already: the library's byte-level
+    pre-tokenizer and its cache take more time than the merges. They are joined by line feeds, in byte_letters()."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    options = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)}
+    out = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options))
+    out.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    return out
 
 
 class _Memo(dict):
@@ -53,11 +79,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.chunks, self.end_id, self.lower, self.keep = chunks, end_id, lower, keep
-        #: Ids at the bounds of texts joined by `between`: the last one of each word, or the line feed itself.
-        self.between = " " if lower else "\n"
+        self.simple = SIMPLE if lower else SPACED
+        #: Ids that a word ends in, or (with the space before it) begins with.
         self.bound = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         if chunks:
-            self.bound[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if (t.endswith("</w>") if lower else t == "\u010a")]] = True
+            self.plain = plain_tokenizer(tokenizer)
+            self.bound[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if (t.endswith("</w>") if lower else t.startswith(_LETTER_OF[32]))]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -74,23 +101,21 @@ class Encoder:
         self.flat = self.flat[np.repeat(at - (np.cumsum(self.n) - self.n), self.n) + np.arange(int(self.n.sum()))]
         self.at = np.cumsum(self.n) - self.n
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has. Letters only: many are encoded at once, and told apart by the ids at their bounds."""
-        encode = lambda x: self.tok.encode_batch_fast(x, add_special_tokens=False)
-        groups = [texts[a : a + 512] for a in range(0, len(texts), 512)]
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, and how many each has: many are encoded at once, and told apart by the ids at their bounds."""
         ids_of, n_of = [], []
-        for group, e in zip(groups, encode([self.between.join(g) for g in groups])):
-            ids = np.array(e.ids, np.uint32)
-            at = np.flatnonzero(self.bound[ids])
-            if self.lower:
-                n = np.diff(at, prepend=-1)
-            else:
-                ids, n = np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
-            if len(n) != len(group):
-                one_by_one = [x.ids for x in encode(group)]
-                ids, n = np.array([i for x in one_by_one for i in x], np.uint32), np.array(list(map(len, one_by_one)))
-            ids_of.append(ids)
-            n_of.append(n)
+        for a in range(0, len(words), 65_536):
+            joined = ["\n".join(words[k : k + 512]) for k in range(a, min(a + 65_536, len(words)), 512)]
+            joined = [x.replace(" ", _LETTER_OF[32]) if x.isascii() else x.translate(_WORD_BYTES) for x in joined]
+            for k, e in enumerate(self.plain.encode_batch_fast(joined, add_special_tokens=False)):
+                group, ids = words[a + 512 * k : a + 512 * (k + 1)], np.array(e.ids, np.uint32)
+                at = np.flatnonzero(self.bound[ids])
+                n = np.diff(at, prepend=-1) if self.lower else np.diff(at, append=len(ids))
+                if len(n) != len(group):
+                    one_by_one = [x.ids for x in self.tok.encode_batch_fast(group, add_special_tokens=False)]
+                    ids, n = np.array([i for x in one_by_one for i in x], np.uint32), np.array(list(map(len, one_by_one)))
+                ids_of.append(ids)
+                n_of.append(n)
         return np.concatenate([np.empty(0, np.uint32), *ids_of]), np.concatenate([np.empty(0, np.int64), *n_of])
 
     def _learn(self) -> None:
@@ -98,13 +123,17 @@ class Encoder:
         new, self.memo.new = self.memo.new, []
         if not new:
             return
-        simple = np.array([SIMPLE.fullmatch(c) is not None for c in new]) if self.chunks else np.zeros(len(new), bool)
-        ids, n_simple = self._ids([c for c, s in zip(new, simple.tolist()) if s])
-        rest = [e.ids for e in self.tok.encode_batch_fast([c for c, s in zip(new, simple.tolist()) if not s], add_special_tokens=False)]
+        kind = [self.simple.fullmatch(c) is not None for c in new] if self.chunks else [False] * len(new)
+        some = np.array([k for k, x in enumerate(kind) if x], np.int64)
+        plain = np.array([new[k].isascii() for k in some.tolist()], bool)
+        some = np.concatenate([some[plain], some[~plain]]) if len(some) else some  # words of plain letters stand together
+        others = np.array([k for k, x in enumerate(kind) if not x], np.int64)
+        ids, n_some = self._ids([new[k] for k in some.tolist()])
+        rest = [e.ids for e in self.tok.encode_batch_fast([new[k] for k in others.tolist()], add_special_tokens=False)]
         n_rest = np.fromiter(map(len, rest), np.int64, len(rest))
         n, at = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        n[simple], n[~simple] = n_simple, n_rest
-        at[simple], at[~simple] = len(self.flat) + np.cumsum(n_simple) - n_simple, len(self.flat) + len(ids) + np.cumsum(n_rest) - n_rest
+        n[some], n[others] = n_some, n_rest
+        at[some], at[others] = len(self.flat) + np.cumsum(n_some) - n_some, len(self.flat) + len(ids) + np.cumsum(n_rest) - n_rest
         self.at, self.n, self.flat = np.concatenate([self.at, at]), np.concatenate([self.n, n]), np.concatenate([self.flat, ids, np.array([i for x in rest for i in x], np.uint32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -53,30 +53,28 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, *, id_co
     """
     spark = docs.sparkSession
     wide = "<u4"
+    small = encoder(tokenizer, end_id).tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16
+    n_planes = 2 if small else 4
 
     def tokens(batches):
-        enc, part, start = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        small = enc.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16
+        """A row for each document (its ids in planes of bytes, which compress better), and of each slice how often each id occurs."""
+        enc, shifts = encoder(tokenizer, end_id), [8 * k for k in range(n_planes)]
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, 1_000_000):
+            texts = batch.column(1).to_pylist()
+            for a, b in text_slices(texts, 2_000_000):
                 ids, ends = enc.encode(texts[a:b])
-                n = np.diff(ends)
-                # the high and the low bytes apart: both compress better
-                planes = [(ids >> s).astype(np.uint8).tobytes() for s in ((0, 8) if small else (0, 8, 16, 24))]
+                planes = np.stack([(ids >> s).astype(np.uint8) for s in shifts])
                 times = np.bincount(ids)
                 seen = np.flatnonzero(times)
-                times = times[seen]
+                rows = [planes[:, x:y].tobytes() for x, y in zip(ends.tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([[-(1 << 63) if x is None else x for x in doc_ids[a:b]]], pa.list_(pa.int64())), pa.array([n.astype(wide).tobytes()], pa.binary()),
-                    pa.array([b"".join(planes)], pa.binary()), pa.array([len(planes)], pa.int32()), pa.array([seen.astype(wide).tobytes()], pa.binary()), pa.array([times.astype(wide).tobytes()], pa.binary()),
-                ], names=["part", "start", "doc_ids", "lengths", "ids", "planes", "seen", "times"])
-                start += len(ids)
-
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ready = write_table(ordered.mapInArrow(tokens, "part int, start long, doc_ids array<long>, lengths binary, ids binary, planes int, seen binary, times binary"), "ids")
-    del ordered
-    free_shuffles(spark)
+                    pa.array([False] * (b - a) + [True]), pa.concat_arrays([batch.column(0).slice(a, b - a), pa.nulls(1, pa.int64())]), pa.array([*rows, seen.astype(wide).tobytes()], pa.binary()),
+                    pa.concat_arrays([pa.nulls(b - a, pa.binary()), pa.array([times[seen].astype(wide).tobytes()], pa.binary())]),
+                ], names=["counted", "doc_id", "ids", "times"])
+
+    encoded = "counted boolean, doc_id long, ids binary, times binary"
+    ready = write_table(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tokens, encoded), "ids")
+    rows = spark.read.schema(encoded).parquet(ready)
 
     def counts(batches):
         total = np.zeros(1 << 16, np.int64)
@@ -89,31 +87,44 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, *, id_co
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
-    by_n = spark.read.parquet(ready).select("seen", "times").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    by_n = rows.where("counted").select("ids", "times").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ranked = by_n.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
     rank = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
 
     def blocks(batches):
-        for batch in batches:
-            got = batch.to_pydict()
-            for k in range(batch.num_rows):
-                n = np.frombuffer(got["lengths"][k], wide)
-                planes = np.frombuffer(got["ids"][k], np.uint8).reshape(got["planes"][k], -1)
-                ids = sum(p.astype(np.uint32) << 8 * s for s, p in enumerate(planes))
-                control, data = encode(shared.value[ids])
-                doc = np.array(got["doc_ids"][k], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([got["part"][k]], pa.int32()), pa.array([got["start"][k]], pa.int64()), pa.array([doc.astype("<i8").tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary()),
-                ], names=["part", "start", "doc_ids", "lengths", "n_tokens", "control", "data"])
+        part, start, docs_held, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def out():
+            n = np.array([len(x) // n_planes for x in held], wide)
+            ids = np.concatenate([sum(p.astype(np.uint32) << 8 * s for s, p in enumerate(np.frombuffer(x, np.uint8).reshape(n_planes, -1))) for x in held])
+            control, data = encode(shared.value[ids])
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([np.array(docs_held, "<i8").tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(ids)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary()),
+            ], names=["part", "start", "doc_ids", "lengths", "n_tokens", "control", "data"])
 
-    out = spark.read.parquet(ready).select("part", "start", "doc_ids", "lengths", "ids", "planes").mapInArrow(blocks, BLOCK)
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs_held.append(-(1 << 63) if doc is None else doc)
+                held.append(x)
+                size += len(x) // n_planes
+                if size >= block_tokens:
+                    yield out()
+                    start, docs_held, held, size = start + size, [], [], 0
+        if held:
+            yield out()
+
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = rows.where("not counted").select("doc_id", "ids").repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "ids")
+    out = ordered.mapInArrow(blocks, BLOCK)
     if path is None:
         path = write_table(out, "varbytes")
     else:
         out.write.option("compression", "zstd").parquet(path)
+    del out, ordered, rows
     drop_table(spark, ready)
+    free_shuffles(spark)
     return path, ranked.tolist()
 
 
