@@ -213,3 +213,21 @@ def concept_scores(pred: DataFrame, ref: DataFrame, in_ref: DataFrame, in_pred:
 
 def first_family(text: Column, table: dict) -> Column:
     return F.coalesce(*(F.when(first_hit(text, words).isNotNull(), name) for name, words in table.items()))
+
+
+def fact_records(df: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """(keys, pos, fact_text, item): facts out of JSON (a list, an object with "atomic_propositions", or one object) or of the lines of a plain text.
+
+    item is the fact's JSON, null for lines; a fact's text is fact_text, proposition_text or text, or else its JSON; blank ones go.
+    """
+    v, list_of = F.try_parse_json(raw), "array<variant>"
+    kind = F.schema_of_variant(v)
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", list_of)).when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(v, "$.atomic_propositions", list_of), F.array(v)))
+    parsed = df.where(items.isNotNull()).select(*keys, F.posexplode(items).alias("pos", "v")).where(F.schema_of_variant("v").rlike("^(OBJECT|STRING)"))
+    given = [F.nullif(F.trim(F.try_variant_get("v", f"$.{k}", "string")), F.lit("")) for k in ("fact_text", "proposition_text", "text")]
+    plain = F.try_variant_get("v", "$", "string")
+    parsed = parsed.select(*keys, "pos", F.trim(F.when(F.schema_of_variant("v") == "STRING", plain).otherwise(F.coalesce(*given, F.to_json("v")))).alias("fact_text"), F.to_json("v").alias("item"))
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\- ]+|[\- ]+$", ""), r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.filter(F.split(raw, r"\r\n|\n|\r"), lambda x: F.trim(x) != ""), strip), lambda x: x != "")
+    text = df.where(items.isNull()).select(*keys, F.posexplode(lines).alias("pos", "fact_text")).withColumn("item", F.lit(None).cast("string"))
+    return parsed.where("fact_text <> ''").unionByName(text)

@@ -415,6 +415,86 @@ def negation_synthesis(spark, d):
     return turns.new_negations(t, held).select("case_id", "turn_idx", "concept", "place")
 
 
+# facts
+
+
+@query("""with r as (select conv_id, turn, '- ' || coalesce(text, '') || chr(10) || chr(10) || ' -second of ' || turn || ' - ' as raw from conversations),
+l as (select conv_id, turn, list_filter(list_transform(list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> ''), lambda x: regexp_replace(regexp_replace(x, '^[\\- ]+|[\\- ]+$', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ls from r where turn % 3 <> 0)
+select conv_id, turn, cast(generate_subscripts(ls, 1) - 1 as int) as pos, unnest(ls) as fact_text from l
+union all select conv_id, turn, 0, trim(text) from conversations where turn % 3 = 0 and trim(text) <> '' union all select conv_id, turn, 1, 'two' from conversations where turn % 3 = 0""")
+def fact_records(spark, d):
+    c = table(spark, d, "conversations")
+    json = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("fact_text")), F.struct(F.lit("two").alias("fact_text"))).alias("atomic_propositions")))
+    plain = F.concat(F.lit("- "), F.coalesce("text", F.lit("")), F.lit("\n\n -second of "), F.col("turn"), F.lit(" - "))
+    return audit.fact_records(c.withColumn("raw", F.when(F.col("turn") % 3 == 0, json).otherwise(plain)), ["conv_id", "turn"]).drop("item")
+
+
+# oracles of queries of the catalogue that stand on the pieces above
+
+from ..operators import align  # noqa: E402
+from .catalog import _BPAIRS, _CANON  # noqa: E402
+
+_ROLE = f"case when {S.norm('c_type')} = 'medicationstatement' then 'state' when {S.norm('c_type')} in ('medicationrequest', 'order', 'followup', 'counseling') or c_state = 'planned' then 'plan' else 'none' end"
+_EVAL_CC = f"cc as (select case_id, ord, annotator, c_type, {S.toks('c_concept')} as ct, {S.toks('prop_text')} as pt, c_verification, c_state, c_time, {_ROLE} as c_role, turn_idx from {_CANON})"
+_RATE = "case when {1} > 0 then {0} / {1} else {2} end".format
+ORACLES["benchmark_evaluation"] = S.greedy(f"select * from ({_BPAIRS}) where score >= 0.45").replace("with recursive ", f"with recursive {_EVAL_CC}, ") + f""",
+m as (select w.case_id, a.c_verification = b.c_verification as v, a.c_state = b.c_state as s, a.c_time = b.c_time as t, a.c_role = b.c_role as r, a.c_role <> 'none' or b.c_role <> 'none' as role, a.turn_idx = b.turn_idx as u from walk w join cc a on a.case_id = w.case_id and a.annotator = 'A' and a.ord = w.i join cc b on b.case_id = w.case_id and b.annotator = 'B' and b.ord = w.j where w.taken),
+p as (select case_id, count(*) as matched, count(*) filter (v) as n_v, count(*) filter (s) as n_s, count(*) filter (t) as n_t, count(*) filter (v and s and t) as n_full, count(*) filter (role) as n_role, count(*) filter (role and r) as n_right, count(*) as n_prov, count(*) filter (u) as n_hit, sum(case when u then 1.0e0 else 0.0e0 end) as jac from m group by 1),
+z as (select pred.case_id, pred_n, gold_n, coalesce(matched, 0) as matched, coalesce(n_v, 0) as n_v, coalesce(n_s, 0) as n_s, coalesce(n_t, 0) as n_t, coalesce(n_full, 0) as n_full, coalesce(n_role, 0) as n_role, coalesce(n_right, 0) as n_right, coalesce(n_prov, 0) as n_prov, coalesce(n_hit, 0) as n_hit, coalesce(jac, 0.0e0) as jac
+ from (select case_id, count(*) as pred_n from cc where annotator = 'A' group by 1) pred join (select case_id, count(*) as gold_n from cc where annotator = 'B' group by 1) gold using (case_id) left join p using (case_id))
+select case_id, pred_n, gold_n, matched, pred_n - matched as unsupported, gold_n - matched as missing, matched / pred_n as concept_precision, matched / gold_n as concept_recall, case when matched = 0 then 0.0 else 2 * (matched / pred_n) * (matched / gold_n) / (matched / pred_n + matched / gold_n) end as concept_f1,
+ n_full / pred_n as state_precision, n_full / gold_n as state_recall, case when n_full = 0 then 0.0 else 2 * (n_full / pred_n) * (n_full / gold_n) / (n_full / pred_n + n_full / gold_n) end as state_f1, {_RATE('n_v', 'matched', '0.0')} as verification_acc, {_RATE('n_s', 'matched', '0.0')} as state_acc, {_RATE('n_t', 'matched', '0.0')} as temporality_acc,
+ {_RATE('n_right', 'n_role', 'null')} as role_acc, n_prov as provenance_n, {_RATE('n_hit', 'n_prov', 'null')} as provenance_hit, {_RATE('n_hit', 'n_prov', 'null')} as provenance_exact, {_RATE('jac', 'n_prov', 'null')} as provenance_jaccard from z"""
+
+_PFIELDS = {"category": "prop_type", "status": "verification", "visit_state": "clinical_status", "temporality": "temporality", "speaker": "source", "predicate": "'states'"}
+_FIRST = f"case when {S.txt('concept')} <> '' then {S.txt('concept')} else {S.txt('prop_text')} end"
+_PP = f"pp as (select case_id, ord, annotator, {S.toks('prop_text')} as tt, {S.align(_FIRST)} as aa, " + ", ".join(f"{S.low(c)} as {n}" for n, c in _PFIELDS.items()) + f" from {_P})"
+_HOLD = "case when array_to_string(a.aa, ' ') <> '' and array_to_string(b.aa, ' ') <> '' and (contains(array_to_string(a.aa, ' '), array_to_string(b.aa, ' ')) or contains(array_to_string(b.aa, ' '), array_to_string(a.aa, ' '))) then 0.14 else 0.0 end"
+_FULL = "cast(0.45 as double) * t + cast(0.35 as double) * r + cast(hold as double)" + "".join(f" + cast({n} as double)" for n in align.BONUS)
+_PPAIRS = f"""select case_id, i, j, greatest(least({_FULL}, 1.0), t, r) as score from (select a.case_id, a.ord as i, b.ord as j, {S.f1('a.tt', 'b.tt')} as t, {S.f1('a.aa', 'b.aa')} as r, {_HOLD} as hold, {', '.join(f"case when a.{n} <> '' and a.{n} = b.{n} then {v} else 0.0 end as {n}" for n, v in align.BONUS.items())}
+ from pp a join pp b on a.case_id = b.case_id and a.annotator = 'A' and b.annotator = 'B') where least({_FULL}, 1.0) >= 0.58 or t >= 0.72 or r >= 0.72"""
+ORACLES["proposition_match"] = S.greedy(_PPAIRS).replace("with recursive ", f"with recursive {_PP}, ") + " select case_id, cast(i as int) as i, cast(j as int) as j, score from walk where taken"
+
+_LISTS = lambda c, d: "list_filter([" + ", ".join(f"case when {S.has(c, w)} then {S.q(n)} end" for n, w in d.items()) + "], lambda x: x is not null)"
+_PICKS = lambda c, d: "case " + " ".join(f"when {S.has(c, w)} then {S.q(n)}" for n, w in d.items()) + " end"
+_HINTS = "list_distinct(flatten([" + ", ".join(f"case when contains(norm, {S.q(m)}) then [{', '.join(map(S.q, h))}] else [] end" for m, h in L.MEDICATION_HINTS.items()) + "]))"
+_FEATS = f"""f0 as (select *, concat_ws(' ', cluster_concept, summary) as text from ({ORACLES['cluster_states']})),
+f1 as (select *, {S.norm('text')} as norm, {S.norm('summary')} as sn, {S.norm('cluster_concept')} as nn, {S.align('text')} as tokens, {S.align('cluster_concept')} as ctoks from f0),
+f2 as (select *, array_to_string(ctoks, ' ') as cnorm, array_to_string(tokens, ' ') as tnorm, {S.has('norm', L.DISEASES)} as disease, final_verification = 'refuted' as negated, final_status = 'historical' as past from f1),
+f as (select *, {_FAM('cnorm')} as family, {_FAM('tnorm')} as tfamily, {_PICKS('norm', L.BODY_REGIONS)} as region, {_PICKS('norm', L.SYMPTOM_FAMILIES)} as symptom, {_LISTS('norm', L.PROBLEM_DOMAINS)} as domains, {_HINTS} as hints,
+ case when cluster_type in ('Plan', 'FollowUp', 'MedicationChange') or primary_type in ('Order', 'MedicationRequest', 'FollowUp', 'Counseling') then 'P' when cluster_type = 'TestResult' or primary_type in ('ExamFinding', 'TestResult') then 'O' when primary_type in ('Diagnosis', 'Impression') then 'A'
+  when cluster_type = 'MedicationState' or primary_type = 'MedicationStatement' then case when {S.has('sn', L.MEDICATION_ORDERS)} then 'P' else 'S' end when primary_type = 'ProblemHistory' then case when past then 'G' else 'S' end when negated then 'S' when contains(sources, 'patient') or primary_type in ('ChiefComplaint', 'Problem') then 'S' else 'A' end as slot,
+ case when primary_type in ('Diagnosis', 'Impression') then 5 when disease then 4 when primary_type in ('ChiefComplaint', 'Problem') then 3 when primary_type = 'ProblemHistory' then 1 else 0 end as pref,
+ not negated and not {S.inside('nn', L.LOW_VALUE_CONCEPTS)} and not {S.has('nn', L.SCREENING)} and not {S.has('sn', L.NOT_ANCHOR_TEXTS)} and primary_type in ('ChiefComplaint', 'Problem', 'Diagnosis', 'Impression') and cluster_type = 'ProblemState' and not (sources = 'clinician' and primary_type not in ('Diagnosis', 'Impression')) as is_anchor,
+ case when final_status = 'planned' then 'future' when past or {S.has('sn', L.HISTORY_TEXTS)} then 'history' else 'current' end as layer, {S.has('norm', L.CHRONIC)} as chronic, {S.has('norm', L.NOISE_CONTEXT)} as noise, {S.has('norm', L.SCREENING)} as screening,
+ not disease and cluster_type = 'ProblemState' and primary_type in ('ChiefComplaint', 'Problem') as symptom_like from f2)"""
+_REG, _SYM = "(a.region is not null and coalesce(a.region = b.region, false))", "(a.symptom is not null and coalesce(a.symptom = b.symptom, false))"
+_HINTED = "(len(list_filter(b.hints, lambda h: contains(a.tfamily, h))) > 0)"
+_ANCHORED = [w for x, _ in L.RELATED_FACTORS for w in x]
+_FACTOR = "(case " + " ".join(f"when {S.has('a.norm', x)} then {S.has('b.norm', y)}" for x, y in L.RELATED_FACTORS) + f" else false end or (b.chronic and {S.has('a.norm', L.CHRONIC_ANCHORS)} and not {S.has('a.norm', _ANCHORED)}))"
+_FAMS = "(a.tfamily <> '' and b.tfamily <> '')"
+_RELATION = (
+    f"case when {_FAMS} and a.tfamily = b.tfamily then 'direct' when {S.f1('a.tokens', 'b.tokens')} >= 0.55 then 'direct' when {_REG} and ({_SYM} or b.slot in ('O', 'P')) then 'direct' when {_HINTED} then 'direct' when {_FACTOR} then 'related_factor' when a.disease and b.disease and b.chronic and {_FAMS} then 'related_factor'"
+    f" when len(a.domains) > 0 and len(b.domains) > 0 and len(list_intersect(a.domains, b.domains)) = 0 then 'unrelated' when len(a.domains) > 0 and len(b.domains) = 0 and a.pref >= 4 and (b.slot = 'G' or (b.primary_type = 'ProblemHistory' and b.region is null)) then 'unrelated' when b.pref >= 4 and {_FAMS} then 'unrelated' else 'weak' end"
+)
+
+
+def _w(cond: str, points: float) -> str:
+    return f"case when {cond} then {points}e0 else 0.0e0 end"
+
+
+_MEDIC = f"case when len(b.hints) > 0 then case when {_HINTED} then 3.0e0 when b.slot = 'P' and a.pref <= 3 then -1.0e0 else 0.0e0 end else " + _w(f"b.slot = 'P' and a.pref <= 3 and not {_REG}", -0.75) + " end"
+_RAW = " + ".join([
+    f"2.5e0 * {S.f1('a.ctoks', 'b.ctoks')}", _w("a.cnorm <> '' and b.cnorm <> '' and (contains(a.cnorm, b.cnorm) or contains(b.cnorm, a.cnorm))", 1.5), _w("a.family <> '' and a.family = b.family", 1.5),
+    "case when gap = 0 then 1.5e0 when gap <= 2 then 1.0e0 when gap <= 6 then 0.5e0 else 0.0e0 end", "case when b.slot in ('O', 'P') then 0.75e0 when b.slot = 'S' then 0.25e0 else 0.0e0 end", _w(_REG, 0.75), _w(_SYM, 0.5),
+    _w("a.pref >= 5 and b.slot = 'S' and gap <= 4", 1.0), _MEDIC, _w("a.pref >= 4 and b.slot in ('O', 'P')", 0.5),
+]) + " - " + _w("b.slot = 'G'", 0.25)
+ORACLES["bundle_pairs"] = f"""with {_FEATS}, j as (select a.case_id, a, b, greatest(0, greatest(a.first_turn, b.first_turn) - least(a.last_turn, b.last_turn)) as gap from f a join f b on a.case_id = b.case_id and a.is_anchor and a.cluster_id <> b.cluster_id),
+s as (select case_id, a.cluster_id as aid, b.cluster_id as bid, {_RELATION} as relation, {_RAW} as raw, gap, b.slot as b_slot, b.layer as b_layer, {_REG} as same_region, len(list_intersect(a.domains, b.domains)) > 0 as same_domain, {_SYM} as same_symptom, b.noise as noise, b.screening as screening, b.pref as bp, a.pref as ap, b.symptom_like as sl from j)
+select case_id, aid as a, bid as b, relation, raw + case relation when 'direct' then 0.75e0 when 'related_factor' then 0.15e0 when 'weak' then -0.1e0 else -4.0e0 end as score, gap, b_slot, b_layer, same_region, same_domain,
+ noise or (screening and bp <= 1) or relation = 'unrelated' or (relation = 'weak' and b_slot = 'G') or (relation = 'weak' and ap >= 4 and sl and not same_region and not same_domain and not same_symptom) as dropped from s"""
+
+
 BROKEN = V.Inline("id long, raw string", [(1, '{"S": "pain", "O": ["swollen", "red"], "A": "gout" "P": "rest'), (2, "S: pain\nO: swollen\nA - gout\nP: rest"), (3, None), (4, "nothing of it"), (5, '{"s" : "“quoted”"}')])
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import text as T
@@ -172,3 +173,121 @@ def test_cases_without_an_anchor_have_their_first_clusters(spark):
     assert {(r["case_id"], r["cluster_id"]) for r in got if r["relation"] == "anchor"} == {(1, "CL10"), (1, "CL2"), (1, "CL3"), (2, "CL2"), (2, "CL10"), (3, "CL1")}
     assert [(r["bundle"], r["relation"]) for r in got if (r["case_id"], r["cluster_id"]) == (1, "CL9")] == [("CL3", "direct")]
     assert len({(r["case_id"], r["cluster_id"]) for r in got}) == len(got)
+
+
+def test_judges_findings(spark):
+    from notewright.operators import judging
+
+    events = spark.createDataFrame([(1, "TE0", "SymptomState", "low", "minor", "cough"), (1, "TE1", "DiagnosisImpression", "high", "major", "gout"), (1, "TE2", "FindingResult", "high", "major", "mri"), (2, "TE0", "PMFSContext", "low", "minor", "x"), (3, "TE0", "PMFSContext", "low", "minor", "y")], "case_id long, event_id string, event_type string, clinical_priority string, severity string, text string")
+    answers = {1: '{"ranked_missing_major_event_ids": ["te2", "TE1", "TE9", "S1"], "omission_reasons": ["no gout", "TE2: no scan"]}', 2: 'sure: {"event_verifications": [{"event_id": "TE0", "verdict": "MissingMajor"}], "omission_reasons": []}', 3: "broken"}
+    prompts = spark.createDataFrame([(k, str(k)) for k in answers], "case_id long, prompt string")
+    judged = judging.answered(prompts, lambda: lambda p: answers[int(p)], repair=lambda: lambda p: '{"omission_reasons": ["TE0 is missing"]}').cache()
+    assert {r["case_id"]: r["status"] for r in judged.collect()} == {1: "ok", 2: "ok", 3: "ok"}
+    found = judging.findings(judged, events, "TE")
+    got = [(r["case_id"], r["event_id"], r["reason"], r["place"]) for r in found.orderBy("case_id", "place").collect()]
+    assert got == [(1, "TE1", "no gout", 1), (1, "TE2", "TE2: no scan", 2), (2, "TE0", "TE0: clinically important unsupported/missing event detected.", 1), (3, "TE0", "TE0 is missing", 1)]
+    totals = {r["case_id"]: (r["total"], r["top1"], r["top3"]) for r in judging.detected(found, prompts.union(spark.createDataFrame([(4, "")], prompts.schema))).collect()}
+    assert totals == {1: (2, ["TE1"], ["TE1", "TE2"]), 2: (1, ["TE0"], ["TE0"]), 3: (1, ["TE0"], ["TE0"]), 4: (0, [], [])}
+    bad = judging.answered(prompts, lambda: lambda p: "no")
+    assert {r["status"] for r in bad.collect()} == {"error"}
+
+
+def test_choices_prompts_and_backends(spark):
+    from notewright.operators import judging
+
+    assert judging.choices(["b", " a", "b"], "abc", "letter", {"a": "A"}) == ["b", "A"] and judging.axes(None) == ["hallucination", "omission"] and judging.axes([" Omission", ""]) == ["omission"]
+    for bad in (lambda: judging.choices(["z"], "abc", "letter"), lambda: judging.choices([], "abc", "letter"), lambda: judging.axes(["x"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert judging.endpoint("http://a/", "x", {}) == "http://a" and judging.endpoint(None, "'Local' # here", {"local": "http://b/"}) == "http://b"
+    p = judging.Prompts({("default", "extract"): "say {text} as {kind}", ("m", "judge"): "judge"}, {"n": "m"})
+    assert p.get("n", "judge") == "judge" and p.get("n", "extract").startswith("say") and p.methods() == ["default", "m"]
+    assert spark.range(1).select(p.column("m", "extract", text=F.lit("it"), kind=F.lit(None).cast("string")).alias("x")).first()["x"] == "say it as "
+    asked = []
+
+    def ask(prompt, how):
+        asked.append(how)
+        if how == "schema":
+            raise ValueError("no schema")
+        return "ok"
+
+    assert judging.laddered(ask, ["schema", "json", None])("x") == "ok" and asked == ["schema", "json"]
+    warm = []
+    answer = judging.until_enough(lambda p, t: (warm.append(t), "x" * len(warm))[1], len, 3)("p")
+    assert answer == "xxx" and warm == [0.0, 0.1, 0.2]
+    rows = spark.createDataFrame([(1, None, {"bundle_design": "problem_oriented_note_bundle"}), (2, 0.5, {})], "id long, cap_f1 double, s map<string,string>")
+    got = rows.select("id", judging.evaluated(rows).alias("e"), judging.uses_bundles(F.array("s")).alias("b")).collect()
+    assert [(r["e"], r["b"]) for r in got] == [(False, True), (True, False)]
+
+
+def test_sidecars(spark, tmp_path):
+    from notewright.sources import sidecars
+
+    (tmp_path / "D1_result.json").write_text('{"x": {"a": 1}, "y": 2}')
+    (tmp_path / "D2-b_result.json").write_text('{"other": 1, "key D2": {"b": 2}, "D2": 3}')
+    (tmp_path / "D3_other.json").write_text("{}")
+    cases = spark.createDataFrame([("D1",), ("D2",), ("D3",)], "case_id string")
+    legacy, mapped = sidecars.results(spark, str(tmp_path)), sidecars.mappings(spark, str(tmp_path), cases)
+    assert {r["case_id"]: r["payload"] for r in legacy.collect()} == {"D1": '{"a":1}', "D2-b": "1"}
+    assert {r["case_id"]: r["payload"] for r in mapped.collect()} == {"D2": '{"b":2}'}
+    assert {r["case_id"] for r in sidecars.with_fallback(cases, legacy, mapped).collect()} == {"D1", "D2"}
+    sidecars.write_unmatched(spark.createDataFrame([("D1", "t"), ("D2", "u")], "case_id string, text string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_salvage_of_sections():
+    from notewright.functions.salvage import section_texts
+
+    assert section_texts('{"S": "pain", "O": ["swollen", "r\\u00e9d"], "A": "gout" "P": "rest', "soap") == {"S": "pain", "O": "swollen r\u00e9d", "A": "gout", "P": ""}
+    assert section_texts("S: pain\nO: swollen  knee\n- A: gout\nP: rest;", "soap") == {"S": "pain", "O": "swollen knee", "A": "gout", "P": "rest"}
+    assert section_texts("Findings are x, then the Plan is rest", "sectioned") == {"Chief Complaint": "", "History of Present Illness": "", "Findings": "are x, then the Plan is rest", "Assessment": "", "Plan": ""}
+    assert section_texts("0", "soap") is None and section_texts(None, "soap") == dict.fromkeys("SOAP", "")
+
+
+def test_matching_in_rounds_equals_the_fold(spark, monkeypatch):
+    import random
+
+    from notewright.operators import align
+
+    r = random.Random(2)
+    rows = [(c, i, j, round(r.random(), 1)) for c in range(4) for i in range(12) for j in range(9) if r.random() < 0.7]
+    pairs = spark.createDataFrame(rows, "case_id long, i int, j int, score double")
+    want = sorted(map(tuple, align.greedy(pairs).collect()))
+    monkeypatch.setattr(align, "FOLDED", 60)
+    assert sorted(map(tuple, align.greedy(pairs).collect())) == want
+    taken, free = [], lambda c, i, j: not any(c == x[0] and (i == x[1] or j == x[2]) for x in taken)
+    for row in sorted(rows, key=lambda x: (x[3], x[1], x[2]), reverse=True):
+        if free(*row[:3]):
+            taken.append(row)
+    assert sorted(taken) == want
+
+
+def test_bundle_walk_merges_surface_symptoms():
+    from notewright.operators.bundle_events import _walk
+
+    b = lambda n, surface, preference, found=0, plans=(), symptom=None: {"bundle": n, "surface": surface, "preference": preference, "found": found, "plans": list(plans), "region": None, "symptom": symptom, "domains": []}
+    p = lambda a, x, score, relation="weak": {"a": a, "b": x, "relation": relation, "score": score}
+    bs = [b("CL1", True, 0, symptom="pain"), b("CL2", False, 5, symptom="pain"), b("CL3", True, 4), b("CL4", True, 0, found=1), b("CL5", False, 4)]
+    ps = [p("CL2", "CL1", -0.5), p("CL5", "CL1", 0.2), p("CL5", "CL3", 0.3), p("CL2", "CL3", 0.9, "unrelated"), p("CL2", "CL4", 3.0)]
+    assert _walk(bs, ps) == [("CL2", "CL2", 0), ("CL1", "CL2", 1), ("CL4", "CL4", 0), ("CL5", "CL5", 0), ("CL3", "CL5", 1)]
+
+
+def test_bundle_routes_and_events(spark):
+    from notewright.operators import bundle_events as be
+
+    clusters = spark.createDataFrame(
+        [(1, "CL1", "gout", "ProblemState", "Diagnosis", 11, 2, "current", "A", "Gout is likely", 5, "active", "doctor"), (1, "CL2", "knee", "Plan", "Order", 9, 1, "current", "P", "MRI of the knee", 0, "planned", "doctor"), (1, "CL3", "old fracture", "ProblemState", "ProblemHistory", 7, 1, "history", "G", "An old fracture", 1, "historical", "patient")],
+        "case_id long, cluster_id string, cluster_concept string, cluster_type string, primary_type string, salience int, members long, layer string, slot string, summary string, preference int, final_status string, sources string",
+    )
+    assigned = spark.createDataFrame([(1, "CL1", "CL1", None, "anchor"), (1, "CL2", "CL1", 1.0, "direct"), (1, "CL3", "CL1", 2.0, "weak")], "case_id long, cluster_id string, bundle string, score double, relation string")
+    feats = be.features(spark.createDataFrame(
+        [(1, "CL1", 1, "Diagnosis", "affirmed", "doctor", "active", "current", "gout arthritis", "Gout arthritis of the knee"), (1, "CL1", 2, "Symptom", "negated", "patient", "active", "current", "fever", "No fever"), (1, "CL1", 3, "Diagnosis", "affirmed", "doctor", "active", "current", "gout", "gout ARTHRITIS of the knee"), (1, "CL2", 4, "Order", "affirmed", "doctor", "planned", "future", "mri", "Order an MRI")],
+        "case_id long, cluster_id string, ord int, prop_type string, status string, speaker string, visit_state string, temporality string, concept string, text string",
+    ))
+    routes = be.routed(assigned, clusters, feats)
+    got = sorted((r["ord"] or 0, r["list"]) for r in routes.collect())
+    assert got == [(0, "related"), (1, "A"), (2, "S"), (3, "A"), (4, "P")]
+    moved = spark.createDataFrame([(1, "CL1", "CL1", 0)], "case_id long, bundle string, target string, at int")
+    e = be.events(routes, moved, clusters, feats).collect()
+    assert len(e) == 1 and e[0]["render"] and e[0]["visit_primary"] and e[0]["clinical_priority"] == "high" and e[0]["support"] == 4
+    assert e[0]["problem"] == "gout" and e[0]["planned_actions"] == "Order an MRI" and e[0]["care_context"] == "An old fracture" and e[0]["supporting_evidence"] == "No fever|Gout arthritis of the knee"
