@@ -38,14 +38,17 @@ def _fingerprint(df: DataFrame, hashes: str, out: str) -> DataFrame:
 
 
 def _window_fingerprints(cand: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows (row, m, s, e) with fp, of the hashes from s to before e, by differences of running sums: a step for each word and window."""
-    at = Window.partitionBy("row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    every = cand.select("row", F.posexplode(F.concat("h", F.array(F.lit(0).cast("long")))).alias("p", "x"))
-    before = every.select(F.col("row").alias("r"), "p", *(F.coalesce(F.sum(F.expr(f"shiftrightunsigned(x, {b}) & {_LOW}L")).over(at), F.lit(0)).alias(f"c{b}") for b in range(32)))
+    """windows (row, m, s, e) with fp, of the hashes from s to before e, by differences of running sums: a step for each word and window.
+
+    The ends of the windows stand among the words of their document, so only these few rows leave the running sums."""
+    kept = cand.join(windows.select("row").distinct(), "row", "left_semi")
+    none = {c: F.lit(None).cast("int") for c in ("m", "s", "e", "sign")}
+    words = kept.select("row", F.posexplode("h").alias("p", "x")).withColumns(none)
     ends = windows.select("row", "m", "s", "e", F.explode(F.array(F.struct(F.col("s").alias("p"), F.lit(-1).alias("sign")), F.struct(F.col("e").alias("p"), F.lit(1).alias("sign")))).alias("z"))
-    ends = ends.select("row", "m", "s", "e", F.col("z.p").alias("at"), F.col("z.sign").alias("sign"))
-    both = ends.join(before, (F.col("row") == F.col("r")) & (F.col("at") == F.col("p")))
-    sums = both.groupBy("row", "m", "s", "e").agg(*(F.sum(F.col("sign") * F.col(f"c{b}")).alias(f"c{b}") for b in range(32)))
+    ends = ends.select("row", F.col("z.p").alias("p"), F.lit(0).cast("long").alias("x"), "m", "s", "e", F.col("z.sign").alias("sign"))
+    upto = Window.partitionBy("row").orderBy("p", F.col("sign").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # an end comes before its word
+    line = words.unionByName(ends).withColumns({f"c{b}": F.sum(F.expr(f"shiftrightunsigned(x, {b}) & {_LOW}L")).over(upto) for b in range(32)}).where("sign is not null")
+    sums = line.groupBy("row", "m", "s", "e").agg(*(F.sum(F.col("sign") * F.col(f"c{b}")).alias(f"c{b}") for b in range(32)))
     return sums.select("row", "m", "s", "e", F.expr(_bits([f"c{b}" for b in range(32)], "(e - s)")).alias("fp"))
 
 
