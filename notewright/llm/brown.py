@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, as_bytes, cut, text_slices
+from .common import LOWER, WORDS, as_bytes, cut, partitions, text_slices
 
 END = b" "  # no word holds a space
 
@@ -68,13 +68,48 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 6) -> np.ndarray:
     return of
 
 
+def moved(left: np.ndarray, right: np.ndarray, of: np.ndarray, classes: int, words: np.ndarray) -> np.ndarray:
+    """The exchange for many words at once: each of them goes to the class that most raises the likelihood while the others stay.
+
+    left, right: counts of classes before and after each unit (rows). Only a unit's own cells are looked at, so the time
+    is in proportion to them. The last class is the end's. Ties go to the lower class.
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    free, out = classes - 1, of.copy()
+    joint = np.zeros((classes, classes))
+    np.add.at(joint.T, of, left)  # joint[a, b]: a before b
+    gain = np.zeros((len(words), free))
+    for counts, table in ((left, joint), (right, joint.T)):  # table[a]: what stands with class a, by the unit's class
+        own = counts[words].astype(float)
+        row, a = np.nonzero(own)
+        n = own[row, a]
+        for k in range(0, len(row), 200_000):
+            part = slice(k, k + 200_000)
+            base = table[a[part], :free]
+            more = f(base + n[part, None]) - f(base)
+            here = of[words[row[part]]]
+            at = np.flatnonzero(here < free)
+            held = table[a[part][at], here[at]]
+            more[at, here[at]] = f(held) - f(held - n[part][at])  # its own class holds it already
+            np.add.at(gain, row[part], more)
+        size, mine = table.sum(0), own.sum(1)
+        cost = f(size[None, :free] + mine[:, None]) - f(size[None, :free])
+        here = of[words]
+        at = np.flatnonzero(here < free)
+        cost[at, here[at]] = f(size[here[at]]) - f(size[here[at]] - mine[at])
+        gain -= cost
+    some = left[words].any(1) | right[words].any(1)
+    out[words[some]] = gain[some].argmax(1)
+    return out
+
+
 def group_of(word: bytes, groups: int) -> int:
     """The group of a word that is no unit of its own: by its last two bytes, and whether it has others than letters."""
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7 + (not word.isalpha()) * 13 + (len(word) > 9) * 101) % groups
 
 
 class Units:
-    """Word to unit: frequent words have units of their own, others that of their group, the end the last one."""
+    """Word to unit: known words have units of their own, others that of their group, the end the last one."""
 
     def __init__(self, words: list[bytes], groups: int):
         self.index = {w: k for k, w in enumerate(words)}
@@ -116,161 +151,206 @@ def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 400_000)
     return docs.select(text_col).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def count_bigrams(docs: DataFrame, units: Units, text_col: str = "text") -> np.ndarray:
-    """Counts of one unit after another over all texts, each between two ends. At most units.size ** 2 cells reach the driver."""
-    n, spark = units.size, docs.sparkSession
-    shared = spark.sparkContext.broadcast(units)
+CODED = "row_key long, doc_id long, learn boolean, ids binary, token binary, times long"
+
+
+def coded(docs: DataFrame, units) -> DataFrame:
+    """docs (row_key, text, doc_id, learn) as rows of CODED: a row for each with its units (signed 32-bit), and one for each
+    different word in it that has no unit of its own, with its times."""
 
     def run(batches):
-        units, total = shared.value, np.zeros(n * n, np.int32)
+        units = shared.value
         memo: dict[bytes, int] = {}
         for batch in batches:
-            for _, docs_words in _words(batch):
-                ids = [n - 1]
-                for w in docs_words:
+            keys, names, learn = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for a, docs_words in _words(batch, 1):
+                if len(memo) > 300_000:
+                    memo.clear()
+                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                for d, w in enumerate(docs_words):
+                    ids = []
                     for x in w:
                         k = memo.get(x)
                         if k is None:
-                            if len(memo) > 300_000:
-                                memo.clear()
                             k = memo[x] = units(x)
                         ids.append(k)
-                    ids.append(n - 1)
-                ids = np.array(ids, np.int64)
-                cells, c = np.unique(ids[:-1] * n + ids[1:], return_counts=True)
-                total[cells] += c.astype(np.int32)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells].astype(np.int64))], names=["cell", "c"])
-
-    def joined(batches):
-        """A task's cells as two byte strings: as rows they would take the driver's Python a hundred times the room."""
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().astype("<i8").tobytes()], pa.binary()) for k in (0, 1)], names=["cells", "counts"])
+                    ids = np.array(ids, "<i4")
+                    for c, v in zip(cols, (keys[a + d], names[a + d], learn[a + d], ids.tobytes(), None, 0)):
+                        c.append(v)
+                    for x, n in Counter([w[k] for k in np.flatnonzero(ids >= units.own).tolist()]).items():
+                        for c, v in zip(cols, (keys[a + d], None, None, None, x, n)):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()))], names=["row_key", "doc_id", "learn", "ids", "token", "times"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+    return docs.select("row_key", "text", "doc_id", "learn").mapInArrow(run, CODED)
+
+
+def _chains(batches, end: int, most: int = 1 << 21):
+    """Units of whole documents one after the other, each between two ends, about `most` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            held += [x, end.to_bytes(4, "little")]
+            n += len(x) // 4 + 1
+            if n > most:
+                yield np.frombuffer(end.to_bytes(4, "little") + b"".join(held), "<i4").astype(np.int64)
+                held, n = [], 0
+    if held:
+        yield np.frombuffer(end.to_bytes(4, "little") + b"".join(held), "<i4").astype(np.int64)
+
+
+def count_cells(rows: DataFrame, n: int, cells, end: int) -> np.ndarray:
+    """Sums over all documents (ids) of counts in n cells: cells(chain of units) gives the first cell, and the numbers from it on, of some to count.
+
+    A task sums up in one array and sends it in pieces of 65 536 cells, packed; pieces are added up in tasks of their own,
+    so the driver gets n counts once, however many tasks there are.
+    """
+    import zstandard
 
-    got = docs.select(text_col).mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).mapInArrow(joined, "cells binary, counts binary")
-    out = np.zeros(n * n)
-    for cells, counts in got.toLocalIterator():
-        out[np.frombuffer(cells, "<i8")] = np.frombuffer(counts, "<i8")
-    return out.reshape(n, n)
+    size = 1 << 16
+
+    def run(batches):
+        total = np.zeros(-(-n // size) * size, np.int32)
+        for chain in _chains(batches, end):
+            for first, numbers in cells(chain):
+                found = np.bincount(numbers)
+                total[first : first + len(found)] += found.astype(np.int32)
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        some = [k for k in range(len(total) // size) if total[k * size : (k + 1) * size].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zip_(total[k * size : (k + 1) * size].astype("<i8").tobytes()) for k in some], pa.binary())], names=["piece", "counts"])
+
+    def add(batches):
+        unzip, zip_, total, name = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress, None, None
+        for batch in batches:
+            for k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(unzip(z), "<i8")
+                if k == name:
+                    total = total + x
+                    continue
+                if name is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([zip_(total.tobytes())], pa.binary())], names=["piece", "counts"])
+                name, total = k, x
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([zip_(total.tobytes())], pa.binary())], names=["piece", "counts"])
+
+    schema = "piece int, counts binary"
+    parts = rows.select("ids").mapInArrow(run, schema).repartition(partitions(rows.sparkSession), "piece").sortWithinPartitions("piece").mapInArrow(add, schema)
+    out, unzip = np.zeros(-(-n // size) * size, np.int64), zstandard.ZstdDecompressor().decompress
+    for k, x in zip(*(c.to_pylist() for c in parts.toArrow().columns)):
+        out[k * size : (k + 1) * size] = np.frombuffer(unzip(x), "<i8")
+    return out[:n]
+
+
+def learned(rows: DataFrame, units: Units, *, most: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each unit, counts of one class after another, and of each unit.
+
+    The `most` frequent words and the groups are exchanged one by one over their bigram counts; then all other known words
+    move at once to their best classes, `rounds` times, over the counts of classes before and after each.
+    """
+    spark, end, size = rows.sparkSession, units.size - 1, units.size
+    few = min(most, units.own)
+    small = few + units.groups + 1  # the frequent words, the groups (rarer known words stand for theirs) and the end
+    fold = np.concatenate([np.arange(few), np.fromiter((few + group_of(w, units.groups) for w in list(units.index)[few:]), np.int64, units.own - few), few + np.arange(units.groups + 1)])
+    shared = spark.sparkContext.broadcast(fold)
+
+    def pairs(chain):
+        x = shared.value[chain]
+        return [(0, x[:-1] * small + x[1:])]
+
+    of = exchange(count_cells(rows, small * small, pairs, end).reshape(small, small).astype(float), classes)[fold]
+    rest = np.arange(few, units.own)
+    for k in range(rounds + 1):
+        now = spark.sparkContext.broadcast(of)
+
+        def beside(chain, now=now):
+            c = now.value[chain]
+            return [(0, chain[1:] * classes + c[:-1]), (size * classes, chain[:-1] * classes + c[1:])]
+
+        left, right = count_cells(rows, 2 * size * classes, beside, end).reshape(2, size, classes)
+        if k == rounds or not len(rest):
+            break
+        of = moved(left, right, of, classes, rest)
+    joint = np.zeros((classes, classes))
+    np.add.at(joint.T, of, left)
+    return of, joint, left.sum(1)
 
 
-def score(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own_units: int = 1000, groups: int = 509, classes: int = 48, known_words: int = 65_536, alpha: float = 0.1, mix: float = 0.02) -> DataFrame:
+def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", own_units: int = 1000, groups: int = 509, classes: int = 48, rounds: int = 2, known_words: int = 65_536, alpha: float = 0.1, mix: float = 0.02) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score), one per row of docs, over whole texts.
 
-    training: the documents to learn from; all their tokens are counted. base_score: add-alpha unigrams.
-    score: log10 of the product over tokens of P(class | class before) * P(unit | class) * P(word | unit),
-    where own_units frequent words are units, other words share one of `groups` units by their spelling, and
-    exchange clustering assigns the units to classes. Transitions mix in the classes' frequency (mix), words
-    within a unit have add-alpha probabilities with a share for words not seen. The counts of the known_words
-    most frequent words go to every task (a bound on the broadcast); those of all others are joined by word.
+    training: the documents to learn from, as a condition on docs or a table of their own; all their tokens are counted.
+    base_score: add-alpha unigrams. score: log10 of the product over tokens of P(class | class before) * P(unit | class) *
+    P(word | unit): the known_words most frequent words are units, others share one of `groups` units by their spelling, and
+    exchange clustering assigns the units to classes (learned(): the own_units most frequent one by one, the others all at
+    once). Transitions mix in the classes' frequency (mix), words within a group have add-alpha probabilities with a share
+    for words not seen. known_words bounds what is broadcast and what the driver holds (its square nowhere: classes times
+    words, and own_units + groups squared); the counts of all other words are joined by word.
     A null or empty text is the end token alone; null ids and repeated rows stay; with no training rows every
     count is 0; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    counts = cut(count_tokens(training, text_col), "counts")
+    apart = isinstance(training, DataFrame)
+    plain = lambda df, learn: df.select(F.monotonically_increasing_id().alias("row_key"), df[text_col].alias("text"), df[id_col].cast("long").alias("doc_id"), learn.alias("learn"))
+    counts = cut(count_tokens(training if apart else docs.where(training), text_col), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r[0]), r[1]) for r in counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(known_words).collect()]
     ends = counts.where(F.col("token") == F.lit(END)).first()
-    units = Units([w for w, _ in top[:own_units]], groups)
-    bigrams = count_bigrams(training, units, text_col)
-    of = exchange(bigrams, classes)
+    ends = ends[1] if ends else 0
+    units = Units([w for w, _ in top], groups)
+    first = cut(coded(plain(docs, F.lit(False) if apart else F.coalesce(training, F.lit(False))), units), "coded")
+    rows = cut(coded(plain(training, F.lit(True)), units), "training") if apart else first
+    of, joint, unit_n = learned(rows.where("learn").select("ids"), units, most=own_units, classes=classes, rounds=rounds)
 
     # probabilities, in log10
-    one = np.zeros((units.size, classes))
-    one[np.arange(units.size), of] = 1
-    joint = one.T @ bigrams @ one
-    into, unit_n = joint.sum(0), bigrams.sum(0)
+    into = joint.sum(0)
     here = (into + alpha) / (into + alpha).sum()
     step = (1 - mix) * (joint + alpha * here) / (joint.sum(1, keepdims=True) + alpha) + mix * here
-    emit = (unit_n + alpha) / (one.T @ (unit_n + alpha))[of]
-    log_step, log_emit = np.log10(step), np.log10(emit)
-    # distinct words of each group unit, for the share of words not seen
+    log_step, log_emit = np.log10(step), np.log10((unit_n + alpha) / np.bincount(of, weights=unit_n + alpha, minlength=classes)[of])
+    # distinct words of each group, for the share of words not seen
     grouped = np.zeros(groups, np.int64)
-    shared_units = spark.sparkContext.broadcast((units, groups))
+    shared_units = spark.sparkContext.broadcast(units)
 
     def kinds(batches):
-        units, groups = shared_units.value
-        n = np.zeros(groups, np.int64)
+        units = shared_units.value
+        n = np.zeros(units.groups, np.int64)
         for batch in batches:
             for w in batch.column(0).to_pylist():
                 if w != END and w not in units.index:
-                    n[group_of(w, groups)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), pa.array(n)], names=["g", "n"])
+                    n[group_of(w, units.groups)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(units.groups, dtype=np.int32)), pa.array(n)], names=["g", "n"])
 
     for g, n in counts.select("token").mapInArrow(kinds, "g int, n long").groupBy("g").agg(F.sum("n")).collect():
         grouped[g] = n
-    log_within = np.log10(unit_n[units.own : units.own + groups] + alpha * (grouped + 1))
     log_base = math.log10(total + alpha * (vocabulary + 1))
-    shared = spark.sparkContext.broadcast((units, {w: c for w, c in top}, of, log_step, log_emit, log_within, log_base, ends[1] if ends else 0))
+    c = np.array([n for _, n in top], float)
+    # what each unit adds: to the base, and to the model beside its class (a group's words add log10(count + alpha) to both by the join)
+    base = np.concatenate([np.log10(c + alpha), np.zeros(groups), [math.log10(ends + alpha)]]) - log_base
+    word = log_emit + np.concatenate([np.zeros(len(c)), -np.log10(unit_n[units.own : units.own + groups] + alpha * (grouped + 1)), [0.0]])
+    shared = spark.sparkContext.broadcast((units.own, units.size - 1, of, log_step, base, word, ends))
 
     def run(batches):
-        """A row for each document with what the broadcast tells, and one for each other word in it: its times are to be
-        multiplied by log10(count + alpha), once for the base and once for the model."""
-        units, known, of, log_step, log_emit, log_within, log_base, ends = shared.value
-        memo: dict[bytes, int] = {}
-        unit, base, word, hit, rare = [], [], [], [], []  # by remembered word
-        last = units.size - 1
-
-        def learn(x):
-            k = memo[x] = len(unit)
-            c, u = known.get(x), units(x)
-            unit.append(u)
-            rare.append(c is None)
-            hit.append(c is not None)
-            base.append((math.log10(c + alpha) if c is not None else 0.0) - log_base)
-            word.append(0.0 if u < units.own else (math.log10(c + alpha) if c is not None else 0.0) - log_within[u - units.own])
-            return k
-
+        own, last, of, log_step, base, word, ends = shared.value
         for batch in batches:
-            keys, names = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, docs_words in _words(batch, 1):
-                if len(memo) > 300_000:
-                    memo.clear()
-                    for x in (unit, base, word, hit, rare):
-                        x.clear()
-                index, bounds = [], [0]
-                for w in docs_words:
-                    for x in w:
-                        k = memo.get(x)
-                        index.append(learn(x) if k is None else k)
-                    bounds.append(len(index))
-                index, bounds = np.array(index, np.int64), np.array(bounds)
-                u, b, v, h, r = (np.array(x)[index] if len(index) else np.zeros(0, t) for x, t in ((unit, np.int64), (base, float), (word, float), (hit, np.int64), (rare, bool)))
-                key, name, token, times, n_tokens, n_known, s_base, s_model = [], [], [], [], [], [], [], []
-                back = None
-                for d, w in enumerate(docs_words):
-                    s, e = bounds[d], bounds[d + 1]
-                    ids = np.concatenate([[last], u[s:e], [last]])
-                    cls = of[ids]
-                    key.append(keys[a + d])
-                    name.append(names[a + d])
-                    token.append(None)
-                    times.append(0)
-                    n_tokens.append(int(e - s) + 1)
-                    n_known.append(int(h[s:e].sum()) + (ends > 0))
-                    s_base.append(float(b[s:e].sum()) + math.log10(ends + alpha) - log_base)
-                    s_model.append(float(log_step[cls[:-1], cls[1:]].sum() + log_emit[ids[1:]].sum() + v[s:e].sum()))
-                    if r[s:e].any():
-                        for x, n in Counter(index[s:e][r[s:e]].tolist()).items():
-                            if back is None:
-                                back = list(memo)
-                            key.append(keys[a + d])
-                            name.append(None)
-                            token.append(back[x])
-                            times.append(n)
-                            n_tokens.append(0)
-                            n_known.append(0)
-                            s_base.append(0.0)
-                            s_model.append(0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(token, pa.binary()), pa.array(times, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(s_base), pa.array(s_model)], names=["row_key", "doc_id", "token", "times", "n_tokens", "n_known", "s_base", "s_model"])
-
-    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), docs[text_col].alias("text"))
-    first = cut(keyed.select("row_key", "text", "doc_id").mapInArrow(run, "row_key long, doc_id long, token binary, times long, n_tokens long, n_known long, s_base double, s_model double"), "partial")
+            texts = batch.column(2).to_pylist()
+            out = np.zeros((4, len(texts)))
+            for a, b in text_slices(texts, 8_000_000):
+                n = np.array([len(x) // 4 + 1 for x in texts[a:b]], np.int64)
+                chain = np.frombuffer(b"".join(x + last.to_bytes(4, "little") for x in texts[a:b]), "<i4")
+                begin = np.cumsum(n) - n
+                cls = of[chain]
+                before = np.concatenate([[of[last]], cls[:-1]])  # each document's first unit follows an end
+                told = log_step[before, cls] + word[chain]
+                hit = (chain < own) | ((chain == last) & (ends > 0))
+                out[:, a:b] = n, np.add.reduceat(hit.astype(float), begin), np.add.reduceat(base[chain], begin), np.add.reduceat(told, begin)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3])], names=["row_key", "doc_id", "n_tokens", "n_known", "s_base", "s_model"])
+
+    partial = "row_key long, doc_id long, n_tokens long, n_known long, s_base double, s_model double"
+    told = first.where("ids is not null").select("row_key", "doc_id", "ids").mapInArrow(run, partial)
     rest = first.where("token is not null").select("row_key", "token", "times")
     of_word = counts.select(F.col("token").alias("t"), "c")
     seen = rest.join(of_word, rest["token"] == of_word["t"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log_c = F.col("times") * F.log10(F.col("c") + alpha)
     more = seen.select("row_key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), log_c.alias("s_base"), log_c.alias("s_model"))
-    both = first.where("token is null").select("row_key", "doc_id", "n_tokens", "n_known", "s_base", "s_model").union(more)
-    sums = both.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("s_base").alias("base_score"), F.sum("s_model").alias("score"))
+    sums = told.union(more).groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("s_base").alias("base_score"), F.sum("s_model").alias("score"))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
