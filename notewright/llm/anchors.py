@@ -1,6 +1,7 @@
 """Where texts repeat: minimizers of windows find, without loss, the places at which two windows can be equal.
 
-A window is `window` units (words or bytes) of one document. Its anchor is the k-gram of the least hash in it,
+A window is `window` units (words or bytes) of one document; contexts also hold what a string of `reach` units needs that
+starts where a window does. A window's anchor is the k-gram of the least hash in it,
 the leftmost one. Equal windows have equal anchors at equal places, so a window that repeats has an anchor
 that occurs more than once. Around each such anchor lies a context: the windows whose anchor it is. Contexts
 with one anchor meet in one task, which judges their windows exactly.
@@ -36,7 +37,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """Units are words of a text; a context's text joins them by one space."""
 
-    window, k = 13, 5
+    window, reach, k = 13, 13, 5
 
     @staticmethod
     def units(texts: list):
@@ -57,6 +58,11 @@ class Words:
     def context(units: list, a: int, b: int) -> bytes:
         return b" ".join(units[a:b])
 
+    @staticmethod
+    def full(context: bytes, windows: int) -> int:
+        """How many windows of a context have `reach` units."""
+        return windows
+
     #: How many neighbouring windows of a hot anchor stay together, round by round.
     widths = (1,)
 
@@ -72,7 +78,7 @@ class Words:
 class Bytes:
     """Units are the bytes of a text."""
 
-    window, k = 400, 32
+    window, reach, k = 300, 400, 32
 
     @staticmethod
     def units(texts: list):
@@ -91,6 +97,11 @@ class Bytes:
     def context(units: bytes, a: int, b: int) -> bytes:
         return units[a:b]
 
+    @classmethod
+    def full(cls, context: bytes, windows: int) -> int:
+        """How many windows of a context have `reach` units."""
+        return min(windows, max(0, len(context) - cls.reach + 1))
+
     widths = (48, 7, 1)
 
     @classmethod
@@ -102,7 +113,7 @@ class Bytes:
         for run in range(max(0, at - n + 1) // width, at // width + 1):
             a, b = max(0, at - (run + 1) * width + 1), min(n - 1, at - run * width)  # its windows here
             first, last = at - run * width, at - (run + 1) * width + 1 + cls.window
-            yield b"%d:%d:" % (width, run) + context[max(0, first) : last], a, b - a + 1, context[a : b + cls.window]
+            yield b"%d:%d:" % (width, run) + context[max(0, first) : last], a, b - a + 1, context[a : b + cls.reach]
 
 
 def runs(unit, h: np.ndarray, bounds: np.ndarray, most: int = 1 << 21):
@@ -194,15 +205,20 @@ def _shared(batches):
 CONTEXT = "hash long, doc long, key long, start long, windows int, at int, context binary, n int"
 
 
+#: Marks of a window: it repeats, and so does the string of `reach` units that starts with it.
+SOME, HIT = 49, 50
+
+
 class _Combined:
     """Rows of CONTEXT of one batch. Of equal contexts one stays (n: how many); the others are settled: hash null, all windows
-    repeat. keep_first: a row is settled only by one with a smaller id; else any equal one settles it."""
+    repeat (n: how many of them have `reach` units). keep_first: a row is settled only by one with a smaller id; else any equal
+    one settles it."""
 
-    def __init__(self, keep_first: bool):
-        self.keep_first, self.rows, self.done = keep_first, {}, []
+    def __init__(self, unit, keep_first: bool):
+        self.unit, self.keep_first, self.rows, self.done = unit, keep_first, {}, []
 
     def add(self, row: tuple, n: int = 1) -> None:
-        at = (row[0], row[6])
+        at = (row[0], row[6], row[4])
         was = self.rows.get(at)
         if was is None:
             self.rows[at] = [row, n]
@@ -216,7 +232,7 @@ class _Combined:
             self.rows[(at, len(self.rows))] = [row, n]
 
     def batches(self, most: int = 50_000):
-        out = [(*r, n) for r, n in self.rows.values()] + [(None, *r[1:6], None, 1) for r in self.done]
+        out = [(*r, n) for r, n in self.rows.values()] + [(None, *r[1:6], None, self.unit.full(r[6], r[4])) for r in self.done]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
         for b in range(0, len(out), most):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[b : b + most]), kinds)], names=["hash", "doc", "key", "start", "windows", "at", "context", "n"])
@@ -229,7 +245,7 @@ def _contexts(unit, keep_first: bool):
         for batch in batches:
             doc, key, shared = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             texts = unzipped(batch.column(2))
-            found = _Combined(keep_first)
+            found = _Combined(unit, keep_first)
             for a, b in text_slices(texts, 2_000_000):
                 h, bounds, units = unit.units(texts[a:b])
                 d, g, s1, s2, p = runs(unit, h, bounds)
@@ -239,7 +255,7 @@ def _contexts(unit, keep_first: bool):
                     mine = lo + np.flatnonzero(np.isin(g[lo:hi], np.array(shared[a + i], np.int64)))
                     for j in mine.tolist():
                         x, y = int(s1[j] - bounds[i]), int(s2[j] - bounds[i])
-                        found.add((int(g[j]), doc[a + i], key[a + i], x, y - x + 1, int(p[j] - s1[j]), unit.context(units[i], x, y + unit.window)))
+                        found.add((int(g[j]), doc[a + i], key[a + i], x, y - x + 1, int(p[j] - s1[j]), unit.context(units[i], x, y + unit.reach)))
             yield from found.batches()
 
     return run
@@ -256,7 +272,7 @@ def _refined(unit, width: int, keep_first: bool):
 
     def run(batches):
         for batch in batches:
-            found = _Combined(keep_first)
+            found = _Combined(unit, keep_first)
             cols = [c.to_pylist() for c in batch.columns]
             for _, doc, key, start, windows, at, context, n in zip(*cols):
                 for name, j, m, text in unit.parts(context, at, windows, width):
@@ -266,16 +282,16 @@ def _refined(unit, width: int, keep_first: bool):
     return run
 
 
-def _marked(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a column of lists of (start, marks): the row and the start of each window that is marked."""
+def _marked(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of (start, marks): the row, the start and the mark of each window that has one."""
     per_row = np.nan_to_num(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False)).astype(np.int64)
     flat = spans.flatten()
     start, marks = flat.field(0).to_numpy(), flat.field(1)
     size = pa.compute.binary_length(marks).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(marks.to_pylist()), np.uint8)
     within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    hit = data == 49
-    return np.repeat(np.repeat(np.arange(len(per_row)), per_row), size)[hit], (np.repeat(start, size) + within)[hit]
+    hit = data >= SOME
+    return np.repeat(np.repeat(np.arange(len(per_row)), per_row), size)[hit], (np.repeat(start, size) + within)[hit], data[hit]
 
 
 SPANS = "doc long, key long, start long, marks binary"
@@ -284,8 +300,8 @@ SPANS = "doc long, key long, start long, marks binary"
 def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool, empty) -> DataFrame:
     """Rows of `schema` for all rows of docs (doc_id, text): what is left of each text.
 
-    judge: over contexts sorted by (hash, context, doc), gives rows of SPANS (a byte for each window: it repeats).
-    remove: (text, starts of the windows that go, whole) to a row of the schema; whole: the class has an earlier copy, or
+    judge: over contexts sorted by (hash, context, doc), gives rows of SPANS (a mark for each window).
+    remove: (text, starts of the strings that go, starts of the windows that repeat, whole) to a row of the schema; whole: the class has an earlier copy, or
     a copy at all unless keep_first.
     """
     spark = docs.sparkSession
@@ -328,7 +344,7 @@ def repeated(docs: DataFrame, unit, judge, remove, schema: str, keep_first: bool
     settled = told[0]
     for more in told[1:]:
         settled = settled.union(more)
-    settled = settled.select("doc", "key", "start", F.expr("cast(repeat('1', windows) as binary)").alias("marks"))
+    settled = settled.select("doc", "key", "start", F.expr(f"cast(concat(repeat('{chr(HIT)}', n), repeat('{chr(SOME)}', windows - n)) as binary)").alias("marks"))
     spans = cut(spans.union(settled).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "marks")).alias("spans")).select(F.col("doc").alias("sd"), F.col("key").alias("sk"), "spans"), "spans")
     del open_, settled, cold, told
     for path in held:
@@ -351,9 +367,12 @@ def cleaned(packed: DataFrame, info: DataFrame, remove, schema: str, empty) -> D
         for batch in batches:
             texts = unzipped(batch.column(1))
             spans, whole = batch.column(2), batch.column(3).to_pylist()
-            docs, at = _marked(spans)
+            docs, at, mark = _marked(spans)
             edges = np.searchsorted(docs, np.arange(len(texts) + 1))
-            got = [remove(t or b"", at[edges[i] : edges[i + 1]], bool(whole[i])) for i, t in enumerate(texts)]
+            got = []
+            for i, t in enumerate(texts):
+                some = at[edges[i] : edges[i + 1]]
+                got.append(remove(t or b"", some[mark[edges[i] : edges[i + 1]] == HIT], some, bool(whole[i])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), empty))] if got else [batch.column(0), *(pa.array([], t) for t in empty)], names=["doc_id", *(f.split()[0] for f in schema.split(", "))])
 
     return joined.mapInArrow(last, f"doc_id {dict(packed.dtypes)['doc_id']}, {schema}")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SPANS, Words, cleaned, repeated
+from .anchors import HIT, SPANS, Words, cleaned, repeated
 from .common import WORDS, as_bytes, cut, zipped
 
 #: An automaton takes so many words of reference contexts; more make further shards, each of which all contexts pass.
@@ -125,7 +125,7 @@ def _judge(window: int):
                     docs.append(d)
                 rows.append((d, k, s, n, len(contexts) - 1))
             best = judged(contexts, docs, window) if len(contexts) > 1 else [[docs[0]] * group[0][4]]
-            return [(d, k, s, bytes(49 if best[i][j] < d else 48 for j in range(n))) for d, k, s, n, i in rows]
+            return [(d, k, s, bytes(HIT if best[i][j] < d else 48 for j in range(n))) for d, k, s, n, i in rows]
 
         done = []
         for batch in batches:
@@ -152,7 +152,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def _without(window: int):
-    def remove(text: bytes, at: np.ndarray, whole: bool) -> tuple:
+    def remove(text: bytes, at: np.ndarray, some: np.ndarray, whole: bool) -> tuple:
         words = WORDS.findall(text)
         cover = np.zeros(len(words) + 1, np.int64)
         if whole and len(words) >= window:
@@ -211,8 +211,8 @@ def deduplicate_by_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             for batch in batches:
                 out = []
                 for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                    marks = bytes(49 if d is not None and d < doc else 48 for d in shared.value.statistics(WORDS.findall(text), window))
-                    if b"1" in marks:
+                    marks = bytes(HIT if d is not None and d < doc else 48 for d in shared.value.statistics(WORDS.findall(text), window))
+                    if HIT in marks:
                         out.append((doc, key, 0, marks))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc", "key", "start", "marks"])
 

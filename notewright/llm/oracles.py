@@ -29,19 +29,28 @@ kept AS (
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-SUFFIXES = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-chunks AS (SELECT doc_id, c, substr(x, 2 * c + 1, 2798) AS y FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 399, 0), 1000)) AS c FROM d)),
-windows AS (SELECT doc_id, c + j AS s, md5(substr(y, 2 * j + 1, 800)) AS h FROM (SELECT doc_id, c, y, unnest(range(0, least(1000, len(y) // 2 - 399))) AS j FROM chunks)),
-many AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
-hits AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM windows WHERE h IN (SELECT h FROM many)),
-runs AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM (SELECT doc_id, s, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM hits) GROUP BY doc_id, g),
+
+
+def _runs(n: int, name: str) -> str:
+    """Maximal runs (doc_id, a, b) that strings of n bytes cover which start more than once; texts are in hexadecimal digits."""
+    return f"""
+chunks{n} AS (SELECT doc_id, c, substr(x, 2 * c + 1, {2 * (999 + n)}) AS y FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - {n - 1}, 0), 1000)) AS c FROM d)),
+windows{n} AS (SELECT doc_id, c + j AS s, md5(substr(y, 2 * j + 1, {2 * n})) AS h FROM (SELECT doc_id, c, y, unnest(range(0, least(1000, len(y) // 2 - {n - 1}))) AS j FROM chunks{n})),
+many{n} AS (SELECT h FROM windows{n} GROUP BY h HAVING count(*) > 1),
+hits{n} AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM windows{n} WHERE h IN (SELECT h FROM many{n})),
+{name} AS (SELECT doc_id, min(s) AS a, max(s) + {n} AS b FROM (SELECT doc_id, s, sum(CASE WHEN gap <= {n} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM hits{n}) GROUP BY doc_id, g)"""
+
+
+SUFFIXES = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),{_runs(400, "runs")},{_runs(300, "repeats")},
 before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
 kept AS (
   SELECT before.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k
   FROM before JOIN d ON d.doc_id = before.doc_id GROUP BY before.doc_id
-)
-SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+),
+n AS (SELECT doc_id, count(*) AS n_repeats FROM repeats GROUP BY doc_id)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(n_repeats, 0) AS n_repeats, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 DECONTAMINATE = f"""

@@ -64,7 +64,7 @@ def op3_brown(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     held = is_held("doc_id", 10, 0)
-    return score(docs, docs.where(~held)).withColumn("held_out", held)
+    return score(docs, ~held).withColumn("held_out", held)
 
 
 def op10_decontaminate(spark, sf_dir):
@@ -84,7 +84,7 @@ def op9_suffixes(spark, sf_dir):
     from .suffixes import deduplicate
 
     out = deduplicate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeats", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate}

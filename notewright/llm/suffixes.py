@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Bytes, repeated
+from .anchors import HIT, SOME, Bytes, repeated
 
 
 @lru_cache
@@ -117,33 +117,38 @@ def _ordered(block: np.ndarray, positions: np.ndarray, group: np.ndarray, depth:
     return order, common
 
 
-def mark(contexts: list[bytes], group: np.ndarray, at: np.ndarray, windows: np.ndarray, times: np.ndarray, window: int, k: int) -> np.ndarray:
-    """marks[i, j]: window j of context i occurs more than once among the contexts of its group (groups ascend).
+def mark(contexts: list[bytes], group: np.ndarray, at: np.ndarray, windows: np.ndarray, times: np.ndarray, unit=Bytes) -> np.ndarray:
+    """marks[i, j]: SOME if window j of context i occurs more than once among the contexts of its group, HIT if the string of
+    `reach` bytes that starts there does (groups ascend); else 0.
 
     Equal windows have the anchor at the same place, x bytes after their start: they agree on x bytes before it
     and window - x from it on. The contexts lie one after the other in a block; a bucket is the suffixes that begin
     with one anchor, and those of the reversed block from it on backwards. Agreement to a depth is a run of neighbours in
     their order.
     """
+    window, reach, k = unit.window, unit.reach, unit.k
     size = np.array([len(c) for c in contexts], np.int64)
     block, place = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(size) - size + at
-    right, common_right = _ordered(block, place, group, window)
+    right, common_right = _ordered(block, place, group, reach)
     left, common_left = _ordered(block[::-1], len(block) - place, group, window - k)
     marks = np.zeros((len(contexts), window - k + 1), np.uint8)
     names = [np.empty(len(contexts), np.int64) for _ in range(2)]
     for x in range(window - k + 1):
         some = np.flatnonzero((at - windows + 1 <= x) & (x <= at))
-        if len(some) < 1:
-            continue
-        names[0][right] = np.cumsum(common_right < window - x)
         names[1][left] = np.cumsum(common_left < x)
-        _, same = np.unique(names[0][some] * (len(contexts) + 1) + names[1][some], return_inverse=True)
-        many = np.bincount(same, weights=times[some])[same] > 1
-        marks[some[many], at[some[many]] - x] = 1
+        for length, level in ((window, SOME), (reach, HIT)):
+            if length > window:
+                some = some[at[some] - x + length <= size[some]]
+            if len(some) < 1:
+                break
+            names[0][right] = np.cumsum(common_right < length - x)
+            _, same = np.unique(names[0][some] * (len(contexts) + 1) + names[1][some], return_inverse=True)
+            some = some[np.bincount(same, weights=times[some])[same] > 1]
+            marks[some, at[some] - x] = level
     return marks
 
 
-def _judge(window: int, k: int, block: int = 3_000_000):
+def _judge(unit=Bytes, block: int = 3_000_000):
     """Buckets of anchors, in blocks of about `block` bytes of different contexts; a context that many rows share stands there once."""
 
     def run(batches):
@@ -154,9 +159,9 @@ def _judge(window: int, k: int, block: int = 3_000_000):
             if not held:
                 return None
             contexts, at, windows, times, bucket = zip(*held)
-            marks = mark(list(contexts), *(np.array(c, np.int64) for c in (bucket, at, windows, times)), window, k)
+            marks = mark(list(contexts), *(np.array(c, np.int64) for c in (bucket, at, windows, times)), unit)
             hit = marks.any(1)
-            told = [(d, key, s, (marks[i, : windows[i]] + 48).tobytes()) for d, key, s, i in rows if hit[i]]
+            told = [(d, key, s, np.maximum(marks[i, : windows[i]], 48).tobytes()) for d, key, s, i in rows if hit[i]]
             return told
 
         def close():
@@ -168,7 +173,8 @@ def _judge(window: int, k: int, block: int = 3_000_000):
                     size += len(context)
                 number += 1
             elif group and group[0][3] > 1:  # one context, several times: all its windows
-                alone.extend((*m, b"1" * group[0][2]) for m in group[0][4])
+                full = unit.full(group[0][0], group[0][2])
+                alone.extend((*m, bytes([HIT]) * full + bytes([SOME]) * (group[0][2] - full)) for m in group[0][4])
             group.clear()
 
         def batch_of(told):
@@ -185,7 +191,7 @@ def _judge(window: int, k: int, block: int = 3_000_000):
                         if told := [*(out() or []), *alone]:
                             yield batch_of(told)
                         held, rows, size, number, alone = [], [], 0, 0, []
-                if group and group[-1][0] == context:
+                if group and group[-1][0] == context and group[-1][2] == windows:
                     group[-1][3] += n
                     group[-1][4].append((doc, key, start))
                 else:
@@ -197,24 +203,34 @@ def _judge(window: int, k: int, block: int = 3_000_000):
     return run
 
 
-def _without(window: int):
-    def remove(text: bytes, at: np.ndarray, whole: bool) -> tuple:
-        if whole and len(text) >= window:
-            return len(text), len(text), 1, b""
+def _runs(at: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n bytes strings of the length that start there cover."""
+    return np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1))[:-1] > 0
+
+
+def _number(covered: np.ndarray) -> int:
+    return int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
+
+
+def _without(window: int, reach: int):
+    def remove(text: bytes, at: np.ndarray, some: np.ndarray, whole: bool) -> tuple:
+        n = len(text)
+        if whole and n >= reach:
+            return n, n, 1, 1, b""
+        repeats = int(whole and n >= window) or (_number(_runs(some, window, n)) if len(some) else 0)
         if not len(at):
-            return len(text), 0, 0, text
-        cover = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + window, minlength=len(text) + 1)
-        gone = np.cumsum(cover)[:-1] > 0
-        n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        return len(text), int(gone.sum()), n_spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
+            return n, 0, 0, repeats, text
+        gone = _runs(at, reach, n)
+        return n, int(gone.sum()), _number(gone), repeats, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     return remove
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept), a row for each row of docs; kept: the remaining bytes.
+    """(doc_id, n_bytes, n_removed, n_spans, n_repeats, kept), a row for each row of docs; kept: the remaining bytes.
 
-    A byte goes if a 400-byte string that covers it also starts anywhere else, in the same document or another.
+    A byte goes if a 400-byte string that covers it also starts anywhere else, in the same document or another. n_repeats:
+    the maximal runs that 300-byte strings cover which do (a passage of 50 words of prose); they stay if they are no longer.
     Buckets of suffixes are those that begin with one anchor; only anchors that occur more than once have one. A bucket is
     sorted by bytes as far as the next sampled position of a difference cover that two suffixes share, then by ranks of
     the samples of its block, so a comparison looks at 32 bytes at most; a block's size bounds the memory.
@@ -222,5 +238,5 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     go altogether; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return repeated(rows, Bytes, _judge(Bytes.window, Bytes.k), _without(Bytes.window), "n_bytes long, n_removed long, n_spans long, kept binary", False, kinds)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return repeated(rows, Bytes, _judge(), _without(Bytes.window, Bytes.reach), "n_bytes long, n_removed long, n_spans long, n_repeats long, kept binary", False, kinds)
