@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import drop_table, write_table
 
 
 def stars(u, v) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +55,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges do no harm; no edges give no rows.
     """
 
+    spark, paths = edges.sparkSession, []
+
     def write(df):
-        out = cut(df, "edges")
+        """df in the shared folder, in place of the round before."""
+        paths.append(write_table(df, "edges"))
+        out = spark.read.schema(df.schema).parquet(paths[-1])
+        if len(paths) > 1:
+            drop_table(spark, paths.pop(0))
         return out, out.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "u", "v") % 1_000_000_007) for k in range(2))).first()
 
     now, was = write(edges.where("u <> v").mapInArrow(_local, "u long, v long").distinct())

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, as_bytes, batches_of, cut, free_memory, free_shuffles, partitions
+from .common import LOWER, WORDS, as_bytes, batches_of, cut, drop_table, free_memory, free_shuffles, partitions, write_table
 from .graph import components
 
 #: Buckets of more fingerprints are linked through balls() instead of pair by pair.
@@ -381,8 +381,21 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     of_node = nodes.select("node").join(sig.drop("md5", "doc_id"), F.col("node") == F.col("row"))
     texts = of_node.select("node", "shingles")
 
+    held: dict[str, list[str]] = {}
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """As cut(); done(name) removes the table."""
+        held.setdefault(name, []).append(write_table(df, name))
+        return spark.read.schema(df.schema).parquet(held[name][-1])
+
+    def done(*names: str) -> None:
+        for name in names:
+            for path in held.pop(name, []):
+                drop_table(spark, path)
+        free_shuffles(spark)
+
     rows = of_node.select("node", "size", "prefix").mapInArrow(_keys, "key long, node long, size int, place int")
-    met = cut(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared(similarity), "key long, node long, size int, place int, lead long"), "met")
+    met = keep(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared(similarity), "key long, node long, size int, place int, lead long"), "met")
     del rows
     free_shuffles(spark)
 
@@ -393,23 +406,28 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
     def verified(pairs: DataFrame) -> DataFrame:
         with batches_of(spark, WIDE_ROWS):
-            out = cut(_verified(pairs, texts, similarity), "verified")
+            out = keep(_verified(pairs, texts, similarity), "verified")
         free_shuffles(spark)
         return out
 
-    led = cut(met.where("lead >= 0").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "led")
+    led = keep(met.where("lead >= 0").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "led")
     links = verified(led.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     links = links.union(verified(apart(led, components(links))))
     roots = cut(components(links), "roots")
     # every bucket that still holds several groups, a large one in pairs of blocks
-    named = cut(met.drop("lead").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")), "named")
+    named = keep(met.drop("lead").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")), "named")
+    del met
+    done("met", "led")
     mixed = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("mk", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     dealt = named.join(mixed, named["key"] == mixed["mk"]).withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     odd = of_node.select(F.col("node").alias("o"), "odd")
     ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", *(F.col("odd")[k].alias(f"odd{k}") for k in range(4)))
-    across = cut(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
+    across = keep(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
+    del mixed, dealt, ready, named
+    done("named")
     links = links.union(verified(across))
     roots = components(links)
+    done("across", "verified")
     named = nodes.select("md5", "node").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(F.col("md5").alias("m"), F.coalesce("root", "node").alias("group"))
     every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "md5", "group")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
