@@ -321,8 +321,8 @@ def lexed(text: str, least: float = 6.0) -> list[tuple[int, int]]:
 
     Constants are propagated in the order of the text: the value of a name is its last assignment, with the values
     that the names on its right have then; a comment's assignments are judged but change no value. A literal's score
-    is that of the name (names around it count one less) plus that of its own characters, or those of an
-    assignment's literals joined; from `least` on it counts, if the name scores at all.
+    is that of the name (names around it count one less) plus that of its own characters, or, where none of
+    an assignment's literals is enough by itself, those of all joined; from `least` on it counts, if the name scores at all.
     """
     if not ("=" in text or ":" in text or "(" in text or "<" in text):
         return []
@@ -339,13 +339,14 @@ def lexed(text: str, least: float = 6.0) -> list[tuple[int, int]]:
             if judged.get(k, 0) >= score:
                 continue
             judged[k] = score
-            for s in held:
+            parts = held + [s for v in inner for s in v[1]]
+            for s in parts:
                 if s not in own:
                     own[s] = literal_score(text[s[0] : s[1]])
+            for s in held:
                 if s[1] > s[0] and score + own[s] >= least:
                     out.add(s)
-            parts = held + [s for v in inner for s in v[1]]
-            if 1 < len(parts) <= JOINED and score + literal_score("".join(text[a:b] for a, b in parts)) >= least:
+            if 1 < len(parts) <= JOINED and not any(score + own.get(s, 0) >= least for s in parts) and score + literal_score("".join(text[a:b] for a, b in parts)) >= least:
                 out.update(s for s in parts if s[1] > s[0])
             todo += inner
         if not comment:
