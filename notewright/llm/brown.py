@@ -68,6 +68,10 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 6) -> np.ndarray:
     return of
 
 
+#: So many counts are looked at together: the driver's memory beside the counts themselves.
+CELLS = 8_192
+
+
 def moved(left: np.ndarray, right: np.ndarray, of: np.ndarray, classes: int, words: np.ndarray) -> np.ndarray:
     """The exchange for many words at once: each of them goes to the class that most raises the likelihood while the others stay.
 
@@ -80,11 +84,11 @@ def moved(left: np.ndarray, right: np.ndarray, of: np.ndarray, classes: int, wor
     np.add.at(joint.T, of, left)  # joint[a, b]: a before b
     gain = np.zeros((len(words), free))
     for counts, table in ((left, joint), (right, joint.T)):  # table[a]: what stands with class a, by the unit's class
-        own = counts[words].astype(float)
+        own = counts[words]
         row, a = np.nonzero(own)
-        n = own[row, a]
-        for k in range(0, len(row), 200_000):
-            part = slice(k, k + 200_000)
+        n = own[row, a].astype(float)
+        for k in range(0, len(row), CELLS):
+            part = slice(k, k + CELLS)
             base = table[a[part], :free]
             more = f(base + n[part, None]) - f(base)
             here = of[words[row[part]]]
@@ -92,12 +96,14 @@ def moved(left: np.ndarray, right: np.ndarray, of: np.ndarray, classes: int, wor
             held = table[a[part][at], here[at]]
             more[at, here[at]] = f(held) - f(held - n[part][at])  # its own class holds it already
             np.add.at(gain, row[part], more)
-        size, mine = table.sum(0), own.sum(1)
-        cost = f(size[None, :free] + mine[:, None]) - f(size[None, :free])
-        here = of[words]
-        at = np.flatnonzero(here < free)
-        cost[at, here[at]] = f(size[here[at]]) - f(size[here[at]] - mine[at])
-        gain -= cost
+        size, mine = table.sum(0), own.sum(1).astype(float)
+        del own, row, a, n
+        for k in range(0, len(words), CELLS):
+            here, m = of[words[k : k + CELLS]], mine[k : k + CELLS]
+            cost = f(size[None, :free] + m[:, None]) - f(size[None, :free])
+            at = np.flatnonzero(here < free)
+            cost[at, here[at]] = f(size[here[at]]) - f(size[here[at]] - m[at])
+            gain[k : k + CELLS] -= cost
     some = left[words].any(1) | right[words].any(1)
     out[words[some]] = gain[some].argmax(1)
     return out
@@ -252,7 +258,7 @@ def learned(rows: DataFrame, units: Units, *, most: int, classes: int, rounds: i
     few = min(most, units.own)
     small = few + units.groups + 1  # the frequent words, the groups (rarer known words stand for theirs) and the end
     fold = np.concatenate([np.arange(few), np.fromiter((few + group_of(w, units.groups) for w in list(units.index)[few:]), np.int64, units.own - few), few + np.arange(units.groups + 1)])
-    shared = spark.sparkContext.broadcast(fold)
+    shared, left = spark.sparkContext.broadcast(fold), None
 
     def pairs(chain):
         x = shared.value[chain]
@@ -267,7 +273,9 @@ def learned(rows: DataFrame, units: Units, *, most: int, classes: int, rounds: i
             c = now.value[chain]
             return [(0, chain[1:] * classes + c[:-1]), (size * classes, chain[:-1] * classes + c[1:])]
 
+        left = right = None  # the counts of the round before
         left, right = count_cells(rows, 2 * size * classes, beside, end).reshape(2, size, classes)
+        now.unpersist()
         if k == rounds or not len(rest):
             break
         of = moved(left, right, of, classes, rest)
@@ -294,7 +302,9 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
     plain = lambda df, learn: df.select(F.monotonically_increasing_id().alias("row_key"), df[text_col].alias("text"), df[id_col].cast("long").alias("doc_id"), learn.alias("learn"))
     counts = cut(count_tokens(training if apart else docs.where(training), text_col), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r[0]), r[1]) for r in counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(known_words).collect()]
+    found = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(known_words).toArrow()
+    top = list(zip(found.column("token").to_pylist(), found.column("c").to_pylist()))
+    del found
     ends = counts.where(F.col("token") == F.lit(END)).first()
     ends = ends[1] if ends else 0
     units = Units([w for w, _ in top], groups)
