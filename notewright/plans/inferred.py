@@ -540,7 +540,7 @@ def _notes(spark, d) -> DataFrame:
 _OF = {
     V.TEXTS: (_texts, f"(select conv_id * 100000 + turn as id, {S.nth(_KINDS, f'{_N} % {len(_KINDS)}')} as kind, {S.nth(('', 'plan'), f'{_N} % 2')} as modality, {S.nth(_SOURCES, f'{_N} % 5')} as source, {S.nth(_VERIFIED, f'{_N} % 3')} as verified, array_to_string(list_slice({S.toks('text')}, 1, 3), ' ') as concept, text as body from conversations)", "event_concepts concept_from_text text_rules retype_cascade low_value_filter"),
     V.LABELS: (_labels, f"(select conv_id * 100000 + turn as id, {S.nth(_RAWS, '(conv_id * 7 + turn) % 15')} as raw, {S.nth(_LKINDS, '(conv_id * 3 + turn) % 15')} as kind, {S.nth(_SPEAKERS, '(conv_id + turn) % 15')} as speaker, {S.nth(_WHENS, '(conv_id * 11 + turn) % 15')} as time from conversations)", "norm_labels benchmark_labels seed_labels"),
-    V.FLAT: (_flat, f"(select case_id, ord, {S.nth(_FCATS, f'ord % {len(_FCATS)}')} as category, {S.nth(_FPREDS, f'ord % {len(_FPREDS)}')} as predicate, concept, prop_text from {_P})", "event_types event_slots event_plan"),
+    V.FLAT: (_flat, f"(select case_id, cast(ord as int) as ord, {S.nth(_FCATS, f'ord % {len(_FCATS)}')} as category, {S.nth(_FPREDS, f'ord % {len(_FPREDS)}')} as predicate, concept, prop_text from {_P})", "event_types event_slots event_plan"),
     V.TURNS: (_transcripts, f"(select conv_id as case_id, string_agg({S.nth(('[doctor] ', '[patient] He denies chest pain, ', '', '[Clinician] We will start it and check '), 'turn % 4')} || replace(coalesce(text, ''), chr(10), ' '), chr(10) order by turn) as transcript from conversations group by 1)", "turns_parse negation_props plan_clauses marked_turns"),
     V.NOTES: (_notes, "(select doc_id as case_id, 'HPI:' || chr(10) || coalesce(text, '') || chr(10) || 'Plan: rest' || chr(10) || 'last' as note from documents)", "header_sections subjective_view"),
 }
