@@ -87,6 +87,15 @@ def op9_suffixes(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeats", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate}
+def op11_toxicity(spark, sf_dir):
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = is_held("doc_id", 5, 0)
+    model = train(docs.where(~held), table(spark, sf_dir, "labels"))
+    return score(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate, "op11_toxicity": op11_toxicity}
 #: The others turn on tokenizers, on a trained model, on XXH64 or on positions of matches, which SQL lacks; tests hold them against brute force.
 ORACLES = {"op4_embeddings": oracles.EMBEDDINGS, "op6_automata": oracles.AUTOMATA, "op9_suffixes": oracles.SUFFIXES, "op10_decontaminate": oracles.DECONTAMINATE}
