@@ -68,3 +68,49 @@ judged AS (SELECT doc_id, item_id, k, s, size, sum(shared) / (m + size - sum(sha
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM judged WHERE similarity >= 0.8 - 1e-12)
 SELECT doc_id, item_id, (s - 1)::INTEGER AS start, (size + k - 1)::INTEGER AS n_words, similarity FROM best WHERE r = 1
 """
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, array_to_string(list(x) OVER (PARTITION BY lang, piece ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING), ' ') AS g, {k} AS k, size - p + 1 AS room FROM words" for k in range(1, 6))
+COLLOCATIONS = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, {LOWER.format("text")} AS t FROM documents),
+pieces AS (SELECT lang, doc, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS t FROM d),
+numbered AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS size FROM numbered),
+n AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f AS (SELECT lang, g, any_value(k) AS k, count(*) AS f FROM ({_GRAMS}) WHERE room >= k GROUP BY lang, g HAVING count(*) >= 100),
+often AS (SELECT lang, g, k, f, string_split(g, ' ') AS w FROM f),
+around AS (SELECT lang, g, max(f) AS longer FROM (
+  SELECT lang, array_to_string(w[:k - 1], ' ') AS g, f FROM often WHERE k > 1 UNION ALL SELECT lang, array_to_string(w[2:], ' ') AS g, f FROM often WHERE k > 1
+) GROUP BY lang, g),
+kept AS (SELECT o.* FROM often o LEFT JOIN around USING (lang, g) WHERE o.k > 1 AND (longer IS NULL OR 100 * longer < 100 * o.f)),
+cuts AS (SELECT lang, g, f AS a, c, array_to_string(w[:c], ' ') AS gl, array_to_string(w[c + 1:], ' ') AS gr FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.g, a, c, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = gl JOIN f r ON r.lang = cuts.lang AND r.g = gr JOIN n ON n.lang = cuts.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM best)
+SELECT lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER.format("text")} AS t FROM documents),
+x AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM x GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, count(*) AS V, sum(c)::BIGINT AS N FROM kept GROUP BY lang),
+n AS (SELECT x.lang, source, x.term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT groups.lang, groups.source, coalesce(sum(n), 0)::BIGINT AS N FROM groups LEFT JOIN n USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT t.lang, t.source, kept.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (t.N + V) AS p
+  FROM totals t JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN n ON n.lang = t.lang AND n.source = t.source AND n.term = kept.term
+),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (N + V) AS q FROM kept JOIN langs USING (lang)),
+terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM all_pairs UNION ALL
+  SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

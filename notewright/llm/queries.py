@@ -96,6 +96,18 @@ def op11_toxicity(spark, sf_dir):
     return score(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate, "op11_toxicity": op11_toxicity}
+def op12_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark, sf_dir):
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_brown": op3_brown, "op4_embeddings": op4_embeddings, "op2_packing": op2_packing, "op5_varbytes": op5_varbytes, "op6_automata": op6_automata, "op7_secrets": op7_secrets, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_decontaminate": op10_decontaminate, "op11_toxicity": op11_toxicity, "op12_collocations": op12_collocations, "op13_divergence": op13_divergence}
 #: The others turn on tokenizers, on a trained model, on XXH64 or on positions of matches, which SQL lacks; tests hold them against brute force.
-ORACLES = {"op4_embeddings": oracles.EMBEDDINGS, "op6_automata": oracles.AUTOMATA, "op9_suffixes": oracles.SUFFIXES, "op10_decontaminate": oracles.DECONTAMINATE}
+ORACLES = {"op4_embeddings": oracles.EMBEDDINGS, "op6_automata": oracles.AUTOMATA, "op9_suffixes": oracles.SUFFIXES, "op10_decontaminate": oracles.DECONTAMINATE, "op12_collocations": oracles.COLLOCATIONS, "op13_divergence": oracles.DIVERGENCE}
