@@ -142,7 +142,7 @@ def radix_top(rows: DataFrame, group: list[str], value: str, item: str, k: int,
     n_groups = rows.select(*group).distinct().count()
     top = rows.agg(F.max(value)).first()[0]
     if top is None:
-        return rows
+        return rows.withColumn("rank", F.lit(0))
     on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
     names = [F.col(g).alias(f"_{g}") for g in group]
     shift = -(-max(int(top).bit_length(), 1) // bits) * bits
@@ -164,7 +164,9 @@ def radix_top(rows: DataFrame, group: list[str], value: str, item: str, k: int,
     keep = ["_high"]
     while shift > 0:
         shift -= bits
-        active = joined(state).where(F.shiftright(value, shift + bits) == F.col("_high"))
+        active = joined(state)
+        if shift + bits < 64:  # shifts count modulo 64; in the first round all rows are active
+            active = active.where(F.shiftright(value, shift + bits) == F.col("_high"))
         got = chosen(active, F.shiftright(value, shift).bitwiseAND((1 << bits) - 1), F.desc("_digit"))
         state = cut(got.select(*[f"_{g}" for g in group], (F.col("_high") * (1 << bits) + F.col("_digit")).alias("_high"), (F.col("_need") - F.col("_sum") + F.col("_n")).alias("_need"), F.col("_n").alias("_size")), "radix")
         if not state.where(F.col("_size") > F.greatest(F.lit(slack), F.col("_need"))).take(1):
@@ -226,7 +228,8 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     cut_at = F.expr("length(key) - locate('\\0', reverse(key))")
     kept_at = write_table(packed.select(F.substring("key", F.lit(1), cut_at).alias("lang"), F.substring("key", cut_at + 2, F.length("key")).alias("term"), "c", "of"), "kept")
     kept = spark.read.schema("lang string, term string, c long, of array<struct<source: string, n: long>>").parquet(kept_at)
-    flat = kept.select("lang", "c", "term", F.monotonically_increasing_id().alias("row"), F.explode("of").alias("x")).select("lang", "c", "term", "row", "x.source", "x.n")
+    # numbered before rows are taken apart
+    flat = kept.withColumn("row", F.monotonically_increasing_id()).select("lang", "c", "term", "row", F.explode("of").alias("x")).select("lang", "c", "term", "row", "x.source", "x.n")
 
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("c").alias("lang_total"))
     sums = cut(flat.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("times")), "histogram")
