@@ -59,9 +59,20 @@ def alignment_text(c) -> Column:
     return F.array_join(alignment_tokens(c), " ")
 
 
+#: Where a word begins and ends, whatever a version of Java takes \\b for.
+BEGINS, ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+#: What goes from a sentence to leave a concept, with what stands instead. The words are fixed values.
+CONCEPT_LEADS = (
+    (r"^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+", ""),
+    (r"^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+", ""),
+    (BEGINS + r"(will|is|are|was|were|be|being|been)" + ENDS, " "),
+)
+
+
 def event_tokens(c, stop_words=EVENT_STOP_WORDS) -> Column:
     """Words of an event's concept: numbers go, marks of doses stay, short and stop words go."""
-    low = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"\b\d+(?:\.\d+)?\b", " ")
+    low = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), rf"{BEGINS}\d+(?:\.\d+)?{ENDS}", " ")
     low = F.regexp_replace(low, r"[^a-z0-9%/+\-]+", " ")
     stop = F.array(*(F.lit(w) for w in stop_words))
     return F.filter(F.split(low, " "), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
@@ -77,10 +88,8 @@ def audit_key(c) -> Column:
 def concept_from_text(c) -> Column:
     """A concept out of a sentence: who says it and auxiliaries go, eight words stay."""
     t = F.lower(safe_text(c))
-    # The words of these patterns are fixed values.
-    t = F.regexp_replace(t, r"^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+", "")
-    t = F.regexp_replace(t, r"^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+", "")
-    t = F.regexp_replace(t, r"\b(will|is|are|was|were|be|being|been)\b", " ")
+    for pattern, instead in CONCEPT_LEADS:
+        t = F.regexp_replace(t, pattern, instead)
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9%/+\- ]", " "), r"\s+", " "))
     return F.array_join(F.slice(F.split(t, " "), 1, 8), " ")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alignment_text, alignment_tokens, f1_of, first_text, safe_text, token_f1, tokens
 from ..sources.stage import staged
+from .rounds import matched
 
 
 def shared_tokens(left: DataFrame, right: DataFrame, a: str, b: str, name: str, key: str = "case_id") -> DataFrame:
@@ -31,7 +32,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, columns: dict[str, tuple[str
     return out.select(key, "i", "j", *(f1_of(F.coalesce(f"{n}__", F.lit(0.0)), F.col(f"{n}_i"), F.col(f"{n}_j")).alias(n) for n in columns))
 
 
-#: A case of more pairs is matched in rounds; the pairs of the others are folded in one array.
+#: A case of more pairs is matched in rounds over bands of them; the pairs of the others are folded in one array.
 FOLDED = 5_000
 
 
@@ -41,7 +42,7 @@ def greedy(pairs: DataFrame, key: str = "case_id") -> DataFrame:
     large = staged(pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > FOLDED).select(key), "large")
     if large.isEmpty():
         return _folded(pairs, key)
-    return _folded(pairs.join(large, key, "left_anti"), key).union(_rounds(pairs.join(large, key, "left_semi"), key))
+    return _folded(pairs.join(large, key, "left_anti"), key).union(matched(pairs.join(large, key, "left_semi"), key))
 
 
 def _folded(pairs: DataFrame, key: str) -> DataFrame:
@@ -55,21 +56,6 @@ def _folded(pairs: DataFrame, key: str) -> DataFrame:
     return ranked.select(key, F.explode(F.aggregate("ps", start, step, lambda a: a["m"])).alias("p")).select(key, "p.i", "p.j", "p.score")
 
 
-def _rounds(pairs: DataFrame, key: str) -> DataFrame:
-    """The same matches: whatever is the best pair of both its sides is taken, with all pairs of these sides; and so on with the rest.
-
-    The order of pairs is strict, so such a pair is one that the fold takes, and each round takes the best of all at least.
-    """
-    out, left = None, staged(pairs, "left")
-    while not left.isEmpty():
-        best = lambda x: left.groupBy(key, x).agg(F.max(F.struct("score", "i", "j")).alias(f"b{x}"))  # noqa: B023, E731
-        p = F.struct("score", "i", "j")
-        taken = staged(left.join(best("i"), [key, "i"]).join(best("j"), [key, "j"]).where((p == F.col("bi")) & (p == F.col("bj"))).select(key, "i", "j", "score"), "taken")
-        out = taken if out is None else out.union(taken)
-        left = staged(left.join(taken.select(key, "i"), [key, "i"], "left_anti").join(taken.select(key, "j"), [key, "j"], "left_anti"), "left")
-    return pairs.limit(0) if out is None else out
-
-
 def prf(df: DataFrame, matched: str, predicted: str, gold: str, prefix: str = "") -> DataFrame:
     p = F.when(F.col(predicted) > 0, F.col(matched) / F.col(predicted)).otherwise(0.0)
     r = F.when(F.col(gold) > 0, F.col(matched) / F.col(gold)).otherwise(0.0)

@@ -61,7 +61,11 @@ def event_concepts(spark, d, rows=None):
 _LEAD = r"regexp_replace(regexp_replace(lower(%s), '^(the patient|patient|she|he|they)\s+(reports|denies|has|states|notes|describes)\s+', ''), '^(the clinician|clinician|doctor|provider)\s+(notes|states|assesses|diagnoses|suspects|plans|orders|recommends|prescribes)\s+', '')" % S.txt("body")
 
 
-@query(rf"select id, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(regexp_replace({_LEAD}, '\b(will|is|are|was|were|be|being|been)\b', ' ', 'g'), '[^a-z0-9%/+\- ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), 1, 8), ' ') as concept from {V.TEXTS.sql}")
+#: Auxiliaries between anything but letters, digits and underscores; twice, as neighbours share what is between them.
+_AUX = r"regexp_replace(%s, '(^|[^\p{L}\p{N}_])(will|is|are|was|were|be|being|been)([^\p{L}\p{N}_]|$)', '\1 \3', 'g')"
+
+
+@query(rf"select id, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace({_AUX % (_AUX % _LEAD)}, '[^a-z0-9%/+\- ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), 1, 8), ' ') as concept from {V.TEXTS.sql}")
 def concept_from_text(spark, d, rows=None):
     return of(V.TEXTS, spark, rows).select("id", T.concept_from_text("body").alias("concept"))
 
@@ -395,9 +399,19 @@ def cluster_prf(spark, d):
     return states.set_prf(c.where("annotator = 'A'"), c.where("annotator = 'B'"), ["cluster_type", "cluster_concept"])
 
 
-@query()
+_FITS = "g.c <> '' and r.c <> '' and g.t = r.t and (g.c = r.c or (greatest(0, greatest(g.f, r.f) - least(g.l, r.l)) <= 2 and (contains(g.c, r.c) or contains(r.c, g.c))))"
+_BETTER = "(r.s > g.s or (r.s = g.s and r.w > g.w))"
+
+
+@query(f"""with recursive r0 as (select case_id, cluster_type as t, cluster_concept as c, first_turn as f, last_turn as l, salience as s, {S.words('cluster_concept')} as w, members as n, row_number() over (partition by case_id order by first_turn, cluster_type, cluster_concept) as k from ({_CLUSTERS})),
+walk as (select case_id, cast(0 as bigint) as k, cast([] as struct(t varchar, c varchar, f int, l int, s int, w bigint, n bigint)[]) as gs, cast(null as bigint) as home, cast(null as varchar) as t, cast(null as varchar) as c from (select distinct case_id from r0)
+ union all
+ select case_id, k, case when home is null then list_append(gs, struct_pack(t := t, c := c, f := f, l := l, s := s, w := w, n := n)) else list_transform(gs, lambda g, i: case when i <> home then g else
+   struct_pack(t := g.t, c := case when {_BETTER.replace('r.', '')} then c else g.c end, f := least(g.f, f), l := greatest(g.l, l), s := case when {_BETTER.replace('r.', '')} then s else g.s end, w := case when {_BETTER.replace('r.', '')} then w else g.w end, n := g.n + n) end) end, coalesce(home, len(gs) + 1), t, c
+ from (select w.case_id, w.gs, r.k, r.t, r.c, r.f, r.l, r.s, r.w, r.n, list_position(list_transform(w.gs, lambda g: {_FITS}), true) as home from walk w join r0 r on r.case_id = w.case_id and r.k = w.k + 1))
+select a.case_id, a.t as cluster_type, a.c as cluster_concept, cast(a.home - 1 as int) as merged_id, z.gs[a.home].c as merged_concept, z.gs[a.home].n as merged_members from walk a join (select case_id, arg_max(gs, k) as gs from walk group by 1) z using (case_id) where a.k > 0""")
 def cluster_merge(spark, d):
-    return states.merged_clusters(states.clusters(V.props(spark, d)).withColumn("case_id", F.col("case_id").cast("long")))
+    return states.merged_clusters(states.clusters(V.props(spark, d)))
 
 
 @query(f"""select case_id, ord, concept_key, status, arg_max(status, ord) filter (status in ('Present', 'Absent')) over (partition by case_id, concept_key) as resolved from {V.STATUSES.sql} s where not (status = 'Unknown' and concept_key <> '' and exists (select 1 from {V.STATUSES.sql} t where t.case_id = s.case_id and t.concept_key = s.concept_key and t.status in ('Present', 'Absent')))""")

@@ -489,10 +489,52 @@ _RAW = " + ".join([
     "case when gap = 0 then 1.5e0 when gap <= 2 then 1.0e0 when gap <= 6 then 0.5e0 else 0.0e0 end", "case when b.slot in ('O', 'P') then 0.75e0 when b.slot = 'S' then 0.25e0 else 0.0e0 end", _w(_REG, 0.75), _w(_SYM, 0.5),
     _w("a.pref >= 5 and b.slot = 'S' and gap <= 4", 1.0), _MEDIC, _w("a.pref >= 4 and b.slot in ('O', 'P')", 0.5),
 ]) + " - " + _w("b.slot = 'G'", 0.25)
-ORACLES["bundle_pairs"] = f"""with {_FEATS}, j as (select a.case_id, a, b, greatest(0, greatest(a.first_turn, b.first_turn) - least(a.last_turn, b.last_turn)) as gap from f a join f b on a.case_id = b.case_id and a.is_anchor and a.cluster_id <> b.cluster_id),
-s as (select case_id, a.cluster_id as aid, b.cluster_id as bid, {_RELATION} as relation, {_RAW} as raw, gap, b.slot as b_slot, b.layer as b_layer, {_REG} as same_region, len(list_intersect(a.domains, b.domains)) > 0 as same_domain, {_SYM} as same_symptom, b.noise as noise, b.screening as screening, b.pref as bp, a.pref as ap, b.symptom_like as sl from j)
-select case_id, aid as a, bid as b, relation, raw + case relation when 'direct' then 0.75e0 when 'related_factor' then 0.15e0 when 'weak' then -0.1e0 else -4.0e0 end as score, gap, b_slot, b_layer, same_region, same_domain,
- noise or (screening and bp <= 1) or relation = 'unrelated' or (relation = 'weak' and b_slot = 'G') or (relation = 'weak' and ap >= 4 and sl and not same_region and not same_domain and not same_symptom) as dropped from s"""
+
+def _pairs(j: str, s: str, of: str) -> str:
+    """Two common table expressions: pairs j of clusters a (those of the condition) and others b of their case, and s with relation and score."""
+    return f"""{j} as (select a.case_id, a, b, greatest(0, greatest(a.first_turn, b.first_turn) - least(a.last_turn, b.last_turn)) as gap from f a join f b on a.case_id = b.case_id and {of} and a.cluster_id <> b.cluster_id),
+{s}0 as (select case_id, a.cluster_id as aid, b.cluster_id as bid, {_RELATION} as relation, {_RAW} as raw, gap, b.slot as b_slot, b.layer as b_layer, {_REG} as same_region, len(list_intersect(a.domains, b.domains)) > 0 as same_domain, {_SYM} as same_symptom, b.noise as noise, b.screening as screening, b.pref as bp, a.pref as ap, b.symptom_like as sl from {j}),
+{s} as materialized (select case_id, aid as a, bid as b, relation, raw + case relation when 'direct' then 0.75e0 when 'related_factor' then 0.15e0 when 'weak' then -0.1e0 else -4.0e0 end as score, gap, b_slot, b_layer, same_region, same_domain,
+ noise or (screening and bp <= 1) or relation = 'unrelated' or (relation = 'weak' and b_slot = 'G') or (relation = 'weak' and ap >= 4 and sl and not same_region and not same_domain and not same_symptom) as dropped from {s}0)"""
+
+
+ORACLES["bundle_pairs"] = f"with {_FEATS}, {_pairs('j', 's', 'a.is_anchor')} select * from s"
+
+_SURFACE = f"(not {S.has('nn', L.DISEASES)} and ({S.inside('nn', L.SURFACE_SYMPTOMS)} or ({_PICKS('nn', L.SYMPTOM_FAMILIES)} is not null and {S.words('cluster_concept')} <= 4)))"
+_AW = {k: f"{float(v)}e0" for k, v in L.ANCHOR_WEIGHTS.items()}
+_DECISION = (
+    f"{_AW['preference']} * pref + {_AW['plan_link']} * least(plan_links, 3) + {_AW['non_subjective_support']} * objective + {_AW['support_score']} * support + {_AW['salience']} * least(salience, 10)"
+    f" + {_w('disease', 3.0)} + {_w('len(domains) > 0', 0.5)} - {_w(_SURFACE, 3.5)} - {_w('noise or screening', 5.0)} - {_w(chr(40) + 'layer = ' + S.q('history') + chr(41) + ' and pref < 5', 2.0)}"
+)
+_WEAK = "(decision < 3 or (symptom_like and (decision < 6 or (plan_links = 0 and objective = 0))) or (pref <= 3 and plan_links = 0 and support < 1.5))"
+_FIRST = (
+    "case when cluster_type in ('MedicationChange', 'Plan', 'FollowUp', 'Diagnosis', 'DiagnosisImpression', 'TestOrResult', 'TestResult') or primary_type in ('Order', 'MedicationRequest', 'Diagnosis', 'Impression')"
+    " or (cluster_type = 'ProblemState' and primary_type in ('ChiefComplaint', 'Allergy')) or salience >= 9 then 2 when salience >= 6 then 1 else 0 end"
+)
+#: Steps through each case's candidates; each is an anchor if none of its rivals is one.
+_ASSIGNED = f"""{_FEATS}, {_pairs('j', 's', 'a.is_anchor')},
+per as (select case_id, a as cluster_id, count(*) filter (b_slot = 'P') as plan_links, sum(case b_slot when 'P' then 2.5e0 when 'O' then 1.5e0 when 'A' then 2.0e0 when 'S' then 0.5e0 else 0.0e0 end) as support, count(*) filter (b_slot in ('O', 'A', 'P') or relation = 'related_factor') as objective
+ from s where score >= case when b_slot in ('O', 'P') then 0.4e0 else 1.0e0 end group by 1, 2),
+d0 as (select f.*, coalesce(plan_links, 0) as plan_links, coalesce(support, 0) as support, coalesce(objective, 0) as objective from (select *, {_SURFACE} as surface from f where is_anchor) f left join per using (case_id, cluster_id)),
+d1 as materialized (select *, {_DECISION} as decision from d0),
+d2 as (select *, row_number() over (partition by case_id order by decision desc, pref desc, plan_links desc, support desc, salience desc, first_turn, cluster_id) as rank, bool_or(decision >= 8 or pref >= 4 or plan_links > 0) over (partition by case_id) as strong from d1),
+d3 as (select *, exists (select 1 from s join d1 o on o.case_id = s.case_id and o.cluster_id = s.a and o.pref >= 4 where s.case_id = d2.case_id and s.b = d2.cluster_id and s.relation <> 'unrelated' and s.score >= 0.25e0) as over from d2 where not (strong and {_WEAK})),
+d4 as materialized (select *, row_number() over (partition by case_id order by rank) as k from d3 where not (symptom_like and (over or (strong and surface and plan_links = 0)))),
+rivals as materialized (select y.case_id, y.k, list(x.cluster_id) as rs from s join d4 x on x.case_id = s.case_id and x.cluster_id = s.a join d4 y on y.case_id = s.case_id and y.cluster_id = s.b where x.k < y.k
+ and case when y.symptom_like then s.score >= case when x.symptom_like then 1.0e0 when same_region or same_domain then 0.25e0 else 0.75e0 end else not x.symptom_like and (s.score >= 2.0e0 or s.gap <= 2) end group by 1, 2),
+walk as (select case_id, cast(0 as bigint) as k, cast([] as varchar[]) as taken from (select distinct case_id from d4)
+ union all
+ select w.case_id, d4.k, case when len(list_intersect(w.taken, coalesce(rs, []))) = 0 then list_append(w.taken, d4.cluster_id) else w.taken end from walk w join d4 on d4.case_id = w.case_id and d4.k = w.k + 1 left join rivals on rivals.case_id = d4.case_id and rivals.k = d4.k),
+anchors as (select case_id, unnest(taken) as cluster_id from (select case_id, arg_max(taken, k) as taken from walk group by 1)),
+instead as (select case_id, cluster_id from (select *, row_number() over (partition by case_id order by {_FIRST} desc, coalesce(salience, 0) desc, members desc, try_cast(substr(cluster_id, 3) as bigint), cluster_id) as place from f where case_id not in (select case_id from anchors)) where place <= 3 and {S.txt('cluster_concept')} <> '' and {S.txt('summary')} <> ''),
+{_pairs('ji', 'si', '(a.case_id, a.cluster_id) in (select case_id, cluster_id from instead)')},
+chosen as (select * from anchors union all select * from instead),
+p as (select q.* from (select * from s union all select * from si) q where (q.case_id, q.a) in (select case_id, cluster_id from chosen) and (q.case_id, q.b) not in (select case_id, cluster_id from chosen)),
+best as (select case_id, b, unnest(arg_max(struct_pack(a := a, score := score, relation := relation, dropped := dropped, b_slot := b_slot, b_layer := b_layer), struct_pack(s := score, a := a))) from p group by 1, 2),
+limits as (select *, case relation when 'related_factor' then 0.2e0 when 'weak' then greatest(case when b_slot in ('O', 'P') then 0.4e0 else 0.75e0 end, case when b_slot = 'G' then 2.5e0 else 1.5e0 end) when 'unrelated' then 10.0e0 else case when b_slot in ('O', 'P') then 0.4e0 else 0.75e0 end end as least0 from best),
+assigned as (select case_id, cluster_id, cluster_id as bundle, cast(null as double) as score, 'anchor' as relation from chosen union all
+ select case_id, b, a, score, relation from limits where not dropped and score >= case when b_layer = 'history' and relation <> 'related_factor' then greatest(least0, 1.75e0) else least0 end)"""
+ORACLES["bundle_assignment"] = f"with recursive {_ASSIGNED} select * from assigned"
 
 
 BROKEN = V.Inline("id long, raw string", [(1, '{"S": "pain", "O": ["swollen", "red"], "A": "gout" "P": "rest'), (2, "S: pain\nO: swollen\nA - gout\nP: rest"), (3, None), (4, "nothing of it"), (5, '{"s" : "“quoted”"}')])
@@ -504,6 +546,26 @@ def section_salvage(spark, d):
     return BROKEN.df(spark).withColumn("m", m).select("id", *(F.col("m")[k].alias(k) for k in W.NOTE_KEYS["soap"]))
 
 
+_W5 = f"(select conv_id, turn, (conv_id + turn) % 5 as form, list_transform([1, 2, 3, 4, 5], lambda k: 'w' || coalesce({S.toks('text')}[k], 'x')) as w from conversations)"
+_FOURTH = "case form when 0 then '' when 1 then w[5] when 2 then w[5] when 3 then w[5] end"
+
+
+@query(f"""select conv_id, turn, case when form <> 4 then w[1] end as "S", case form when 0 then w[2] || ' ' || w[3] when 3 then w[2] || ' ' || w[3] when 1 then w[2] when 2 then '' end as "O", case when form <> 4 then w[4] end as "A", {_FOURTH} as "P" from {_W5}""")
+def section_salvage_table(spark, d):
+    """Answers broken in several ways, made of the words of each turn: a lost comma and end, headings, a lost quote, a list after prose, nothing of it."""
+    w = F.transform(F.array(*map(F.lit, range(5))), lambda k: F.concat(F.lit("w"), F.coalesce(F.get(T.tokens("text"), k), F.lit("x"))))  # no word is a section's name
+    forms = (
+        '{"S": "%1$s", "O": ["%2$s", "%3$s"], "A": "%4$s" "P": "%5$s', "S: %1$s\nO: %2$s\n- A - %4$s\n\tP: %5$s;", '{"S": "%1$s", "O": "%2$s, "A": "%4$s", "p" : "%5$s"}',
+        'Sure: {"S" : "%1$s", "O": {"%2$s": "%3$s"}, "A": "%4$s", "P": "%5$s"', "123 4567 %%",
+    )
+    rows = table(spark, d, "conversations").withColumns({"w": w, "form": (F.col("conv_id") + F.col("turn")) % 5})
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        raw = F.when(F.col("form") == k, F.format_string(form, *(F.col("w")[n] for n in range(5)))).otherwise(raw)
+    m = salvage.sections(F.col("raw"), "soap")
+    return rows.withColumn("raw", raw).withColumn("m", m).select("conv_id", "turn", *(F.col("m")[k].alias(k) for k in W.NOTE_KEYS["soap"]))
+
+
 # the rules of inline rows over whole tables
 
 _N = "(conv_id * 31 + turn)"

@@ -235,13 +235,19 @@ def test_sidecars(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
-def test_salvage_of_sections():
-    from notewright.functions.salvage import section_texts
-
-    assert section_texts('{"S": "pain", "O": ["swollen", "r\\u00e9d"], "A": "gout" "P": "rest', "soap") == {"S": "pain", "O": "swollen r\u00e9d", "A": "gout", "P": ""}
-    assert section_texts("S: pain\nO: swollen  knee\n- A: gout\nP: rest;", "soap") == {"S": "pain", "O": "swollen knee", "A": "gout", "P": "rest"}
-    assert section_texts("Findings are x, then the Plan is rest", "sectioned") == {"Chief Complaint": "", "History of Present Illness": "", "Findings": "are x, then the Plan is rest", "Assessment": "", "Plan": ""}
-    assert section_texts("0", "soap") is None and section_texts(None, "soap") == dict.fromkeys("SOAP", "")
+def test_salvage_of_sections(spark):
+    from notewright.functions.salvage import sections
+
+    cases = [
+        ("soap", '{"S": "pain", "O": ["swollen", "r\\u00e9d"], "A": "gout" "P": "rest', {"S": "pain", "O": "swollen r\u00e9d", "A": "gout", "P": ""}),
+        ("soap", "S: pain\nO: swollen  knee\n- A: gout\nP: rest;", {"S": "pain", "O": "swollen knee", "A": "gout", "P": "rest"}),
+        ("sectioned", "Findings are x, then the Plan is rest", {"Chief Complaint": "", "History of Present Illness": "", "Findings": "are x, then the Plan is rest", "Assessment": "", "Plan": ""}),
+        ("sectioned", '{"Chief Complaint": "knee", "plan": ["a", "", "b", "c", "d", "e", "f", "g", "h", "i"], "Plan": "again"}', {"Chief Complaint": "knee", "History of Present Illness": "", "Findings": "", "Assessment": "", "Plan": "a b c d e f g h"}),
+        ("soap", '{"S": "lost, "O": "kept", "A": {"x": "y"}, "P": "a\\"b"}', {"S": "", "O": "kept", "A": "x y", "P": 'a"b'}),
+        ("soap", "0", None), ("soap", None, dict.fromkeys("SOAP", "")), ("soap", " \n", dict.fromkeys("SOAP", "")), ("soap", '{“S”: “a—b”}', {"S": "a-b", "O": "", "A": "", "P": ""}),
+    ]
+    for template, raw, want in cases:
+        assert spark.createDataFrame([(raw,)], "raw string").select(sections(F.col("raw"), template)).first()[0] == want, raw
 
 
 def test_matching_in_rounds_equals_the_fold(spark, monkeypatch):
@@ -262,14 +268,117 @@ def test_matching_in_rounds_equals_the_fold(spark, monkeypatch):
     assert sorted(taken) == want
 
 
-def test_bundle_walk_merges_surface_symptoms():
-    from notewright.operators.bundle_events import _walk
+def _merge_walk(bs, ps):
+    """Bundles one by one, with all that came to each."""
+    pair = {(p[0], p[1]): p for p in ps}
+    state = {b["bundle"]: {"plans": set(b["plans"]), "lists": [b["bundle"]]} for b in bs}
+    gone = set()
+    for s in bs:
+        mine = state[s["bundle"]]
+        if not s["surface"] or s["found"] or len(mine["plans"]) > 1:
+            continue
+        best = []
+        for k, t in enumerate(bs):
+            p = pair.get((t["bundle"], s["bundle"]))
+            if p and t["bundle"] not in gone and t["preference"] >= 4 and p[2] != "unrelated" and p[3] > -1 and ((s["symptom"] and s["symptom"] == t["symptom"]) or p[3] >= 0.25):
+                best.append((-p[3], k))
+        if best:
+            to = state[bs[min(best)[1]]["bundle"]]
+            to["plans"] |= mine["plans"]
+            to["lists"] += mine["lists"]
+            gone.add(s["bundle"])
+    return sorted((b, name, k) for name, x in state.items() if name not in gone for k, b in enumerate(x["lists"]))
+
+
+@pytest.mark.parametrize("band", [None, 3])
+def test_bundles_of_surface_symptoms_merge_one_by_one(spark, band):
+    """Against a plain walk, chains of merges and plans that come along included, in one band and in many."""
+    from notewright.operators import bundle_events as be
+
+    r = random.Random(4)
+    routes, clusters, scored, want = [], [], [], []
+    for case in range(12):
+        bs = []
+        for k in range(1, 13):
+            surface = r.random() < 0.7
+            concept = r.choice(["knee pain", "back pain", "cough"]) if surface else r.choice(["gout", "asthma", "knee arthritis"])
+            b = {"bundle": f"CL{k}", "surface": surface, "found": int(r.random() < 0.2), "plans": r.sample(["a", "b"], r.choice([0, 0, 1, 2])), "preference": r.choice([0, 4, 5]), "concept": concept}
+            bs.append(b)
+            clusters.append((case, b["bundle"], b["preference"], concept))
+            routes += [(case, b["bundle"], "S", "s")] + [(case, b["bundle"], "P", p) for p in b["plans"]] + [(case, b["bundle"], "O", "o")] * b["found"]
+        ps = [(x["bundle"], y["bundle"], r.choice(["weak", "direct", "unrelated"]), r.choice([-2.0, 0.2, 0.25, 0.5, 1.0])) for x in bs for y in bs if x is not y and r.random() < 0.5]
+        scored += [(case, *p) for p in ps]
+        want.append((case, bs, ps))
+    feats = spark.createDataFrame(clusters, "case_id long, cluster_id string, preference int, cluster_concept string")
+    tells = feats.select("case_id", F.col("cluster_id").alias("b"), be.surface(F.col("cluster_concept")).alias("surface"), be._first_hit(F.col("cluster_concept"), be.L.SYMPTOM_FAMILIES).alias("symptom"), be._first_hit(F.col("cluster_concept"), be.L.BODY_REGIONS).alias("region"), be._hits(F.col("cluster_concept"), be.L.PROBLEM_DOMAINS).alias("domains")).collect()
+    known = {(x["case_id"], x["b"]): x for x in tells}
+    got = sorted(tuple(x) for x in be.merged(spark.createDataFrame(routes, "case_id long, bundle string, list string, text string"), feats, spark.createDataFrame(scored, "case_id long, a string, b string, relation string, score double"), band).collect())
+    expected = []
+    for case, bs, ps in want:
+        for b in bs:
+            x = known[case, b["bundle"]]
+            b |= {"surface": x["surface"], "symptom": None}
+        alike = lambda p, case=case: any(known[case, p[0]][c] and known[case, p[0]][c] == known[case, p[1]][c] for c in ("symptom", "region")) or bool(set(known[case, p[0]]["domains"]) & set(known[case, p[1]]["domains"]))
+        # a pair that is alike counts whatever its score: told to the plain walk as a score that does, in the same order
+        expected += [(case, *x) for x in _merge_walk(bs, [(p[0], p[1], "unrelated" if p[3] < 0.25 and not alike(p) else p[2], p[3] if p[3] < -1 else p[3] + 10) for p in ps])]
+    assert got == sorted(expected) and any(x[3] > 1 for x in got)
+
+
+@pytest.mark.parametrize("band", [None, 7])
+def test_walk_over_rivals(spark, band):
+    """What a walk leaves out, with chains through many bands."""
+    from notewright.operators import rounds
+
+    r = random.Random(9)
+    edges = [(0, k, k, k + 1, k + 1) for k in range(60)] + [(c, a, a, b, b) for c in (1, 2) for a in range(25) for b in range(a + 1, 25) if r.random() < 0.2]
+    df = spark.createDataFrame(edges, "case_id long, a int, rank_a int, b int, rank_b int")
+    want = set()
+    for c in (0, 1, 2):
+        for b in range(61):
+            if any(x[0] == c and x[3] == b and (c, x[1]) not in want for x in edges):
+                want.add((c, b))
+    got = [tuple(x) for x in rounds.excluded(df, band=band).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert rounds.excluded(df.limit(0)).count() == 0
+
+
+def test_falling_path_takes_few_jobs(spark):
+    """20 000 pairs of one case, each in the way of the next: matched as the fold would in under 20 jobs."""
+    from notewright.operators import align
 
-    b = lambda n, surface, preference, found=0, plans=(), symptom=None: {"bundle": n, "surface": surface, "preference": preference, "found": found, "plans": list(plans), "region": None, "symptom": symptom, "domains": []}
-    p = lambda a, x, score, relation="weak": {"a": a, "b": x, "relation": relation, "score": score}
-    bs = [b("CL1", True, 0, symptom="pain"), b("CL2", False, 5, symptom="pain"), b("CL3", True, 4), b("CL4", True, 0, found=1), b("CL5", False, 4)]
-    ps = [p("CL2", "CL1", -0.5), p("CL5", "CL1", 0.2), p("CL5", "CL3", 0.3), p("CL2", "CL3", 0.9, "unrelated"), p("CL2", "CL4", 3.0)]
-    assert _walk(bs, ps) == [("CL2", "CL2", 0), ("CL1", "CL2", 1), ("CL4", "CL4", 0), ("CL5", "CL5", 0), ("CL3", "CL5", 1)]
+    rows = [(1, k, k + d, 1.0 - (2 * k + d) / 1e5) for k in range(10_000) for d in (0, 1)]
+    pairs = spark.createDataFrame(rows, "case_id long, i int, j int, score double")
+    sc = spark.sparkContext
+    sc.setJobGroup("falling", "")
+    got = align.greedy(pairs).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((x["i"], x["j"]) for x in got) == [(k, k) for k in range(10_000)]
+    assert len(sc.statusTracker().getJobIdsForGroup("falling")) < 20
+
+
+def test_cluster_merge_equals_a_plain_walk(spark):
+    """Groups in order, each cluster into the first that fits, over many cases of a few words."""
+    r = random.Random(11)
+    words = ["pain", "knee", "knee pain", "chronic knee pain", "back pain", "painful", "a", "ab", "cab", ""]
+    rows = sorted({(c, t, w): (c, t, w, f := r.randrange(8), f + r.randrange(3), r.randrange(1, 4), r.choice([7, 8, 9])) for c in range(40) for t in ("ProblemState", "Plan") for w in r.sample(words, 7)}.values())
+    cols = "case_id long, cluster_type string, cluster_concept string, first_turn int, last_turn int, members long, salience int"
+    got = sorted(map(tuple, states.merged_clusters(spark.createDataFrame(rows, cols)).collect()))
+    want = []
+    for c in range(40):
+        groups, of = [], []
+        for _, t, w, f, last, n, s in sorted((x for x in rows if x[0] == c), key=lambda x: (x[3], x[1], x[2])):
+            fits = lambda g: g["t"] == t and g["w"] and w and (g["w"] == w or (max(g["f"], f) - min(g["l"], last) <= 2 and (w in g["w"] or g["w"] in w)))  # noqa: B023, E731
+            k = next((k for k, g in enumerate(groups) if fits(g)), len(groups))
+            if k == len(groups):
+                groups.append({"t": t, "w": w, "f": f, "l": last, "s": s, "n": n})
+            else:
+                g = groups[k]
+                g.update(n=g["n"] + n, f=min(g["f"], f), l=max(g["l"], last))
+                if (s, len(w.split())) > (g["s"], len(g["w"].split())):
+                    g.update(w=w, s=s)
+            of.append((t, w, k))
+        want += [(c, t, w, k, groups[k]["w"], groups[k]["n"]) for t, w, k in of]
+    assert got == sorted(want)
 
 
 def test_bundle_routes_and_events(spark):
