@@ -73,17 +73,18 @@ def payload(df: DataFrame, column: str = "raw") -> DataFrame:
     Fences and trailing commas are mended; what can't be read gives no rows. Adds pos and item (JSON text).
     """
 
-    def lists(raw: Column) -> Column:
-        v = F.try_parse_json(raw)
+    def once(c: Column, f) -> Column:
+        """f of c, which is worked out once."""
+        return F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def lists(v: Column) -> Column:
         arr = "array<variant>"
         found = [F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", arr))]
         found += [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", arr)) for k in PAYLOAD_KEYS]
         return F.coalesce(*found)
 
-    raw = json_text(F.col(column))
-    v = F.try_parse_json(raw)
-    inner = F.coalesce(F.try_variant_get(v, "$.transcript_facts", "string"), F.lit(""))
-    items = F.coalesce(lists(raw), lists(inner))
+    inner = lambda v: F.try_parse_json(F.coalesce(F.try_variant_get(v, "$.transcript_facts", "string"), F.lit("")))
+    items = once(F.try_parse_json(json_text(F.col(column))), lambda v: F.coalesce(lists(v), once(inner(v), lists)))
     out = df.select("*", F.posexplode(items).alias("pos", "v"))
     return out.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("item", F.to_json("v")).drop("v")
 

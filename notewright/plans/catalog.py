@@ -10,7 +10,7 @@ from ..functions import normalize as N
 from ..functions import rules as R
 from ..functions import terms as W
 from ..functions import text as T
-from ..operators import align, bundles, events, evidence, extraction, metrics, notes, propositions, states, stress, turns
+from ..operators import align, bundle_events, bundles, events, evidence, extraction, metrics, notes, propositions, states, stress, turns
 from . import fixtures as V
 from . import sql as S
 
@@ -244,8 +244,8 @@ _SPAN = "replace(replace(replace(replace(replace(" + S.txt("raw") + ", '–', '-
 r as (select id, p, try_cast(nullif(regexp_extract(p, '^[Tt]?(\d+)\s*-\s*[Tt]?(\d+)$', 1), '') as int) as a, try_cast(nullif(regexp_extract(p, '^[Tt]?(\d+)\s*-\s*[Tt]?(\d+)$', 2), '') as int) as b from p),
 x as (select id, unnest(case when a is null then list_transform(regexp_extract_all(p, '(\d+)', 1), lambda s: try_cast(s as bigint)) when abs(b - a) <= 50 then range(least(a, b), greatest(a, b) + 1) else [cast(least(a, b) as bigint), cast(greatest(a, b) as bigint)] end) as t from r)
 select s.id, coalesce(string_agg(cast(t as varchar), ',' order by t), '') as turns from {V.SPANS.sql} s left join (select distinct id, t from x) y on s.id = y.id group by s.id""")
-def turn_span_parse(spark, d):
-    return V.SPANS.df(spark).select("id", F.array_join(N.turn_span("raw").cast("array<string>"), ",").alias("turns"))
+def turn_span_parse(spark, d, rows=None):
+    return of(V.SPANS, spark, rows).select("id", F.array_join(N.turn_span("raw").cast("array<string>"), ",").alias("turns"))
 
 
 @query()
@@ -415,18 +415,30 @@ def cluster_merge(spark, d):
 
 
 @query(f"""select case_id, ord, concept_key, status, arg_max(status, ord) filter (status in ('Present', 'Absent')) over (partition by case_id, concept_key) as resolved from {V.STATUSES.sql} s where not (status = 'Unknown' and concept_key <> '' and exists (select 1 from {V.STATUSES.sql} t where t.case_id = s.case_id and t.concept_key = s.concept_key and t.status in ('Present', 'Absent')))""")
-def latest_status(spark, d):
-    return states.latest_status(V.STATUSES.df(spark))
+def latest_status(spark, d, rows=None):
+    return states.latest_status(of(V.STATUSES, spark, rows))
+
+
+def bundled(spark, d):
+    """Features of clusters, those of their propositions, and the clusters' own."""
+    p = V.props(spark, d)
+    groups = states.clusters(p)
+    of = states.cluster_of(p, groups).withColumns({
+        "status": F.when(F.col("verification") == "refuted", "negated").otherwise("affirmed"), "visit_state": F.col("clinical_status"), "speaker": F.col("source"), "text": F.col("prop_text"),
+        "temporality": F.when(F.col("turn_idx") % 3 == 0, "future").otherwise(F.col("temporality")),
+    })
+    props = bundle_events.features(of)
+    return bundles.features(groups, bundle_events.profile(props)), props
 
 
 @query()
 def bundle_pairs(spark, d):
-    return bundles.pairs(bundles.features(states.clusters(V.props(spark, d))))
+    return bundles.pairs(bundled(spark, d)[0])
 
 
 @query()
 def bundle_assignment(spark, d):
-    feats = bundles.features(states.clusters(V.props(spark, d)))
+    feats = bundled(spark, d)[0]
     scored = bundles.pairs(feats)
     return bundles.assignments(feats, scored, bundles.anchors(bundles.decisions(feats, scored), scored))
 
@@ -477,16 +489,16 @@ def gap_sessions(spark, d):
 
 
 @query(f"select case_id, method, count(*) filter (judgment = 'supported') as supported, count(*) filter (judgment = 'partial') as partial, count(*) filter (judgment = 'low_value') as low_value, count(*) filter (judgment = 'missing') as missing, count(*) filter (judgment = 'contradicted') as contradicted, count(*) - count(*) filter (judgment = 'low_value') as denominator, case when count(*) - count(*) filter (judgment = 'low_value') > 0 then (count(*) filter (judgment = 'supported') + 0.5 * count(*) filter (judgment = 'partial')) / (count(*) - count(*) filter (judgment = 'low_value')) else 0.0 end as score from {V.JUDGMENTS.sql} group by 1, 2")
-def semantic_support(spark, d):
-    return metrics.support(V.JUDGMENTS.df(spark), ["case_id", "method"])
+def semantic_support(spark, d, rows=None):
+    return metrics.support(of(V.JUDGMENTS, spark, rows), ["case_id", "method"])
 
 
 _N = "count(*) filter ({})".format
 
 
 @query("select case_id, " + ", ".join(f"{_N(c)} as {n}" for n, c in {"hallucinations": "kind = 'hallucination'", "major_hallucinations": "kind = 'hallucination' and severity = 'major'", "omissions": "kind = 'omission'", "major_omissions": "kind = 'omission' and severity = 'major'", **{t: f"kind = 'hallucination' and type = '{t}'" for t in ("fabrication", "negation", "contextual", "causality")}, **{t: f"kind = 'omission' and type = '{t}'" for t in ("current_issues", "pmfs_issues", "information_plan")}}.items()) + f" from {V.FINDINGS.sql} group by 1")
-def safety_counts(spark, d):
-    return metrics.safety(V.FINDINGS.df(spark), ["case_id"])
+def safety_counts(spark, d, rows=None):
+    return metrics.safety(of(V.FINDINGS, spark, rows), ["case_id"])
 
 
 def _mean(names) -> str:
@@ -497,8 +509,8 @@ _ALL = [n for v in metrics.CHECKLIST.values() for n in v]
 
 
 @query("select *, " + ", ".join(f"{_mean(v)} / {len(v)} as {k}_mean" for k, v in metrics.CHECKLIST.items()) + f", {_mean(_ALL)} / {len(_ALL)} as abc_mean, cast({_mean(_ALL)} as int) as total, case when lower(trim(coalesce(omission, ''))) = 'yes' then 1 else 0 end as omission_yes, case when lower(trim(coalesce(hallucination, ''))) = 'yes' then 1 else 0 end as hallucination_yes from {V.CHECKS.sql}")
-def checklist_means(spark, d):
-    return metrics.checklist(V.CHECKS.df(spark))
+def checklist_means(spark, d, rows=None):
+    return metrics.checklist(of(V.CHECKS, spark, rows))
 
 
 @query("select lang, count(*) as documents, count(quality) as judged, avg(quality) as quality, avg(toxic) as toxic from documents left join labels using (doc_id) group by 1")
@@ -522,9 +534,9 @@ _FLAT = "lower(trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))".format
 
 @query(f"""select case_id, count(*) filter (lower(trim(axis)) = 'omission' and iv) as s_only, count(*) filter (lower(trim(axis)) = 'hallucination' and lower(trim(severity)) = 'major') as major_hallucinations, count(*) filter (lower(trim(axis)) = 'omission' and lower(trim(severity)) = 'major') as major_omissions, count(*) as injections
  from (select i.*, {_FLAT('i.sentence')} <> '' and coalesce(contains({_FLAT('v.v')}, {_FLAT('i.sentence')}), false) as iv from {V.INJECTIONS.sql} i left join {_VIEW} v on v.case_id = i.case_id) group by 1""")
-def stress_subsets(spark, d):
-    view = subjective_view(spark, d).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("view"))
-    return stress.subsets(stress.visible(V.INJECTIONS.df(spark), view))
+def stress_subsets(spark, d, rows=None, notes=None):
+    view = subjective_view(spark, d, notes).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("view"))
+    return stress.subsets(stress.visible(of(V.INJECTIONS, spark, rows), view))
 
 
 @query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
@@ -600,8 +612,8 @@ def seed_labels(spark, d, rows=None):
 
 
 @query(f"select id, substr(regexp_replace(replace(replace(replace(replace({S.txt('raw')}, '–', '-'), '—', '-'), '~', '-'), ' to ', '-'), '[^0-9,\\-]', '', 'g'), 1, 64) as provenance from {V.SPANS.sql}")
-def seed_provenance(spark, d):
-    return V.SPANS.df(spark).select("id", extraction.provenance("raw").alias("provenance"))
+def seed_provenance(spark, d, rows=None):
+    return of(V.SPANS, spark, rows).select("id", extraction.provenance("raw").alias("provenance"))
 
 
 _FACT_PREFIXES = ("", "[Chief Complaint] [present] ", "- [x] no ", "[pmh][unknown] ", "* [allergy] ", "[odd] [negated] ", "Patient denies ")
@@ -618,16 +630,17 @@ def fact_lines(spark, d):
     return c.withColumn("raw", raw).select("conv_id", "turn", extraction.fact_line("raw").alias("f")).select("conv_id", "turn", "f.*")
 
 
-@query("select p.case_id, p.turns, coalesce(q.props, 0) as props, coalesce(q.high, 0) as high from (select conv_id as case_id, count(*) as turns from conversations group by 1) p left join (select o_custkey as case_id, count(*) as props, count(*) filter (o_orderkey % 2 = 0) as high from orders group by 1) q using (case_id) where coalesce(props, 0) = 0 or (turns > 20 and props < 8) or (turns > 12 and coalesce(high, 0) = 0)")
+@query("select p.case_id, p.turns, coalesce(q.props, 0) as props, coalesce(q.high, 0) as high from (select o_custkey as case_id, count(*) as turns from lineitem join orders on l_orderkey = o_orderkey group by 1) p left join (select o_custkey as case_id, count(*) as props, count(*) filter (o_orderkey % 7 = 0) as high from orders where o_orderkey % 3 = 0 group by 1) q using (case_id) where coalesce(props, 0) = 0 or (turns > 20 and props < 8) or (turns > 12 and coalesce(high, 0) = 0)")
 def rescue_cases(spark, d):
-    t = table(spark, d, "conversations").withColumnRenamed("conv_id", "case_id")
-    p = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "Problem").otherwise("Other").alias("prop_type"))
+    o = table(spark, d, "orders")
+    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"))
+    p = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 7 == 0, "Problem").otherwise("Other").alias("prop_type"))
     return extraction.rescue(p, t)
 
 
 @query(f"""with t as ({ORACLES['turns_parse']}), s as (select case_id, count(*) as turns, bool_or({S.clinical('said')}) or count(*) filter ({S.words('said')} >= 5) >= 3 as signal from t group by 1),
 p as (select case_id, bool_or({S.txt('prop_text')} = '' or {S.txt('concept')} = '' or length({S.txt('prop_text')}) > 500) as bad from {V.FLAT.sql} group by 1) select s.case_id, turns, signal, coalesce(bad, signal) as doubtful from s left join p using (case_id)""")
-def doubtful_output(spark, d):
-    t = turns.turns(V.TURNS.df(spark), ["case_id"], "transcript")
-    p = V.FLAT.df(spark)
+def doubtful_output(spark, d, rows=None, said=None):
+    t = turns.turns(of(V.TURNS, spark, said), ["case_id"], "transcript")
+    p = of(V.FLAT, spark, rows)
     return extraction.doubtful(p, extraction.turn_signal(t, ["case_id"]), ["case_id"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stage import staged
+
 PROPS = """
 select o_custkey as case_id,
        row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) as ord,
@@ -20,7 +22,19 @@ from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_
 """
 
 
+#: Where the propositions of a folder stand, by application: many queries read them, and they take a sort of all lineitem rows.
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The propositions of a folder's order tables, derived once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        _STAGED[key] = staged(_derived(spark, sf_dir), "props")
+    return _STAGED[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = PROPS
     frames = {}
     for t in ("lineitem", "orders", "part"):

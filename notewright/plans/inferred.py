@@ -9,10 +9,10 @@ from ..functions import infer, salvage
 from ..functions import lexicon as L
 from ..functions import terms as W
 from ..functions import text as T
-from ..operators import audit, bundle_events, bundles, scaffolds, states, turns, units
+from ..operators import audit, bundle_events, bundles, event_plans, events, propositions, scaffolds, states, turns, units
 from . import fixtures as V
 from . import sql as S
-from .catalog import _P, ORACLES, QUERIES, query, table
+from .catalog import _CT, _ETYPE, _P, ORACLES, QUERIES, bundled, of, query, table
 
 # Values that stand for what a model's labels would be: a row takes one by its number.
 CATEGORIES = ("Diagnosis", "MedicationPlan", "TestPlan", "FollowUpPlan", "Finding", "Allergy", "ChiefComplaint", "Symptom", "Demographic", "History", "Procedure", "Uncertain or noise", "")
@@ -234,8 +234,8 @@ def aligned_reasons(spark, d):
 
 
 @query(f"select id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(raw, ''), ','), lambda x: try_cast(nullif(regexp_extract(trim(x), '^(?i:T)(\\d+)$', 1), '') as int)), lambda x: x is not null))), ',') as ids from {V.SPANS.sql}")
-def event_label_ids(spark, d):
-    return V.SPANS.df(spark).select("id", F.array_join(audit.label_ids(F.split(F.coalesce("raw", F.lit("")), ","), "T").cast("array<string>"), ",").alias("ids"))
+def event_label_ids(spark, d, rows=None):
+    return of(V.SPANS, spark, rows).select("id", F.array_join(audit.label_ids(F.split(F.coalesce("raw", F.lit("")), ","), "T").cast("array<string>"), ",").alias("ids"))
 
 
 _LISTED = "(select conv_id as case_id, turn as ord, array_to_string(list_slice({t}, 1, 2), ' ') as concept from conversations where role = '{r}')".format
@@ -308,13 +308,9 @@ def anchor_props(spark, d):
 @query()
 def bundle_notes(spark, d):
     """Problem bundles as a note shows them: assignment, routing, merging, naming, profile. Order decides in parts: held against a plain walk in the tests."""
-    p = V.props(spark, d)
-    groups = states.clusters(p)
-    feats = bundles.features(groups)
+    feats, props = bundled(spark, d)
     scored = bundles.pairs(feats)
     assigned = bundles.assignments(feats, scored, bundles.anchors(bundles.decisions(feats, scored), scored))
-    of = states.cluster_of(p, groups).withColumns({"status": F.when(F.col("verification") == "refuted", "negated").otherwise("affirmed"), "visit_state": F.col("clinical_status"), "speaker": F.col("source"), "text": F.col("prop_text")})
-    props = bundle_events.features(of)
     routes = bundle_events.routed(assigned, feats, props)
     return bundle_events.events(routes, bundle_events.merged(routes, feats, scored), feats, props)
 
@@ -458,15 +454,19 @@ ORACLES["proposition_match"] = S.greedy(_PPAIRS).replace("with recursive ", f"wi
 _LISTS = lambda c, d: "list_filter([" + ", ".join(f"case when {S.has(c, w)} then {S.q(n)} end" for n, w in d.items()) + "], lambda x: x is not null)"
 _PICKS = lambda c, d: "case " + " ".join(f"when {S.has(c, w)} then {S.q(n)}" for n, w in d.items()) + " end"
 _HINTS = "list_distinct(flatten([" + ", ".join(f"case when contains(norm, {S.q(m)}) then [{', '.join(map(S.q, h))}] else [] end" for m, h in L.MEDICATION_HINTS.items()) + "]))"
-_FEATS = f"""f0 as (select *, concat_ws(' ', cluster_concept, summary) as text from ({ORACLES['cluster_states']})),
+_PROFILE = f"""profile as (select case_id, cluster_type, cluster_concept, bool_or({_ELIG} and {_ASCORE} > -1) as has_anchor, list_distinct(list(tm) filter (tm <> '')) as times
+ from (select *, {S.norm('concept')} as cn, {S.norm('prop_text')} as tn, {_AL('concept')} as al, {S.norm('temporality')} as tm, source as speaker, case when verification = 'refuted' then 'negated' else 'affirmed' end as status, lower({S.txt('concept')}) as cluster_concept from (select * replace (case when turn_idx % 3 = 0 then 'future' else temporality end as temporality), {_CT} as cluster_type from {_P})) group by 1, 2, 3)"""
+_PAST = f"(len(times) > 0 and len(list_filter(times, lambda t: {S.inside('t', W.CURRENT_MARKERS)})) = 0 and len(list_filter(times, lambda t: not ({S.inside('t', W.PAST_MARKERS)} or regexp_matches(t, '\\b(19|20)\\d{{2}}\\b')))) = 0)"
+_FUTURE = "(len(times) > 0 and len(list_filter(times, lambda t: t <> 'future')) = 0)"
+_FEATS = f"""{_PROFILE}, f0 as (select *, concat_ws(' ', cluster_concept, summary) as text from ({ORACLES['cluster_states']}) join profile using (case_id, cluster_type, cluster_concept)),
 f1 as (select *, {S.norm('text')} as norm, {S.norm('summary')} as sn, {S.norm('cluster_concept')} as nn, {S.align('text')} as tokens, {S.align('cluster_concept')} as ctoks from f0),
-f2 as (select *, array_to_string(ctoks, ' ') as cnorm, array_to_string(tokens, ' ') as tnorm, {S.has('norm', L.DISEASES)} as disease, final_verification = 'refuted' as negated, final_status = 'historical' as past from f1),
+f2 as (select *, array_to_string(ctoks, ' ') as cnorm, array_to_string(tokens, ' ') as tnorm, {S.has('norm', L.DISEASES)} as disease, final_verification = 'refuted' as negated, {_PAST} as past, {_FUTURE} as future from f1),
 f as (select *, {_FAM('cnorm')} as family, {_FAM('tnorm')} as tfamily, {_PICKS('norm', L.BODY_REGIONS)} as region, {_PICKS('norm', L.SYMPTOM_FAMILIES)} as symptom, {_LISTS('norm', L.PROBLEM_DOMAINS)} as domains, {_HINTS} as hints,
  case when cluster_type in ('Plan', 'FollowUp', 'MedicationChange') or primary_type in ('Order', 'MedicationRequest', 'FollowUp', 'Counseling') then 'P' when cluster_type = 'TestResult' or primary_type in ('ExamFinding', 'TestResult') then 'O' when primary_type in ('Diagnosis', 'Impression') then 'A'
   when cluster_type = 'MedicationState' or primary_type = 'MedicationStatement' then case when {S.has('sn', L.MEDICATION_ORDERS)} then 'P' else 'S' end when primary_type = 'ProblemHistory' then case when past then 'G' else 'S' end when negated then 'S' when contains(sources, 'patient') or primary_type in ('ChiefComplaint', 'Problem') then 'S' else 'A' end as slot,
  case when primary_type in ('Diagnosis', 'Impression') then 5 when disease then 4 when primary_type in ('ChiefComplaint', 'Problem') then 3 when primary_type = 'ProblemHistory' then 1 else 0 end as pref,
- not negated and not {S.inside('nn', L.LOW_VALUE_CONCEPTS)} and not {S.has('nn', L.SCREENING)} and not {S.has('sn', L.NOT_ANCHOR_TEXTS)} and primary_type in ('ChiefComplaint', 'Problem', 'Diagnosis', 'Impression') and cluster_type = 'ProblemState' and not (sources = 'clinician' and primary_type not in ('Diagnosis', 'Impression')) as is_anchor,
- case when final_status = 'planned' then 'future' when past or {S.has('sn', L.HISTORY_TEXTS)} then 'history' else 'current' end as layer, {S.has('norm', L.CHRONIC)} as chronic, {S.has('norm', L.NOISE_CONTEXT)} as noise, {S.has('norm', L.SCREENING)} as screening,
+ not negated and not {S.inside('nn', L.LOW_VALUE_CONCEPTS)} and not {S.has('nn', L.SCREENING)} and not {S.has('sn', L.NOT_ANCHOR_TEXTS)} and has_anchor and not {S.inside('cluster_type', W.NO_ANCHOR_CLUSTERS)} and not {S.inside('primary_type', W.NO_ANCHOR_TYPES)} and (primary_type in ('Diagnosis', 'Impression') or (sources <> 'clinician' and not future)) and ({S.inside('cluster_type', W.ANCHOR_CLUSTERS)} or {S.inside('primary_type', W.ANCHOR_TYPES)}) as is_anchor,
+ case when final_status in ('planned', 'future') or future then 'future' when past or {S.has('sn', L.HISTORY_TEXTS)} then 'history' else 'current' end as layer, {S.has('norm', L.CHRONIC)} as chronic, {S.has('norm', L.NOISE_CONTEXT)} as noise, {S.has('norm', L.SCREENING)} as screening,
  not disease and cluster_type = 'ProblemState' and primary_type in ('ChiefComplaint', 'Problem') as symptom_like from f2)"""
 _REG, _SYM = "(a.region is not null and coalesce(a.region = b.region, false))", "(a.symptom is not null and coalesce(a.symptom = b.symptom, false))"
 _HINTED = "(len(list_filter(b.hints, lambda h: contains(a.tfamily, h))) > 0)"
@@ -566,6 +566,70 @@ def section_salvage_table(spark, d):
     return rows.withColumn("raw", raw).withColumn("m", m).select("conv_id", "turn", *(F.col("m")[k].alias(k) for k in W.NOTE_KEYS["soap"]))
 
 
+# event plans
+
+PLANNED = (
+    "", "She is taking metformin 500 mg daily for the left foot.", "Increase lisinopril to 20 mg twice a day", "Refill metformin 250 mg and 1000 mg as needed", "start a 5 %x cream on both feet, toes and skin, bilateral",
+    "continue", "follow up in 2 weeks", "call the office about blood pressure of 3.5 cm", "The doctor prescribes rest for the right hip", "He is on metoprolol", "metformin 500 mg and 850 mg, taking bid",
+)
+EVENT_CONCEPTS = ("", "gout", "knee pain", "")
+_ECATS, _EPREDS = ("MedicationPlan", "symptom", "FollowUpPlan", "TestPlan", "finding", "", "medicationplan", "Diagnosis"), ("", "plans", "reports", "recommends")
+
+
+def _planned(spark, d) -> DataFrame:
+    """Flat propositions of a few concepts, each with a phrase of a plan before its text."""
+    n = F.col("ord")
+    return V.props(spark, d).select(
+        "case_id", F.col("ord").cast("long").alias("ord"), F.concat(F.lit("CAP"), n).alias("prop_id"), nth(_ECATS, n % len(_ECATS)).alias("category"), nth(_EPREDS, n % len(_EPREDS)).alias("predicate"), nth(EVENT_CONCEPTS, n % len(EVENT_CONCEPTS)).alias("concept"),
+        F.concat_ws(" ", nth(PLANNED, n % len(PLANNED)), F.when(n % 3 == 0, F.col("prop_text")).otherwise("")).alias("prop_text"), F.when(n % 5 < 3, F.col("source")).otherwise("").alias("speaker"), F.when(n % 4 == 0, F.col("clinical_status")).otherwise("").alias("visit_state"),
+        F.when(n % 2 == 0, F.when(F.col("verification") == "refuted", "negated").otherwise("affirmed")).otherwise("").alias("status"), F.when(n % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("temporality")).alias("temporality"),
+    )
+
+
+_VALUE_SQL = r"'\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|cm|mm|%|hours?|days?|weeks?|months?)\b'"
+_DOSE_SQL = r"'\b\d+(?:\.\d+)?\s*(?:mg|mcg|g)\b'"
+_HELD = lambda words: "list_filter([" + ", ".join(f"case when contains(t, {S.q(w)}) then {S.q(w)} end" for w in words) + "], lambda x: x is not null)"
+_FILLED = lambda c: f"nullif({S.txt(c)}, '')"
+_KNOWN = lambda c: f"coalesce({_FILLED(c)}, 'unknown')"
+_UNITED = lambda c: f"case when count(*) filter (len({c}) > 0) = 1 then any_value({c}) filter (len({c}) > 0) else coalesce(list_sort(list_distinct(flatten(list({c}) filter (len({c}) > 0)))), []) end as {c}"
+_FIRSTS = lambda c: f"arg_min({c}, ord) filter ({c} is not null) as {c}"
+_SAID = lambda n: f"array_to_string(list_slice(statements, 1, {n}), '; ')"
+_OFTEN = "case when len(frequencies) > 0 then ' (' || frequencies[1] || ')' else '' end"
+_MEDICATION = "case when event_type = 'MedicationChange' then case when len(doses) > 1 then 'The clinician plans a dosing update for ' || medication || '.' when len(doses) = 1 then 'The clinician plans to adjust ' || medication || ' to ' || doses[1] || " + _OFTEN + " || '.' else 'The clinician plans a medication change for ' || medication || " + _OFTEN + " || '.' end else concat_ws(' ', 'The patient is currently taking', medication, dose, frequency) || '.' end"
+_ETOKS = S.event_tokens("event_summary", L.EVENT_STOP_WORDS)
+_VISIT = (
+    f"case when lower(r_status) = 'negated' then 'ruled_out' when lower(r_status) = 'uncertain' then 'uncertain' when {S.has('lower(event_summary)', W.ENDED_WORDS)} then case when {S.has('lower(event_summary)', W.IMPROVED_WORDS)} then 'improving' else 'resolved' end"
+    f" when {S.has('lower(event_summary)', W.WORSE_WORDS)} then 'worsening' when {S.has('lower(event_summary)', W.SAME_WORDS)} then 'stable' when lower(r_temporality) = 'past' then 'historical' else 'active' end"
+)
+_SPOKE = f"case when starts_with(lower(event_summary), 'the patient') or starts_with(lower(event_summary), 'patient ') or contains(' ' || lower(event_summary) || ' ', ' the patient ') then 'patient' when starts_with(lower(event_summary), 'the clinician') or starts_with(lower(event_summary), 'the doctor') or contains(' ' || lower(event_summary) || ' ', ' the doctor ') then 'clinician' when {S.has('lower(event_summary)', W.RESULT_SPEAKERS)} then 'test_result' else 'mixed' end"
+_CARE = lambda f: f"case when coalesce({S.pick('event_type', event_plans.CARE)}, 'supporting_evidence') = {S.q(f)} then array_to_string(list_slice(statements, 1, 4), '|') end as {f}"
+
+
+@query(f"""with p as (select case_id, cast(ord as bigint) as ord, 'CAP' || ord as prop_id, {S.nth(_ECATS, f'ord % {len(_ECATS)}')} as category, {S.nth(_EPREDS, f'ord % {len(_EPREDS)}')} as predicate, {S.nth(EVENT_CONCEPTS, f'ord % {len(EVENT_CONCEPTS)}')} as concept,
+ {S.nth(PLANNED, f'ord % {len(PLANNED)}')} || ' ' || case when ord % 3 = 0 then prop_text else '' end as prop_text, case when ord % 5 < 3 then source else '' end as speaker, case when ord % 4 = 0 then clinical_status else '' end as visit_state, case when ord % 2 = 0 then case when verification = 'refuted' then 'negated' else 'affirmed' end else '' end as status, case when ord % 7 = 0 then null else temporality end as temporality from {_P}),
+a as (select *, {_ETYPE} as event_type, {S.low('prop_text')} as t from p),
+b as (select *, {S.first_hit('t', event_plans.MEDICATIONS)} as medication, {S.first_hit('t', event_plans.SIDES)} as laterality, regexp_extract_all(t, {_VALUE_SQL}) as found, {S.first_hit('t', event_plans.FREQUENCIES)} as frequency, list_sort({_HELD(event_plans.BODY_SITES)}) as body_sites, {_HELD(event_plans.ACTIONS)} as actions, regexp_extract_all(t, {_DOSE_SQL}) as in_doses from a),
+c as (select *, list_filter(found, lambda v: contains(v, 'g'))[1] as dose, list_slice(found, 1, 3) as "values", case when len(actions) > 0 then actions[1] when {S.has('t', event_plans.TAKING)} then 'continue' when {S.has('t', event_plans.PRESCRIBING)} then 'prescribe' end as action from b),
+d as (select *, list_filter(flatten([[{_FILLED('concept')}, medication, laterality], list_slice(body_sites, 1, 2), list_slice(actions, 1, 2), list_slice("values", 1, 2), case when event_type in ('MedicationState', 'MedicationChange') then [{_KNOWN('speaker')}, {_KNOWN('predicate')}, {_KNOWN('visit_state')}] when event_type in ('PlanOrder', 'FollowUp', 'PatientInstruction') then [{_KNOWN('predicate')}] when event_type = 'SymptomCourse' then [{_FILLED('visit_state')}] else [] end]), lambda x: x is not null) as parts from c),
+e as (select *, trim(array_to_string(case when len(parts) > 0 then parts else list_slice({S.event_tokens('prop_text', L.EVENT_STOP_WORDS)}, 1, 4) end, ' ')) as sig0 from d),
+f as (select *, case when sig0 <> '' then sig0 else substr(t, 1, 60) end as signature, {S.txt('prop_text')} as said from e),
+g as (select case_id, event_type, signature, min(ord) as first_ord, count(*) as members, {', '.join(map(_FIRSTS, ('medication', 'laterality', 'dose', 'frequency', 'action')))}, {_UNITED('"values"')}, {_UNITED('body_sites')}, {_UNITED('actions')},
+ list_sort(list_distinct(list(dose) filter (dose is not null))) as doses, list_sort(list_distinct(list(frequency) filter (frequency is not null))) as frequencies, len(list_distinct(flatten(list(in_doses)))) as n_doses, string_agg(prop_id, ',' order by ord) as supporting,
+ {', '.join(f"arg_min({S.txt(x)}, ord) as r_{x}" for x in ('concept', 'visit_state', 'status', 'temporality', 'speaker'))} from f group by 1, 2, 3),
+st as (select case_id, event_type, signature, list(said order by o) as statements from (select case_id, event_type, signature, said, min(ord) as o from f where said <> '' group by 1, 2, 3, 4) group by 1, 2, 3),
+h as (select g.*, coalesce(st.statements, []) as statements, row_number() over (partition by g.case_id order by first_ord, g.event_type, g.signature) as n from g left join st using (case_id, event_type, signature)),
+i as (select *, case when medication is not null and event_type in ('MedicationChange', 'MedicationState') then {_MEDICATION} when event_type in ('PlanOrder', 'FollowUp', 'PatientInstruction', 'ExamFinding', 'TestResult') then {_SAID(3)} else {_SAID(2)} end as event_summary from h where n <= 14),
+j as (select * replace (case when event_type = 'MedicationState' and n_doses >= 2 then 'MedicationChange' else event_type end as event_type) from i),
+k as (select *, array_to_string(list_slice({_ETOKS}, 1, 4), ' ') as words from j),
+l as (select *, case when medication is not null and event_type in ('MedicationState', 'MedicationChange') then trim(medication || ' ' || array_to_string(list_slice(actions, 1, 2), '/')) when len(body_sites) > 0 then event_type || ': ' || array_to_string(list_slice(body_sites, 1, 2), '/') when words <> '' then words else event_type end as title from k)
+select case_id, 'E' || n as event_id, event_type, coalesce(nullif(r_concept, ''), title) as canonical_concept, coalesce(nullif(r_visit_state, ''), {_VISIT}) as visit_state, coalesce(nullif(r_status, ''), 'affirmed') as status, coalesce(nullif(r_temporality, ''), 'current') as temporality, coalesce(nullif(r_speaker, ''), {_SPOKE}) as speaker_source,
+ coalesce({S.pick('event_type', events.PRIORITY)}, 'low') as clinical_priority, title, event_summary, members, supporting, coalesce({S.pick('event_type', events.SECTIONS)}, 'S,Plan') as render_sections, {', '.join(map(_CARE, ('supporting_evidence', 'current_state', 'planned_actions', 'care_context')))},
+ medication, laterality, dose, frequency, action, array_to_string("values", '|') as "values", array_to_string(body_sites, '|') as body_sites, array_to_string(actions, '|') as actions from l""")
+def event_plan_slots(spark, d):
+    """Event plans with merged slots, titles, summaries and care fields."""
+    return event_plans.event_plan(_planned(spark, d))
+
+
 # the rules of inline rows over whole tables
 
 _N = "(conv_id * 31 + turn)"
@@ -622,3 +686,90 @@ def _over_table(name: str, inline, rows, sql: str) -> None:
 for _inline, (_rows, _sql, _names) in _OF.items():
     for _name in _names.split():
         _over_table(_name, _inline, _rows, _sql)
+
+
+# more of them: inputs made of the keys of a table's rows, the same on both sides
+
+_SPAN_FORMS = ("{a}", "T{a}-{b}", "{b}-{a}", "{a}-60", "{a},{b};5/7", "{a} to {b}", "x{a}y", "", "t{a}|T{a}|1, T{b}", "T{a} – T{b}", "T{b},odd, t{a} ")
+_JUDGED = ("supported", "partial", "low_value", "missing", "contradicted", "odd")
+_FINDS, _FIND_TYPES, _SEVERITIES = ("hallucination", "omission", "other"), ("fabrication", "negation", "contextual", "causality", "current_issues", "pmfs_issues", "information_plan"), ("major", "minor", "")
+_SCORES = ("factual_accuracy", "omissions", "hallucinations", "organization", "conciseness", "terminology", "attribution", "temporality")
+_KEYS, _STATES = ("fever", "cough", "", "rash"), ("Unknown", "Present", "Unknown", "Absent", "Other")
+
+
+def _spans(spark, d) -> DataFrame:
+    n = F.col("conv_id") * 31 + F.col("turn")
+    raw = F.replace(F.replace(nth(_SPAN_FORMS, n % len(_SPAN_FORMS)), F.lit("{a}"), (F.col("conv_id") % 20).cast("string")), F.lit("{b}"), (F.col("turn") + 5).cast("string"))
+    return table(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), raw.alias("raw"))
+
+
+def _statuses(spark, d) -> DataFrame:
+    a, b = F.col("conv_id"), F.col("turn")
+    return table(spark, d, "conversations").select(a.alias("case_id"), b.cast("int").alias("ord"), nth(_KEYS, (a + b * 7) % 4).alias("concept_key"), nth(_STATES, (a * 3 + b) % 5).alias("status"))
+
+
+def _judgments(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("method"), nth(_JUDGED, F.col("event_id") % 6).alias("judgment"))
+
+
+def _findings(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("case_id"), nth(_FINDS, e % 3).alias("kind"), nth(_FIND_TYPES, e % 7).alias("type"), nth(_SEVERITIES, e % 11 % 3).alias("severity"))
+
+
+def _checks(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select(e.alias("id"), *(((e * (k + 3) + k) % 8).cast("int").alias(c) for k, c in enumerate(_SCORES)), nth(("Yes", "no", "yes ", ""), e % 4).alias("omission"), nth(("YES", "No", ""), e % 3).alias("hallucination"))
+
+
+_MORE = {
+    V.SPANS: (_spans, f"(select conv_id * 100000 + turn as id, replace(replace({S.nth(_SPAN_FORMS, f'{_N} % {len(_SPAN_FORMS)}')}, '{{a}}', cast(conv_id % 20 as varchar)), '{{b}}', cast(turn + 5 as varchar)) as raw from conversations)", "turn_span_parse seed_provenance event_label_ids"),
+    V.STATUSES: (_statuses, f"(select conv_id as case_id, cast(turn as int) as ord, {S.nth(_KEYS, '(conv_id + turn * 7) % 4')} as concept_key, {S.nth(_STATES, '(conv_id * 3 + turn) % 5')} as status from conversations)", "latest_status"),
+    V.JUDGMENTS: (_judgments, f"(select user_id as case_id, event_type as method, {S.nth(_JUDGED, 'event_id % 6')} as judgment from events)", "semantic_support"),
+    V.FINDINGS: (_findings, f"(select user_id as case_id, {S.nth(_FINDS, 'event_id % 3')} as kind, {S.nth(_FIND_TYPES, 'event_id % 7')} as type, {S.nth(_SEVERITIES, 'event_id % 11 % 3')} as severity from events)", "safety_counts"),
+    V.CHECKS: (_checks, f"(select event_id as id, {', '.join(f'cast((event_id * {k + 3} + {k}) % 8 as int) as {c}' for k, c in enumerate(_SCORES))}, {S.nth(('Yes', 'no', 'yes ', ''), 'event_id % 4')} as omission, {S.nth(('YES', 'No', ''), 'event_id % 3')} as hallucination from events)", "checklist_means"),
+}
+for _inline, (_rows, _sql, _names) in _MORE.items():
+    for _name in _names.split():
+        _over_table(_name, _inline, _rows, _sql)
+
+
+def _injections(spark, d) -> DataFrame:
+    """Sentences of each note and others, two of each document."""
+    k = F.explode(F.array(F.lit(1), F.lit(2)))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "text", k.alias("ord"))
+    n = F.col("case_id") + F.col("ord")
+    return rows.select("case_id", "ord", nth(("Omission", "omission ", "hallucination"), n % 3).alias("axis"), nth(("major", "minor", " Major"), n % 5 % 3).alias("severity"), F.when(n % 4 == 0, "not there at all").otherwise(F.substring(F.coalesce("text", F.lit("")), 3, 20)).alias("sentence"))
+
+
+_INJECTED = "(select case_id, ord, [{a}][(case_id + ord) % 3 + 1] as axis, [{s}][(case_id + ord) % 5 % 3 + 1] as severity, case when (case_id + ord) % 4 = 0 then 'not there at all' else substr(coalesce(text, ''), 3, 20) end as sentence from (select doc_id as case_id, text, unnest([1, 2]) as ord from documents))".format(a="'Omission', 'omission ', 'hallucination'", s="'major', 'minor', ' Major'")
+
+
+@query(ORACLES["stress_subsets"].replace(V.INJECTIONS.sql, _INJECTED).replace(ORACLES["subjective_view"], ORACLES["subjective_view_table"]))
+def stress_subsets_table(spark, d):
+    """stress_subsets over a whole table."""
+    return QUERIES["stress_subsets"](spark, d, _injections(spark, d), _notes(spark, d))
+
+
+@query(ORACLES["doubtful_output"].replace(ORACLES["turns_parse"], ORACLES["turns_parse_table"]).replace(V.FLAT.sql, _OF[V.FLAT][1].replace("concept, prop_text from", "case when ord % 9 = 0 and case_id % 5 = 0 then '' else concept end as concept, prop_text from")))
+def doubtful_output_table(spark, d):
+    """doubtful_output over a whole table; some propositions lack a concept."""
+    blank = (F.col("ord") % 9 == 0) & (F.col("case_id") % 5 == 0)
+    return QUERIES["doubtful_output"](spark, d, _flat(spark, d).withColumn("concept", F.when(blank, "").otherwise(F.col("concept"))), _transcripts(spark, d))
+
+
+#: Answers with a list of objects, and what is read of each: (pos, item).
+_PAYLOADS = (
+    ('{"caps": [{"a": #a}, 2, {"a": #b}]}', ((0, '{"a":#a}'), (2, '{"a":#b}'))), ('{"facts": "none", "gold_caps": [{"a": #b}]}', ((0, '{"a":#b}'),)), ('[{"a": #a}, "x"]', ((0, '{"a":#a}'),)), ('```json\n{"seed_gold_caps": [{"a": #b},]}\n```', ((0, '{"a":#b}'),)),
+    ("not json #a", ()), ('{"transcript_facts": "{\\"caps\\": [{\\"a\\": #a}]}"}', ((0, '{"a":#a}'),)), ('Sure: {"atomic_propositions": ["x", {"a": #b, "b": [#a]}]} done', ((1, '{"a":#b,"b":[#a]}'),)), ('{"clinical_atomic_facts": []}', ()),
+)
+_PAYLOAD = " union all ".join(f"select conv_id * 100000 + turn as id, {pos} as pos, replace(replace({S.q(item)}, '#a', cast(conv_id as varchar)), '#b', cast(turn as varchar)) as item from conversations where {_N} % {len(_PAYLOADS)} = {k}" for k, (_, found) in enumerate(_PAYLOADS) for pos, item in found)
+
+
+@query(_PAYLOAD)
+def payload_probe_table(spark, d):
+    """Lists of objects in answers made of each turn's keys."""
+    n = F.col("conv_id") * 31 + F.col("turn")
+    raw = F.replace(F.replace(nth([x for x, _ in _PAYLOADS], n % len(_PAYLOADS)), F.lit("#a"), F.col("conv_id").cast("string")), F.lit("#b"), F.col("turn").cast("string"))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), raw.alias("raw"))
+    return propositions.payload(rows).select("id", "pos", "item")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Tables of this process in the shared folder, for clean().
@@ -20,16 +20,20 @@ def clean(spark) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share and read again, so what stands on it is planned anew."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share, which clean() removes."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="notewright-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
-    WRITTEN.append(path)
+    WRITTEN.append(f"{base.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}")
+    return WRITTEN[-1]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share and read again, so what stands on it is planned anew."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
