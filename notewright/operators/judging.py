@@ -171,3 +171,13 @@ def uses_bundles(slots: Column) -> Column:
 def as_text(c: Column) -> Column:
     """An output as JSON text, a string as it is."""
     return F.to_json(c)
+
+
+def message_text(c: Column) -> Column:
+    """The text of a model's message (JSON): its content, or the texts of the parts of its content, by line; null without choices."""
+    v = F.try_parse_json(c)
+    content = F.try_variant_get(v, "$.choices[0].message.content", "variant")
+    kind = F.coalesce(F.schema_of_variant(content), F.lit("VOID"))
+    parts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), F.nullif(F.try_variant_get(p, "$.text", "string"), F.lit(""))).when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")))
+    said = F.when(kind.startswith("ARRAY"), F.array_join(F.array_compact(parts), "\n")).when(kind == "VOID", "").otherwise(F.try_variant_get(content, "$", "string"))
+    return F.when(F.try_variant_get(v, "$.choices[0]", "variant").isNotNull(), safe_text(said))

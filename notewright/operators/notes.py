@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import terms as W
 from ..functions.text import n_words, normalize, safe_text
 
 # Fixed values.
@@ -92,3 +93,40 @@ def line_groups(df: DataFrame, keys: list[str], tau: int = 2) -> DataFrame:
     new = F.when((F.col("line") - F.lag("line").over(w) > tau) | (F.col("section") != F.lag("section").over(w)), 1).otherwise(0)
     g = df.withColumn("new__", new).withColumn("group", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy(*keys, "group").agg(F.first("section").alias("section"), F.min("line").alias("first_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "entity"))), lambda x: x["entity"]), "; ").alias("entities"))
+
+
+def without_preamble(c) -> Column:
+    """A note without the code fence around it and the lines before it that only say what it is."""
+    t = safe_text(c)
+    plain = F.regexp_replace(F.regexp_replace(t, r"^(?i)```(?:text|markdown)?\s*", ""), r"\s*```$", "")
+    lead = rf"(?i)\A(?:[ \t]*(?:{'|'.join(W.PREAMBLES)})\s*(?:\n|\z)\s*)+"
+    return safe_text(F.regexp_replace(F.when(t.startswith("```"), plain).otherwise(t), lead, ""))
+
+
+def tidy(c: Column) -> Column:
+    """A line without leading marks and one leading conjunction, single spaces, its first letter large."""
+    t = F.regexp_replace(F.regexp_replace(safe_text(c), r"^[,;:]+\s*", ""), r"(?i)^(?:and|but|also)\s+", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000_000))
+
+
+def opened(c: Column) -> Column:
+    """A line that opens with who it is of, as one that opens with what is said."""
+    out = c
+    for words, instead in reversed(W.OPENERS):
+        lead = rf"(?i)^\s*{words}\s+"
+        out = F.when(c.rlike(lead), F.regexp_replace(c, lead, instead)).otherwise(out)
+    return out
+
+
+def section_text(items: Column, label: str) -> Column:
+    """A section's text of its items: their lines without bullets, heading and repeats (by normalised text), openers varied from the second line on."""
+    def lines(item: Column) -> Column:
+        t = F.regexp_replace(without_preamble(item), r"(?m)^[ \t]*\*\*(.+?)\*\*[ \t]*$", "$1")
+        t = F.regexp_replace(t, rf"(?i)^\s*{label}\s*:?\s*", "")
+        return F.transform(F.split(t, r"\R"), lambda x: tidy(F.regexp_replace(x, r"^\s*[*\-•]+\s*", "")))
+
+    every = F.filter(F.flatten(F.transform(items, lines)), lambda x: normalize(x) != "")
+    both = F.array(F.struct(every.alias("lines"), F.transform(every, normalize).alias("norms")))  # each worked out once
+    kept = F.flatten(F.transform(both, lambda z: F.filter(z["lines"], lambda x, i: F.array_position(z["norms"], F.get(z["norms"], i)) == i + 1)))
+    return F.array_join(F.transform(kept, lambda x, i: F.when(i == 0, tidy(x)).otherwise(tidy(opened(x)))), "\n")

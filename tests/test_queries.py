@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from notewright.plans import flows, inferred  # noqa: F401
+from notewright.plans import flows, inferred, rest  # noqa: F401
 from notewright.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
