@@ -78,7 +78,7 @@ class Words:
 class Bytes:
     """Units are the bytes of a text."""
 
-    window, reach, k = 300, 400, 32
+    window, reach, k = 400, 400, 32
 
     @staticmethod
     def units(texts: list):

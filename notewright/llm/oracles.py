@@ -42,15 +42,14 @@ hits{n} AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) A
 
 
 SUFFIXES = f"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),{_runs(400, "runs")},{_runs(300, "repeats")},
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),{_runs(400, "runs")},
 before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
 kept AS (
   SELECT before.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k
   FROM before JOIN d ON d.doc_id = before.doc_id GROUP BY before.doc_id
-),
-n AS (SELECT doc_id, count(*) AS n_repeats FROM repeats GROUP BY doc_id)
-SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(n_repeats, 0) AS n_repeats, sha256(unhex(coalesce(k, x))) AS kept_sha256
-FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 DECONTAMINATE = f"""

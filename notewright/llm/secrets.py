@@ -21,8 +21,6 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 #: Parts of names that call for a secret, with the score of a literal given to such a name.
 SENSITIVE = {"password": 4, "passwd": 4, "pwd": 3, "passphrase": 4, "secret": 4, "token": 3, "apikey": 4, "api_key": 4, "access_key": 4, "private_key": 4, "credential": 3, "credentials": 3, "auth": 2, "bearer": 3, "signature": 2, "salt": 2, "cert": 1, "key": 2}
-#: A value of so many literals at most is judged joined, too.
-JOINED = 16
 #: Calls that give a name its value: setPassword("..."), define("DB_PASSWORD", "...").
 SETTERS = {"set", "with", "put", "add", "define", "store", "setdefault", "setenv", "putenv"}
 #: XML attributes that name an element's value, and those that hold it.
@@ -63,46 +61,66 @@ def _parts(name: str) -> list[str]:
     return [p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()) if p]
 
 
-@lru_cache(100_000)
 def name_score(name: str) -> int:
     """The highest score of one part of the name, or of two neighbouring ones."""
+    return _short_name(name) if len(name) < 200 else _name(name)
+
+
+@lru_cache(100_000)
+def _short_name(name: str) -> int:
+    return _name(name)
+
+
+def _name(name: str) -> int:
     p = _parts(name)
     p = [x if x in SENSITIVE or not x.endswith("s") else x[:-1] for x in p]
     return max((SENSITIVE.get(x, 0) for x in [*p, *(f"{a}_{b}" for a, b in zip(p, p[1:])), *(a + b for a, b in zip(p, p[1:]))]), default=0)
 
 
+_LOWER, _UPPER, _DIGIT = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+_ASCII = frozenset(map(chr, range(0x21, 0x7F)))
+
+
 def literal_score(s: str) -> float:
     """Entropy in bits a character, more for mixed kinds of characters, nothing for short ones or plain words."""
-    if len(s) < 8 or not re.fullmatch(r"[\x21-\x7e]+", s):
+    return characters_score(Counter(s)) if len(s) >= 8 else 0.0
+
+
+def characters_score(n: Counter) -> float:
+    """The same of how often each character stands in a text, so joined texts needn't be."""
+    size = n.total()
+    if size < 8 or not n.keys() <= _ASCII:
         return 0.0
-    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
-    kinds = sum(bool(re.search(k, s)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return entropy * (0.0 if kinds < 2 or s.isalpha() else 1.0) + kinds - 1
+    entropy = -sum(k / size * math.log2(k / size) for k in n.values())
+    lower, upper, digit = (not n.keys().isdisjoint(x) for x in (_LOWER, _UPPER, _DIGIT))
+    kinds = lower + upper + digit + (not n.keys() <= _LOWER | _UPPER | _DIGIT)
+    return entropy * (0.0 if kinds < 2 or n.keys() <= _LOWER | _UPPER else 1.0) + kinds - 1
 
 
 class _Target:
-    """An assignment being read: its names, the names around it, the spans of its literals and the names on its right."""
+    """An assignment being read: its names, the highest score of the names around it, the spans of its literals and the names on its right."""
 
     __slots__ = ("around", "names", "refs", "sign", "spans", "wants")
 
-    def __init__(self, names: list[str], around: list[str], sign: str):
+    def __init__(self, names: list[str], around: int, sign: str):
         self.names, self.around, self.sign, self.spans, self.refs, self.wants = names, around, sign, [], [], True
 
 
 class Lexer:
     """Name-literal pairs of one text: assignments, mappings, keyword arguments, sections, attributes and elements.
 
-    found: (names, names around them, spans, names on the right, whether it stands in a comment), by the end of each.
+    found: (names, score of all names around them, spans, names on the right, whether it stands in a comment), by the end of each.
+    Brackets and indented sections carry the highest score of what encloses them, so depth costs nothing.
     A bracket's literals belong to the assignment it stands in, but for those with names of their own.
     """
 
     def __init__(self, text: str):
         self.text, self.found = text, []
         self.now: _Target | None = None  # the assignment being read, inside the innermost bracket
-        self.frames: list = []  # (the assignment around, what stands before the bracket, quoted literals in it)
+        self.frames: list = []  # (the assignment around, what stands before the bracket, quoted literals in it, the sign, what goes on after it, score of enclosing names)
         self.back: list = []  # the last two operands before a sign, on this line
-        self.section: str | None = None
-        self.parents: list[tuple[int, str]] = []  # (indent, name) of lines that end with their name and a colon
+        self.section = 0  # the score of the section's name
+        self.parents: list[tuple[int, int]] = []  # (indent, score of this and all names before) of lines that end with their name and a colon
         self.indent, self.first, self.margin = 0, True, 0
         self.block = self.note = False
         self.skip = 0  # what is read already
@@ -171,8 +189,8 @@ class Lexer:
 
     def _bare(self, x: int, y: int) -> None:
         self._start(x)
-        word, t = self.text[x:y] if y - x < 200 else None, self.now
-        name = word is not None and _IDENTIFIER.fullmatch(word) is not None
+        word, t = self.text[x:y], self.now
+        name = _IDENTIFIER.fullmatch(word) is not None
         if t is None and self.frames and not (name and self.text[y : y + 2].lstrip()[:1] in (":", "=")):
             t = self.frames[-1][0]
             if t and name and sum(c.isdigit() for c in word) < 2:
@@ -218,12 +236,11 @@ class Lexer:
         if not self.back:
             return
         kind, a, b = self.back[-1]
-        name = self.text[a:b] if b - a < 200 else ""
+        name = self.text[a:b]
         self._close()
         if name:
-            around = [n for f in self.frames[-4:] if f[0] for n in f[0].names]
-            around += [n for _, n in self.parents[-4:]] if not self.frames else []
-            self.now = _Target([name], around + [self.section] * (self.section is not None), sign)
+            around = self.frames[-1][5] if self.frames else self.parents[-1][1] if self.parents else 0
+            self.now = _Target([name], max(around, self.section), sign)
 
     def _close(self, x: int | None = None) -> None:
         """Ends the assignment being read."""
@@ -240,16 +257,16 @@ class Lexer:
             key = next((seen[k] for k in KEY_ATTRIBUTES if k in seen), None)
             for k in VALUE_ATTRIBUTES if key else ():
                 if k in seen:
-                    self._pair(self.text[key[0] : key[1]][:200], seen[k])
+                    self._pair(self.text[key[0] : key[1]], seen[k])
             if y - x == 1 and (m := _ELEMENT.match(self.text, y)):
                 self._pair(tag, m.span())
 
     def _pair(self, name: str, span: tuple[int, int]) -> None:
-        self.found.append(([name], [], [span], [], self.block or self.note))
+        self.found.append(([name], 0, [span], [], self.block or self.note))
 
     def _tag(self, x: int, y: int) -> None:
         self._close()
-        self.attributes = {None: self.text[x:y].strip("</")[:200]}
+        self.attributes = {None: self.text[x:y].strip("</")}
 
     def _enter(self, x: int, y: int) -> None:
         self._start(x)
@@ -260,14 +277,15 @@ class Lexer:
         owner = self.now if inside else self.frames[-1][0] if self.frames else None
         if self.text[x] == "{":
             self.attributes = None
-        self.frames.append((owner, before, [], self.text[x], self.now if inside else None))
+        enclosing = max([self.frames[-1][5] if self.frames else 0, *map(name_score, owner.names if owner else ())])
+        self.frames.append((owner, before, [], self.text[x], self.now if inside else None, enclosing))
         self.now, self.back = None, []
 
     def _leave(self, x: int, y: int | None = None) -> None:
         self._close()
         if not self.frames:
             return
-        _, before, literals, sign, now = self.frames.pop()
+        _, before, literals, sign, now, _ = self.frames.pop()
         self.now = now
         if now:
             now.wants = False
@@ -275,25 +293,25 @@ class Lexer:
         if sign == "[" and len(literals) == 1:  # names["key"] = value
             self.back = [("quoted", *literals[0])]
         if sign == "(" and before and before[0] == "bare" and literals:
-            callee = _parts(self.text[before[1] : before[2]][-100:])
+            callee = _parts(self.text[before[1] : before[2]])
             if callee and (SETTERS & set(callee)):
                 if len(literals) > 1 and _IDENTIFIER.fullmatch(self.text, *literals[0]):
-                    self._pair(self.text[literals[0][0] : literals[0][1]][:200], literals[1])
+                    self._pair(self.text[literals[0][0] : literals[0][1]], literals[1])
                 elif len(literals) == 1:
-                    self._pair(self.text[before[1] : before[2]][-100:], literals[0])
+                    self._pair(self.text[before[1] : before[2]], literals[0])
 
     def _line(self, x: int, y: int) -> None:
-        t, blank = self.now, not self.text[self.margin : min(x, self.margin + 200)].strip()
-        if blank and x - self.margin < 200:
+        t = self.now
+        if not self.text[self.margin : x].strip():
             self._reset()
         elif t and t.wants and (self.frames or t.spans or t.refs or self.text[x - 1] == "\\"):
             pass  # goes on in the next line
         else:
             if t and t.wants and t.sign == ":":  # a section: its lines stand further in
-                self.parents.append((self.indent, t.names[0]))
+                self.parents.append((self.indent, max(name_score(t.names[0]), self.parents[-1][1] if self.parents else 0)))
             self._close()
-            if not self.frames and x - self.margin < 200 and (m := _SECTION.fullmatch(self.text, self.margin, x)):
-                self.section = m[1]
+            if not self.frames and (m := _SECTION.fullmatch(self.text, self.margin, x)):
+                self.section = name_score(m[1])
         self.back, self.first, self.margin, self.note = [], True, y, False
 
     def _reset(self) -> None:
@@ -316,39 +334,60 @@ class Lexer:
         self.note = True
 
 
+class _Value:
+    """What an assignment gives its names: its literals, and the values it takes in. Characters are counted once, however many take it in."""
+
+    __slots__ = ("best", "characters", "inner", "judged", "own", "spans", "whole")
+
+    def __init__(self, text: str, spans: list[tuple[int, int]], inner: list[_Value]):
+        self.spans, self.inner, self.judged, self.whole = spans, inner, 0, False
+        self.own = [literal_score(text[a:b]) for a, b in spans]
+        self.best = max(self.own, default=0.0)
+        self.characters = Counter()
+        for a, b in spans:
+            self.characters.update(text[a:b])
+
+    def joined(self) -> float:
+        """The score of its literals and those of the values taken in, all joined."""
+        n = Counter(self.characters)
+        for v in self.inner:
+            n.update(v.characters)
+        return characters_score(n)
+
+
 def lexed(text: str, least: float = 6.0) -> list[tuple[int, int]]:
     """Spans of literals whose target name, or a name that later takes their value, is sensitive.
 
     Constants are propagated in the order of the text: the value of a name is its last assignment, with the values
     that the names on its right have then; a comment's assignments are judged but change no value. A literal's score
-    is that of the name (names around it count one less) plus that of its own characters, or, where none of
-    an assignment's literals is enough by itself, those of all joined; from `least` on it counts, if the name scores at all.
+    is that of the name (names around it, however far, count one less) plus that of its own characters, or, where none of
+    an assignment's literals is enough by itself, those of all joined, however many; from `least` on it counts, if the name scores at
+    all. A value is judged once for each score, and each time by counts of characters, so n names that take a value of n
+    literals take time in proportion to n.
     """
     if not ("=" in text or ":" in text or "(" in text or "<" in text):
         return []
-    values: dict[str, tuple] = {}  # a name's value: (number, spans, the values it takes in)
-    judged: dict[int, int] = {}  # the highest score a value was judged with
-    own: dict[tuple[int, int], float] = {}
+    values: dict[str, _Value] = {}
     out = set()
-    for number, (names, around, spans, refs, comment) in enumerate(Lexer(text).found):
-        value = (number, spans, [values[r] for r in dict.fromkeys(refs) if r in values])
-        score = max([name_score(n) for n in names] + [name_score(n) - 1 for n in around])
+    for names, around, spans, refs, comment in Lexer(text).found:
+        inner = [values[r] for r in dict.fromkeys(refs) if r in values]
+        score = max([around - 1, *map(name_score, names)])
+        if comment and score <= 0:
+            continue
+        value = _Value(text, spans, inner)
         todo = [value] if score > 0 else []
         while todo:
-            k, held, inner = todo.pop()
-            if judged.get(k, 0) >= score:
+            v = todo.pop()
+            if v.judged >= score:
                 continue
-            judged[k] = score
-            parts = held + [s for v in inner for s in v[1]]
-            for s in parts:
-                if s not in own:
-                    own[s] = literal_score(text[s[0] : s[1]])
-            for s in held:
-                if s[1] > s[0] and score + own[s] >= least:
-                    out.add(s)
-            if 1 < len(parts) <= JOINED and not any(score + own.get(s, 0) >= least for s in parts) and score + literal_score("".join(text[a:b] for a, b in parts)) >= least:
-                out.update(s for s in parts if s[1] > s[0])
-            todo += inner
+            v.judged = score
+            out.update(s for s, own in zip(v.spans, v.own) if s[1] > s[0] and score + own >= least)
+            if len(v.spans) + sum(len(x.spans) for x in v.inner) > 1 and score + max([v.best, *(x.best for x in v.inner)]) < least and score + v.joined() >= least:
+                for x in (v, *v.inner):
+                    if not x.whole:
+                        x.whole = True
+                        out.update(s for s in x.spans if s[1] > s[0])
+            todo += v.inner
         if not comment:
             for n in names:
                 values[n] = value
@@ -382,7 +421,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", spans_col: str = "spans", r
     """docs with the spans found in each whole text and the text without them.
 
     A null text has no spans and stays null; so it is with an empty one, which stays empty. Rows are judged one by one, repeated rows
-    alike. Columns of docs with the new names are replaced. No shuffle: a task holds one batch of rows.
+    alike. Columns of docs with the new names are replaced. No shuffle: a task holds one batch of rows; a very long text is read
+    whole, in time in proportion to its length (names, depth and numbers of literals have no limit).
     """
     base = docs.drop(*(c for c in (spans_col, redacted_col) if c in docs.columns))
     k = base.columns.index(text_col)

@@ -212,31 +212,30 @@ def _number(covered: np.ndarray) -> int:
     return int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
 
 
-def _without(window: int, reach: int):
+def _without(reach: int):
     def remove(text: bytes, at: np.ndarray, some: np.ndarray, whole: bool) -> tuple:
         n = len(text)
         if whole and n >= reach:
-            return n, n, 1, 1, b""
-        repeats = int(whole and n >= window) or (_number(_runs(some, window, n)) if len(some) else 0)
+            return n, n, 1, b""
         if not len(at):
-            return n, 0, 0, repeats, text
+            return n, 0, 0, text
         gone = _runs(at, reach, n)
-        return n, int(gone.sum()), _number(gone), repeats, np.frombuffer(text, np.uint8)[~gone].tobytes()
+        return n, int(gone.sum()), _number(gone), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     return remove
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, n_repeats, kept), a row for each row of docs; kept: the remaining bytes.
+    """(doc_id, n_bytes, n_removed, n_spans, kept), a row for each row of docs; kept: the remaining bytes.
 
-    A byte goes if a 400-byte string that covers it also starts anywhere else, in the same document or another. n_repeats:
-    the maximal runs that 300-byte strings cover which do (a passage of 50 words of prose); they stay if they are no longer.
+    A byte goes if a 400-byte string that covers it also starts anywhere else, in the same document or another.
     Buckets of suffixes are those that begin with one anchor; only anchors that occur more than once have one. A bucket is
     sorted by bytes as far as the next sampled position of a difference cover that two suffixes share, then by ranks of
-    the samples of its block, so a comparison looks at 32 bytes at most; a block's size bounds the memory.
+    the samples of its block, so a comparison looks at 32 bytes at most; a block's size bounds the memory: a hot anchor is dealt out until
+    a key is a whole 400-byte string, and equal ones are one row.
     A null text is empty; null ids stay; repeated rows are copies of each other, so 400 bytes or more of them
     go altogether; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return repeated(rows, Bytes, _judge(), _without(Bytes.window, Bytes.reach), "n_bytes long, n_removed long, n_spans long, n_repeats long, kept binary", False, kinds)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return repeated(rows, Bytes, _judge(), _without(Bytes.reach), "n_bytes long, n_removed long, n_spans long, kept binary", False, kinds)

@@ -279,23 +279,31 @@ def test_suffixes_equal_brute_force(spark, monkeypatch, hot):
     texts = [*odd_texts(), prose(70, 55), prose(71, 30) + " " + prose(70, 55), prose(70, 55) + " " + prose(72, 10), prose(73, 50), prose(73, 50)]
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[s : s + 400] for b in data for s in range(len(b) - 399))
-    short = collections.Counter(b[s : s + 300] for b in data for s in range(len(b) - 299))
     got = {r["doc_id"]: r for r in suffixes.deduplicate(frame(spark, texts, more=True)).collect()}
     for k, b in enumerate(data):
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - 399):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = True
-        some = np.zeros(len(b), bool)
-        for s in range(len(b) - 299):
-            if short[b[s : s + 300]] > 1:
-                some[s : s + 300] = True
-        spans, repeats = (int(x[:1].sum() + (x[1:] & ~x[:-1]).sum()) for x in (gone, some))
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["n_repeats"], bytes(got[k]["kept"])) == (len(b), int(gone.sum()), spans, repeats, kept), k
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], bytes(got[k]["kept"])) == (len(b), int(gone.sum()), spans, kept), k
     assert suffixes.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_boilerplate_below_the_length_makes_no_hot_bucket():
+    """Texts of one head of 330 bytes and different ends: at the last width every key of theirs is their own."""
+    r = np.random.default_rng(9)
+    head = r.integers(97, 123, 330).astype(np.uint8).tobytes()
+    texts = [head + r.integers(97, 123, 500).astype(np.uint8).tobytes() for _ in range(300)]
+    size, lead = anchors.Bytes.window, 200
+    keys = collections.Counter()
+    for t in texts:
+        n = lead + 1
+        keys.update({key for key, *_ in anchors.Bytes.parts(t[: n - 1 + size], lead, n, anchors.Bytes.widths[-1])})
+    assert max(keys.values()) == 1
+
+
 def test_suffix_array_and_cover():
     for v in (8, 16, 32):
         d = suffixes.difference_cover(v)
@@ -556,6 +564,34 @@ def test_lexer(text, n):
     assert len(secrets.lexed(text)) == n
 
 
+def test_lexer_has_no_limits():
+    """Long names, names far around and values of many parts count."""
+    assert lexed_texts("a" * 300 + "_password = 'hunTer2%xyzQ'\n") == ["hunTer2%xyzQ"]
+    assert lexed_texts("secret:\n" + "".join("  " * k + f"k{k}:\n" for k in range(1, 9)) + "  " * 9 + "last: 'hunTer2%xyzQ'\n") == ["hunTer2%xyzQ"]
+    assert lexed_texts("secret = {a: {b: {c: {d: {e: {f: 'hunTer2%xyzQ'}}}}}}\n") == ["hunTer2%xyzQ"]
+    parts = "aB3$xY9!qW7&eR5@tZ"
+    assert lexed_texts("password = " + " + ".join(f"'{c}'" for c in parts) + "\n") == list(parts)
+    assert lexed_texts("[" + "x" * 300 + "_secrets]\nvalue = hunTer2%xyzQ\n") == ["hunTer2%xyzQ"]
+    assert lexed_texts("client.set_" + "x" * 200 + "_password('hunTer2%xyzQ')\n") == ["hunTer2%xyzQ"]
+
+
+def lexed_texts(text):
+    return [text[a:b] for a, b in secrets.lexed(text)]
+
+
+def test_references_take_linear_time():
+    """n names that take a value of n literals."""
+    import time
+
+    took = []
+    for n in (1_000, 16_000):
+        text = "x = [" + ", ".join(f"'ab{k}'" for k in range(n)) + "]\n" + "my_password = x\n" * n
+        began = time.process_time()
+        assert len(secrets.lexed(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * max(took[0], 0.01)
+
+
 def test_lexer_takes_linear_time():
     """Ten times the length, not a hundred times the seconds, for runs that make scanners start anew."""
     import time
