@@ -532,10 +532,58 @@ chosen as (select * from anchors union all select * from instead),
 p as (select q.* from (select * from s union all select * from si) q where (q.case_id, q.a) in (select case_id, cluster_id from chosen) and (q.case_id, q.b) not in (select case_id, cluster_id from chosen)),
 best as (select case_id, b, unnest(arg_max(struct_pack(a := a, score := score, relation := relation, dropped := dropped, b_slot := b_slot, b_layer := b_layer), struct_pack(s := score, a := a))) from p group by 1, 2),
 limits as (select *, case relation when 'related_factor' then 0.2e0 when 'weak' then greatest(case when b_slot in ('O', 'P') then 0.4e0 else 0.75e0 end, case when b_slot = 'G' then 2.5e0 else 1.5e0 end) when 'unrelated' then 10.0e0 else case when b_slot in ('O', 'P') then 0.4e0 else 0.75e0 end end as least0 from best),
-assigned as (select case_id, cluster_id, cluster_id as bundle, cast(null as double) as score, 'anchor' as relation from chosen union all
+assigned as materialized (select case_id, cluster_id, cluster_id as bundle, cast(null as double) as score, 'anchor' as relation from chosen union all
  select case_id, b, a, score, relation from limits where not dropped and score >= case when b_layer = 'history' and relation <> 'related_factor' then greatest(least0, 1.75e0) else least0 end)"""
 ORACLES["bundle_assignment"] = f"with recursive {_ASSIGNED} select * from assigned"
 
+# notes of bundles: propositions to lists, merges one bundle after the other, names, what is shown
+
+_HIGH = f"case when {S.inside('event_type', W.HIGH_EVENTS)} or {S.inside('primary_type', W.HIGH_TYPES)} or salience >= 9 then 'high' when salience >= 6 then 'medium' else 'low' end"
+_LEVEL = f"case {_HIGH} when 'high' then 2 when 'medium' then 1 else 0 end"
+_BSURFACE = lambda n: f"({n} <> '' and not {S.has(n, L.DISEASES)} and ({S.inside(n, L.SURFACE_SYMPTOMS)} or ({_PICKS(n, L.SYMPTOM_FAMILIES)} is not null and {S.words(n)} <= 4)))"
+_NUMBER = "try_cast(substr({}, 3) as bigint)".format
+_LISTS_OF = ("S", "O", "A", "P", "global", "history", "related")
+_ACTS = lambda x: f"list_filter({x}, lambda t: {S.has(S.norm('t'), W.ACTION_PHRASES)})"
+_SAYS = "case " + " ".join(f"when {S.has(S.norm('problem'), words)} then replace({S.q(said)}, '{{}}', problem)" for words, said in W.ASSESSMENTS) + f" when {S.has(S.norm('problem'), L.DISEASES)} then 'The patient has ' || problem || '.' end"
+_NSCORE = (
+    "cast(case prop_type " + " ".join(f"when {S.q(k)} then {v}" for k, v in W.ANCHOR_SCORES.items()) + f" else 0 end as double) + {_w(S.has('cn', L.DISEASES), 3.0)} - {_w(_BSURFACE('cn'), 2.5)} - {_w('prop_type = ' + S.q('ProblemHistory'), 1.0)} + {_w('speaker = ' + S.q('doctor'), 0.5)}"
+    f" + {_w('len(list_intersect(bundle_domains, ' + _LISTS('cn', L.PROBLEM_DOMAINS) + ')) > 0', 1.0)} + {_w('(' + _FAM('al') + ') = bundle_family', 0.5)}"
+)
+ORACLES["bundle_notes"] = f"""with recursive {_ASSIGNED},
+pf as materialized (select m.cluster_id, q.case_id, q.ord, q.prop_type, q.speaker, q.named, q.cn, q.al, q.prop_text as text, {_SLOT} as slot, {_NAME} as nameable from (select *, cast(ord as bigint) as o, {S.txt('concept')} as named, {S.norm('concept')} as cn, {S.norm('prop_text')} as tn, {_AL('concept')} as al, source as speaker, clinical_status as visit_state, case when verification = 'refuted' then 'negated' else 'affirmed' end as status
+  from (select * replace (case when turn_idx % 3 = 0 then 'future' else temporality end as temporality) from {_P})) q join ({ORACLES['cluster_members']}) m on m.case_id = q.case_id and m.ord = q.o),
+r0 as (select a.*, f.layer, f.summary, f.members, f.salience, f.cluster_type, f.primary_type, f.slot as cluster_slot, {_CTYPE.replace('cluster_type', 'f.cluster_type').replace('primary_type', 'f.primary_type')} as event_type from assigned a join f using (case_id, cluster_id) where relation <> 'unrelated' and {S.txt('f.summary')} <> ''),
+r1 as (select *, row_number() over (partition by case_id, bundle order by relation = 'anchor' desc, {_LEVEL} desc, salience desc, members desc, {_NUMBER('cluster_id')}, cluster_id) as place from r0),
+r2 as (select r1.case_id, r1.bundle, r1.cluster_id, r1.place, r1.relation, r1.layer, pf.ord, coalesce(pf.slot, r1.cluster_slot) as slot, coalesce(pf.text, r1.summary) as text from r1 left join pf using (case_id, cluster_id)),
+routes as materialized (select case_id, bundle, cluster_id, place, ord, text, case when relation = 'related_factor' and slot = 'P' then 'P' when relation = 'related_factor' then 'related' when relation = 'weak' and slot in ('G', 'S') and layer <> 'current' then 'related' when layer = 'history' and slot <> 'P' then 'history' when slot in ('S', 'O', 'A', 'P') then slot else 'global' end as list from r2),
+heads as (select case_id, cluster_id as bundle, pref as preference, {_BSURFACE('nn')} as surface, {_PICKS('nn', L.BODY_REGIONS)} as region, {_PICKS('nn', L.SYMPTOM_FAMILIES)} as symptom, {_LISTS('nn', L.PROBLEM_DOMAINS)} as domains from f),
+b0 as (select case_id, bundle, count(*) filter (list in ('O', 'A')) as found, coalesce(list(distinct {S.norm('text')}) filter (list = 'P'), []) as plans from routes group by 1, 2),
+b1 as materialized (select b0.*, heads.* exclude (case_id, bundle), row_number() over (partition by case_id order by {_NUMBER('bundle')}, bundle) as k from b0 join heads using (case_id, bundle)),
+moves as materialized (select s.case_id, s.b as bundle, list(s.a order by s.score desc, t.k) as targets from (select * from s where relation <> 'unrelated' and score > -1) s join b1 x on x.case_id = s.case_id and x.bundle = s.b join b1 t on t.case_id = s.case_id and t.bundle = s.a and t.preference >= 4
+ where coalesce(t.region = x.region, false) or coalesce(t.symptom = x.symptom, false) or len(list_intersect(t.domains, x.domains)) > 0 or s.score >= 0.25e0 group by 1, 2),
+steps as (select case_id, cast(0 as bigint) as k, list(struct_pack(b := bundle, p := plans, l := [bundle], gone := false) order by b1.k) as st from b1 group by 1
+ union all
+ select case_id, k, case when target is null then st else list_transform(st, lambda x, i: case when i = k then struct_pack(b := x.b, p := x.p, l := x.l, gone := true) when x.b = target then struct_pack(b := x.b, p := list_distinct(list_concat(x.p, st[k].p)), l := list_concat(x.l, st[k].l), gone := x.gone) else x end) end
+ from (select w.case_id, b1.k, w.st, case when b1.surface and b1.found = 0 and len(w.st[b1.k].p) <= 1 then list_filter(targets, lambda a: len(list_filter(w.st, lambda x: x.b = a and x.gone)) = 0)[1] end as target from steps w join b1 on b1.case_id = w.case_id and b1.k = w.k + 1 left join moves m on m.case_id = b1.case_id and m.bundle = b1.bundle)),
+ends as (select case_id, unnest(arg_max(st, k)) as x from steps group by 1),
+moved as (select case_id, x.b as target, generate_subscripts(x.l, 1) - 1 as pos, unnest(x.l) as own from ends where not x.gone),
+rows as materialized (select r.case_id, m.target as bundle, m.own, m.pos, r.cluster_id, r.place, r.ord, r.list, r.text from routes r join moved m on m.case_id = r.case_id and m.own = r.bundle),
+texts as (select * from rows where {S.norm('text')} <> '' qualify row_number() over (partition by case_id, bundle, list, {S.norm('text')} order by pos, place, ord nulls first) = 1),
+pl as (select case_id, bundle, {', '.join(f"coalesce(list(text order by pos, place, ord nulls first) filter (list = {S.q(x)}), []) as l_{x}" for x in _LISTS_OF)} from texts group by 1, 2),
+counts as (select case_id, bundle, count(ord) as support, count(*) filter (list = 'A' and ord is not null) as a_ids from rows group by 1, 2),
+concepts as (select case_id, bundle, string_agg(cluster_concept, '; ' order by pos, place, cluster_concept) as concepts from (select distinct r.case_id, r.bundle, r.pos, r.place, f.cluster_concept from rows r join f using (case_id, cluster_id)) group by 1, 2),
+about as materialized (select p.*, c.support, c.a_ids, k.concepts, f.cluster_concept, f.cluster_type, f.primary_type, f.salience, f.pref as preference, {_CTYPE} as event_type, {_LISTS(S.norm("concat_ws(' ', k.concepts, array_to_string(l_history, ' '), array_to_string(l_related, ' '))"), L.PROBLEM_DOMAINS)} as bundle_domains, {_FAM(_AL('f.cluster_concept'))} as bundle_family
+ from pl p join counts c using (case_id, bundle) join concepts k using (case_id, bundle) join f on f.case_id = p.case_id and f.cluster_id = p.bundle),
+scored as (select a.case_id, a.bundle, pf.named, {_NSCORE} as score, case r.list when 'A' then 0 when 'S' then 1 when 'history' then 2 else 3 end as lp, r.pos, r.place, r.ord from rows r join pf on pf.case_id = r.case_id and pf.ord = r.ord and pf.nameable join about a on a.case_id = r.case_id and a.bundle = r.bundle where r.ord is not null and r.list in ('A', 'S', 'history', 'related')),
+names as (select case_id, bundle, named as promoted from scored where score > -1 qualify row_number() over (partition by case_id, bundle order by score desc, lp, pos, place, ord) = 1),
+g as (select a.*, coalesce(promoted, cluster_concept) as problem, len(l_related) + len(l_history) as more from about a left join names using (case_id, bundle)),
+h as (select *, len(l_P) > 0 or len(l_A) > 0 or len({_ACTS('l_related')}) > 0 or (preference >= 4 and (len(l_O) > 0 or more > 0)) or ({S.has(S.norm('problem'), L.DISEASES)} and support >= 2) as visit_primary, len(l_S) <= 1 and len(l_O) = 0 and len(l_A) = 0 and len(l_P) = 0 and more = 0 as incidental,
+ case when a_ids = 0 and {S.has(S.norm('problem'), L.DISEASES)} then {_SAYS} when a_ids = 0 then case when {' or '.join(S.has(S.norm('problem'), w) for w, _ in W.ASSESSMENTS)} then {_SAYS} end end as assessment, case when len(l_P) > 0 then list_slice(l_P, 1, 5) else list_slice({_ACTS('list_concat(l_related, l_global)')}, 1, 5) end as planned, {_HIGH} as clinical_priority from g),
+i as (select *, visit_primary and not incidental as render, row_number() over (partition by case_id order by {_LEVEL} desc, salience desc, support desc, {_NUMBER('bundle')}) as rank from h where len(l_S) + len(l_O) + len(l_A) + len(l_P) > 0),
+jj as (select *, bool_or(render) over (partition by case_id) as any_shown from i where rank <= 14)
+select case_id, bundle as event_id, problem, clinical_priority, support, visit_primary, render, assessment, concepts, cast(rank as int) as rank, array_to_string(list_slice(list_concat(list_concat(l_S, l_O), l_A), 1, 6), '|') as supporting_evidence, array_to_string(list_slice(list_concat(l_A, l_S), 1, 5), '|') as current_state, array_to_string(planned, '|') as planned_actions,
+ array_to_string(list_slice(list_filter(list_concat(list_concat(l_history, l_related), l_global), lambda t: not list_contains(planned, t)), 1, 6), '|') as care_context from jj where render or not any_shown"""
+
 
 BROKEN = V.Inline("id long, raw string", [(1, '{"S": "pain", "O": ["swollen", "red"], "A": "gout" "P": "rest'), (2, "S: pain\nO: swollen\nA - gout\nP: rest"), (3, None), (4, "nothing of it"), (5, '{"s" : "“quoted”"}')])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -14,7 +14,11 @@ from .catalog import ORACLES, query, table
 from .inferred import nth
 
 _N = "(conv_id * 31 + turn)"
-_K = F.col("conv_id") * 31 + F.col("turn")
+
+
+def _k() -> Column:
+    return F.col("conv_id") * 31 + F.col("turn")
+
 
 # sections
 
@@ -41,7 +45,7 @@ s as (select *, case when place = 1 then line else {_OPENED} end as said from o)
 select conv_id, count(s.conv_id) as lines, coalesce(string_agg({_tidy('said')}, chr(10) order by place), '') as section from (select distinct conv_id from conversations) c left join s using (conv_id) group by 1""")
 def section_texts(spark, d):
     """A section of each conversation: turns as items, with fences, preambles, bullets, headings, repeats and openers."""
-    raw = F.concat(nth(_LEADS, _K % 8), F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n- "), F.coalesce("text", F.lit("")))).otherwise(""))
+    raw = F.concat(nth(_LEADS, _k() % 8), F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n- "), F.coalesce("text", F.lit("")))).otherwise(""))
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", raw.alias("raw")))), lambda x: x["raw"])
     c = table(spark, d, "conversations").groupBy("conv_id").agg(items.alias("items")).withColumn("section", notes.section_text(F.col("items"), "S"))
     return c.select("conv_id", F.when(F.col("section") == "", F.lit(0)).otherwise(F.size(F.split("section", "\n"))).cast("long").alias("lines"), "section")
@@ -56,14 +60,14 @@ def message_texts(spark, d):
     shapes = ('{"choices": [{"message": {"content": "  %1$s %2$s\\n"}}]}', '{"choices": [{"message": {"content": [{"text": "%1$s"}, 5, {"text": ""}, "%2$s"]}}]}', '{"choices": [{"message": {"content": [{"kind": "x"}, {"text": "%1$s"}]}}]}', '{"choices": [{"message": {"content": null}}]}', '{"choices": [], "x": "%1$s"}')
     raw = F.lit(None).cast("string")
     for k, shape in enumerate(shapes):
-        raw = F.when(_K % 5 == k, F.format_string(shape, w(0), w(1))).otherwise(raw)
+        raw = F.when(_k() % 5 == k, F.format_string(shape, w(0), w(1))).otherwise(raw)
     return table(spark, d, "conversations").select("conv_id", "turn", judging.message_text(raw).alias("said"))
 
 
 @query(f"""select conv_id, turn, coalesce(translate(text || '“–”', '‘’“”–—', '''''""--'), '') as plain, case when {S.low("text")} = '' then 'missing' else case {_N} % 4 when 0 then 'supported' when 1 then 'partial' when 2 then 'low_value' else 'missing' end end as judgment from conversations""")
 def judgment_labels(spark, d):
     """Judges' labels by their aliases, and plain quotes."""
-    said = F.when(T.safe_text("text") == "", "").otherwise(nth(("Supported", "Partially  supported", "LOW-value", "odd"), _K % 4))
+    said = F.when(T.safe_text("text") == "", "").otherwise(nth(("Supported", "Partially  supported", "LOW-value", "odd"), _k() % 4))
     label = N.judgment(said, ("supported", "partial", "low_value", "missing"), {"partially_supported": "partial"}, "missing")
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(T.plain_quotes(F.concat("text", F.lit("“–”"))), F.lit("")).alias("plain"), label.alias("judgment"))
 
