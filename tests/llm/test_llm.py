@@ -639,11 +639,12 @@ def test_null_ids_repeats_and_empty_tables(spark, small, tmp_path):
     odd = docs.union(docs.where("doc_id = 5")).union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
     for name, df in (("odd", odd), ("none", docs.where("false"))):
         df.write.parquet(str(tmp_path / name / "documents.parquet"))
-        spark.createDataFrame([(1, prose(100, 40))], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        spark.createDataFrame([(1, prose(100, 40), "clash", 1)], "item_id long, text string, doc_id string, start int").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        spark.createDataFrame([(1, 1, 0), (5, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / name / "embeddings.parquet"))
     for name, q in queries.QUERIES.items():
         assert q(spark, str(tmp_path / "none")).count() == 0, name
-        if name in ("op2_packing", "op4_embeddings", "op10_decontaminate"):
+        if name in ("op2_packing", "op4_embeddings", "op10_decontaminate", "op12_collocations", "op13_divergence"):
             continue
         rows = q(spark, str(tmp_path / "odd")).collect()
         ids = collections.Counter(r["doc_id"] for r in rows)
@@ -654,6 +655,34 @@ def test_null_ids_repeats_and_empty_tables(spark, small, tmp_path):
     assert kept.where("start = 0").count() == kept.select("doc_id").distinct().count()
 
 
+def test_packing_and_decontamination_of_null_ids_and_repeats(spark):
+    """Each row is packed and matched by itself; columns of the benchmark with clashing names are not read."""
+    item = prose(100, 60)
+    docs = frame(spark, [prose(1, 30) + " " + item, prose(2, 50)], more=True)
+    odd = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(7, item, "x", 3), (7, item, "x", 3), (None, item, "x", 3), (8, None, "x", 3)], "item_id long, text string, doc_id string, n int")
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, bench).collect())
+    assert set(got) == {(0, 7), (None, 7)}  # an item without an id isn't told
+    assert decontaminate.clean(odd, bench).count() == 1
+    rows = packing.pack_documents(odd, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert collections.Counter(r["doc_id"] for r in rows if r["start"] == 0) == {0: 2, 1: 1, None: 1}
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
+def test_network_sums_equal_a_plain_forward_pass():
+    """Sums over all bytes of log-probabilities and probabilities, rows of several lengths sorted and padded, against one text at a time."""
+    model = language.ByteGRU(["a", "b", "c"], seed=5)
+    texts = [prose(k, n).encode()[:200] for k, n in enumerate((1, 3, 9, 25, 40))] + [b"x", "ÀÉß".encode()]
+    got, L = model.sums(texts), 3
+    for k, t in enumerate(texts):
+        x, mask = language.padded([t])
+        y = np.concatenate([model._layer(d, x, mask)[0] for d in "fb"], 2) @ model.p["V"] + model.p["c"]
+        p = np.exp(y - y.max(2, keepdims=True))
+        p /= p.sum(2, keepdims=True)
+        assert got[k][-1] == len(t)
+        assert np.allclose(got[k][:L], np.log(p).sum((0, 1)), rtol=1e-3, atol=1e-2) and np.allclose(got[k][L : 2 * L], p.sum((0, 1)), rtol=1e-3, atol=1e-2)
+
+
 def test_embeddings_of_several_sizes_and_repeated_rows(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [1.0, 0.0, 0.0], "c"), (3, [2.0, 0.1], "d"), (4, [float("inf"), 1.0], "e"), (None, [0.0, 1.0], "f"), (6, [0.0, 5.0], "g")]
     got = [(x["vec_id"], x["n_links"], x["component_id"]) for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")).collect()]
