@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.stage import staged
+from ..sources.stage import once
 
 PROPS = """
 select o_custkey as case_id,
@@ -22,16 +22,9 @@ from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_
 """
 
 
-#: Where the propositions of a folder stand, by application: many queries read them, and they take a sort of all lineitem rows.
-_STAGED: dict[tuple[str, str], DataFrame] = {}
-
-
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The propositions of a folder's order tables, derived once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGED:
-        _STAGED[key] = staged(_derived(spark, sf_dir), "props")
-    return _STAGED[key]
+    """The propositions of a folder's order tables: many queries read them, and they take a sort of all lineitem rows, so they are derived once in a session."""
+    return once(spark, "props", sf_dir, lambda: _derived(spark, sf_dir))
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:

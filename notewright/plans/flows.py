@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import terms as W
 from ..functions import text as T
-from ..operators import extraction, flows, walks
+from ..operators import extraction, flows, judging, walks
 from ..sources import readers
 from ..sources.stage import new_path
 from . import sql as S
@@ -106,3 +107,32 @@ def extraction_flow(spark, d):
     out = flows.extracted(chunks, steps, [flows.Step("rescue", lambda: F.col("prompt"), _rescuer)], c.select("case_id"), doubtful)
     n = flows.items(out, "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("props"))
     return out.join(n, "chunk_id", "left").select("chunk_id", "case_id", "step", "accepted", "tries", F.size("errors").alias("failures"), F.coalesce("props", F.lit(0)).alias("props"), "rescued")
+
+
+# audits
+
+_ETYPES, _ELEVELS = (*W.EVENT_RANKS, "Other"), ("high", "medium", "low", "")
+#: Judges' answers: a ranking with ids that there are none of, verdicts, reasons alone, nothing that can be read.
+_ANSWERS = (
+    '{"ranked_missing_major_event_ids": ["te3", "TE1", "TE99", "S2", "TE3"], "omission_reasons": ["TE1: said", "other"]}',
+    '{"event_verifications": [{"event_id": "TE0", "verdict": " MissingMajor"}, {"event_id": "TE2", "verdict": "Present"}, {"event_id": "TE1", "verdict": "missingmajor"}], "omission_reasons": []}',
+    'fine: {"omission_reasons": ["TE2 is missing", "nothing else", "see TE0"]}', "broken",
+)
+_DEFAULT = ": clinically important unsupported/missing event detected."
+
+
+@query(f"""with e as (select conv_id as case_id, turn as n, {S.nth(_ETYPES, f'turn % {len(_ETYPES)}')} as event_type, {S.nth(_ELEVELS, '(conv_id + turn) % 4')} as level, case when turn % 2 = 0 then 'major' else 'minor' end as severity from conversations),
+said as (select * from (values (0, 1, 'TE1: said'), (0, 3, 'other'), (1, 0, 'TE0{_DEFAULT}'), (1, 1, 'TE1{_DEFAULT}'), (2, 2, 'TE2 is missing'), (2, 0, 'see TE0')) v(form, n, reason)),
+f as (select e.*, said.reason from e join said on said.n = e.n and said.form = e.case_id % 4)
+select case_id, cast(n as bigint) as n, 'TE' || n as event_id, event_type, reason, cast(row_number() over (partition by case_id order by case level when 'high' then 3 when 'medium' then 2 else 1 end desc, severity = 'major' desc, coalesce(try_cast({S.pick('event_type', W.EVENT_RANKS)} as int), 0) desc, n) as int) as place from f""")
+def audit_findings(spark, d):
+    """Events of each conversation that a judge's answer names, by rank and with reasons; its ranking counts, else its verdicts, else its reasons."""
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "case_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    events = c.select(
+        "case_id", F.concat(F.lit("TE"), "turn").alias("event_id"), pick(_ETYPES, F.col("turn") % len(_ETYPES)).alias("event_type"), pick(_ELEVELS, (F.col("case_id") + F.col("turn")) % 4).alias("clinical_priority"),
+        F.when(F.col("turn") % 2 == 0, "major").otherwise("minor").alias("severity"), F.col("text"),
+    )
+    prompts = c.select("case_id").distinct().withColumn("prompt", F.concat(F.lit("form "), F.col("case_id") % 4))
+    judged = judging.answered(prompts, lambda: lambda p: _ANSWERS[int(p.split()[1])])
+    return judging.findings(judged, events, "TE").select("case_id", "n", "event_id", "event_type", "reason", F.col("place").cast("int").alias("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 WRITTEN: list[str] = []
 
 
+#: Tables that many queries of a session read, by what they are of.
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, of: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, staged when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, name, of)
+    if key not in _ONCE:
+        _ONCE[key] = staged(make(), name)
+    return _ONCE[key]
+
+
 def clean(spark) -> None:
     """Removes them: once a query's result is written, nothing reads them again."""
+    _ONCE.clear()
     while WRITTEN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -71,3 +71,17 @@ def test_metrics_are_replaced_by_case(spark, tmp_path):
     got = {r["case_id"]: (r["score"], r["drawn"]) for r in spark.read.parquet(f"{at}/case_metrics.parquet").collect()}
     assert got["c7"] == (-1.0, None) and {k: v[1] for k, v in got.items() if k != "c7"} == {k: v for k, v in table.items() if k != "c7"}
     assert [tuple(r) for r in spark.read.json(f"{at}/aggregate_metrics.json").select("n", "score").collect()] == [(200, sum(range(200)) - 8.0)]
+
+
+def test_what_is_derived_once_is_derived_again_after_cleaning(spark):
+    from notewright.sources import stage
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert stage.once(spark, "x", "a", make).count() == stage.once(spark, "x", "a", make).count() == 3 and len(made) == 1
+    stage.clean(spark)
+    assert stage.once(spark, "x", "a", make).count() == 3 and len(made) == 2
