@@ -720,7 +720,7 @@ def test_broadcast_shards_give_the_same_rows(spark):
 def test_parts_of_hot_anchors_keep_equal_windows_together():
     """Equal windows with their anchor at one place fall to one key at every width."""
     r = np.random.default_rng(3)
-    common = r.integers(97, 123, 400).astype(np.uint8).tobytes()
+    common = r.integers(97, 123, anchors.Bytes.window + 100).astype(np.uint8).tobytes()
     one, two = b"x" * 40 + common + b"y" * 130, b"zz" * 7 + common + b"w" * 103
     size = anchors.Bytes.window
     for width in anchors.Bytes.widths:
