@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,21 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 WRITTEN: list[str] = []
 
 
+#: The same tables' names in the catalogue, where they have one.
+NAMED: list[str] = []
+#: Rows of a bucket of dealt(), about.
+BUCKET = 400_000
+
 #: Tables that many queries of a session read, by what they are of.
 _ONCE: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, name: str, of: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What `make` gives, staged when it is first asked for in a session."""
+    """The staged table that `make` gives, made when it is first asked for in a session."""
     key = (spark.sparkContext.applicationId, name, of)
     if key not in _ONCE:
-        _ONCE[key] = staged(make(), name)
+        _ONCE[key] = make()
     return _ONCE[key]
 
 
 def clean(spark) -> None:
     """Removes them: once a query's result is written, nothing reads them again."""
     _ONCE.clear()
+    while NAMED:
+        spark.sql(f"drop table if exists {NAMED.pop()}")
     while WRITTEN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -51,3 +59,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets(spark: SparkSession, rows: int) -> int:
+    """How many buckets of dealt() a table of about so many rows has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET))
+
+
+def dealt(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """staged() in n buckets of the key, so groupings, windows and joins by it (and more) move no rows. df comes of repartition(n, key): a task writes a bucket."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"stage_{name}_{uuid.uuid4().hex[:12]}"
+    NAMED.append(table)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    free_shuffles(spark)
+    return spark.table(table)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
