@@ -332,15 +332,14 @@ _CC = f"cc as (select case_id, ord, annotator, c_type, {S.toks('c_concept')} as
 @query(S.greedy(f"select * from ({_BPAIRS}) where score >= 0.45").replace("with recursive ", f"with recursive {_CC}, ") + " select case_id, cast(i as int) as i, cast(j as int) as j, score from walk where taken")
 def benchmark_match(spark, d):
     c = N.canonical(V.props(spark, d)).withColumn("ord", F.col("ord").cast("int"))
-    pairs = align.benchmark_pairs(c.where("annotator = 'A'").withColumnRenamed("ord", "i"), c.where("annotator = 'B'").withColumnRenamed("ord", "j"))
-    return align.greedy(pairs)
+    return align.benchmark_matches(c.where("annotator = 'A'").withColumnRenamed("ord", "i"), c.where("annotator = 'B'").withColumnRenamed("ord", "j"))
 
 
 @query()
 def benchmark_evaluation(spark, d):
     c = N.canonical(V.props(spark, d)).withColumns({"ord": F.col("ord").cast("int"), "turns": F.array("turn_idx")})
     a, b = c.where("annotator = 'A'").withColumnRenamed("ord", "i"), c.where("annotator = 'B'").withColumnRenamed("ord", "j")
-    return align.evaluate(a, b, align.greedy(align.benchmark_pairs(a, b)))
+    return align.evaluate(a, b, align.benchmark_matches(a, b))
 
 
 @query()
