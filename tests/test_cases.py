@@ -32,3 +32,33 @@ def test_small_cases_write_no_pairs(spark):
     before = len(stage.WRITTEN)
     assert align.benchmark_matches(_rows(spark, "i", 1), _rows(spark, "j", 2)).count()
     assert not [x for x in stage.WRITTEN[before:] if "stage-pairs" in x]
+
+
+def test_kindred_concepts_of_short_lists_and_by_grams(spark, monkeypatch):
+    from notewright.operators import states
+
+    names = ["knee", "knee pain", "left knee pain", "ee", "hot", "shot", ""]
+    df = spark.createDataFrame([(c, t, n) for c in (1, None) for t in ("P", "Q") for n in names[: 7 if t == "P" else 2]], "case_id long, cluster_type string, cluster_concept string")
+    rows = lambda: sorted((str(r[0]), r[1], r[2], sorted(r[3])) for r in states.holding(df.where("case_id = 1")).collect())
+    lists = rows()
+    assert lists and "_met" in dir(states)
+    monkeypatch.setattr(states, "COMPARED", 0)
+    assert rows() == lists
+
+
+def test_words_are_counted_once_for_evidence(spark):
+    from notewright.functions import text as T
+    from notewright.operators import evidence
+
+    df = spark.createDataFrame([("a b a", "a a a c"), ("", "x"), ("b a", "a b"), (None, None)], "x string, y string")
+    both = F.size(F.array_intersect(evidence.counted(T.tokens("x")), evidence.counted(T.tokens("y"))))
+    assert [r[0] for r in df.select(both).collect()] == [2, 0, 2, 0]
+
+
+def test_bundle_pairs_write_no_clusters(spark):
+    from notewright.plans import catalog
+
+    before = len(stage.WRITTEN)
+    catalog.bundle_pairs(spark, "/root/testdata/sf0.001")
+    path = next(x for x in stage.WRITTEN[before:] if "stage-pairs" in x)
+    assert not [f.name for f in spark.read.parquet(path).schema if "struct" in f.dataType.simpleString()]
