@@ -360,8 +360,7 @@ select case_id, cast(ord as int) as ord, cast(arg_max(turn, {{'s': score, 't': -
 def evidence_argmax(spark, d):
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").cast("int").alias("turn_idx"), F.when(F.col("role") == "user", "patient").when(F.col("role") == "assistant", "doctor").otherwise("unknown").alias("speaker"), F.col("text").alias("said"))
     p = t.where("speaker = 'doctor'").select("case_id", F.col("turn_idx").alias("ord"), F.array_join(F.slice(T.tokens("said"), 1, 3), " ").alias("concept"), F.col("said").alias("prop_text"), F.lit("Symptom").alias("prop_type"), F.lit("confirmed").alias("verification"))
-    scored = p.join(t, "case_id").where("turn_idx <> ord").withColumn("score", evidence.turn_score("concept", "prop_text", "prop_type", "verification", "said", "speaker"))
-    return scored.where("score > 0").groupBy("case_id", "ord").agg(F.max_by("turn_idx", F.struct("score", -F.col("turn_idx"))).alias("turn_idx"), F.max("score").alias("score"))
+    return evidence.scored_turns(p, t).where("turn_idx <> ord and score > 0").groupBy("case_id", "ord").agg(F.max_by("turn_idx", F.struct("score", -F.col("turn_idx"))).alias("turn_idx"), F.max("score").alias("score"))
 
 
 # states
