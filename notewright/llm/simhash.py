@@ -183,6 +183,10 @@ SAMPLE = 20_000
 FREQUENT = 200_000
 #: Buckets of more texts are dealt to pairs of blocks of about so many.
 BLOCK = 4096
+#: Keys of so many texts or fewer that the same texts share are one.
+ALIKE = 64
+#: Bits of parities() at most.
+WIDEST = 4096
 #: Rows with texts or whole sets of shingles that a worker gets at once.
 WIDE_ROWS = 1000
 
@@ -216,32 +220,70 @@ def prefix(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: floa
     return h[: len(h) - least + 1] if len(h) else h
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """256 bits: whether an odd number of the hashes falls on each. Sets differ in as many elements at least as these in bits."""
-    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).view("<i8")
+def parities(h: np.ndarray) -> bytes:
+    """Bits (about as many as hashes, 256 to WIDEST): whether an odd number of the hashes falls on each. Sets differ in as many elements at least as these in bits."""
+    n = min(max(256, 1 << (len(h) - 1).bit_length() if len(h) else 256), WIDEST)
+    return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
-def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(row, doc_id, md5, size, shingles, prefix, odd): number and sorted 32-bit hashes of the different shingles, prefix() in full, parities()."""
+def folded(odd: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of parities(), a row each: the bits at full width and at half of it (as 64-bit numbers, padded with zeros), at 256 bits, and the width.
+
+    A half is the exclusive or of both halves, which is what parities() of half the width gives.
+    """
+    words = np.array([len(x) // 8 for x in odd], np.int64)
+    full = np.zeros((len(odd), WIDEST // 64), np.uint64)
+    half, least = full.copy(), np.zeros((len(odd), 4), np.uint64)
+    for n in np.unique(words):
+        at = np.flatnonzero(words == n)
+        x = np.frombuffer(b"".join(odd[k] for k in at), np.uint64).reshape(-1, n)
+        full[at, :n] = x
+        if n > 4:
+            half[at, : n // 2] = x[:, : n // 2] ^ x[:, n // 2 :]
+        while x.shape[1] > 4:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        least[at] = x
+    return full, half, least, words
+
+
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> tuple[str, DataFrame, DataFrame]:
+    """The path of two tables, and these: (row, doc_id, md5, size, fp, shingles, odd), with fingerprint(), the number and sorted 32-bit hashes of the different shingles, parities(); and (row, size, prefix), with prefix() in full."""
     import hashlib
 
+    spark = docs.sparkSession
     known = frequent(docs, text_col, words)
 
     def run(batches):
         for batch in batches:
-            md5, size, sh, pre, odd = [], [], [], [], []
+            n = batch.num_rows
+            md5, size, fp, sh, pre, odd = [], [], [], [], [], []
             for t in as_bytes(batch.column(2)):
                 md5.append(hashlib.md5(t or b"").digest())
-                h = np.unique(shingle_hashes(t, words))
+                every = shingle_hashes(t, words)
+                fp.append(fingerprint(every))
+                h = np.unique(every)
                 size.append(len(h))
                 sh.append(np.unique(h >> np.uint64(32)).astype("<u4").tobytes())
                 pre.append(prefix(h, known, similarity).tobytes())
-                odd.append(parities(h).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(md5, pa.binary()), pa.array(size, pa.int32()), pa.array(sh, pa.binary()), pa.array(pre, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["row", "doc_id", "md5", "size", "shingles", "prefix", "odd"])
+                odd.append(parities(h))
+            row, doc, size = batch.column(0), batch.column(1), pa.array(size, pa.int32())
+            none = pa.nulls(n, pa.binary())
+            names = ["first", "row", "doc_id", "md5", "size", "fp", "shingles", "odd", "prefix"]
+            yield pa.RecordBatch.from_arrays([pa.array([False] * n), row, doc, pa.array(md5, pa.binary()), size, pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sh, pa.binary()), pa.array(odd, pa.binary()), none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * n), row, pa.nulls(n, pa.int64()), none, size, pa.nulls(n, pa.int64()), none, none, pa.array(pre, pa.binary())], names=names)
         free_memory()
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return keyed.mapInArrow(run, "row long, doc_id long, md5 binary, size int, shingles binary, prefix binary, odd array<long>")
+    made = keyed.mapInArrow(run, "first boolean, row long, doc_id long, md5 binary, size int, fp long, shingles binary, odd binary, prefix binary")
+    with batches_of(spark, WIDE_ROWS):
+        path = write_table(made, "signatures", parts=["first"])
+    read = lambda first, columns: spark.read.schema(columns).parquet(f"{path}/first={first}")
+    if docs.isEmpty():
+        return path, *(spark.createDataFrame([], c) for c in (SIGNATURE, PREFIX))
+    return path, read("false", SIGNATURE), read("true", PREFIX)
+
+
+SIGNATURE, PREFIX = "row long, doc_id long, md5 binary, size int, fp long, shingles binary, odd binary", "row long, size int, prefix binary"
 
 
 def _keys(batches):
@@ -299,15 +341,27 @@ def _across(similarity: float, most: int = 500_000):
     """
 
     def run(batches):
-        held = None
+        held, bits = None, ()
 
         def out(us, vs):
             pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
 
-        def judge(r):
-            key, lo, hi, block, node, root, size, place = r[:8]
-            odd = r[8:].view(np.uint64)
+        def near(a, b, size, odd):
+            """Which pairs (a smaller than b) the parities leave: those of 256 bits, then those of a's whole width, which is b's or half of it."""
+            full, half, least, words = odd
+            most = (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-9
+            ok = np.flatnonzero(np.bitwise_count(least[a] ^ least[b]).sum(1, dtype=np.int64) <= most)
+            out = np.zeros(len(a), bool)
+            for x in range(0, len(ok), 1 << 14):
+                k = ok[x : x + (1 << 14)]
+                same, fold = words[a[k]] == words[b[k]], 2 * words[a[k]] == words[b[k]]
+                other = np.where(same[:, None], full[b[k]], half[b[k]])
+                out[k] = ~(same | fold) | (np.bitwise_count(full[a[k]] ^ other).sum(1, dtype=np.int64) <= most[k])
+            return out
+
+        def judge(r, odd):
+            key, lo, hi, block, node, root, size, place = r
             us, vs, n, live, d = [], [], 0, np.arange(len(key)), 0
             while len(live):
                 d += 1
@@ -318,7 +372,7 @@ def _across(similarity: float, most: int = 500_000):
                 a, b = live, live + d
                 ok = (root[a] != root[b]) & ((lo[a] == hi[a]) | (block[a] != block[b])) & _reach(similarity, size[a], place[a], size[b], place[b])
                 a, b = a[ok], b[ok]
-                ok = np.bitwise_count(odd[:, a] ^ odd[:, b]).sum(0, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-9
+                ok = near(a, b, size, odd)
                 a, b = node[a[ok]], node[b[ok]]
                 us.append(np.minimum(a, b))
                 vs.append(np.maximum(a, b))
@@ -329,17 +383,18 @@ def _across(similarity: float, most: int = 500_000):
             yield out(us, vs)
 
         for batch in batches:
-            r = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            r = r if held is None else np.concatenate([held, r], axis=1)
-            if not r.shape[1]:
+            if not batch.num_rows:
                 continue
+            r, odd = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:8]]), folded(batch.column(8).to_pylist())
+            if held is not None:
+                r, odd = np.concatenate([held, r], axis=1), tuple(map(np.concatenate, zip(bits, odd)))
             new = np.flatnonzero((r[:3, 1:] != r[:3, :-1]).any(0))
             end = int(new[-1]) + 1 if len(new) else 0
             if end:
-                yield from judge(r[:, :end])
-            held = r[:, end:]
+                yield from judge(r[:, :end], tuple(x[:end] for x in odd))
+            held, bits = r[:, end:], tuple(x[end:] for x in odd)
         if held is not None and held.shape[1]:
-            yield from judge(held)
+            yield from judge(held, bits)
 
     return run
 
@@ -367,16 +422,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, doc_id, md5, group, kept): near-duplicate groups by verified links; kept marks the smallest id of each.
 
-    The groups are those of all pairs whose sets of shingles have the Jaccard similarity. Candidates share a
-    shingle of their prefixes (the first fifth of a set at similarity 0.8, in one order for all texts), which every
-    such pair does, and are verified. Each text is looked at first with the first ones of its buckets; then all
-    pairs of each bucket whose groups still differ. Copies are one node. Null is the empty text; texts without
+    Candidates are links() of the fingerprints of shingles, verified. These alone lose pairs at this similarity, so the
+    rest is found in an exact way: the groups are those of all pairs whose sets of shingles have the Jaccard similarity.
+    Every such pair shares a shingle of its prefixes (the first fifth of a set at similarity 0.8, in one order for all
+    texts). Each text is looked at first with the first ones of its buckets; then all pairs of each bucket whose groups
+    still differ; keys that the same few texts share are one bucket, that of the first of them. Copies are one node. Null is the empty text; texts without
     words are grouped as copies alone; the smallest id is kept, null ids last, and of repeated rows the first.
     """
     spark = docs.sparkSession
-    found = signatures(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
-    with batches_of(spark, WIDE_ROWS):
-        sig = cut(found, "signatures")
+    path, sig, first = signatures(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     nodes = cut(sig.groupBy("md5").agg(F.min("row").alias("node")), "nodes")
     of_node = nodes.select("node").join(sig.drop("md5", "doc_id"), F.col("node") == F.col("row"))
     texts = of_node.select("node", "shingles")
@@ -394,9 +448,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
                 drop_table(spark, path)
         free_shuffles(spark)
 
-    rows = of_node.select("node", "size", "prefix").mapInArrow(_keys, "key long, node long, size int, place int")
+    rows = nodes.select("node").join(first, F.col("node") == F.col("row")).select("node", "size", "prefix").mapInArrow(_keys, "key long, node long, size int, place int")
     met = keep(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared(similarity), "key long, node long, size int, place int, lead long"), "met")
-    del rows
+    del rows, first
+    drop_table(spark, f"{path}/first=true")
     free_shuffles(spark)
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -410,23 +465,38 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         free_shuffles(spark)
         return out
 
-    led = keep(met.where("lead >= 0").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "led")
-    links = verified(led.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    links = links.union(verified(apart(led, components(links))))
-    roots = cut(components(links), "roots")
+    # near fingerprints; of one fingerprint's texts the first stands for it
+    prints = keep(of_node.where("size > 0").select("node", F.col("fp").alias("f")), "prints")
+    stands = prints.groupBy(F.col("f").alias("s")).agg(F.min("node").alias("u"))
+    equal = prints.join(stands, F.col("f") == F.col("s")).where("node <> u").select("u", F.col("node").alias("v"))
+    pairs = links(stands.select(F.col("s").alias("fp")))
+    a, b = (stands.select(F.col("s").alias(f"{x}f"), F.col("u").alias(x)) for x in "ab")
+    close = pairs.join(a, pairs["u"] == a["af"]).join(b, F.col("v") == b["bf"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    linked = verified(keep(equal.union(close).distinct(), "prints"))
+    done("prints")
+    led = keep(apart(met.where("lead >= 0").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), components(linked)), "led")
+    linked = linked.union(verified(led.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
+    linked = linked.union(verified(apart(led, components(linked))))
+    roots = cut(components(linked), "roots")
     # every bucket that still holds several groups, a large one in pairs of blocks
     named = keep(met.drop("lead").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")), "named")
     del met
     done("met", "led")
-    mixed = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("mk", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    dealt = named.join(mixed, named["key"] == mixed["mk"]).withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    mixed = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("mk", "n", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    several = named.join(mixed, named["key"] == mixed["mk"]).drop("mk")
+    member = F.struct("node", "size", "place", "root")
+    few = several.where(f"n <= {ALIKE}").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("all"))
+    few = few.groupBy(F.transform("all", lambda m: m["node"]).alias("nodes")).agg(F.min_by(F.struct("key", "all"), F.col("all")[0]["place"]).alias("b"))
+    few = few.select(F.col("b.key").alias("key"), F.explode("b.all").alias("m")).select("key", "m.*", F.lit(1).cast("long").alias("blocks"))
+    buckets = few.union(several.where(f"n > {ALIKE}").select("key", "node", "size", "place", "root", "blocks"))
+    dealt = buckets.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     odd = of_node.select(F.col("node").alias("o"), "odd")
-    ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", *(F.col("odd")[k].alias(f"odd{k}") for k in range(4)))
+    ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", "odd")
     across = keep(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
-    del mixed, dealt, ready, named
+    del mixed, several, few, buckets, dealt, ready, named
     done("named")
-    links = links.union(verified(across))
-    roots = components(links)
+    linked = linked.union(verified(across))
+    roots = components(linked)
     done("across", "verified")
     named = nodes.select("md5", "node").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(F.col("md5").alias("m"), F.coalesce("root", "node").alias("group"))
     every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "md5", "group")

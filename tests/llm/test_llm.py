@@ -116,6 +116,35 @@ def test_near_duplicates_cut_and_extended(spark, monkeypatch, block):
     assert sorted(map(min, by.values())) == sorted(set(want)) and all(len({want[i] for i in g}) == 1 for g in by.values())
 
 
+def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
+    """All fingerprints of the texts' shingles go through links(); what it finds is verified, the exact way does the rest."""
+    texts, seen = [*odd_texts(), prose(7, 3000), prose(7, 3000) + " more"], []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: (seen.append({r["fp"] for r in fps.collect()}), links(fps, *a))[1])
+    found = simhash.groups(frame(spark, texts)).collect()
+    want = {np.array(simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)), np.uint64).view(np.int64).item() for t in texts if t and WORDS.findall(t)}
+    assert seen == [want] and {r["doc_id"] for r in found if not r["kept"]} >= {len(texts) - 1}
+
+
+def test_long_texts_of_one_passage_make_no_pairs():
+    """A bucket of texts of 1 500 shingles that share 300 of them gives no candidates, near copies in it one."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    some = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    passage, texts = some(300), []
+    for _ in range(30):
+        texts.append(np.unique(np.concatenate([passage, some(1200)])))
+    texts.append(np.unique(np.concatenate([texts[3][:-40], some(90)])))
+    texts.sort(key=len)
+    near = [k for k, t in enumerate(texts) if max(len(np.intersect1d(t, o)) for o in texts if o is not t) > 1000]
+    n = len(texts)
+    node, one = np.arange(n), np.zeros(n, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (one, one, one, one, node, node, np.array([len(t) for t in texts]), one)] + [pa.array([simhash.parities(t) for t in texts], pa.binary())], names=["key", "lo", "hi", "block", "node", "root", "size", "place", "odd"])
+    pairs = [(u, v) for out in simhash._across(0.8)(iter([batch.slice(0, 9), batch.slice(9)])) for u, v in zip(*(c.to_pylist() for c in out.columns))]
+    assert pairs == [tuple(near)]
+
+
 def jaccard_set(t):
     w = WORDS.findall(t.lower())
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
