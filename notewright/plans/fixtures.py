@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.stage import buckets, dealt, once
+from ..sources.stage import buckets, dealt, drop, once, staged
 
 PROPS = """
 select o_custkey as case_id,
@@ -34,21 +34,30 @@ STATES = ("active", "stable", "improving", "worsening", "resolved", "historical"
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of PROPS, dealt by case. Lines are numbered within their order first, so what only tells ties apart goes no further; texts are put together where the table is read."""
+    """The rows of PROPS, dealt by case. Lines are numbered within their order first, so what only tells ties apart goes no further; texts are put together where the table is read.
+
+    What each join gives is written, so the shuffle files of one step at a time stand on the disks.
+    """
     lines, orders, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part"))
     ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax"]
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("line", F.row_number().over(Window.partitionBy("o_orderkey", "o_custkey").orderBy(*ties)))
     marks = F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(0) + F.when(F.col("l_linestatus") == "O", 2).otherwise(0) + F.when(F.col("l_returnflag") == "A", 4).when(F.col("l_returnflag") == "R", 8).otherwise(0)
-    rows = rows.select("o_custkey", "o_orderkey", "line", "l_partkey", marks.alias("marks"), (F.col("l_suppkey") % 14).cast("int").alias("s"))
-    rows = rows.join(part.select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.select(F.col("o_custkey").alias("case_id"), "o_orderkey", "line", (F.col("l_partkey") % 15).cast("int").alias("kind"), "marks", "s", "p_name", "p_type", "p_size")
+    rows = lines.select("l_orderkey", *ties, marks.cast("byte").alias("marks")).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("o_orderkey", "o_custkey").orderBy(*ties)))
+    of_orders = staged(rows.select("o_custkey", "o_orderkey", "line", "l_partkey", "marks", (F.col("l_suppkey") % 14).cast("byte").alias("s")), "lines", "zstd")
+    del rows
+    rows = of_orders.join(part.select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    of_parts = staged(rows.select(F.col("o_custkey").alias("case_id"), "o_orderkey", "line", (F.col("l_partkey") % 15).cast("int").alias("kind"), "marks", "s", "p_name", "p_type", "p_size"), "of_parts", "zstd")
+    drop(of_orders)
+    del rows, of_orders
     n = buckets(spark, lines.count())
     ord_ = F.row_number().over(Window.partitionBy("case_id").orderBy("o_orderkey", "line"))
-    numbered = rows.repartition(n, "case_id").select("case_id", ord_.alias("ord"), (F.col("o_orderkey") % 100).cast("int").alias("turn_idx"), "kind", "marks", "s", "p_name", "p_type", "p_size")
+    numbered = of_parts.repartition(n, "case_id").select("case_id", ord_.alias("ord"), (F.col("o_orderkey") % 100).cast("int").alias("turn_idx"), "kind", "marks", "s", "p_name", "p_type", "p_size")
     said = F.col("s") % 2 == 0
     one = lambda values, n: F.coalesce(F.get(F.array(*map(F.lit, values)), n), F.lit(values[-1]))
     bit = lambda n: F.col("marks").bitwiseAND(n) > 0
-    return dealt(numbered, "props", "case_id", n).select(
+    out = dealt(numbered, "props", "case_id", n)
+    drop(of_parts)
+    return out.select(
         "case_id", "ord", F.when(bit(1), "A").otherwise("B").alias("annotator"), one(KINDS, F.col("kind")).alias("prop_type"), F.col("p_name").alias("concept"),
         F.concat(F.lit("The "), F.when(said, "patient reports ").otherwise("clinician notes "), F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg")).alias("prop_text"),
         F.when(bit(4), "confirmed").when(bit(8), "refuted").otherwise("unconfirmed").alias("verification"), one(STATES, F.col("s") % 7).alias("clinical_status"),

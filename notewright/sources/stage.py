@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,7 @@ def clean(spark) -> None:
     while NAMED:
         spark.sql(f"drop table if exists {NAMED.pop()}")
     while WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, WRITTEN.pop())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,12 +54,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return WRITTEN[-1]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written to the folder that driver and executors share and read again, so what stands on it is planned anew."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    free_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write = df.write.option("compression", codec) if codec else df.write
+    write.parquet(path)
+    schema, spark = df.schema, df.sparkSession
+    del df, write
+    free_shuffles(spark)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Of what staged() gave, where it lies.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(table: DataFrame) -> None:
+    """Removes what staged() wrote, once nothing will read it again."""
+    path = _PATHS.pop(table)
+    WRITTEN.remove(path)
+    _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def buckets(spark: SparkSession, rows: int) -> int:

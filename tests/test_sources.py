@@ -85,3 +85,20 @@ def test_what_is_derived_once_is_derived_again_after_cleaning(spark):
     assert stage.once(spark, "x", "a", make).count() == stage.once(spark, "x", "a", make).count() == 3 and len(made) == 1
     stage.clean(spark)
     assert stage.once(spark, "x", "a", make).count() == 3 and len(made) == 2
+
+
+def test_derivation_keeps_one_step_on_the_disks(spark, monkeypatch):
+    """What the joins of the propositions give is written step by step, and gone once the table of the cases stands."""
+    import os
+
+    from notewright.plans import fixtures
+    from notewright.sources import stage
+
+    steps, staged = [], stage.staged
+    monkeypatch.setattr(fixtures, "staged", lambda df, name, *a: (steps.append(name), staged(df, name, *a))[1])
+    before = set(stage.WRITTEN)
+    out = fixtures._derived(spark, "/root/testdata/sf0.001")
+    left = [p for p in stage.WRITTEN if p not in before]
+    assert steps == ["lines", "of_parts"] and len(left) == 1 and "stage-props" in left[0]
+    assert not [f for f in os.listdir(os.path.dirname(left[0].removeprefix("file:"))) if "stage-lines" in f or "stage-of_parts" in f]
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
