@@ -16,11 +16,9 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def any_of(c: Column, parts) -> Column:
-    """c holds one of the parts, anywhere."""
-    found = F.lit(False)
-    for p in parts:
-        found = found | c.contains(p)
-    return found
+    """c holds one of the parts, anywhere; c is worked out once."""
+    parts = tuple(parts)
+    return c.rlike("|".join(rf"\Q{p}\E" for p in parts)) if parts else F.lit(False)
 
 
 def folded(c, keep: str = "[^a-z_]") -> Column:

@@ -22,6 +22,11 @@ def safe_text(c) -> Column:
     return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), _EDGE, "")
 
 
+def once(c: Column, f) -> Column:
+    """f of c, which is worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def first_text(*cols) -> Column:
     """The first that is not blank, else the empty text."""
     return F.coalesce(*(F.nullif(safe_text(c), F.lit("")) for c in cols), F.lit(""))
@@ -82,7 +87,7 @@ def audit_key(c) -> Column:
     """The first five event tokens of an audit, or the first 80 characters where there are none."""
     toks = event_tokens(c, AUDIT_STOP_WORDS)
     plain = F.substring(F.trim(F.regexp_replace(F.lower(safe_text(c)), r"\s+", " ")), 1, 80)
-    return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 5), " ")).otherwise(plain)
+    return once(toks, lambda toks: F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 5), " ")).otherwise(plain))
 
 
 def concept_from_text(c) -> Column:

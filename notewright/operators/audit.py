@@ -9,7 +9,7 @@ from ..functions import terms as W
 from ..functions.infer import first_hit
 from ..functions.normalize import any_of, lookup
 from ..functions.rules import lower
-from ..functions.text import audit_key, safe_text
+from ..functions.text import audit_key, once, safe_text
 
 
 def numeric_like(text: Column) -> Column:
@@ -88,16 +88,19 @@ def hits(t: Column, words, n: int) -> Column:
 
 
 def slots(text: Column) -> Column:
-    t = F.lower(safe_text(text))
+    return once(F.lower(safe_text(text)), _slots)
+
+
+def _slots(t: Column) -> Column:
     side = F.when(t.contains("bilateral"), "bilateral").when(t.contains("right"), "right").when(t.contains("left"), "left")
     return F.struct(side.alias("laterality"), F.slice(F.regexp_extract_all(t, F.lit(W.AUDIT_VALUES), F.lit(0)), 1, 3).alias("values"), hits(t, W.AUDIT_SITES, 3).alias("body_sites"), hits(t, W.AUDIT_ACTIONS, 3).alias("actions"), hits(t, W.AUDIT_PLANS, 4).alias("plan_terms"))
 
 
 def signature(kind: Column, text: Column, source: Column) -> Column:
     """What facts of a note share if they belong to one event: main terms or the concept, and the sentence they come from."""
-    s, key = slots(text), audit_key(text)
-    primary = F.concat(*(F.slice(s[f], 1, 2) for f in ("plan_terms", "actions", "body_sites", "values")))
-    primary = F.when(F.size(primary) > 0, primary).otherwise(F.slice(F.filter(F.split(key, " "), lambda w: w != ""), 1, 3))
+    key = audit_key(text)
+    primary = once(slots(text), lambda s: F.concat(*(F.slice(s[f], 1, 2) for f in ("plan_terms", "actions", "body_sites", "values"))))
+    primary = once(primary, lambda p: F.when(F.size(p) > 0, p).otherwise(F.slice(F.filter(F.split(key, " "), lambda w: w != ""), 1, 3)))
     main = F.array_join(F.slice(F.array_sort(F.array_distinct(primary)), 1, 4), " ")
     return F.when(kind.isin(*W.SOURCE_EVENTS) | ((kind == "SymptomState") & source.isNotNull()), main).otherwise(key)
 
@@ -110,7 +113,7 @@ def events(facts: DataFrame, *, of_note: bool = False, k: int | None = None) ->
     """
     kind, key = event_type(F.col("category"), F.col("predicate"), F.col("text")), audit_key(F.col("text"))
     score = summary_priority(F.col("category"), F.col("text"), F.col("tags")) if of_note else fact_priority(F.col("category"), F.col("predicate"), F.col("text"), F.col("tags"))
-    rows = facts.withColumns({"event_type": kind, "score": score, "concept": signature(kind, F.col("text"), F.col("source")) if of_note else key})
+    rows = facts.withColumns({"event_type": kind, "score": score}).withColumn("concept", signature(F.col("event_type"), F.col("text"), F.col("source")) if of_note else key)
     keys = ["case_id", "event_type", "concept"] + (["source"] if of_note else [])
     best = F.struct("score", -F.col("ord"))
     out = rows.groupBy(*keys).agg(F.min("ord").alias("first_ord"), F.count("*").alias("facts"), F.max_by(F.struct("ord", "text", "category", "status", "score"), best).alias("b"))

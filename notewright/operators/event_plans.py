@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import infer
 from ..functions.normalize import any_of
 from ..functions.rules import lower
-from ..functions.text import BEGINS, ENDS, event_tokens, safe_text
+from ..functions.text import BEGINS, ENDS, event_tokens, once, safe_text
 from .events import event_priority, event_sections, event_type
 
 # Fixed values, in the order in which the first one counts.
@@ -37,8 +37,10 @@ def held(t: Column, words: tuple[str, ...]) -> Column:
 
 def slots(text: Column, temporality: Column, status: Column) -> Column:
     """What a proposition says of medication, side, dose, values (three), frequency, sites and actions; null or empty without it."""
-    t = lower(text)
-    values, actions = F.regexp_extract_all(t, F.lit(VALUE), F.lit(0)), held(t, ACTIONS)
+    return once(F.struct(lower(text).alias("t"), F.regexp_extract_all(lower(text), F.lit(VALUE), F.lit(0)).alias("values")), lambda x: once(held(x["t"], ACTIONS), lambda actions: _slots(x["t"], x["values"], actions, temporality, status)))
+
+
+def _slots(t: Column, values: Column, actions: Column, temporality: Column, status: Column) -> Column:
     action = F.when(F.size(actions) > 0, actions[0]).when(any_of(t, TAKING), "continue").when(any_of(t, PRESCRIBING), "prescribe")
     filled = lambda c: F.nullif(safe_text(c), F.lit(""))
     return F.struct(
@@ -57,9 +59,8 @@ def signature(kind: Column, s: Column, concept: Column, speaker: Column, predica
         .when((kind == "SymptomCourse") & filled(visit).isNotNull(), F.array(filled(visit))).otherwise(none)
     )
     parts = F.array_compact(F.concat(F.array(filled(concept), s["medication"], s["laterality"]), *(F.slice(s[c], 1, 2) for c in ("body_sites", "actions", "values")), more))
-    words = F.when(F.size(parts) > 0, parts).otherwise(F.slice(event_tokens(text), 1, 4))
-    joined = F.trim(F.array_join(words, " "))
-    return F.when(joined != "", joined).otherwise(F.substring(lower(text), 1, 60))
+    words = once(parts, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.slice(event_tokens(text), 1, 4)))
+    return once(F.trim(F.array_join(words, " ")), lambda joined: F.when(joined != "", joined).otherwise(F.substring(lower(text), 1, 60)))
 
 
 def _summary(kind: Column, s: dict[str, Column], doses: Column, frequencies: Column, said: Column) -> Column:

@@ -400,3 +400,19 @@ def test_bundle_routes_and_events(spark):
     e = be.events(routes, moved, clusters, feats).collect()
     assert len(e) == 1 and e[0]["render"] and e[0]["visit_primary"] and e[0]["clinical_priority"] == "high" and e[0]["support"] == 4
     assert e[0]["problem"] == "gout" and e[0]["planned_actions"] == "Order an MRI" and e[0]["care_context"] == "An old fracture" and e[0]["supporting_evidence"] == "No fever|Gout arthritis of the knee"
+
+
+def test_a_text_is_worked_out_once_for_all_words(spark):
+    """any_of() and the slots name a costly text once, not once for each word; rows stay those of contains()."""
+    from pyspark.sql import functions as F
+
+    from notewright.functions.normalize import any_of
+    from notewright.operators import audit, event_plans
+
+    words = ("a.b", "(x", "mg ", "\\", "é")
+    rows = spark.createDataFrame([(x,) for x in ("a.b", "acb", "f(x)", "5 mg of", "c:\\d", "café\n", "", None)], "t string")
+    got = rows.select(any_of(F.col("t"), words).alias("g"), F.expr("t").alias("t")).collect()
+    assert [r["g"] for r in got] == [None if r["t"] is None else any(w in r["t"] for w in words) for r in got]
+    assert str(any_of(F.upper("t"), words)).count("upper") == 1
+    assert str(audit.slots(F.col("t"))).count("regexp_replace") == 1
+    assert str(event_plans.slots(F.col("t"), F.lit(""), F.lit(""))).count("regexp_replace") <= 6
