@@ -185,6 +185,8 @@ FREQUENT = 200_000
 BLOCK = 4096
 #: Keys of so many texts or fewer that the same texts share are one.
 ALIKE = 64
+#: Before all pairs of a bucket of more texts than this are looked at, it is dealt at random into parts of about so many, whose pairs come first.
+PARTS = (64, 512, 4096)
 #: Bits of parities() at most.
 WIDEST = 4096
 #: Rows with texts or whole sets of shingles that a worker gets at once.
@@ -478,26 +480,49 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     linked = linked.union(verified(led.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")))
     linked = linked.union(verified(apart(led, components(linked))))
     roots = cut(components(linked), "roots")
-    # every bucket that still holds several groups, a large one in pairs of blocks
-    named = keep(met.drop("lead").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")), "named")
+
+    def mixed(rows: DataFrame, *before: str) -> DataFrame:
+        """The rows of buckets that still hold several groups, with their groups and the bucket's size; the tables before it go."""
+        named = keep(rows.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("group")), "named")
+        done(*before)
+        of = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        out = keep(named.join(of, named["key"] == of["mk"]).select("key", "node", "size", "place", F.col("group").alias("root"), "n"), "mixed")
+        del named, of
+        done("named")
+        return out
+
+    odd = of_node.select(F.col("node").alias("o"), "odd")
+
+    def across(dealt: DataFrame) -> DataFrame:
+        """The verified ones of all pairs of each (key, block, other)."""
+        ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", "odd")
+        pairs = keep(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
+        out = verified(pairs)
+        del ready, pairs
+        done("across")
+        return out
+
+    several = mixed(met, "met", "led")
     del met
-    done("met", "led")
-    mixed = named.groupBy(F.col("key").alias("mk")).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("mk", "n", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    several = named.join(mixed, named["key"] == mixed["mk"]).drop("mk")
+    # large buckets in parts; powers of two, so that texts that meet in many buckets meet in the same parts
+    for most in PARTS:
+        large = several.where(F.col("n") > most)
+        if not large.isEmpty():
+            linked = linked.union(across(large.withColumn("block", F.expr(f"pmod(xxhash64(node, {most}), shiftleft(1L, cast(ceil(log2(n / {most})) as int)))")).withColumn("other", F.col("block"))))
+            roots = cut(components(linked), "roots")
+            several = mixed(several.drop("root", "n"), "mixed")
+        del large
+    # every bucket that still holds several groups, a large one in pairs of blocks
+    several = several.withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
     member = F.struct("node", "size", "place", "root")
     few = several.where(f"n <= {ALIKE}").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("all"))
     few = few.groupBy(F.transform("all", lambda m: m["node"]).alias("nodes")).agg(F.min_by(F.struct("key", "all"), F.col("all")[0]["place"]).alias("b"))
     few = few.select(F.col("b.key").alias("key"), F.explode("b.all").alias("m")).select("key", "m.*", F.lit(1).cast("long").alias("blocks"))
     buckets = few.union(several.where(f"n > {ALIKE}").select("key", "node", "size", "place", "root", "blocks"))
-    dealt = buckets.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    odd = of_node.select(F.col("node").alias("o"), "odd")
-    ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", "odd")
-    across = keep(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
-    del mixed, several, few, buckets, dealt, ready, named
-    done("named")
-    linked = linked.union(verified(across))
+    linked = linked.union(across(buckets.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))))
+    del several, few, buckets
     roots = components(linked)
-    done("across", "verified")
+    done("mixed", "verified")
     named = nodes.select("md5", "node").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(F.col("md5").alias("m"), F.coalesce("root", "node").alias("group"))
     every = sig.select("row", "doc_id", "md5").join(named, F.col("md5") == F.col("m")).select("row", "doc_id", "md5", "group")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")

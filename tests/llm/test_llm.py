@@ -126,6 +126,19 @@ def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
     assert seen == [want] and {r["doc_id"] for r in found if not r["kept"]} >= {len(texts) - 1}
 
 
+def test_near_copies_make_pairs_in_proportion(spark, monkeypatch):
+    """A group of near copies whose buckets all begin with a text that is like none of them: all its pairs would be looked at if they weren't one group by then."""
+    base, other, r = prose(18, 150), prose(19, 150), random.Random(20)
+    copies = [" ".join(f"w{k}" if i == at else w for i, w in enumerate(base.split())) for k, at in enumerate(r.choices(range(150), k=200))]
+    texts = [base + " " + other, *copies, *(other + " " + " ".join(f"x{k}y{i}" for i in range(60)) for k in range(250))]
+    monkeypatch.setattr(simhash, "PARTS", (8, 64), raising=False)
+    verified, seen = simhash._verified, []
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    found = {x["doc_id"]: x["group"] for x in simhash.groups(frame(spark, texts)).collect()}
+    assert len({found[k] for k in range(1, 201)}) == 1 and len(set(found.values())) == len(texts) - 199
+    assert sum(seen) < 10 * len(copies), seen
+
+
 def test_long_texts_of_one_passage_make_no_pairs():
     """A bucket of texts of 1 500 shingles that share 300 of them gives no candidates, near copies in it one."""
     import pyarrow as pa
