@@ -130,6 +130,7 @@ def _pairs(radius: int, segments: int, bucket: int):
                 keep_k, keep_f, long_run = keep_k[:1], keep_f[:1], True
         if len(keep_k) and not long_run:
             yield out(*judge(keep_k, keep_f))
+        free_memory()
 
     return run
 
@@ -332,6 +333,7 @@ def _shared(similarity: float):
             held, first = rows[:, -1:], lead[:, -1] if again[-1] else None
         if first is not None:
             yield out(held, first[:, None])
+        free_memory()
 
     return run
 
@@ -355,8 +357,8 @@ def _across(similarity: float, most: int = 500_000):
             most = (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-9
             ok = np.flatnonzero(np.bitwise_count(least[a] ^ least[b]).sum(1, dtype=np.int64) <= most)
             out = np.zeros(len(a), bool)
-            for x in range(0, len(ok), 1 << 14):
-                k = ok[x : x + (1 << 14)]
+            for x in range(0, len(ok), 1 << 12):
+                k = ok[x : x + (1 << 12)]
                 same, fold = words[a[k]] == words[b[k]], 2 * words[a[k]] == words[b[k]]
                 other = np.where(same[:, None], full[b[k]], half[b[k]])
                 out[k] = ~(same | fold) | (np.bitwise_count(full[a[k]] ^ other).sum(1, dtype=np.int64) <= most[k])
@@ -397,6 +399,8 @@ def _across(similarity: float, most: int = 500_000):
             held, bits = r[:, end:], tuple(x[end:] for x in odd)
         if held is not None and held.shape[1]:
             yield from judge(held, bits)
+        held, bits = None, ()
+        free_memory()
 
     return run
 
@@ -496,9 +500,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     def across(dealt: DataFrame) -> DataFrame:
         """The verified ones of all pairs of each (key, block, other)."""
         ready = dealt.join(odd, dealt["node"] == odd["o"]).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "place", "odd")
-        pairs = keep(ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long").distinct(), "across")
+        found = ready.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node").mapInArrow(_across(similarity), "u long, v long")
+        with batches_of(spark, WIDE_ROWS):
+            pairs = keep(found.distinct(), "across")
         out = verified(pairs)
-        del ready, pairs
+        del ready, found, pairs
         done("across")
         return out
 
