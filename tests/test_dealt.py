@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from notewright.operators import states
 from notewright.plans import fixtures as V
@@ -37,3 +38,33 @@ def test_groups_of_a_case_move_no_rows(spark, odd_tables):
     plan = states.cluster_of(p, states.clusters(p))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     stage.clean(spark)
+
+
+def test_texts_of_bundles_are_worked_out_once_and_pairs_move_no_rows(spark, monkeypatch):
+    """Features stand on the different texts alone, and pairs are joined in the buckets that clusters lie in."""
+    from notewright.operators import bundles
+    from notewright.plans import catalog
+
+    seen, of = [], bundles._by_text
+    monkeypatch.setattr(bundles, "_by_text", lambda texts: seen.append(texts.columns) or of(texts))
+    feats, _, n = catalog.bundled(spark, "/root/testdata/sf0.001")
+    assert seen == [["cluster_concept", "summary"]] and n >= 1
+    plan = bundles.pairs(feats)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(case_id" not in plan and "regexp_replace" not in plan and "array_intersect" in plan
+    rows = spark.createDataFrame([("a", None, 1), ("a", None, 2), (None, "b", 3), ("a", "b", 4)], "x string, y string, k int")
+    from notewright.sources.stage import told
+
+    got = told(rows, ["x", "y"], lambda t: t.withColumn("z", F.concat_ws("-", "x", "y")))
+    assert sorted((r["k"], r["z"]) for r in got.collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, "a-b")] and got.columns == ["x", "y", "k", "z"]
+
+
+def test_shared_tokens_count_repeats(spark):
+    """Numbers of tokens tell a second word of a kind from the first, so they share what token_f1 counts."""
+    from notewright.functions.text import alignment_tokens, overlap
+    from notewright.operators import bundles
+
+    texts = [("pain pain knee", "knee pain knee"), ("pain", "pain pain pain"), ("", "mg"), ("knees", "pain of the knee, pain")]
+    d = bundles._by_text(spark.createDataFrame(texts, "cluster_concept string, summary string")).withColumn("toks", alignment_tokens(F.concat_ws(" ", "cluster_concept", "summary")))
+    both = d.select(F.struct("text_numbers", "toks").alias("a")).crossJoin(d.select(F.struct("text_numbers", "toks").alias("b")))
+    got = both.select(F.size(F.array_intersect("a.text_numbers", "b.text_numbers")).alias("n"), overlap(F.col("a.toks"), F.col("b.toks")).alias("want")).collect()
+    assert len(got) == 16 and all(r["n"] == r["want"] for r in got) and max(r["n"] for r in got) == 6
