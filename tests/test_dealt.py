@@ -68,3 +68,18 @@ def test_shared_tokens_count_repeats(spark):
     both = d.select(F.struct("text_numbers", "toks").alias("a")).crossJoin(d.select(F.struct("text_numbers", "toks").alias("b")))
     got = both.select(F.size(F.array_intersect("a.text_numbers", "b.text_numbers")).alias("n"), overlap(F.col("a.toks"), F.col("b.toks")).alias("want")).collect()
     assert len(got) == 16 and all(r["n"] == r["want"] for r in got) and max(r["n"] for r in got) == 6
+
+
+def test_assignments_of_dealt_pairs_move_none(spark):
+    """Pairs that lie in buckets by case are read where they lie, with the same assignments as from plain tables."""
+    from notewright.operators import bundles
+    from notewright.plans import catalog
+
+    feats, _, n = catalog.bundled(spark, "/root/testdata/sf0.001")
+    got, scored = catalog.assigned_of(feats, n)
+    assert "Exchange" not in scored.groupBy("case_id", "a").count()._jdf.queryExecution().executedPlan().toString()
+    plain = bundles.pairs(feats)
+    want = bundles.assignments(feats, plain, bundles.anchors(bundles.decisions(feats, plain), plain))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want) != []
+    stage.clean(spark)
